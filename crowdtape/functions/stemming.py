@@ -1,11 +1,15 @@
 """English stemming by the published Snowball "English" (Porter 2) rules."""
 
 import re
-from functools import lru_cache
+import sys
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import functions as F
+from pyspark import cloudpickle
+from pyspark.sql import functions as F, types as T
+
+# Executors get this module's functions with the task, so they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Words the rules do not apply to, and their stems.
 IRREGULAR = {
@@ -121,7 +125,6 @@ def _last_letter(word: str, r1: int, r2: int) -> str:
     return word
 
 
-@lru_cache(maxsize=1 << 18)
 def stem(word: str) -> str:
     """Stem of one lower-case word."""
     if len(word) <= 2:
@@ -145,7 +148,7 @@ def stem(word: str) -> str:
     return _last_letter(_deleted(word, r2), r1, r2).replace("Y", "y")
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(T.ArrayType(T.StringType()))
 def stem_tokens(tokens: pa.Array) -> pa.Array:
     """Stems of a column of token arrays: every distinct word of an Arrow batch is stemmed once."""
     words = tokens.flatten().dictionary_encode()
