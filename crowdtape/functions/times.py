@@ -55,8 +55,12 @@ def time_of_day(ts: Column) -> Column:
 
 
 def between_times(ts: Column, start: str, end: str) -> Column:
-    """Time of day within a range, both ends included."""
-    return time_of_day(ts).between(start, end)
+    """Time of day within a range of ``HH:mm:ss`` values, both ends included."""
+    def since_midnight(clock: str) -> Column:
+        return F.make_dt_interval(F.lit(0), *[F.lit(int(part)) for part in clock.split(":")])
+
+    elapsed = ts.cast("timestamp_ntz") - F.to_date(ts).cast("timestamp_ntz")
+    return elapsed.between(since_midnight(start), since_midnight(end))
 
 
 def last_trading_day(day: Column) -> Column:
