@@ -30,6 +30,12 @@ _BASES = {**_latin_bases(), **_PLAIN_LETTERS}
 _MARKS = "".join(chr(code) for code in range(0x300, 0x370))
 
 
+# Every blank that separates words, as the pattern class BLANK lists them.
+_BLANKS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    chr(code) for code in range(0x2000, 0x200B)
+)
+
+
 def strip_diacritics(text: Column, blank_out: str = "") -> Column:
     """Latin letters without their marks; ``blank_out`` characters become blanks in the same pass."""
     spelled = text
@@ -41,48 +47,60 @@ def strip_diacritics(text: Column, blank_out: str = "") -> Column:
     )
 
 
-def remove_entities(text: Column, collapse: str = " ") -> Column:
-    """Delete links, user names, hashtags and digits; runs of blanks become ``collapse``.
+def remove_entities(text: Column) -> Column:
+    """Delete links, user names, hashtags and digits. The look-ahead skips most positions at once."""
+    return F.regexp_replace(text, rf"(?=[hw@#\p{{Nd}}])(?:{patterns.ENTITY})", "")
+
+
+def collapse_blanks(text: Column, collapse: str = " ") -> Column:
+    return F.regexp_replace(text, patterns.BLANK_RUN, collapse)
 
-    ``collapse=""`` glues the words on both sides of a run, which some stored results rely on.
+
+def glue_entities(text: Column) -> Column:
+    """Delete entities and runs of blanks alike, which glues the words on both sides of a run.
+
+    Some stored results rely on this.
     """
-    if collapse == "":
-        return F.regexp_replace(text, f"{patterns.ENTITY}|{patterns.BLANK_RUN}", "")
-    return F.regexp_replace(F.regexp_replace(text, patterns.ENTITY, ""), patterns.BLANK_RUN, collapse)
+    return F.regexp_replace(text, f"{patterns.ENTITY}|{patterns.BLANK_RUN}", "")
 
 
 def split_words(text: Column) -> Column:
     return F.array_remove(F.split(text, f"[{patterns.BLANK}]+"), "")
 
 
-def clean_tokens(text: Column, words_to_remove: list[str] | None = None, collapse: str = " ") -> Column:
-    """Clean word tokens of a post.
+def with_words(posts: DataFrame, text: str = "text", name: str = "words",
+               words_to_remove: list[str] | None = None, glue: bool = False) -> DataFrame:
+    """Posts with an array of clean word tokens.
 
     Lower case; links, user names, hashtags, digits and emoji out; ASCII punctuation to blanks;
     diacritics off; stop words out; what is left of symbols out. Only text that still holds a symbol
     after that needs the slower word-boundary removal, since there a stop word may touch a symbol.
+    The steps are columns of their own, so that none is computed more than once.
     """
-    words = default_stop_words() if words_to_remove is None else words_to_remove
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    # Blank runs only matter to the tokens when they glue words.
-    bare = (
-        remove_entities(lowered, "") if collapse == "" else F.regexp_replace(lowered, patterns.ENTITY, "")
-    )
-    plain = strip_diacritics(remove_emoji(bare), blank_out=string.punctuation)
-    alternatives = "|".join(re.escape(w) for w in words)
-    boundary = rf"(?<![{patterns.WORD}])(?:{alternatives})(?![{patterns.WORD}])"
-    symbol_free = F.regexp_replace(F.regexp_replace(plain, boundary, " "), patterns.SYMBOL, "")
-    if not words:
-        return split_words(F.regexp_replace(plain, patterns.SYMBOL, ""))
-    return F.when(plain.rlike(patterns.SYMBOL), split_words(symbol_free)).otherwise(
-        F.filter(split_words(plain), lambda word: ~word.isin(words))
+    remove = default_stop_words() if words_to_remove is None else words_to_remove
+    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
+    bare = glue_entities(lowered) if glue else remove_entities(lowered)
+    plain = strip_diacritics(remove_emoji(F.col("_bare")), blank_out=string.punctuation + _BLANKS)
+    kept = F.array_remove(F.split("_plain", " "), "")
+    symbols = F.col("_plain")
+    if remove:
+        kept = F.filter(kept, lambda word: ~word.isin(remove))
+        alternatives = "|".join(re.escape(word) for word in remove)
+        boundary = rf"(?<![{patterns.WORD}])(?:{alternatives})(?![{patterns.WORD}])"
+        symbols = F.regexp_replace(symbols, boundary, " ")
+    symbol_free = split_words(F.regexp_replace(symbols, patterns.SYMBOL, ""))
+    return (
+        posts.withColumn("_bare", bare)
+        .withColumn("_plain", plain)
+        .withColumn(name, F.when(F.col("_plain").rlike(patterns.SYMBOL), symbol_free).otherwise(kept))
+        .drop("_bare", "_plain")
     )
 
 
 def clean_posts(posts: DataFrame, text: str = "text", words_to_remove: list[str] | None = None,
-                collapse: str = " ", stem: bool = True) -> DataFrame:
+                glue: bool = False, stem: bool = True) -> DataFrame:
     """Posts with ``words`` (clean tokens) and ``tokens`` (their stems), both arrays."""
-    cleaned = posts.withColumn("words", clean_tokens(F.col(text), words_to_remove, collapse))
+    cleaned = with_words(posts, text, "words", words_to_remove, glue)
     return cleaned.withColumn("tokens", stem_tokens("words") if stem else F.col("words"))
 
 

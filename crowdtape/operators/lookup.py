@@ -1,5 +1,7 @@
 """Joining rows to one value per key when a few keys hold most of the rows."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # A key is frequent when it holds at least 1/FREQUENT_LIMIT of all rows, so there are at most this many
@@ -16,13 +18,17 @@ def lookup(rows: DataFrame, table: DataFrame, keys: str | list[str], weight: str
     """Inner join of ``rows`` with a ``table`` that has one row per key and its row count in ``weight``.
 
     The entries of frequent keys, at most ``limit`` of them, are broadcast, so rows of frequent keys are
-    never shuffled and no partition of the remaining join can be dominated by one key.
+    never shuffled and no partition of the remaining join can be dominated by one key. That join is
+    asked to merge, since a table made by unrolling arrays can be far larger than Spark's estimate of it.
     """
     on = _on(keys)
+    # A join drops NULL keys; doing it up front keeps the table's plan the same in all three uses.
+    table = table.where(_all_known(on))
     frequent = F.col(weight) * F.lit(limit) >= table.agg(F.sum(weight)).scalar()
     hot = table.where(frequent)
+    rare_rows = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
     return rows.join(F.broadcast(hot), on).unionByName(
-        rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(table.where(~frequent), on)
+        rare_rows.join(table.where(~frequent).hint("merge"), on)
     )
 
 
@@ -54,7 +60,4 @@ def left_lookup(rows: DataFrame, table: DataFrame, keys: str | list[str],
 
 
 def _all_known(on: list[str]) -> Column:
-    known = F.lit(True)
-    for key in on:
-        known = known & F.col(f"`{key}`").isNotNull()
-    return known
+    return reduce(lambda a, b: a & b, [F.col(f"`{key}`").isNotNull() for key in on])

@@ -5,28 +5,36 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def _shifted(tokens: Column, by: int, length: Column) -> Column:
+    return F.slice(tokens, by + 1, length)
+
+
 def grams_of(tokens: Column, n: int) -> Column:
-    """Array of the n-grams of one token array, words joined by a blank; short arrays give none."""
+    """Array of the n-grams of one token array, words joined by a blank; short arrays give none.
+
+    The array is laid beside itself n times, each copy one word further on, so the work is in
+    proportion to its length.
+    """
     if n == 1:
         return tokens
-    size = F.size(tokens)
-    grams = F.transform(
-        F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " ")
-    )
-    return F.when(size >= n, grams).otherwise(F.array().cast("array<string>"))
+    length = F.size(tokens) - (n - 1)
+    names = [f"w{i}" for i in range(n)]
+    beside = F.arrays_zip(*[_shifted(tokens, i, length).alias(names[i]) for i in range(n)])
+    grams = F.transform(beside, lambda words: F.concat_ws(" ", *[words[name] for name in names]))
+    return F.when(length > 0, grams).otherwise(F.array().cast("array<string>"))
 
 
 def skipgrams_of(tokens: Column, skip: int) -> Column:
-    """Word pairs at most ``skip`` words apart, in order; ``skip=0`` gives the bigrams."""
-    size = F.size(tokens)
-    pairs = F.transform(
-        F.sequence(F.lit(1), size - 1),
-        lambda i: F.transform(
-            F.slice(tokens, i + 1, F.lit(skip + 1)),
-            lambda word: F.concat(F.element_at(tokens, i), F.lit(" "), word),
-        ),
-    )
-    return F.when(size >= 2, F.flatten(pairs)).otherwise(F.array().cast("array<string>"))
+    """Word pairs with at most ``skip`` words between them; ``skip=0`` gives the bigrams."""
+    def pairs(apart: int) -> Column:
+        length = F.size(tokens) - apart
+        both = F.zip_with(
+            _shifted(tokens, 0, length), _shifted(tokens, apart, length),
+            lambda first, second: F.concat_ws(" ", first, second),
+        )
+        return F.when(length > 0, both).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*[pairs(apart) for apart in range(1, skip + 2)])
 
 
 def with_grams(posts: DataFrame, names: dict[str, int], tokens: str = "tokens") -> DataFrame:

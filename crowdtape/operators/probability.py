@@ -24,27 +24,28 @@ WORD, NUMERATOR, DENOMINATOR = 1, 2, 4
 
 
 def _terms(tokens: Column, order: int) -> Column:
-    """Array of (gram, role) for every factor of the post's products."""
+    """Array of (role, grams): every factor of the post's products, listed by its role."""
     size = F.size(tokens)
 
-    def tagged(grams: Column, role, last: int | None = None) -> Column:
-        def tag(gram: Column, i: Column) -> Column:
-            number = F.lit(role) if last is None else F.when(i < size - (order - 1), role).otherwise(last)
-            return F.struct(gram.alias("gram"), number.cast("int").alias("role"))
-        return F.transform(grams, tag)
+    def listed(role: Column | int, grams: Column) -> Column:
+        role = F.lit(role) if isinstance(role, int) else role
+        return F.struct(role.cast("int").alias("role"), grams.alias("grams"))
 
+    # The last n-1 words are nobody's predecessors: they are counted, but divide nothing.
+    prefixes = grams_of(tokens, order - 1)
+    inner = F.slice(prefixes, 1, F.greatest(F.size(prefixes) - 1, F.lit(0)))
+    last = F.slice(prefixes, F.greatest(F.size(prefixes), F.lit(1)), 1)
     if order == 2:
-        parts = [tagged(tokens, WORD | DENOMINATOR, last=WORD)]
+        parts = [listed(WORD | DENOMINATOR, inner), listed(WORD, last)]
     else:
-        parts = [tagged(tokens, WORD), tagged(grams_of(tokens, order - 1), DENOMINATOR, last=0)]
-    parts.append(tagged(grams_of(tokens, order), NUMERATOR))
+        parts = [listed(WORD, tokens), listed(DENOMINATOR, inner), listed(0, last)]
     edges = F.array(
         F.concat_ws(" ", F.lit(BEGIN), F.get(tokens, F.lit(0))),
         F.concat_ws(" ", F.try_element_at(tokens, F.lit(-1)), F.lit(END)),
     )
-    edge_role = F.when(size >= order, NUMERATOR).otherwise(0)
-    parts.append(F.transform(edges, lambda gram: F.struct(gram.alias("gram"), edge_role.alias("role"))))
-    return F.concat(*parts)
+    parts.append(listed(NUMERATOR, grams_of(tokens, order)))
+    parts.append(listed(F.when(size >= order, NUMERATOR).otherwise(0), edges))
+    return F.array(*parts)
 
 
 def score_posts(posts: DataFrame, key: str = "id", tokens: str = "tokens", order: int = 2,
@@ -59,8 +60,9 @@ def score_posts(posts: DataFrame, key: str = "id", tokens: str = "tokens", order
     name = {2: "bigram", 3: "trigram", 4: "quadgram", 5: "pentagram"}.get(order, f"gram{order}")
     slim = posts.select(F.col(key), F.col(tokens).alias("_tokens"))
     filled = slim.where(F.size("_tokens") > 0)
-    terms = filled.select(key, F.inline(_terms(F.col("_tokens"), order)))
-    counts = terms.groupBy("gram").agg(F.count(F.lit(1)).alias("count"))
+    listed = filled.select(key, F.inline(_terms(F.col("_tokens"), order)))
+    terms = listed.select(key, "role", F.explode("grams").alias("gram"))
+    counts = terms.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.count(F.lit(1)).alias("count"))
 
     single = ~F.col("gram").contains(" ")
     vocabulary = counts.agg(F.count_if(single & (F.col("count") > 0))).scalar()
@@ -110,7 +112,7 @@ def relative_probability(posts: DataFrame, key: str = "id", tokens: str = "token
     """Mean relative frequency of each post's words, scaled so that all posts sum to 1."""
     slim = posts.select(F.col(key), F.col(tokens).alias("_tokens"))
     words = slim.select(key, F.explode("_tokens").alias("word"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+    counts = words.where(F.col("word").isNotNull()).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
     whole = F.count_if(F.col("count") > 0) if denominator == "distinct" else F.sum("count")
     means = (
         lookup(words, counts, "word", "count", limit)

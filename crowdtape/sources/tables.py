@@ -11,6 +11,16 @@ def read_table(spark: SparkSession, path: str, schema: StructType | None = None)
     return (reader.schema(schema) if schema else reader).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a freshly read table out over the cluster if it has fewer files than cores.
+
+    For steps that cost much more than moving their input, such as cleaning text. A table of many files
+    is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite",
                 partition_by: Sequence[str] = ()) -> None:
     """Write Parquet, creating the folder; ``partition_by`` columns become folders that reads can skip."""

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crowdtape.functions import entities, markup, patterns
-from crowdtape.functions.cleaning import chunk_text, clean_posts, clean_tokens, with_clean_text
+from crowdtape.functions.cleaning import chunk_text, clean_posts, with_clean_text, with_words
 from crowdtape.functions.emoji import EMOJI, emoji_names, extract_emoji
 from crowdtape.operators import ngrams, probability
 from workload.views import (
@@ -18,10 +18,8 @@ def _clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _stop_words(spark: SparkSession, folder: str) -> DataFrame:
-    text = F.col("text")
-    return posts(spark, folder).select(
-        "id", F.size(clean_tokens(text, [])).alias("all_words"), F.size(clean_tokens(text)).alias("kept_words")
-    )
+    cleaned = with_words(with_words(posts(spark, folder), name="every", words_to_remove=[]), name="kept")
+    return cleaned.select("id", F.size("every").alias("all_words"), F.size("kept").alias("kept_words"))
 
 
 def _stemmed(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,8 +29,8 @@ def _stemmed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _glued(spark: SparkSession, folder: str) -> DataFrame:
-    words = clean_tokens(F.col("text"), collapse="")
-    return posts(spark, folder).select("id", F.array_join(words, " ").alias("cleaned_nonstem_text"))
+    cleaned = clean_posts(posts(spark, folder), glue=True, stem=False)
+    return with_clean_text(cleaned).select("id", "cleaned_nonstem_text")
 
 
 def _entities(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,6 +12,7 @@ from crowdtape.functions.cleaning import clean_posts
 from crowdtape.functions.emoji import EMOJI, character_name
 from crowdtape.functions.words import stop_words
 from crowdtape.sources.staging import staged
+from crowdtape.sources.tables import spread
 
 
 @dataclass(frozen=True)
@@ -33,7 +34,7 @@ def with_ctes(select: str, *ctes: str) -> str:
 # --- posts: a document is a post; the event with five times its number says when and by whom ---
 
 def posts(spark: SparkSession, folder: str) -> DataFrame:
-    documents, events = table(spark, folder, "documents"), table(spark, folder, "events")
+    documents, events = spread(table(spark, folder, "documents")), table(spark, folder, "events")
     return documents.join(events, events.event_id == documents.doc_id * 5).select(
         F.col("doc_id").alias("id"),
         F.col("ts").alias("created_at"),
