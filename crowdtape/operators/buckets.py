@@ -42,7 +42,7 @@ def pivot_users(df: DataFrame, index: str, probabilities: Sequence[str],
     totals come out of the same aggregation: each summed row also counts towards "all users".
     """
     users = list(users) if users is not None else user_names(df, user)
-    measures = [*probabilities, *totals]
+    measures = list(dict.fromkeys([*probabilities, *totals]))
     summed = df.groupBy(index, user).agg(*[F.sum(m).alias(m) for m in measures])
     if totals:
         doubled = F.explode(F.array(F.col(user), F.lit(_EVERYONE)))

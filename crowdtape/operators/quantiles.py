@@ -4,7 +4,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_BINS = 1000
+# Bins are found in two steps of this many comparisons each.
+_STEP = 32
+_BINS = _STEP * _STEP
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
@@ -20,14 +22,23 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[floa
         .groupBy("column", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # One row per column of the input.
-    cuts = counted.groupBy("column").agg(
-        F.percentile_approx("value", [i / _BINS for i in range(1, _BINS)], 10 * _BINS).alias("cuts"),
-        F.sum("n").alias("rows"),
-    )
-    binned = counted.join(F.broadcast(cuts), "column").select(
-        "column", "value", "n", "rows",
-        F.size(F.filter("cuts", lambda cut: cut < F.col("value"))).alias("bin"),
+    # One row per column of the input: the upper end of every bin but the last, in rows of _STEP.
+    ends = F.percentile_approx("value", [i / _BINS for i in range(1, _BINS)], 10 * _BINS)
+    cuts = counted.groupBy("column").agg(ends.alias("ends"), F.sum("n").alias("rows")).select(
+        "column", "rows",
+        F.transform(
+            F.sequence(F.lit(0), F.lit(_STEP - 1)), lambda i: F.slice("ends", i * _STEP + 1, F.lit(_STEP))
+        ).alias("fine"),
+    ).withColumn("coarse", F.transform(F.slice("fine", 1, _STEP - 1), lambda ends: F.element_at(ends, -1)))
+
+    def below(cuts: Column) -> Column:
+        return F.size(F.filter(cuts, lambda cut: cut < F.col("value")))
+
+    binned = (
+        counted.join(F.broadcast(cuts), "column")
+        .withColumn("row", below(F.col("coarse")))
+        .withColumn("bin", F.col("row") * _STEP + below(F.get(F.col("fine"), F.col("row"))))
+        .select("column", "value", "n", "rows", "bin")
     )
 
     def position(share: float) -> Column:
@@ -57,10 +68,10 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[floa
         return F.max(F.when(holds(F.col("before"), F.col("n"), rank), F.col("value")))
 
     found = [value_at(rank).alias(f"v{i}") for i, rank in enumerate(ranks)]
-    ends = ranked.groupBy("column").agg(F.first("rows").alias("rows"), *found)
+    limits = ranked.groupBy("column").agg(F.first("rows").alias("rows"), *found)
 
     def interpolated(i: int, share: float) -> Column:
         low, high = F.col(f"v{2 * i}"), F.col(f"v{2 * i + 1}")
         return (low + (position(share) - F.floor(position(share))) * (high - low)).alias(f"q{i}")
 
-    return ends.select("column", "rows", *[interpolated(i, s) for i, s in enumerate(shares)])
+    return limits.select("column", "rows", *[interpolated(i, s) for i, s in enumerate(shares)])

@@ -25,10 +25,15 @@ WIDTHS = {
 
 
 def scored_posts(posts: DataFrame, text: str = "text", **cleaning) -> DataFrame:
-    """Posts with their date and probabilities; the text is cleaned once and the tokens are written."""
+    """Posts with their date and probabilities.
+
+    The text is cleaned once and the tokens are written; so are the scores, which every feature table
+    reads more than once.
+    """
     tokens = staged(clean_posts(posts.select("id", text), text, **cleaning).select("id", "tokens"), "tokens")
     scores = score_posts(tokens).select("id", *PROBABILITIES)
-    return posts.drop(text).join(scores, "id").withColumn("date", F.to_date("created_at"))
+    scored = posts.drop(text).join(scores, "id").withColumn("date", F.to_date("created_at"))
+    return staged(scored, "scored")
 
 
 def scaled_posts(scored: DataFrame) -> DataFrame:
@@ -46,7 +51,7 @@ def intraday_features(scaled: DataFrame, users: Sequence[str], width: str = "byh
     """Wide table per bucket in New York market time, weekends and closed hours folded in."""
     step, offset = WIDTHS[width]
     sums = bucket_sums(scaled, PROBABILITIES + TOTALS, step, offset)
-    wide = pivot_users(sums, "created_at", PROBABILITIES, TOTALS, users)
+    wide = staged(pivot_users(sums, "created_at", PROBABILITIES, TOTALS, users), "pivot")
     filled = fill_steps(wide, 60) if width == "by_minute" else fill_openings(wide)
     measures = wide.columns[1:]
     return fold_market_hours(fold_weekend_by_time(filled, measures), measures)
