@@ -33,14 +33,15 @@ def extend_posts(posts: DataFrame, text: str = "text", emoji_source: str | None
                  strict: bool = True, allow_gap: bool = True) -> DataFrame:
     """Add every entity column in one projection and put the text third."""
     source = F.col(text)
-    found = extract_emoji(F.col(emoji_source or text))
-    extended = posts.withColumns({
+    # Found once, in a column of their own, and used twice.
+    found = F.col("_emoji")
+    extended = posts.withColumn("_emoji", extract_emoji(F.col(emoji_source or text))).withColumns({
         "hashtags": joined(hashtags(source, allow_gap)),
         "links": joined(links(source, strict)),
         "usernames": joined(usernames(source)),
         "emojis": F.array_join(found, " "),
         "emoji_text": F.array_join(emoji_names(found), " "),
-    })
+    }).drop("_emoji")
     rest = [c for c in extended.columns if c != text]
     return extended.select(*rest[:2], text, *rest[2:])
 

@@ -31,6 +31,8 @@ def _terms(tokens: Column, order: int) -> Column:
         role = F.lit(role) if isinstance(role, int) else role
         return F.struct(role.cast("int").alias("role"), grams.alias("grams"))
 
+    if order == 1:
+        return F.array(listed(WORD, tokens))
     # The last n-1 words are nobody's predecessors: they are counted, but divide nothing.
     prefixes = grams_of(tokens, order - 1)
     inner = F.slice(prefixes, 1, F.greatest(F.size(prefixes) - 1, F.lit(0)))
@@ -53,6 +55,8 @@ def score_posts(posts: DataFrame, key: str = "id", tokens: str = "tokens", order
                 limit: int = FREQUENT_LIMIT) -> DataFrame:
     """One row per post: ``key``, number of words, and the unigram and order-n scores and their logs.
 
+    With ``order=1`` there are the unigram scores only.
+
     ``posts`` is read three times (counts, frequent grams, other grams), so pass a stored or staged
     token table rather than a plan that cleans the text. ``smoothing`` adds a constant to every count,
     and that constant times the vocabulary to every denominator.
@@ -88,23 +92,17 @@ def score_posts(posts: DataFrame, key: str = "id", tokens: str = "tokens", order
             F.sum(factor).alias("_order"),
         )
     )
-    scored = sums.select(
-        key, "words",
-        (F.col("_unigram") - F.col("words") * F.ln(whole.cast("double"))).alias("unigram_log_prob"),
-        F.when(
-            F.col("words") >= order, F.col("_order") - 2 * F.ln(post_count.cast("double"))
-        ).alias(f"{name}_log_prob"),
-    )
-    empty = slim.where(F.size("_tokens") == 0).select(
-        key,
-        F.lit(0).cast("bigint").alias("words"),
-        F.lit(0.0).alias("unigram_log_prob"),
-        F.lit(None).cast("double").alias(f"{name}_log_prob"),
-    )
-    return scored.unionByName(empty).withColumns({
-        "unigram_probability": F.exp("unigram_log_prob"),
-        f"{name}_probability": F.coalesce(F.exp(f"{name}_log_prob"), F.lit(0.0)),
-    })
+    scores = {"unigram_log_prob": F.col("_unigram") - F.col("words") * F.ln(whole.cast("double"))}
+    of_empty = {"words": F.lit(0).cast("bigint"), "unigram_log_prob": F.lit(0.0)}
+    plain = {"unigram_probability": F.exp("unigram_log_prob")}
+    if order > 1:
+        edges = 2 * F.ln(post_count.cast("double"))
+        scores[f"{name}_log_prob"] = F.when(F.col("words") >= order, F.col("_order") - edges)
+        of_empty[f"{name}_log_prob"] = F.lit(None).cast("double")
+        plain[f"{name}_probability"] = F.coalesce(F.exp(f"{name}_log_prob"), F.lit(0.0))
+    scored = sums.select(key, "words", *[score.alias(c) for c, score in scores.items()])
+    empty = slim.where(F.size("_tokens") == 0).select(key, *[v.alias(c) for c, v in of_empty.items()])
+    return scored.unionByName(empty).withColumns(plain)
 
 
 def relative_probability(posts: DataFrame, key: str = "id", tokens: str = "tokens",

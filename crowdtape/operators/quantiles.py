@@ -1,77 +1,82 @@
 """Exact quantiles of whole columns, without bringing a column into one task."""
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Bins are found in two steps of this many comparisons each.
-_STEP = 32
-_BINS = _STEP * _STEP
+# A sketch places a quantile within 1/_ACCURACY of all rows, so a band of a few times that on both sides
+# of a wanted rank is sure to hold it.
+_ACCURACY = 100_000
+_BAND = 3 / _ACCURACY
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
     """``column, rows, q0, q1, ...``: linearly interpolated quantiles of each column, NULLs ignored.
 
-    Equal values are counted first. The distinct values are cut into bins at approximate quantiles, the
-    bins' row counts tell which bins hold the wanted ranks, and only those bins are sorted.
+    A sketch, made when the function is called, gives a narrow band of values around every wanted rank.
+    One pass counts the rows below each band, another counts the equal values inside it, and only those
+    few values are sorted.
     """
-    named = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns]
+    values = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
+    # One sketch per column gives all its edges; the outermost ones are the smallest and largest value.
+    edges = [min(max(share + side * _BAND, 0.0), 1.0) for share in shares for side in (-1, 1)]
+    sketches = values.agg(*[
+        F.array(*[
+            F.min(f"`{c}`") if e == 0 else F.max(f"`{c}`") if e == 1
+            else F.get(F.percentile_approx(f"`{c}`", edges, _ACCURACY), F.lit(at))
+            for at, e in enumerate(edges)
+        ]) for c in columns
+    ]).first()
+    # (column, which share, the share, lower edge, upper edge); a column without values has no edges.
+    wanted = [
+        (c, i, float(share), sketch[2 * i], sketch[2 * i + 1])
+        for c, sketch in zip(columns, sketches) if sketch[0] is not None
+        for i, share in enumerate(shares)
+    ]
+    if not wanted:
+        empty = "column string, rows bigint" + "".join(f", q{i} double" for i in range(len(shares)))
+        return df.sparkSession.createDataFrame([], empty)
+    # One row per column and share.
+    ranks = values.agg(*[
+        F.struct(
+            F.lit(c).alias("column"), F.lit(i).alias("share"), F.count(f"`{c}`").alias("rows"),
+            F.count_if(F.col(f"`{c}`") < low).alias("below"),
+            (F.lit(share) * (F.count(f"`{c}`") - 1)).alias("position"),
+        ).alias(f"r{k}")
+        for k, (c, i, share, low, _) in enumerate(wanted)
+    ]).select(F.inline(F.array(*[f"r{k}" for k in range(len(wanted))])))
+
+    bands = [(c, i, F.col(f"`{c}`").between(low, high)) for c, i, _, low, high in wanted]
+    tagged = [
+        F.when(inside, F.struct(
+            F.lit(c).alias("column"), F.lit(i).alias("share"), F.col(f"`{c}`").alias("value")
+        ))
+        for c, i, inside in bands
+    ]
+    # Most rows lie in no band and are gone before the bands of the others are listed.
     counted = (
-        df.select(F.inline(F.array(*named)))
-        .where(F.col("value").isNotNull())
-        .groupBy("column", "value")
+        values.where(reduce(lambda a, b: a | b, [inside for _, _, inside in bands]))
+        .select(F.inline(F.array_compact(F.array(*tagged))))
+        .groupBy("column", "share", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # One row per column of the input: the upper end of every bin but the last, in rows of _STEP.
-    ends = F.percentile_approx("value", [i / _BINS for i in range(1, _BINS)], 10 * _BINS)
-    cuts = counted.groupBy("column").agg(ends.alias("ends"), F.sum("n").alias("rows")).select(
-        "column", "rows",
-        F.transform(
-            F.sequence(F.lit(0), F.lit(_STEP - 1)), lambda i: F.slice("ends", i * _STEP + 1, F.lit(_STEP))
-        ).alias("fine"),
-    ).withColumn("coarse", F.transform(F.slice("fine", 1, _STEP - 1), lambda ends: F.element_at(ends, -1)))
-
-    def below(cuts: Column) -> Column:
-        return F.size(F.filter(cuts, lambda cut: cut < F.col("value")))
-
-    binned = (
-        counted.join(F.broadcast(cuts), "column")
-        .withColumn("row", below(F.col("coarse")))
-        .withColumn("bin", F.col("row") * _STEP + below(F.get(F.col("fine"), F.col("row"))))
-        .select("column", "value", "n", "rows", "bin")
-    )
-
-    def position(share: float) -> Column:
-        return F.lit(float(share)) * (F.col("rows") - 1)
-
-    def holds(before: Column, n: Column, rank: Column) -> Column:
-        return (rank >= before) & (rank < before + n)
-
-    ranks = [edge(position(s)) for s in shares for edge in (F.floor, F.ceil)]
-    wanted = F.lit(False)
-    for rank in ranks:
-        wanted = wanted | holds(F.col("before"), F.col("n"), rank)
-    # At most _BINS rows per column.
-    bins = binned.groupBy("column", "bin").agg(F.sum("n").alias("n"), F.first("rows").alias("rows"))
-    earlier = Window.partitionBy("column").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    picked = (
-        bins.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        .where(wanted)
-        .select("column", "bin", "before")
-    )
-    within = Window.partitionBy("column", "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = binned.join(F.broadcast(picked), ["column", "bin"]).withColumn(
-        "before", F.col("before") + F.coalesce(F.sum("n").over(within), F.lit(0))
+    smaller = Window.partitionBy("column", "share").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    placed = (
+        counted.withColumn("earlier", F.coalesce(F.sum("n").over(smaller), F.lit(0)))
+        .join(F.broadcast(ranks), ["column", "share"])
+        .withColumn("before", F.col("below") + F.col("earlier"))
     )
 
     def value_at(rank: Column) -> Column:
-        return F.max(F.when(holds(F.col("before"), F.col("n"), rank), F.col("value")))
-
-    found = [value_at(rank).alias(f"v{i}") for i, rank in enumerate(ranks)]
-    limits = ranked.groupBy("column").agg(F.first("rows").alias("rows"), *found)
-
-    def interpolated(i: int, share: float) -> Column:
-        low, high = F.col(f"v{2 * i}"), F.col(f"v{2 * i + 1}")
-        return (low + (position(share) - F.floor(position(share))) * (high - low)).alias(f"q{i}")
+        holds = (rank >= F.col("before")) & (rank < F.col("before") + F.col("n"))
+        return F.max(F.when(holds, F.col("value")))
 
-    return limits.select("column", "rows", *[interpolated(i, s) for i, s in enumerate(shares)])
+    position = F.col("position")
+    quantiles = placed.groupBy("column", "share").agg(
+        F.first("rows").alias("rows"), F.first("position").alias("position"),
+        value_at(F.floor(position)).alias("low"), value_at(F.ceil(position)).alias("high"),
+    ).withColumn("q", F.col("low") + (position - F.floor(position)) * (F.col("high") - F.col("low")))
+    return quantiles.groupBy("column").agg(F.max("rows").alias("rows"), *[
+        F.max(F.when(F.col("share") == i, F.col("q"))).alias(f"q{i}") for i in range(len(shares))
+    ])

@@ -1,24 +1,41 @@
 """Scaling columns by figures of the whole column.
 
-Each function measures all its columns in one aggregation and applies the one-row result as a scalar.
+Each function measures all its columns in one aggregation. Its one row is a struct that every row of
+the table gets as a scalar, in a single column that is dropped at the end.
 A column without spread scales to NULL.
 """
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from crowdtape.operators.quantiles import exact_quantiles
 
 
-def _replace(df: DataFrame, columns: Sequence[str], scaled) -> DataFrame:
-    return df.withColumns({c: scaled(c) for c in columns})
+_FIGURES = "_figures"
+
+
+def _replace(df: DataFrame, columns: Sequence[str], figures: DataFrame, scaled) -> DataFrame:
+    """Replace columns by ``scaled(value, figures of the column)``."""
+    measured = df.withColumn(_FIGURES, figures.scalar())
+    return measured.withColumns({
+        c: scaled(F.col(f"`{c}`"), F.col(f"{_FIGURES}.`{c}`")) for c in columns
+    }).drop(_FIGURES)
+
+
+def _as_struct(figures: DataFrame, columns: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Turn one row per column into one row with a struct per column."""
+    def of(c: str, name: str) -> Column:
+        return F.max(F.when(F.col("column") == c, F.col(name))).alias(name)
+
+    return figures.agg(F.struct(*[F.struct(*[of(c, name) for name in names]).alias(c) for c in columns]))
 
 
 def to_unit_sum(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns divided by their sums."""
-    sums = df.agg(F.struct(*[F.sum(f"`{c}`").alias(c) for c in columns]).alias("s")).scalar()
-    return _replace(df, columns, lambda c: F.try_divide(F.col(f"`{c}`"), sums[c]))
+    sums = df.agg(F.struct(*[F.sum(f"`{c}`").alias(c) for c in columns]))
+    return _replace(df, columns, sums, F.try_divide)
 
 
 def min_max(df: DataFrame, columns: Sequence[str], reference: DataFrame | None = None,
@@ -33,11 +50,8 @@ def min_max(df: DataFrame, columns: Sequence[str], reference: DataFrame | None =
 
     limits = (df if reference is None else reference).agg(F.struct(*[
         F.struct(F.min(measured(c)).alias("lo"), F.max(measured(c)).alias("hi")).alias(c) for c in columns
-    ]).alias("limits")).scalar()
-    return _replace(
-        df, columns,
-        lambda c: F.try_divide(F.col(f"`{c}`") - limits[c]["lo"], limits[c]["hi"] - limits[c]["lo"]),
-    )
+    ]))
+    return _replace(df, columns, limits, lambda x, of: F.try_divide(x - of["lo"], of["hi"] - of["lo"]))
 
 
 def robust_limits(df: DataFrame, columns: Sequence[str], upper: float = 0.75,
@@ -54,18 +68,10 @@ def robust_scale(df: DataFrame, columns: Sequence[str], limits: DataFrame | None
     """(x - median) / (upper quantile - lower quantile), by the table's own limits or by given ones."""
     limits = robust_limits(df, columns, upper, lower) if limits is None else limits
 
-    def of(c: str, figure: str) -> Column:
-        return F.max(F.when(F.col("column") == c, F.col(figure))).alias(figure)
-
-    figures = ("median", "upper_bound", "lower_bound")
-    row = limits.agg(F.struct(*[
-        F.struct(*[of(c, figure) for figure in figures]).alias(c) for c in columns
-    ]).alias("limits")).scalar()
+    figures = _as_struct(limits, columns, ["median", "upper_bound", "lower_bound"])
     return _replace(
-        df, columns,
-        lambda c: F.try_divide(
-            F.col(f"`{c}`") - row[c]["median"], row[c]["upper_bound"] - row[c]["lower_bound"]
-        ),
+        df, columns, figures,
+        lambda x, of: F.try_divide(x - of["median"], of["upper_bound"] - of["lower_bound"]),
     )
 
 
@@ -80,15 +86,6 @@ def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def trim_quantiles(df: DataFrame, columns: Sequence[str], lower: float = 0.05,
                    upper: float = 0.95) -> DataFrame:
     """Rows whose columns all lie between their lower and upper quantile, both included."""
-    limits = exact_quantiles(df, columns, [lower, upper])
-
-    def of(c: str, figure: str) -> Column:
-        return F.max(F.when(F.col("column") == c, F.col(figure))).alias(figure)
-
-    row = limits.agg(F.struct(*[
-        F.struct(of(c, "q0"), of(c, "q1")).alias(c) for c in columns
-    ]).alias("limits")).scalar()
-    kept = F.lit(True)
-    for c in columns:
-        kept = kept & F.col(f"`{c}`").between(row[c]["q0"], row[c]["q1"])
-    return df.where(kept)
+    limits = _as_struct(exact_quantiles(df, columns, [lower, upper]), columns, ["q0", "q1"])
+    kept = [F.col(f"`{c}`").between(F.col(f"{_FIGURES}.`{c}`.q0"), F.col(f"{_FIGURES}.`{c}`.q1")) for c in columns]
+    return df.withColumn(_FIGURES, limits.scalar()).where(reduce(lambda a, b: a & b, kept)).drop(_FIGURES)

@@ -252,7 +252,7 @@ def _first_posts(spark: SparkSession, folder: str) -> DataFrame:
 # --- models ---
 
 def _ols_one(spark: SparkSession, folder: str) -> DataFrame:
-    model = forecast.fit_linear(table(spark, folder, "lineitem"), "l_extendedprice", ["l_quantity"])
+    model = forecast.fit_linear(tables.spread(table(spark, folder, "lineitem")), "l_extendedprice", ["l_quantity"])
     fitted = forecast.coefficient_table(model, ["l_quantity"]).select("term", "coefficient")
     return fitted.withColumns({
         "coefficient": F.round("coefficient", 4), "r2": F.round(F.lit(float(model.summary.r2)), 8)})
@@ -266,7 +266,7 @@ _OLS_ONE_SQL = """
 
 
 def _ols_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "lineitem").withColumn(
+    orders = tables.spread(table(spark, folder, "lineitem")).withColumn(
         "key", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey"))
     measured = forecast.holdout_metrics(orders, "key", "l_extendedprice", ["l_quantity"], 0.25)
     return measured.select(F.round("rmse", 4).alias("rmse"), F.round(F.col("mse") / 1000, 3).alias("mse_thousands"), "rows")
@@ -282,7 +282,7 @@ _OLS_METRICS_SQL = """
 
 
 def _best_worst(spark: SparkSession, folder: str) -> DataFrame:
-    items = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    items = tables.spread(table(spark, folder, "lineitem")).select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
     model = forecast.fit_linear(items, "l_extendedprice", ["l_quantity"])
     cases = forecast.best_worst_case(model, items, items, ["l_quantity"])
     return rounded(cases.select("l_orderkey", "l_linenumber", "prediction", "best_case", "worst_case"),
@@ -299,7 +299,7 @@ _FEATURES = ["l_quantity", "l_discount", "l_tax"]
 
 
 def _ols_many(spark: SparkSession, folder: str) -> DataFrame:
-    model = forecast.fit_linear(table(spark, folder, "lineitem"), "l_extendedprice", _FEATURES)
+    model = forecast.fit_linear(tables.spread(table(spark, folder, "lineitem")), "l_extendedprice", _FEATURES)
     return forecast.coefficient_table(model, _FEATURES)
 
 

@@ -199,7 +199,7 @@ _SKIPGRAMS_SQL = with_ctes(
 
 
 def _unigram(spark: SparkSession, folder: str) -> DataFrame:
-    scores = probability.score_posts(staged_words(spark, folder))
+    scores = probability.score_posts(staged_words(spark, folder), order=1)
     return scores.select(
         "id", "words", F.round("unigram_log_prob", 3).alias("unigram_log_prob"),
         F.round("unigram_probability", 9).alias("unigram_probability"),
