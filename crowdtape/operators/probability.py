@@ -7,7 +7,8 @@ A post of words w1..wk scores
   begin with w1 and the share that end with wk; 0 for a post shorter than n words.
 
 Products are computed as sums of logarithms, which do not underflow; the plain values are their
-exponentials and reach 0 on long posts.
+exponentials and reach 0 on long posts. Frequencies relative to the number of distinct words may exceed
+1, so that unigram value can also reach infinity; relative to all words it cannot.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
