@@ -40,9 +40,18 @@ def append_newer(history: DataFrame, landed: DataFrame, key: str = "id", owner:
     return history.unionByName(newer, allowMissingColumns=True)
 
 
-def upsert(history: DataFrame, new: DataFrame, key: str | Sequence[str] = "id",
-           order: Sequence[Column] = ()) -> DataFrame:
-    """History and new rows, one row per key; new rows win, then ``order`` decides."""
+def upsert(history: DataFrame, new: DataFrame, key: str = "id", order: Sequence[Column] = (),
+           distinct_history: bool = False) -> DataFrame:
+    """History and new rows, one row per key; new rows win, then ``order`` decides.
+
+    ``distinct_history`` says that the history already has one row per key, as the result of an upsert
+    has. Then only the stored rows whose key arrived again are taken out, and if the new keys are few
+    enough for Spark to broadcast, the history is not shuffled.
+    """
+    if distinct_history:
+        latest = keep_last(new, key, *(order or [F.col(key)]))
+        kept = history.join(latest.select(key), key, "left_anti")
+        return kept.unionByName(latest, allowMissingColumns=True)
     both = history.withColumn("_batch", F.lit(0)).unionByName(
         new.withColumn("_batch", F.lit(1)), allowMissingColumns=True
     )

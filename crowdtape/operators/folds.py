@@ -1,7 +1,7 @@
 """Moving weekend and out-of-hours activity into market time.
 
-Every fold rewrites the time key of each row and sums once per key, so a chain of folds over raw rows
-needs a single shuffle.
+Every fold rewrites the time key of each row and sums once per key, so a chain of folds needs a single
+sum at its end.
 """
 
 from collections.abc import Sequence
@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from crowdtape.functions import times as t
+from crowdtape.operators.buckets import bucket_sums
 
 # Fixed value: the market opens at 13:30 UTC while daylight saving time is in force.
 OPEN_HOUR_UTC, OPEN_MINUTE_UTC = 13, 30
@@ -109,8 +110,9 @@ def fold_market_hours(df: DataFrame, measures: Sequence[str], index: str = "crea
 def posts_to_market_time(posts: DataFrame, measures: Sequence[str], width: str, offset: str | None = None,
                          index: str = "created_at", keys: Sequence[str] = ("user",),
                          **hours) -> DataFrame:
-    """Bucket, weekend fold and market fold of raw rows in one pass and one shuffle."""
-    bucketed = posts.select(
-        *keys, weekend_open_key(t.time_bucket(F.col(index), width, offset)).alias(index), *measures
-    )
-    return fold_market_hours(bucketed, measures, index, keys, **hours)
+    """Raw rows to bucket sums, and those through both folds in one further sum.
+
+    Zones and folds are worked out per bucket rather than per post.
+    """
+    sums = bucket_sums(posts, measures, width, offset, index, keys)
+    return fold_market_hours(sums.withColumn(index, weekend_open_key(F.col(index))), measures, index, keys, **hours)

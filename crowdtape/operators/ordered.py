@@ -8,14 +8,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from crowdtape.functions.times import time_bucket
 from crowdtape.sources.staging import staged
 
 
+def _hour(ts: str) -> Column:
+    """The slot of a timestamp: a series has no more of them than hours, however many rows it has."""
+    return time_bucket(F.col(ts), "1 hour")
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], slot: Column,
                 name: str = "position") -> DataFrame:
     """Number the rows of each key from 1 in the given order.
 
-    ``slot`` is a coarse, order-preserving value of the order, such as the day of a timestamp. Rows are
+    ``slot`` is a coarse, order-preserving value of the order, such as the hour of a timestamp. Rows are
     numbered within (key, slot); the earlier slots' row counts are added.
     """
     keys = list(keys)
@@ -57,7 +63,7 @@ def binary_target(prices: DataFrame, key: str = "ticker", ts: str = "ts", price:
     price, and ``shift=1`` uses past rows only. Rows without a full window get ``incomplete``.
     """
     back, ahead = shift + day - 1, -shift
-    numbered = number_rows(prices, [key], [ts], F.to_date(ts))
+    numbered = number_rows(prices, [key], [ts], _hour(ts))
     blocks = sliding_blocks(numbered, max(back, 0), max(ahead, 0), block_size)
     frame = Window.partitionBy(key, "block").orderBy("position").rowsBetween(-back, ahead)
     full = (F.col("position") >= day) & (F.count(price).over(frame) == day)
@@ -77,7 +83,7 @@ def latest_row(df: DataFrame, ts: str, ties: Sequence[str] = ()) -> DataFrame:
 def forward_fill(df: DataFrame, columns: Sequence[str], keys: Sequence[str], ts: str) -> DataFrame:
     """Replace NULLs by the last value before them in the key's series."""
     keys = list(keys)
-    slotted = df.withColumn("_slot", F.to_date(ts))
+    slotted = df.withColumn("_slot", _hour(ts))
     earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     carried = slotted.groupBy(*keys, "_slot").agg(*[
         F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(ts))).alias(f"_{c}") for c in columns

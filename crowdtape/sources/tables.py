@@ -23,7 +23,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite",
                 partition_by: Sequence[str] = ()) -> None:
-    """Write Parquet, creating the folder; ``partition_by`` columns become folders that reads can skip."""
+    """Write Parquet, creating the folder; ``partition_by`` columns become folders that reads can skip.
+
+    Rows are first brought together by folder. That is a rebalance and not a plain repartition: AQE splits
+    a folder that holds much of the table over several tasks and merges small ones.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 

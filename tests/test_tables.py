@@ -162,6 +162,7 @@ def test_upsert_keeps_the_new_row_and_is_idempotent(spark):
     assert found(merged) == [(1, "old"), (2, "new"), (3, "new")]
     assert found(dedupe.upsert(merged, new)) == found(merged)
     assert found(dedupe.load_counts(history, new)) == [(1, 3)]
+    assert found(dedupe.upsert(history, new.union(new), distinct_history=True)) == found(merged)
 
 
 def test_assembled_posts_are_newest_first(spark):

@@ -58,6 +58,10 @@ _UPSERT_SQL = with_ctes("""
     SELECT * FROM history WHERE event_id NOT IN (SELECT event_id FROM delivery)""", *_LOADED)
 
 
+def _upsert_distinct(spark: SparkSession, folder: str) -> DataFrame:
+    return dedupe.upsert(_history(spark, folder), _delivery(spark, folder), "event_id", distinct_history=True)
+
+
 def _load_counts(spark: SparkSession, folder: str) -> DataFrame:
     return dedupe.load_counts(_history(spark, folder), _delivery(spark, folder), "event_id")
 
@@ -179,8 +183,7 @@ def _csv(spark: SparkSession, folder: str) -> DataFrame:
 def _parquet(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "events-by-date")
     dated = _events(spark, folder).withColumn("date", F.to_date("ts"))
-    # One task per date and type, so that the folders hold few files.
-    tables.write_table(dated.repartition("date", "event_type"), path, partition_by=["date"])
+    tables.write_table(dated, path, partition_by=["date"])
     return tables.read_table(spark, path).where(F.col("date") >= F.lit("2024-01-05").cast("date"))
 
 
@@ -414,6 +417,7 @@ _STREAM_HISTORY_SQL = """
 QUERIES = {
     "incremental_load": Query(_incremental, _INCREMENTAL_SQL),
     "upsert_latest": Query(_upsert, _UPSERT_SQL),
+    "upsert_distinct": Query(_upsert_distinct, _UPSERT_SQL),
     "load_counts": Query(_load_counts, _LOAD_COUNTS_SQL),
     "assemble_posts": Query(_assemble, _ASSEMBLE_SQL),
     "bounded_history": Query(_bounded, _BOUNDED_SQL),
