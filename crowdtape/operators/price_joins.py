@@ -1,5 +1,6 @@
 """Joining prices with post features on time."""
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -9,6 +10,15 @@ from crowdtape.operators.ordered import latest_row
 from crowdtape.operators.scaling import min_max
 
 
+# Fixed value: what the names of post features hold.
+POST_FEATURES = "bigram_|unigram_|trigram_"
+
+
+def columns_like(df: DataFrame, pattern: str = POST_FEATURES) -> list[str]:
+    """The table's columns whose name holds a match of the pattern."""
+    return [c for c in df.columns if re.search(pattern, c)]
+
+
 def join_on_time(prices: DataFrame, posts: DataFrame, on: str | Sequence[str] = "timestamp",
                  fill: float | None = 0) -> DataFrame:
     """Rows with both prices and posts; NULL numbers become ``fill``."""

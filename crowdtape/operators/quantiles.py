@@ -42,9 +42,11 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[floa
         F.struct(
             F.lit(c).alias("column"), F.lit(i).alias("share"), F.count(f"`{c}`").alias("rows"),
             F.count_if(F.col(f"`{c}`") < low).alias("below"),
+            F.max(F.when(F.col(f"`{c}`") < low, F.col(f"`{c}`"))).alias("previous"),
+            F.min(F.when(F.col(f"`{c}`") > high, F.col(f"`{c}`"))).alias("next"),
             (F.lit(share) * (F.count(f"`{c}`") - 1)).alias("position"),
         ).alias(f"r{k}")
-        for k, (c, i, share, low, _) in enumerate(wanted)
+        for k, (c, i, share, low, high) in enumerate(wanted)
     ]).select(F.inline(F.array(*[f"r{k}" for k in range(len(wanted))])))
 
     bands = [(c, i, F.col(f"`{c}`").between(low, high)) for c, i, _, low, high in wanted]
@@ -68,11 +70,14 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[floa
         .withColumn("before", F.col("below") + F.col("earlier"))
     )
 
+    position, below = F.col("position"), F.first("below")
+
     def value_at(rank: Column) -> Column:
         holds = (rank >= F.col("before")) & (rank < F.col("before") + F.col("n"))
-        return F.max(F.when(holds, F.col("value")))
+        # Interpolation looks at the two neighbours of a rank; in short columns one may lie just outside.
+        outside = F.when(F.first(rank) < below, F.first("previous")).otherwise(F.first("next"))
+        return F.coalesce(F.max(F.when(holds, F.col("value"))), outside)
 
-    position = F.col("position")
     quantiles = placed.groupBy("column", "share").agg(
         F.first("rows").alias("rows"), F.first("position").alias("position"),
         value_at(F.floor(position)).alias("low"), value_at(F.ceil(position)).alias("high"),

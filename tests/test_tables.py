@@ -57,6 +57,17 @@ def test_quantiles_are_exact(spark, kind):
     assert result["b"] == pytest.approx(list(np.quantile([-v for v in values], shares)))
 
 
+def test_quantiles_of_short_columns(spark):
+    chance = random.Random(9)
+    shares = [0.05, 0.25, 0.5, 0.75, 0.95]
+    columns = {f"c{n}": [chance.choice([chance.random(), 0.5]) for _ in range(n)] for n in (2, 3, 7, 20, 39, 159)}
+    rows = [tuple(v[i] if i < len(v) else None for v in columns.values()) for i in range(159)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns))
+    for row in quantiles.exact_quantiles(df, list(columns), shares).collect():
+        expected = list(np.quantile(columns[row["column"]], shares))
+        assert [row[f"q{i}"] for i in range(len(shares))] == pytest.approx(expected), row["column"]
+
+
 def test_wide_bands_leave_quantiles_exact(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "_ACCURACY", 20)
     monkeypatch.setattr(quantiles, "_BAND", 3 / 20)
@@ -197,6 +208,11 @@ def test_price_joins(spark):
     assert len(found(price_joins.on_day(prices(spark, range(6)), price_joins.last_day(prices(spark, range(6)), "ts"), "ts"))) == 2
 
 
+def test_columns_by_pattern(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4)], "unigram_CNN int, likes int, bigram_CNN int, AAPL int")
+    assert price_joins.columns_like(df) == ["unigram_CNN", "bigram_CNN"]
+
+
 def test_price_features(spark):
     stock = spark.createDataFrame([(dt.date(2023, 7, d), v) for d, v in ((3, None), (4, 2.0), (5, 4.0), (6, 9.0))], "date date, A double")
     scaled = price_features.historical_prices(stock, None, "2023-07-06", ["A"])

@@ -3,16 +3,14 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crowdtape import schemas
-from crowdtape.functions import entities
-from crowdtape.functions.cleaning import clean_posts
-from crowdtape.operators import dedupe, ngrams, summaries
+from crowdtape.functions import entities, patterns
+from crowdtape.operators import dedupe, price_joins, summaries
 from crowdtape.plans import forecast, star_schema
 from crowdtape.sources import posts as post_files, sheets, tables
 from crowdtape.sources.staging import new_path
 from crowdtape.streaming import posts as streams
-from workload.market import EVENTS, LONG, rounded
+from workload.market import HOURLY, MARKET_POSTS, hourly_prices, market_posts, rounded
 from workload.views import POSTS, TAGGED, Query, posts, table, tagged_posts, with_ctes, word_posts
-from crowdtape.functions import patterns
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
@@ -301,6 +299,24 @@ _BEST_WORST_SQL = """
 _FEATURES = ["l_quantity", "l_discount", "l_tax"]
 
 
+def _forecast(spark: SparkSession, folder: str) -> DataFrame:
+    """The last day's price of one ticker, from the hourly sums of the days before."""
+    hourly = market_posts(spark, folder)
+    prices = hourly_prices(spark, folder)
+    day = price_joins.on_day(hourly, price_joins.last_day(prices))
+    predicted = forecast.forecast_day(hourly, day, prices, "view", ["value"])
+    return rounded(predicted, "prediction", digits=5)
+
+
+_FORECAST_SQL = with_ctes("""
+    SELECT timestamp, round(a * value + b, 5) AS prediction
+    FROM market CROSS JOIN (
+        SELECT regr_slope(view, value) AS a, regr_intercept(view, value) AS b
+        FROM market JOIN hourly USING (timestamp)
+        WHERE CAST(timestamp AS DATE) < (SELECT CAST(max(timestamp) AS DATE) FROM hourly))
+    WHERE CAST(timestamp AS DATE) = (SELECT CAST(max(timestamp) AS DATE) FROM hourly)""", HOURLY, *MARKET_POSTS)
+
+
 def _ols_many(spark: SparkSession, folder: str) -> DataFrame:
     model = forecast.fit_linear(tables.spread(table(spark, folder, "lineitem")), "l_extendedprice", _FEATURES)
     return forecast.coefficient_table(model, _FEATURES)
@@ -443,6 +459,7 @@ QUERIES = {
     "ols_one_feature": Query(_ols_one, _OLS_ONE_SQL),
     "ols_metrics": Query(_ols_metrics, _OLS_METRICS_SQL),
     "best_worst_case": Query(_best_worst, _BEST_WORST_SQL),
+    "forecast_day": Query(_forecast, _FORECAST_SQL),
     "ols_many": Query(_ols_many),
     "naive_bayes": Query(_naive_bayes),
     "cross_validation": Query(_cross_validation),

@@ -293,7 +293,7 @@ def _prices(spark: SparkSession, folder: str, key: Column, name: str) -> DataFra
     return events.groupBy(name).pivot("event_type", USERS).agg(F.avg("value"))
 
 
-def _hourly_prices(spark: SparkSession, folder: str) -> DataFrame:
+def hourly_prices(spark: SparkSession, folder: str) -> DataFrame:
     key = times.to_zone(times.time_bucket(F.col("ts"), "1 hour", "30 minutes"))
     return _prices(spark, folder, key, "timestamp")
 
@@ -323,7 +323,7 @@ LONG = """prices AS (SELECT event_type AS ticker, time_bucket(INTERVAL '1 hour',
 _ROUNDED_PRICES = ", ".join(f"round(coalesce({u}, 0.0), 9) AS {u}" for u in USERS)
 
 
-def _market_posts(spark: SparkSession, folder: str) -> DataFrame:
+def market_posts(spark: SparkSession, folder: str) -> DataFrame:
     """Sums in market time, over all users."""
     sums = folds.posts_to_market_time(_events(spark, folder), _MEASURES, "1 hour", "30 minutes", keys=())
     return rounded(sums, "value")
@@ -331,7 +331,7 @@ def _market_posts(spark: SparkSession, folder: str) -> DataFrame:
 
 _POST_SUMS = "CAST(sum(favorite_count) AS BIGINT) AS favorite_count, CAST(sum(retweet_count) AS BIGINT) AS retweet_count"
 _EVENT_SUMS = "round(sum(value), 4) AS value, CAST(sum(k) AS BIGINT) AS k"
-_MARKET_POSTS = [EVENTS, bucket_cte("hour", keys=""), *market_ctes(keys="", measures=_EVENT_SUMS)]
+MARKET_POSTS = [EVENTS, bucket_cte("hour", keys=""), *market_ctes(keys="", measures=_EVENT_SUMS)]
 
 
 def _join_day(spark: SparkSession, folder: str) -> DataFrame:
@@ -347,17 +347,17 @@ _JOIN_DAY_SQL = with_ctes(f"""
 
 
 def _join_hour(spark: SparkSession, folder: str) -> DataFrame:
-    joined = price_joins.join_on_time(_hourly_prices(spark, folder), _market_posts(spark, folder))
+    joined = price_joins.join_on_time(hourly_prices(spark, folder), market_posts(spark, folder))
     return rounded(joined, *USERS, digits=9)
 
 
 _JOIN_HOUR_SQL = with_ctes(f"SELECT timestamp, {_ROUNDED_PRICES}, value, k "
-                           "FROM hourly JOIN market USING (timestamp)", HOURLY, *_MARKET_POSTS)
+                           "FROM hourly JOIN market USING (timestamp)", HOURLY, *MARKET_POSTS)
 
 
 def _join_today(spark: SparkSession, folder: str) -> DataFrame:
-    features = _market_posts(spark, folder)
-    prices = _hourly_prices(spark, folder)
+    features = market_posts(spark, folder)
+    prices = hourly_prices(spark, folder)
     today = times.last_trading_day(price_joins.last_day(prices))
     joined = price_joins.join_on_time(price_joins.on_day(features, today), prices)
     return rounded(joined, *USERS, digits=9)
@@ -367,12 +367,12 @@ _TODAY = ("(SELECT d - CAST(CASE dayofweek(d) WHEN 6 THEN 1 WHEN 0 THEN 2 ELSE 0
           "FROM (SELECT CAST(max(timestamp) AS DATE) AS d FROM hourly))")
 _JOIN_TODAY_SQL = with_ctes(f"""
     SELECT timestamp, {_ROUNDED_PRICES}, value, k FROM hourly JOIN market USING (timestamp)
-    WHERE CAST(timestamp AS DATE) = {_TODAY}""", HOURLY, *_MARKET_POSTS)
+    WHERE CAST(timestamp AS DATE) = {_TODAY}""", HOURLY, *MARKET_POSTS)
 
 
 def _semi(spark: SparkSession, folder: str) -> DataFrame:
-    prices = _hourly_prices(spark, folder)
-    training = price_joins.except_day(_market_posts(spark, folder), price_joins.last_day(prices))
+    prices = hourly_prices(spark, folder)
+    training = price_joins.except_day(market_posts(spark, folder), price_joins.last_day(prices))
     return rounded(price_joins.prices_in_training(prices, training, "view"), "view", digits=9)
 
 
@@ -380,13 +380,13 @@ _SEMI_SQL = with_ctes("""
     SELECT timestamp, round(view, 9) AS view FROM hourly WHERE timestamp IN (
         SELECT timestamp FROM market
         WHERE CAST(timestamp AS DATE) <> (SELECT CAST(max(timestamp) AS DATE) FROM hourly))""",
-    HOURLY, *_MARKET_POSTS)
+    HOURLY, *MARKET_POSTS)
 
 
 def _latest_test(spark: SparkSession, folder: str) -> DataFrame:
     dated = _events(spark, folder).groupBy(F.to_date("created_at").alias("date")).agg(
         F.sum("value").alias("value"), F.sum("k").alias("k"))
-    prices = _hourly_prices(spark, folder).fillna(0)
+    prices = hourly_prices(spark, folder).fillna(0)
     daily = _daily_prices(spark, folder).join(dated, "date", "left")
     scaled = price_joins.latest_test_row(prices, dated, daily, [*USERS, *_MEASURES])
     return rounded(scaled, *USERS, *_MEASURES, digits=6)
@@ -454,7 +454,7 @@ _MINMAX_SQL = with_ctes("""
 
 
 def _minmax_reference(spark: SparkSession, folder: str) -> DataFrame:
-    hourly, daily = _hourly_prices(spark, folder), _daily_prices(spark, folder)
+    hourly, daily = hourly_prices(spark, folder), _daily_prices(spark, folder)
     return rounded(scaling.min_max(hourly.fillna(0), USERS, daily, skip_zero=True), *USERS, digits=6)
 
 
