@@ -7,7 +7,7 @@ from crowdtape.functions import entities, patterns
 from crowdtape.operators import dedupe, price_joins, summaries
 from crowdtape.plans import forecast, star_schema
 from crowdtape.sources import posts as post_files, sheets, tables
-from crowdtape.sources.staging import new_path
+from crowdtape.sources.staging import new_path, staged
 from crowdtape.streaming import posts as streams
 from workload.market import HOURLY, MARKET_POSTS, hourly_prices, market_posts, rounded
 from workload.views import POSTS, TAGGED, Query, posts, table, tagged_posts, with_ctes, word_posts
@@ -301,8 +301,8 @@ _FEATURES = ["l_quantity", "l_discount", "l_tax"]
 
 def _forecast(spark: SparkSession, folder: str) -> DataFrame:
     """The last day's price of one ticker, from the hourly sums of the days before."""
-    hourly = market_posts(spark, folder)
-    prices = hourly_prices(spark, folder)
+    hourly = staged(market_posts(spark, folder), "market-sums")
+    prices = staged(hourly_prices(spark, folder), "hourly-prices")
     day = price_joins.on_day(hourly, price_joins.last_day(prices))
     predicted = forecast.forecast_day(hourly, day, prices, "view", ["value"])
     return rounded(predicted, "prediction", digits=5)
