@@ -4,28 +4,20 @@ A written table cuts the lineage, survives the loss of executors and lets every
 the columns it needs.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folders: dict[str, str] = {}
-
 
 def staging_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.
+    """This application's folder on storage that all executors share.
 
-    A local session without that setting gets a temporary folder; on a cluster the setting is required.
+    It lies below ``spark.checkpoint.dir``, or below the warehouse where that is not set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in _local_folders:
-        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="run-")
-    return _local_folders[context.applicationId]
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -38,3 +30,36 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table this application has staged; frames that still read them end with it."""
+    _delete(spark, staging_folder(spark))
+
+
+class Scope:
+    """What is staged through a scope goes when the scope ends.
+
+    ``with Scope(spark) as scope: scope.staged(df, "tokens")`` suits jobs that write their result
+    before they leave the block.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark = spark
+        self._root = new_path(spark, "scope")
+
+    def __enter__(self) -> "Scope":
+        return self
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self._root}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_: object) -> None:
+        _delete(self._spark, self._root)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

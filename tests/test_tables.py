@@ -1,6 +1,7 @@
 """Lookups, quantiles, scaling, ordered operators, loading, the star schema, models and sources."""
 
 import datetime as dt
+import os
 import random
 
 import numpy as np
@@ -11,7 +12,7 @@ from crowdtape import schemas
 from crowdtape.operators import dedupe, lookup, ordered, price_joins, quantiles, scaling, summaries
 from crowdtape.plans import forecast, price_features, star_schema
 from crowdtape.sources import database, posts as post_files, sheets, tables
-from crowdtape.sources.staging import new_path, staged, staging_folder
+from crowdtape.sources.staging import Scope, new_path, staged, staging_folder
 
 
 def found(df, *columns):
@@ -335,12 +336,16 @@ def test_partition_folders_are_skipped(spark):
     assert "PartitionFilters: [isnotnull(date" in wanted._jdf.queryExecution().toString() and wanted.count() == 3
 
 
-def test_staging_uses_the_configured_folder(spark):
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+def test_staging_uses_the_shared_folder_and_cleans_up(spark):
     folder = staging_folder(spark)
-    assert configured is None or folder == configured.rstrip("/")
+    assert folder.startswith(spark.conf.get("spark.checkpoint.dir"))
     kept = staged(spark.range(5).toDF("id"), "numbers")
-    assert found(kept) == [(i,) for i in range(5)] and kept.inputFiles()[0].startswith(f"file://{folder}")
+    assert found(kept) == [(i,) for i in range(5)] and kept.inputFiles()[0].startswith("file://")
+    with Scope(spark) as scope:
+        inside = scope.staged(spark.range(3).toDF("id"), "numbers")
+        file = inside.inputFiles()[0].removeprefix("file://")
+        assert inside.count() == 3 and os.path.exists(file)
+    assert not os.path.exists(file) and kept.count() == 5
 
 
 def test_spread_deals_out_small_tables(spark):
