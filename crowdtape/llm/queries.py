@@ -4,15 +4,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crowdtape.llm import simhash_dedup
+from crowdtape.llm import embedding_dedup, simhash_dedup
 from crowdtape.llm.common import table
 
 
+def op2_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
+EMBEDDING_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings),
+usable AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, x -> x <> 0)) > 0),
+normed AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM usable),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM normed a JOIN normed b ON a.vec_id <> b.vec_id
+    AND list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.95),
+reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+first AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT v.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, f.component_id, v.vec_id = f.component_id AS kept
+FROM v JOIN first f ON f.x = v.vec_id LEFT JOIN counts c ON c.x = v.vec_id
+"""
+
+
 def op3_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_embedding_near_dedup": EMBEDDING_SQL}
