@@ -2,10 +2,10 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crowdtape.llm import embedding_dedup, simhash_dedup
-from crowdtape.llm.common import table
+from crowdtape.llm import embedding_dedup, ppm, simhash_dedup
+from crowdtape.llm.common import remainder, table
 
 
 def op2_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,8 +31,16 @@ def op3_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, folder, "documents"))
 
 
+def op5_ppm_score(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = ppm.score_texts(
+        docs.select("doc_id", (remainder("doc_id") == 1).alias("held_out"), "text"), remainder("doc_id") != 1)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op5_ppm_score": op5_ppm_score,
 }
 ORACLES: dict[str, str] = {"op2_embedding_near_dedup": EMBEDDING_SQL}
