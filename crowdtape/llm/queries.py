@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crowdtape.llm import embedding_dedup, ppm, simhash_dedup
+from crowdtape.llm import divergence, embedding_dedup, line_crf, ppm, simhash_dedup
 from crowdtape.llm.common import remainder, table
 
 
@@ -13,9 +13,9 @@ def op2_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 EMBEDDING_SQL = """
-WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings),
-usable AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(e, x -> x <> 0)) > 0),
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+usable AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
 normed AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM usable),
 links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM normed a JOIN normed b ON a.vec_id <> b.vec_id
     AND list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.95),
@@ -31,6 +31,18 @@ def op3_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, folder, "documents"))
 
 
+# A document is good from this score on.
+QUALITY = 0.3
+
+
+def op4_crf_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = line_crf.train(docs, labels, remainder("doc_id") != 0)
+    scored = line_crf.with_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (remainder("doc_id") == 0).alias("held_out"), "score",
+                         (F.col("score") >= QUALITY).cast("int").alias("predicted"))
+
+
 def op5_ppm_score(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     scored = ppm.score_texts(
@@ -38,9 +50,85 @@ def op5_ppm_score(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op9_divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = divergence.judge(table(spark, folder, "documents").select("doc_id", "text", "lang"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
+
+
+def _divergence_sql() -> str:
+    lists = divergence.COMMON_WORDS
+    strip = "text AS t0"
+    names = list(divergence.CLASSES)
+    for i, pattern in enumerate(divergence.CLASSES.values()):
+        strip += f", regexp_replace(t{i}, '{pattern.replace("'", "''")}', '', 'g') AS t{i + 1}"
+    classes = ", ".join(f"length(t{i}) - length(t{i + 1})" for i in range(len(names))) + f", length(t{len(names)})"
+    counts = "CASE lang " + " ".join(
+        f"WHEN '{lang}' THEN [" + ", ".join(f"len(list_filter(spoken, lambda x: x = '{w}'))" for w in own)
+        + f", len(list_filter(spoken, lambda x: x NOT IN ({', '.join(f"'{w}'" for w in own)})))]"
+        for lang, own in lists.items()) + " ELSE [len(spoken)] END"
+
+    def distance(mine: str, theirs: str) -> str:
+        return f"""sqrt(greatest(0.0, list_sum(list_transform(range(1, len({mine}) + 1), lambda i:
+            (CASE WHEN {mine}[i] > 0 THEN {mine}[i] / list_sum({mine}) * ln(2 * ({mine}[i] / list_sum({mine}))
+                / ({mine}[i] / list_sum({mine}) + {theirs}[i] / list_sum({theirs}))) ELSE 0.0 END)
+            + (CASE WHEN {theirs}[i] > 0 THEN {theirs}[i] / list_sum({theirs}) * ln(2 * ({theirs}[i] / list_sum({theirs}))
+                / ({mine}[i] / list_sum({mine}) + {theirs}[i] / list_sum({theirs}))) ELSE 0.0 END))) / (2 * ln(2))))"""
+
+    def beyond(d: str, bins: str) -> str:
+        return f"sqrt(greatest(0.0, {d} * {d} - ({bins} - 1) / (8.0 * ln(2) * greatest(n_words, 1))))"
+
+    ws = r"[\x20\x09-\x0D]+"
+    return f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
+parts AS (SELECT doc_id, lang, {strip},
+    list_filter(regexp_split_to_array(text, '{ws}'), lambda x: x <> '') AS words,
+    list_filter(string_split(text, chr(10)), lambda x: length(regexp_replace(x, '{ws}', '', 'g')) > 0) AS lines,
+    list_filter(regexp_split_to_array(lower(text), '{divergence.WORD_ENDS}'), lambda x: x <> '') AS spoken FROM d),
+counted AS (SELECT doc_id, lang, len(words) AS n_words, words, length(t0) - (length(t3) - length(t4)) AS word_chars,
+    length(t5) - length(regexp_replace(t5, '{divergence.SYMBOLS}', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    list_transform([{classes}], lambda x: CAST(x AS DOUBLE)) AS classes,
+    list_transform({counts}, lambda x: CAST(x AS DOUBLE)) AS common FROM parts),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i + {divergence.WINDOW - 1}], ' ') AS w
+    FROM (SELECT doc_id, words, unnest(range(1, n_words - {divergence.WINDOW - 2})) AS i FROM counted
+          WHERE n_words >= {divergence.WINDOW})),
+twice AS (SELECT doc_id, i FROM windows JOIN (SELECT doc_id, w FROM windows GROUP BY ALL HAVING count(*) > 1)
+    USING (doc_id, w)),
+spans AS (SELECT doc_id, least({divergence.WINDOW}, lead(i, 1, i + {divergence.WINDOW})
+    OVER (PARTITION BY doc_id ORDER BY i) - i) AS n FROM twice),
+repeats AS (SELECT doc_id, sum(n) AS n FROM spans GROUP BY doc_id),
+stats AS (SELECT c.doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, classes, common,
+    coalesce(r.n, 0) AS n_repeat_words FROM counted c LEFT JOIN repeats r USING (doc_id)),
+refs AS (SELECT lang, [{', '.join(f'sum(classes[{i + 1}])' for i in range(len(names) + 1))}] AS all_classes,
+    list_filter([{', '.join(f'sum(common[{i + 1}])' for i in range(max(map(len, lists.values())) + 1))}],
+        lambda x: x IS NOT NULL) AS all_common FROM stats GROUP BY lang),
+far AS (SELECT s.*,
+    CASE WHEN list_sum(classes) > 0 THEN {distance("classes", "all_classes")} END AS class_distance,
+    CASE WHEN len(common) > 1 AND list_sum(common) > 0 THEN {distance("common", "all_common")} END AS word_distance
+    FROM stats s JOIN refs r ON s.lang IS NOT DISTINCT FROM r.lang)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+    CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+    CAST(n_repeat_words AS BIGINT) AS n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance,
+    NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
+    AND NOT (list_sum(classes) >= {divergence.LEAST_CHARS}
+        AND coalesce({beyond("class_distance", str(len(names) + 1))} > {divergence.FARTHEST_CLASSES}, false))
+    AND NOT (n_words >= {divergence.LEAST_WORDS}
+        AND coalesce({beyond("word_distance", "len(common)")} > {divergence.FARTHEST_WORDS}, false)) AS kept
+FROM far
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_crf_quality": op4_crf_quality,
     "op5_ppm_score": op5_ppm_score,
+    "op9_divergence_rules": op9_divergence_rules,
+}
+ORACLES: dict[str, str] = {
+    "op2_embedding_near_dedup": EMBEDDING_SQL,
+    "op9_divergence_rules": _divergence_sql(),
 }
-ORACLES: dict[str, str] = {"op2_embedding_near_dedup": EMBEDDING_SQL}

@@ -183,10 +183,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     not the text stand or go together. A row without id counts as having a large one made from its text
     (2^62 and up), so it goes where another row of its group has an id, and one text of a group stays.
     """
-    text_hash = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     keyed = docs.select(
-        "*", F.coalesce(F.col(f"`{id_col}`"), text_hash.bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)).alias("_key"),
-        text_hash.alias("_hash"))
-    found = near_duplicates(keyed.select("_key", F.col(f"`{text_col}`").alias("_text")), "_key", "_text", **options)
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text.alias("_text"),
+        F.xxhash64(text).alias("_hash"), F.col(f"`{id_col}`").cast("long").alias("_id"))
+    unnamed = F.col("_hash").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    keyed = keyed.select("_row", "_text", "_hash", F.coalesce("_id", unnamed).alias("_key"))
+    found = near_duplicates(keyed.select("_key", "_text"), "_key", "_text", **options)
     kept = found.where("kept").select("_key").distinct()
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key", "_hash"]).drop("_key", "_hash")
+    mine = keyed.select("_row", "_hash", "_key").join(kept, "_key", "left_semi")
+    return mine.dropDuplicates(["_key", "_hash"]).select("_row.*")
