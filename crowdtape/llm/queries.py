@@ -4,8 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crowdtape.llm import divergence, embedding_dedup, line_crf, ppm, simhash_dedup
+from crowdtape.llm import divergence, embedding_dedup, line_crf, mixing, ppm, rollups, simhash_dedup
 from crowdtape.llm.common import remainder, table
+from crowdtape.sources.staging import new_path, staged
 
 
 def op2_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,6 +51,113 @@ def op5_ppm_score(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+# A source's domain, and the weights of domains, languages and sources that the mixture aims at.
+def domain(source: str = "source"):
+    number = F.regexp_extract(source, "([0-9]+)$", 1)
+    return F.when(number == "0", "crawl").when(F.length(number) == 1, "web").otherwise("library")
+
+
+MIX_WEIGHTS = [
+    {"crawl": 2, "web": 3, "library": 5},
+    {"en": 5, "de": 2, "es": 2, "fr": 2},
+    {"src1": 3, "src10": 4, "src11": 2},
+]
+# The mixture holds this many hundredths of the words there are, and a document at most so often.
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 60, 4, 42
+
+
+def op6_hierarchical_mix(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    mixed = mixing.with_copies(
+        docs.select("doc_id", "lang", "source", "text"),
+        {"domain": domain(), "lang": F.col("lang"), "source": F.col("source")}, MIX_WEIGHTS,
+        F.expr(f"tokens * {MIX_SHARE} div 100"), seed=MIX_SEED, max_epochs=MIX_EPOCHS)
+    return mixed.where("copies > 0").select("doc_id", domain().alias("domain"), "lang", "source", "copies")
+
+
+def mix_sql(share: int, epochs: int, docs: str = "documents") -> str:
+    """CTEs that end in ``copied``: doc_id, the three levels, tokens and copies."""
+    levels = ["domain", "lang", "source"]
+
+    def weight(i: int) -> str:
+        return f"CASE {levels[i]} " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in MIX_WEIGHTS[i].items()) + " ELSE 1 END"
+
+    ctes, given = [], f"SELECT least(sum(tokens) * {share} // 100, sum(room)) AS budget FROM leaves"
+    ctes.append(f"given0 AS ({given})")
+    for i, level in enumerate(levels):
+        parents, path = ", ".join(levels[:i]), ", ".join(levels[:i + 1])
+        part = f"PARTITION BY {parents} " if parents else ""
+        join = f"JOIN given{i} USING ({parents})" if parents else f"CROSS JOIN given{i}"
+        ctes.append(f"""
+nodes{i} AS (SELECT n.*, budget FROM (SELECT {path}, CAST(sum(room) AS BIGINT) AS room, {weight(i)} AS weight FROM leaves GROUP BY {path}) n {join}),
+ranked{i} AS (SELECT *, sum(room) OVER ({part}ORDER BY room / weight, {level} ROWS UNBOUNDED PRECEDING) - room AS before,
+    sum(weight) OVER ({part}ORDER BY room / weight, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_weight FROM nodes{i}),
+filled{i} AS (SELECT *, room * rest_weight <= (budget - before) * weight AS is_full FROM ranked{i}),
+opened{i} AS (SELECT *, CASE WHEN is_full THEN 0 ELSE weight END AS open FROM filled{i}),
+shared{i} AS (SELECT *, budget - sum(CASE WHEN is_full THEN room ELSE 0 END) OVER ({part}) AS left_over, sum(open) OVER ({part}) AS open_all,
+    sum(open) OVER ({part}ORDER BY {level} ROWS UNBOUNDED PRECEDING) AS open_to FROM opened{i}),
+given{i + 1} AS (SELECT {path}, CASE WHEN is_full THEN room
+    ELSE left_over * open_to // open_all - left_over * (open_to - open) // open_all END AS budget FROM shared{i})""")
+    return f"""sized AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    CASE regexp_extract(source, '([0-9]+)$', 1) WHEN '0' THEN 'crawl' ELSE
+        CASE WHEN length(regexp_extract(source, '([0-9]+)$', 1)) = 1 THEN 'web' ELSE 'library' END END AS domain,
+    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS tokens FROM {docs}),
+leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) * {epochs} AS BIGINT) AS room FROM sized GROUP BY ALL),
+{', '.join(ctes)},
+planned AS (SELECT l.domain, l.lang, l.source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epochs,
+    budget - CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END * tokens AS rest FROM leaves l JOIN given3 USING (domain, lang, source)),
+ordered AS (SELECT doc_id, domain, lang, source, tokens, epochs, rest, md5('{MIX_SEED}:' || epochs || ':' || doc_id) AS k
+    FROM sized JOIN planned USING (domain, lang, source)),
+summed AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY k) AS upto FROM ordered),
+copied AS (SELECT doc_id, domain, lang, source, tokens,
+    CAST(epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM summed)"""
+
+
+def op8_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents under two tokenizer versions; then exact copies go, and texts that repeat a line of their own
+    are counted again without the repeats. One batch is sent twice."""
+    docs = table(spark, folder, "documents")
+    text = F.coalesce("text", F.lit(""))
+    lines = F.split(text, "\n")
+    sized = docs.select(
+        "doc_id", "source", "lang", F.md5(text.cast("binary")).alias("digest"), text.alias("whole"),
+        F.when(F.size(F.array_distinct(lines)) < F.size(lines), F.array_join(F.array_distinct(lines), "\n")).alias("fewer"))
+    before, after = rollups.counts("whole"), rollups.counts("fewer")
+    sized = staged(sized.select(
+        "doc_id", "source", "lang", "digest", F.col("fewer").isNotNull().alias("shrunk"),
+        F.create_map(*[x for k, n in before.items() for x in (F.lit(k), n)]).alias("before"),
+        F.create_map(*[x for k, n in after.items() for x in (F.lit(k), n)]).alias("after")), "token-counts")
+
+    def changes(rows: DataFrame, op: str, counts: str, order: int, *versions: str) -> DataFrame:
+        unrolled = rows.select("doc_id", "source", "lang", F.explode(counts).alias("tokenizer", "tokens"))
+        return unrolled.where(F.col("tokenizer").isin(*versions)).withColumns(
+            {"op": F.lit(op), "change_no": F.lit(order).cast("long")})
+
+    both = (rollups.WORDS, rollups.PIECES)
+    firsts = sized.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    copies = sized.join(firsts, "digest").where("doc_id <> first")
+    rollup = rollups.Rollup(spark, new_path(spark, "rollup"))
+    first = changes(sized, "insert", "before", 1, rollups.WORDS)
+    rollup.commit(1, first)
+    rollup.commit(2, changes(sized, "insert", "before", 1, rollups.PIECES))
+    rollup.commit(1, first)
+    rollup.commit(3, changes(sized.where("shrunk"), "revise", "after", 1, *both).unionByName(
+        changes(copies, "delete", "before", 2, *both)))
+    return rollup.totals()
+
+
+ROLLUP_SQL = f"""
+WITH firsts AS (SELECT coalesce(text, '') AS body, min(doc_id) AS doc_id FROM documents GROUP BY 1),
+kept AS (SELECT source, lang, array_to_string(list_transform(list_filter(list_transform(range(1, len(lines) + 1),
+        lambda i: CASE WHEN list_position(lines, lines[i]) = i THEN i END), lambda i: i IS NOT NULL), lambda i: lines[i]), chr(10)) AS body
+    FROM (SELECT d.source, d.lang, string_split(f.body, chr(10)) AS lines FROM firsts f JOIN documents d ON d.doc_id = f.doc_id)),
+counted AS (SELECT source, lang, 'words-1' AS tokenizer,
+        len(list_filter(regexp_split_to_array(body, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS n FROM kept
+    UNION ALL SELECT source, lang, 'pieces-2', len(regexp_extract_all(body, '{rollups.PIECE}')) FROM kept)
+SELECT source, lang, tokenizer, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM counted GROUP BY ALL
+"""
+
+
 def op9_divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = divergence.judge(table(spark, folder, "documents").select("doc_id", "text", "lang"))
     return judged.select(
@@ -126,9 +234,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_crf_quality": op4_crf_quality,
     "op5_ppm_score": op5_ppm_score,
+    "op6_hierarchical_mix": op6_hierarchical_mix,
+    "op8_token_rollup": op8_token_rollup,
     "op9_divergence_rules": op9_divergence_rules,
 }
 ORACLES: dict[str, str] = {
     "op2_embedding_near_dedup": EMBEDDING_SQL,
+    "op6_hierarchical_mix": f"WITH {mix_sql(MIX_SHARE, MIX_EPOCHS)} "
+    "SELECT doc_id, domain, lang, source, copies FROM copied WHERE copies > 0",
+    "op8_token_rollup": ROLLUP_SQL,
     "op9_divergence_rules": _divergence_sql(),
 }
