@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crowdtape.llm import divergence, embedding_dedup, line_crf, mixing, ppm, rollups, simhash_dedup
+from crowdtape.llm import divergence, embedding_dedup, line_crf, mixing, ordinal_toxicity, ppm, rollups, simhash_dedup
 from crowdtape.llm.common import remainder, table
 from crowdtape.sources.staging import new_path, staged
 
@@ -229,6 +229,18 @@ FROM far
 """
 
 
+# A document is toxic if a grade above 0 is at least this likely.
+TOXIC = 0.5
+
+
+def op10_ordinal_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = ordinal_toxicity.train(docs, labels, remainder("doc_id") != 0, split_flagged=True)
+    graded = ordinal_toxicity.with_severity(docs.select("doc_id", "text"), model)
+    return graded.select("doc_id", (remainder("doc_id") == 0).alias("held_out"), "severity", "grade", "p_toxic",
+                         (F.col("p_toxic") >= TOXIC).alias("toxic"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
@@ -237,6 +249,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_hierarchical_mix": op6_hierarchical_mix,
     "op8_token_rollup": op8_token_rollup,
     "op9_divergence_rules": op9_divergence_rules,
+    "op10_ordinal_toxicity": op10_ordinal_toxicity,
 }
 ORACLES: dict[str, str] = {
     "op2_embedding_near_dedup": EMBEDDING_SQL,
