@@ -3,6 +3,7 @@
 import os
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -80,3 +81,40 @@ def _small_star(links: DataFrame) -> DataFrame:
         F.col("low").alias("high"), F.col("_least").alias("low"))
     kept = smallest.select("high", F.col("_least").alias("low"))
     return moved.unionByName(kept).distinct()
+
+
+class Lookup:
+    """Open addressing from codes to their position in the table they came from."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        bits = max(4, int(len(codes) * 3).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, np.iinfo(np.uint64).max, np.uint64)
+        self.at = np.zeros(1 << bits, np.int32)
+        slots, rest = self._home(codes), np.arange(len(codes))
+        while len(rest):
+            free = self.keys[slots] == np.iinfo(np.uint64).max
+            taken, first = np.unique(slots[free], return_index=True)
+            put = rest[free][first]
+            self.keys[taken], self.at[taken] = codes[put], put
+            open_ = np.ones(len(codes), bool)
+            open_[put] = False
+            stay = open_[rest]
+            slots, rest = (slots[stay] + 1) & self.last, rest[stay]
+
+    def _home(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """Position of each code, -1 where it is not there."""
+        slots = self._home(codes)
+        there = self.keys[slots]
+        found = np.where(there == codes, self.at[slots], -1)
+        rest = np.flatnonzero((there != codes) & (there != np.iinfo(np.uint64).max))
+        while len(rest):
+            slots[rest] = (slots[rest] + 1) & self.last
+            there = self.keys[slots[rest]]
+            hit = there == codes[rest]
+            found[rest[hit]] = self.at[slots[rest[hit]]]
+            rest = rest[~hit & (there != np.iinfo(np.uint64).max)]
+        return found

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crowdtape.llm import divergence, embedding_dedup, line_crf, mixing, ordinal_toxicity, ppm, rollups, simhash_dedup
+from crowdtape.llm import divergence, embedding_dedup, line_crf, mixing, ordinal_toxicity, pieces, ppm, rollups, simhash_dedup
 from crowdtape.llm.common import remainder, table
 from crowdtape.sources.staging import new_path, staged
 
@@ -113,6 +113,20 @@ copied AS (SELECT doc_id, domain, lang, source, tokens,
     CAST(epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM summed)"""
 
 
+NBEST = 3
+
+
+def op7_sentencepiece_nbest(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = pieces.Vocabulary()
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.col("text").alias("before"))
+    encoded = pieces.with_pieces(docs, vocabulary, "text", NBEST)
+    decoded = pieces.with_text(encoded.drop("text"), vocabulary)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), "score", F.xxhash64("ids").alias("ids_hash"),
+        F.transform("nbest", lambda x: x["score"]).alias("nbest_scores"),
+        F.col("decoded").eqNullSafe(F.col("before")).alias("round_trip"))
+
+
 def op8_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents under two tokenizer versions; then exact copies go, and texts that repeat a line of their own
     are counted again without the repeats. One batch is sent twice."""
@@ -247,6 +261,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_crf_quality": op4_crf_quality,
     "op5_ppm_score": op5_ppm_score,
     "op6_hierarchical_mix": op6_hierarchical_mix,
+    "op7_sentencepiece_nbest": op7_sentencepiece_nbest,
     "op8_token_rollup": op8_token_rollup,
     "op9_divergence_rules": op9_divergence_rules,
     "op10_ordinal_toxicity": op10_ordinal_toxicity,
