@@ -4,11 +4,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crowdtape.llm import divergence, embedding_dedup, line_crf, mixing, ordinal_toxicity, pieces, ppm, rollups, simhash_dedup
+from crowdtape.llm import divergence, embedding_dedup, line_crf, line_dedup, mixing, ordinal_toxicity, pieces, ppm, rollups, simhash_dedup
 from crowdtape.llm.common import remainder, table
 from crowdtape.sources.staging import new_path, staged
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_classes(table(spark, folder, "documents")).drop("line_hash")
+
+
+def line_sql(docs: str) -> str:
+    """CTEs that end in ``classed``: a row for each line with its class's first line."""
+    white = "' ' || chr(9) || chr(13) || chr(12) || chr(11)"
+    return f"""
+numbered AS (SELECT doc_id, lines, unnest(range(0, len(lines))) AS line_no
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM {docs})),
+lined AS (SELECT doc_id, line_no, trim(lines[line_no + 1], {white}) AS line FROM numbered
+    WHERE length(trim(lines[line_no + 1], {white})) >= {line_dedup.LEAST_CHARS}),
+same AS (SELECT line, min(doc_id * 1000000 + line_no) AS place FROM lined GROUP BY line),
+pairs AS (SELECT a.place AS x, b.place AS y FROM same a JOIN same b ON length(b.line) BETWEEN length(a.line) AND length(a.line) + {line_dedup.EDITS}
+    AND a.place <> b.place WHERE length(a.line) >= {line_dedup.LEAST_NEAR_CHARS} AND levenshtein(a.line, b.line) <= {line_dedup.EDITS}),
+both_ways AS (SELECT x, y FROM pairs UNION SELECT y, x FROM pairs),
+reached(x, y) AS (SELECT x, y FROM both_ways UNION SELECT r.x, l.y FROM reached r JOIN both_ways l ON l.x = r.y),
+leader AS (SELECT x, min(y) AS y FROM reached GROUP BY x),
+classed AS (SELECT l.doc_id, l.line_no, l.line, s.place, least(s.place, coalesce(r.y, s.place)) AS class
+    FROM lined l JOIN same s USING (line) LEFT JOIN leader r ON r.x = s.place)"""
+
+
+LINE_SQL = f"""WITH RECURSIVE {line_sql("documents")}
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(class // 1000000 AS BIGINT) AS class_id,
+    CAST(class % 1000000 AS INTEGER) AS class_line, class <> place AS near, doc_id * 1000000 + line_no = class AS kept
+FROM classed
+"""
+
+
 def op2_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
 
@@ -29,7 +58,7 @@ FROM v JOIN first f ON f.x = v.vec_id LEFT JOIN counts c ON c.x = v.vec_id
 
 
 def op3_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return simhash_dedup.near_duplicates(table(spark, folder, "documents"))
+    return simhash_dedup.near_duplicates(table(spark, folder, "documents"), shingle=3)
 
 
 # A document is good from this score on.
@@ -256,6 +285,7 @@ def op10_ordinal_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_crf_quality": op4_crf_quality,
@@ -267,6 +297,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ordinal_toxicity": op10_ordinal_toxicity,
 }
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": LINE_SQL,
     "op2_embedding_near_dedup": EMBEDDING_SQL,
     "op6_hierarchical_mix": f"WITH {mix_sql(MIX_SHARE, MIX_EPOCHS)} "
     "SELECT doc_id, domain, lang, source, copies FROM copied WHERE copies > 0",

@@ -18,6 +18,7 @@ from crowdtape.llm.common import arrow_map, components
 from crowdtape.sources.staging import staged
 
 BITS = 64
+SHINGLE = 5
 RADIUS = 3
 # Fingerprints that agree under a mask are compared in one task up to this many; more are first divided
 # by further masks over the bits that the mask leaves out.
@@ -27,7 +28,7 @@ _SLICE = 1 << 18
 
 # --- fingerprints ---
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """SimHash of the lower-cased word shingles of a text; a text without words has 0."""
     tokens = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not tokens:
@@ -49,7 +50,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                      shingle: int = 3) -> DataFrame:
+                      shingle: int = SHINGLE) -> DataFrame:
     """``id_col`` and ``_fp``, the fingerprint as a signed long, for every row."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +155,7 @@ def _compare(radius: int):
 
 # --- classes ---
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """``id_col``, ``fingerprint`` (16 hex digits), ``component_id``, ``kept``, one row per input row.
 
