@@ -15,7 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import xxhash
+from pyspark.sql import DataFrame, functions as F
 
 from crowdtape.llm.common import arrow_map, components
 from crowdtape.sources.staging import staged
@@ -25,8 +26,8 @@ EDITS = 2
 LEAST_CHARS, LEAST_NEAR_CHARS = 10, 30
 # Lines that meet under one key are compared in blocks of so many.
 BLOCK = 256
-# Digits of the bounded filters that spare most rows a shuffle: at most 2^20 remainders are broadcast.
-FILTER_BITS = 20
+# Bits of the filters that spare most rows a shuffle: so many flags, 4 MB, go to every task.
+FILTER_BITS = 22
 _WHITE = " \t\r\f\v"
 _CELLS = 1 << 22
 
@@ -93,62 +94,133 @@ def _distances(first: list[str], second: list[str], sizes: np.ndarray, edits: in
     return distance
 
 
-# --- signatures ---
+# --- lines and their keys ---
 
-def _line_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_id``, ``_no``, ``_line`` and ``_h`` of every line that can be a repeat."""
-    lines = docs.select(F.col(f"`{id_col}`").alias("_id"),
-                        F.posexplode(F.split(F.col(f"`{text_col}`").cast("string"), "\n")).alias("_no", "_raw"))
-    lines = lines.select("_id", "_no", F.trim("_raw", F.lit(_WHITE)).alias("_line")).where(F.length("_line") >= LEAST_CHARS)
-    return lines.withColumn("_h", F.xxhash64("_line"))
+def _lines(texts: pa.Array) -> Iterator[tuple[int, int, str]]:
+    """Row, number and text of every line that can be a repeat, without the white space around it."""
+    for row, text in enumerate(texts.to_pylist()):
+        for number, line in enumerate(text.split("\n") if text else ()):
+            line = line.strip(_WHITE)
+            if len(line) >= LEAST_CHARS:
+                yield row, number, line
 
 
-def segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
-    """Where (from 0) a length's segment begins, and its length: the last ones get what is left over."""
-    base, extra = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    small = parts - extra
-    return base * number + F.greatest(F.lit(number) - small, F.lit(0)), base + (F.lit(number) >= small).cast("int")
+def _hash(line: str, seed: int = 42) -> int:
+    return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), seed)
 
 
-def signatures(line: Column, edits: int = EDITS) -> Column:
-    """Keys of a line: (key, entered). Entered ones are its own segments, the others only look lines up.
+def _longs(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
 
-    A line looks up lines of its own length and up to ``edits`` shorter. Segment number i of a line that is
-    shorter by d can lie up to i places from its own place and, counted from the end, up to edits - i.
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = list(_lines(batch.column(1)))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array([row for row, _, _ in found], pa.int64())),
+             pa.array([number for _, number, _ in found], pa.int32()),
+             _longs([_hash(line) for _, _, line in found]), _longs([_hash(line, 7) for _, _, line in found])],
+            names=["_id", "_no", "_h", "_g"])
+
+
+def segment(length: np.ndarray, number: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where a length's segment begins, and its length: the last ones get what is left over."""
+    base, small = length // parts, parts - length % parts
+    return base * number + np.maximum(number - small, 0), base + (number >= small)
+
+
+class Signatures:
+    """Keys of lines, by hashes of any of their substrings from sums over prefixes.
+
+    A line enters its own segments, and looks up lines of its own length and up to ``edits`` shorter. Segment
+    number i of a line that is shorter by d can lie up to i places from its own place and, counted from the
+    end, up to edits - i.
     """
-    length, keys = F.length(line), []
-    for shorter in range(edits + 1):
-        for number in range(edits + 1):
-            start, size = segment(length - shorter, number, edits + 1)
-            for move in range(max(-number, shorter - (edits - number)), min(number, shorter + (edits - number)) + 1):
-                keys.append(F.struct(
-                    F.xxhash64(F.lit(number), length - shorter, F.substring(line, start + move + 1, size)).alias("key"),
-                    F.lit(shorter == 0 and move == 0).alias("entered")))
-    return F.array(*keys)
+
+    _BASE = 0x9E3779B97F4A7C15 | 1
+
+    def __init__(self, edits: int) -> None:
+        self.edits = edits
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def _grow(self, size: int) -> None:
+        if size > len(self.powers):
+            inverse = pow(self._BASE, -1, 1 << 64)
+            self.powers, self.inverses = (np.multiply.accumulate(np.concatenate(
+                (np.ones(1, np.uint64), np.full(size, x, np.uint64)))) for x in (self._BASE, inverse))
+
+    def keys(self, lines: list[str]) -> Iterator[tuple[np.ndarray, bool]]:
+        """One key for each line at a time, and whether it is an entered one."""
+        sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+        chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self._grow(len(chars) + 1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((chars + np.uint64(1)) * self.powers[:len(chars)])))
+        begins = np.cumsum(sizes) - sizes
+        for shorter in range(self.edits + 1):
+            for number in range(self.edits + 1):
+                start, size = segment(sizes - shorter, number, self.edits + 1)
+                mark = (sizes - shorter).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(number + 1)
+                rest = self.edits - number
+                for move in range(max(-number, shorter - rest), min(number, shorter + rest) + 1):
+                    a = begins + start + move
+                    value = (sums[a + size] - sums[a]) * self.inverses[a] ^ mark
+                    value = (value ^ value >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
+                    yield value ^ value >> np.uint64(29), shorter == 0 and move == 0
+
+
+def _keys(edits: int, wanted: np.ndarray | None):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signatures = Signatures(edits)
+        for batch in batches:
+            lines = list(dict.fromkeys(line for _, _, line in _lines(batch.column(0)) if len(line) >= LEAST_NEAR_CHARS))
+            ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))
+            at = 0
+            while at < len(lines):
+                after = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _CELLS)))
+                part, at = lines[at:after], after
+                hashes = np.array([_hash(line) for line in part], np.uint64).view(np.int64)
+                for keys, entered in signatures.keys(part):
+                    keys, mine = keys.view(np.int64), hashes
+                    if wanted is not None:
+                        some = wanted[keys & (len(wanted) - 1)]
+                        keys, mine = keys[some], mine[some]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys), pa.array(mine), pa.array(np.full(len(keys), entered))], names=["key", "_h", "entered"])
+    return work
 
 
-def _remainders(df: DataFrame, column: str) -> DataFrame:
-    """Low bits of a column's values: at most 2^FILTER_BITS rows, so they can be broadcast."""
-    return F.broadcast(df.select(_low(column).alias("_low")).distinct())
+def _texts(wanted: np.ndarray):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = list(dict.fromkeys(line for _, _, line in _lines(batch.column(0)) if len(line) >= LEAST_NEAR_CHARS))
+            hashes = np.array([_hash(line) for line in lines], np.uint64).view(np.int64)
+            some = np.flatnonzero(wanted[hashes & (len(wanted) - 1)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hashes[some]), pa.array([lines[i] for i in some], pa.string())], names=["_h", "_line"])
+    return work
 
 
-def _low(column: str) -> Column:
-    return F.col(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1).cast("long"))
+def _remainders(df: DataFrame, column: str) -> np.ndarray:
+    """Which low bits the values of a column have: 2^FILTER_BITS flags at most, whatever the table holds."""
+    low = F.col(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1).cast("long")).cast("int")
+    flags = np.zeros(1 << FILTER_BITS, bool)
+    flags[df.select(low.alias("low")).distinct().toArrow().column("low").to_numpy()] = True
+    return flags
 
 
-def near_links(lines: DataFrame, edits: int = EDITS, block: int = BLOCK) -> DataFrame:
+def near_links(docs: DataFrame, text_col: str = "text", edits: int = EDITS, block: int = BLOCK) -> DataFrame:
     """Links ``a``, ``b`` between hashes of different lines that connect exactly what the pairs within ``edits``
-    connect. ``lines`` has ``_h`` and ``_line``; repeats may be in it.
+    connect.
 
     Lines under one key are dealt to blocks of about ``block``, and every two blocks meet in a task of their own, so
     a key of any size is compared in bounded memory and yields a spanning forest for each two blocks.
     """
-    long = lines.where(F.length("_line") >= LEAST_NEAR_CHARS)
-    keyed = long.select("_h", F.explode(signatures(F.col("_line"), edits)).alias("_x")).select(
-        "_h", F.col("_x.key").alias("key"), F.col("_x.entered").alias("entered"))
+    texts = docs.select(F.col(f"`{text_col}`").cast("string"))
+    kind = "key long, _h long, entered boolean"
+    keyed = arrow_map(texts, _keys(edits, None), kind)
     met = keyed.groupBy("key").agg(F.min("_h").alias("low"), F.max("_h").alias("high"), F.max("entered").alias("some"))
     met = staged(met.where("some AND low <> high").select("key"), "met-keys")
-    again = keyed.join(_remainders(met, "key"), _low("key") == F.col("_low"), "left_semi")
+    again = arrow_map(texts, _keys(edits, _remainders(met, "key")), kind)
     members = staged(again.join(met, "key", "left_semi").select("key", "_h").distinct(), "met-lines")
 
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
@@ -157,9 +229,9 @@ def near_links(lines: DataFrame, edits: int = EDITS, block: int = BLOCK) -> Data
     paired = paired.select("_h", F.struct(
         "key", F.least("_mine", "_other").alias("one"), F.greatest("_mine", "_other").alias("two")).alias("task"), "_mine")
     wanted = members.select("_h").distinct()
-    texts = long.join(_remainders(wanted, "_h"), _low("_h") == F.col("_low"), "left_semi").select("_h", "_line")
-    texts = texts.join(wanted, "_h", "left_semi").groupBy("_h").agg(F.first("_line").alias("_line"))
-    tasks = paired.join(texts, "_h").groupBy("task").agg(
+    lines = arrow_map(texts, _texts(_remainders(wanted, "_h")), "_h long, _line string")
+    lines = lines.join(wanted, "_h", "left_semi").groupBy("_h").agg(F.first("_line").alias("_line"))
+    tasks = paired.join(lines, "_h").groupBy("task").agg(
         F.collect_list(F.struct("_h", "_line", (F.col("_mine") == F.col("task.one")).alias("first"))).alias("lines"))
     return arrow_map(tasks.select(F.expr("task.one = task.two").alias("alone"), "lines"), _verify(edits), "a long, b long")
 
@@ -221,12 +293,13 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines kept. Shorter lines are in no class. NULL and empty texts have no lines. A row without id counts as
     behind all ids; rows that share an id are one document, and its lines keep together.
     """
-    lines = _line_columns(docs, id_col, text_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"))
+    # Two hashes make it as good as impossible that different lines count as equal.
+    placed = staged(arrow_map(rows, _places, f"_id {kind}, _no int, _h long, _g long"), "line-places")
     place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_no").alias("no"))
-    # The hash of the reversed line makes collisions of different lines as good as impossible.
-    placed = lines.select("_id", "_no", "_h", F.xxhash64(F.reverse("_line")).alias("_g"))
     classes = placed.groupBy("_h", "_g").agg(F.min(place).alias("first"))
-    roots = components(near_links(lines, edits, block), "a", "b")
+    roots = components(near_links(docs, text_col, edits, block), "a", "b")
     rooted = staged(classes.join(roots, F.col("_h") == F.col("node"), "left").select(
         "_h", "_g", "first", "root"), "line-classes")
     merged = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("class"))
