@@ -59,6 +59,7 @@ class Vocabulary:
         self.text = [b"" if i in special else pieces[i].replace(BLANK, " ").encode() for i in range(size)]
         for byte, i in enumerate(self.bytes):
             self.text[i] = bytes([byte])
+        self.text.append(b"")  # what an unknown id spells
         self.longest = max((len(pieces[i]) for i in plain), default=1)
         # The trie: a child for each node and character, and the piece that ends at each node.
         children: dict[int, int] = {}
@@ -120,7 +121,8 @@ class Vocabulary:
         own = unit[first]
         # A unit of n characters has n + 1 nodes.
         source, target, offset = first + own, after + own, after - begins[own]
-        order = np.lexsort((source, target, offset))
+        # By end, longer pieces first; all of it fits one number, which sorts faster.
+        order = np.argsort((offset << 40) + (target << 8) + (self.longest - (after - first)), kind="stable")
         source, target, offset, piece, first = (x[order] for x in (source, target, offset, piece, first))
         worth = self.scores[piece]
         one, two = (np.full(len(chars) + len(units), -np.inf) for _ in range(2))
@@ -228,15 +230,19 @@ class Vocabulary:
         split = [None if t is None else self.unit.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
         if len(self.index) > _REMEMBERED:
             self._forget()
-        fresh, size = [], 0
-        for unit in dict.fromkeys(u for mine in split if mine for u in mine if u not in self.index):
-            fresh.append(unit)
+        fresh: set[str] = set()
+        for mine in split:
+            if mine:
+                fresh |= set(mine).difference(self.index)
+        some, size = [], 0
+        for unit in fresh:
+            some.append(unit)
             size += len(unit)
             if size > _AT_ONCE:
-                self._learn(fresh)
-                fresh, size = [], 0
-        if fresh:
-            self._learn(fresh)
+                self._learn(some)
+                some, size = [], 0
+        if some:
+            self._learn(some)
         return [None if mine is None else self._put_together(mine, count) for mine in split]
 
     def _put_together(self, units: list[str], count: int) -> tuple[np.ndarray, float, list]:
@@ -271,10 +277,11 @@ class Vocabulary:
                         heapq.heappush(agenda, (loss + more, (*ranks[:j], ranks[j] + 1, *ranks[j + 1:])))
         return ids, score, ranked[:count]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text that pieces spell; bytes that are not UTF-8 become U+FFFD, ids out of range nothing."""
-        raw = b"".join([self.text[i] for i in ids if i is not None and 0 <= i < len(self.text)])
-        return raw.decode("utf-8", "replace").removeprefix(" ")
+        text = self.text
+        ids = np.where((ids >= 0) & (ids < len(text)), ids, len(text) - 1)
+        return b"".join([text[i] for i in ids.tolist()]).decode("utf-8", "replace").removeprefix(" ")
 
 
 def with_pieces(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", count: int = 1) -> DataFrame:
@@ -321,7 +328,12 @@ def with_text(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids",
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in (batch.slice(at, 1000) for at in range(0, len(batch), 1000)):
-                texts = [None if ids is None else shared.value.decode(ids) for ids in piece.column(0).to_pylist()]
+                column = piece.column(0)
+                flat = column.flatten().fill_null(-1).to_numpy()
+                ends = np.cumsum(np.nan_to_num(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64))
+                none = column.is_null().to_pylist()
+                texts = [None if gone else shared.value.decode(flat[a:b])
+                         for a, b, gone in zip([0, *ends[:-1].tolist()], ends.tolist(), none)]
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.string())], names=["_ids", "_row", "_text"])
 
     rows = encoded.select(F.col(f"`{ids_col}`").alias("_ids"), F.struct(
