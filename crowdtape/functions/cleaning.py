@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from crowdtape.functions import patterns
 from crowdtape.functions.emoji import remove_emoji
 from crowdtape.functions.stemming import stem_tokens
+from crowdtape.session import share_package
 from crowdtape.functions.words import stop_words as default_stop_words
 
 
@@ -101,6 +102,8 @@ def clean_posts(posts: DataFrame, text: str = "text", words_to_remove: list[str]
                 glue: bool = False, stem: bool = True) -> DataFrame:
     """Posts with ``words`` (clean tokens) and ``tokens`` (their stems), both arrays."""
     cleaned = with_words(posts, text, "words", words_to_remove, glue)
+    if stem:
+        share_package(cleaned.sparkSession)
     return cleaned.withColumn("tokens", stem_tokens("words") if stem else F.col("words"))
 
 

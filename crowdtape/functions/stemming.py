@@ -1,16 +1,11 @@
 """English stemming by the published Snowball "English" (Porter 2) rules."""
 
 import re
-import sys
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
 from pyspark.sql import functions as F, types as T
 
-# Executors get this module's functions with the task, so they need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 # Words the rules do not apply to, and their stems.
 IRREGULAR = {
     "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie",

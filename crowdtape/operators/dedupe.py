@@ -32,24 +32,23 @@ def newer_rows(landed: DataFrame, history: DataFrame, key: str = "id", owner: st
     return newer.select(*landed.columns)
 
 
-def append_newer(history: DataFrame, landed: DataFrame, key: str = "id", owner: str = "user",
-                 arrival: str | None = None) -> DataFrame:
-    """History and the newer landed rows, one row per id."""
-    order = F.desc(arrival) if arrival else F.col(key)
-    newer = keep_last(newer_rows(landed, history, key, owner), key, order)
+def append_newer(history: DataFrame, landed: DataFrame, order: Sequence[Column], key: str = "id",
+                 owner: str = "user") -> DataFrame:
+    """History and the newer landed rows, one row per id: the first in ``order``, such as the last arrival."""
+    newer = keep_last(newer_rows(landed, history, key, owner), key, *order)
     return history.unionByName(newer, allowMissingColumns=True)
 
 
-def upsert(history: DataFrame, new: DataFrame, key: str = "id", order: Sequence[Column] = (),
+def upsert(history: DataFrame, new: DataFrame, order: Sequence[Column], key: str = "id",
            distinct_history: bool = False) -> DataFrame:
-    """History and new rows, one row per key; new rows win, then ``order`` decides.
+    """History and new rows, one row per key; new rows win, and among them the first in ``order``.
 
     ``distinct_history`` says that the history already has one row per key, as the result of an upsert
     has. Then only the stored rows whose key arrived again are taken out, and if the new keys are few
     enough for Spark to broadcast, the history is not shuffled.
     """
     if distinct_history:
-        latest = keep_last(new, key, *(order or [F.col(key)]))
+        latest = keep_last(new, key, *order)
         kept = history.join(latest.select(key), key, "left_anti")
         return kept.unionByName(latest, allowMissingColumns=True)
     both = history.withColumn("_batch", F.lit(0)).unionByName(

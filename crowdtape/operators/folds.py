@@ -28,7 +28,7 @@ def weekend_open_key(ts: Column, days: Sequence[int] = t.WEEKEND, hour: int = OP
 
 
 def market_keys(local: Column, day_start: str = "00:00:00", work_start: str = t.MARKET_OPEN,
-                work_end: str = t.MARKET_CLOSE, day_end: str = "23:59:00", boundary: str = "both",
+                work_end: str = t.MARKET_CLOSE, day_end: str | None = None, boundary: str = "both",
                 next_trading_day: bool = False) -> Column:
     """Array of the market times a local timestamp counts towards.
 
@@ -40,7 +40,8 @@ def market_keys(local: Column, day_start: str = "00:00:00", work_start: str = t.
     hour, minute = (int(part) for part in work_start.split(":")[:2])
     working = t.between_times(local, work_start, work_end)
     early = t.between_times(local, day_start, work_start)
-    late = t.between_times(local, work_end, day_end)
+    # To midnight unless the day ends earlier, so that no time of day is lost.
+    late = t.between_times(local, work_end, day_end or "24:00:00")
     if boundary == "once":
         early, late = early & ~working, late & ~working
     next_open = t.at_time(t.next_day_same_time(local), hour, minute)

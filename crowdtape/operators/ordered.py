@@ -5,6 +5,7 @@ slots, and only one figure per slot is carried along the series.
 """
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -60,10 +61,12 @@ def binary_target(prices: DataFrame, key: str = "ticker", ts: str = "ts", price:
     """Add ``window_mean`` and ``y``: 1 where the price exceeds the mean of a ``day``-row window.
 
     The window ends ``shift`` rows back; the default -1 ends it one row ahead, so the label uses the next
-    price, and ``shift=1`` uses past rows only. Rows without a full window get ``incomplete``.
+    price, and ``shift=1`` uses past rows only. Rows without a full window get ``incomplete``, and so do
+    rows without key or time, which are in no series.
     """
     back, ahead = shift + day - 1, -shift
-    numbered = number_rows(prices, [key], [ts], _hour(ts))
+    placed = F.col(key).isNotNull() & F.col(ts).isNotNull()
+    numbered = number_rows(prices.where(placed), [key], [ts], _hour(ts))
     blocks = sliding_blocks(numbered, max(back, 0), max(ahead, 0), block_size)
     frame = Window.partitionBy(key, "block").orderBy("position").rowsBetween(-back, ahead)
     full = (F.col("position") >= day) & (F.count(price).over(frame) == day)
@@ -71,7 +74,9 @@ def binary_target(prices: DataFrame, key: str = "ticker", ts: str = "ts", price:
     y = F.when(F.col("window_mean").isNull(), F.lit(incomplete)).otherwise(
         (F.col(price) > F.col("window_mean")).cast("int")
     )
-    return means.withColumn("y", y.cast("int")).drop("block", "own", "position")
+    outside = prices.where(~placed).withColumns(
+        {"window_mean": F.lit(None).cast("double"), "y": F.lit(incomplete).cast("int")})
+    return means.withColumn("y", y.cast("int")).drop("block", "own", "position").unionByName(outside)
 
 
 def latest_row(df: DataFrame, ts: str, ties: Sequence[str] = ()) -> DataFrame:
@@ -81,9 +86,13 @@ def latest_row(df: DataFrame, ts: str, ties: Sequence[str] = ()) -> DataFrame:
 
 
 def forward_fill(df: DataFrame, columns: Sequence[str], keys: Sequence[str], ts: str) -> DataFrame:
-    """Replace NULLs by the last value before them in the key's series."""
+    """Replace NULLs by the last value before them in the key's series.
+
+    Rows without a key or time are in no series and stay as they are.
+    """
     keys = list(keys)
-    slotted = df.withColumn("_slot", _hour(ts))
+    placed = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, ts]])
+    slotted = df.where(placed).withColumn("_slot", _hour(ts))
     earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     carried = slotted.groupBy(*keys, "_slot").agg(*[
         F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(ts))).alias(f"_{c}") for c in columns
@@ -94,6 +103,7 @@ def forward_fill(df: DataFrame, columns: Sequence[str], keys: Sequence[str], ts:
         .join(carried, [*keys, "_slot"])
         .withColumns({c: F.coalesce(c, f"_{c}") for c in columns})
         .select(*df.columns)
+        .unionByName(df.where(~placed))
     )
 
 

@@ -38,6 +38,21 @@ def to_unit_sum(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _replace(df, columns, sums, F.try_divide)
 
 
+def logs_to_unit_sum(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """For each new column, the exponentials of a column of logarithms, divided by their sum.
+
+    The largest logarithm is taken off first, which changes no ratio and keeps every exponential finite and
+    the largest at 1, however large or small the values themselves are. A NULL logarithm stands for 0.
+    """
+    figures = "_largest"
+    largest = df.agg(F.struct(*[F.max(f"`{log}`").alias(log) for log in columns.values()]))
+    shifted = df.withColumn(figures, largest.scalar()).withColumns({
+        new: F.coalesce(F.exp(F.col(f"`{log}`") - F.col(f"{figures}.`{log}`")), F.lit(0.0))
+        for new, log in columns.items()
+    }).drop(figures)
+    return to_unit_sum(shifted, list(columns))
+
+
 def min_max(df: DataFrame, columns: Sequence[str], reference: DataFrame | None = None,
             skip_zero: bool = False) -> DataFrame:
     """Columns scaled so that the smallest value of ``reference`` is 0 and its largest is 1.
@@ -77,10 +92,11 @@ def robust_scale(df: DataFrame, columns: Sequence[str], limits: DataFrame | None
 
 def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``column, mean, std`` (sample standard deviation), one row per column."""
-    named = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns]
-    return df.select(F.inline(F.array(*named))).groupBy("column").agg(
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")
-    )
+    def measured(c: str) -> Column:
+        value = F.col(f"`{c}`").cast("double")
+        return F.struct(F.lit(c).alias("column"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+
+    return df.agg(F.array(*[measured(c) for c in columns]).alias("all")).select(F.inline("all"))
 
 
 def trim_quantiles(df: DataFrame, columns: Sequence[str], lower: float = 0.05,

@@ -9,10 +9,12 @@ from crowdtape.operators.buckets import bucket_sums, pivot_users
 from crowdtape.operators.calendars import fill_openings, fill_steps
 from crowdtape.operators.folds import fold_market_hours, fold_weekend_by_day, fold_weekend_by_time
 from crowdtape.operators.probability import score_posts
-from crowdtape.operators.scaling import min_max, to_unit_sum
+from crowdtape.operators.scaling import logs_to_unit_sum, min_max
 from crowdtape.sources.staging import staged
 
-PROBABILITIES = ["unigram_probability", "bigram_probability"]
+# Each probability's logarithm, which stays finite however long a post is.
+LOGARITHMS = {"unigram_probability": "unigram_log_prob", "bigram_probability": "bigram_log_prob"}
+PROBABILITIES = list(LOGARITHMS)
 TOTALS = ["favorite_count", "retweet_count"]
 
 # The bucket widths of the feature tables, and the offset of the hourly one.
@@ -31,14 +33,14 @@ def scored_posts(posts: DataFrame, text: str = "text", **cleaning) -> DataFrame:
     reads more than once.
     """
     tokens = staged(clean_posts(posts.select("id", text), text, **cleaning).select("id", "tokens"), "tokens")
-    scores = score_posts(tokens).select("id", *PROBABILITIES)
+    scores = score_posts(tokens).select("id", *PROBABILITIES, *LOGARITHMS.values())
     scored = posts.drop(text).join(scores, "id").withColumn("date", F.to_date("created_at"))
     return staged(scored, "scored")
 
 
 def scaled_posts(scored: DataFrame) -> DataFrame:
-    """Probabilities scaled to sum 1, counts scaled to the range 0..1."""
-    return min_max(to_unit_sum(scored, PROBABILITIES), TOTALS)
+    """Probabilities scaled to sum 1, from their logarithms; counts scaled to the range 0..1."""
+    return min_max(logs_to_unit_sum(scored, LOGARITHMS), TOTALS)
 
 
 def daily_features(scaled: DataFrame, users: Sequence[str]) -> DataFrame:

@@ -20,14 +20,21 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, ts: str = "c
 
 def distinct_posts(stream: DataFrame, key: str = "id", ts: str = "created_at",
                    delay: str = "1 day") -> DataFrame:
-    """One row per id; a repeat is recognised for at least ``delay`` after the first."""
+    """One row per id; a repeat is recognised for at least ``delay`` after the first.
+
+    Rows older than the watermark, the latest ``ts`` seen less ``delay``, are dropped, first arrivals among
+    them: state cannot be kept for ever. Where late posts have to be kept use the arrival log, which loses none.
+    """
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
 def streamed_bucket_sums(stream: DataFrame, measures: Sequence[str], width: str, slide: str | None = None,
                          offset: str | None = None, keys: Sequence[str] = ("user",), ts: str = "created_at",
                          delay: str = "1 hour") -> DataFrame:
-    """Sums per key and bucket, sent out once the watermark has passed the bucket's end."""
+    """Sums per key and bucket, sent out once the watermark has passed the bucket's end.
+
+    Rows that arrive after that are not counted; ``bucket_sums`` over the arrival log counts them.
+    """
     window = F.window(ts, width, slide, offset)
     sums = stream.withWatermark(ts, delay).groupBy(*keys, window).agg(*[F.sum(m).alias(m) for m in measures])
     return sums.select(*keys, F.col("window.start").alias(ts), *measures)

@@ -162,19 +162,67 @@ def test_newer_rows_and_append(spark):
     history = spark.createDataFrame([(1, "a"), (5, "a"), (2, "b")], "id int, user string")
     landed = spark.createDataFrame([(5, "a"), (6, "a"), (6, "a"), (2, "b"), (9, "c")], "id int, user string")
     assert found(dedupe.newer_rows(landed, history)) == [(6, "a"), (6, "a"), (9, "c")]
-    appended = dedupe.append_newer(history, landed)
+    appended = dedupe.append_newer(history, landed, [F.desc("user")])
     assert found(appended) == [(1, "a"), (2, "b"), (5, "a"), (6, "a"), (9, "c")]
-    assert found(dedupe.append_newer(appended, landed)) == found(appended)
+    assert found(dedupe.append_newer(appended, landed, [F.desc("user")])) == found(appended)
+
+
+def test_the_order_decides_among_repeats(spark):
+    rows = [(1, "early", 1), (1, "late", 2), (2, "only", 1)]
+    for arranged in (rows, rows[::-1]):
+        new = spark.createDataFrame(arranged, "id int, user string, arrival int").coalesce(1)
+        last = [F.desc("arrival")]
+        assert found(dedupe.append_newer(new.limit(0), new, last)) == [(1, "late", 2), (2, "only", 1)]
+        assert found(dedupe.upsert(new.limit(0), new, last)) == [(1, "late", 2), (2, "only", 1)]
+        assert found(dedupe.upsert(new.limit(0), new, last, distinct_history=True)) == [(1, "late", 2), (2, "only", 1)]
+
+
+def test_logarithms_scale_where_values_cannot(spark):
+    for logs in ([-1000.0, -1001.0, None], [900.0, 899.0, 0.0], [-0.5, -1.5]):
+        df = spark.createDataFrame([(i, x) for i, x in enumerate(logs)], "id int, lp double")
+        values = [r.p for r in scaling.logs_to_unit_sum(df, {"p": "lp"}).orderBy("id").collect()]
+        assert sum(values) == pytest.approx(1) and values[0] / values[1] == pytest.approx(np.e)
+
+
+def test_rows_without_a_feature_keep_their_place(spark):
+    rows = [(i, float(i), None if i % 7 == 3 else float(i % 5), 2.0 * i + 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, y double")
+    with pytest.warns(UserWarning, match="9 rows"):
+        model = forecast.fit_linear(df, "y", ["a", "b"])
+    predicted = {r.id: r.prediction for r in forecast.predict(model, df, ["a", "b"]).collect()}
+    assert len(predicted) == 60
+    assert all(predicted[i] is None if b is None else predicted[i] == pytest.approx(y, abs=1e-6) for i, _, b, y in rows)
+
+
+def test_rows_in_no_series_stay(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [("a", at + dt.timedelta(minutes=i), float(i)) for i in range(8)] + [(None, at, 1.0), ("a", None, None)]
+    df = spark.createDataFrame(rows, "ticker string, ts timestamp, price double")
+    target = ordered.binary_target(df, incomplete=None).collect()
+    assert len(target) == 10 and all(r.y is None for r in target if r.ticker is None or r.ts is None)
+    filled = ordered.forward_fill(df, ["price"], ["ticker"], "ts").collect()
+    assert sorted(filled, key=str) == sorted(df.collect(), key=str)
+
+
+def test_a_flat_feature_leaves_the_forecast(spark):
+    at = dt.datetime(2024, 1, 1)
+    days = [(at + dt.timedelta(days=i), float(i), 1.0 if i == 4 else 0.0, 3.0 * i) for i in range(41)]
+    df = spark.createDataFrame(days, "timestamp timestamp, dense double, sparse double, price double")
+    history, day = df.where("dense < 40"), df.where("dense = 40")
+    found_price = forecast.forecast_day(history, day.drop("price"), df, "price", ["dense", "sparse"]).first().prediction
+    assert found_price == pytest.approx(120.0)
+    with pytest.raises(ValueError):
+        forecast.forecast_day(history, day.drop("price"), df, "price", ["sparse"])
 
 
 def test_upsert_keeps_the_new_row_and_is_idempotent(spark):
     history = spark.createDataFrame([(1, "old"), (2, "old")], "id int, v string")
     new = spark.createDataFrame([(2, "new"), (3, "new")], "id int, v string")
-    merged = dedupe.upsert(history, new)
+    merged = dedupe.upsert(history, new, [F.desc("v")])
     assert found(merged) == [(1, "old"), (2, "new"), (3, "new")]
-    assert found(dedupe.upsert(merged, new)) == found(merged)
+    assert found(dedupe.upsert(merged, new, [F.desc("v")])) == found(merged)
     assert found(dedupe.load_counts(history, new)) == [(1, 3)]
-    assert found(dedupe.upsert(history, new.union(new), distinct_history=True)) == found(merged)
+    assert found(dedupe.upsert(history, new.union(new), [F.desc("v")], distinct_history=True)) == found(merged)
 
 
 def test_assembled_posts_are_newest_first(spark):

@@ -169,3 +169,10 @@ def test_calendars_cross_month_and_year_ends(spark):
     assert len(week) == 8 * 7 and week[-1] == (at("2024-01-05 15:30"),)
     assert len(found(calendars.trading_calendar(df, "created_at", 7, weekdays_only=True), "timestamp")) == 6 * 7
     assert found(calendars.trading_calendar(df, "created_at", None, 1), "timestamp")[-1] == (at("2024-01-28 15:30"),)
+
+
+def test_the_last_minute_of_the_day_counts(spark):
+    late = spark.createDataFrame([("2024-01-02 23:59:30",), ("2024-01-02 12:00:00",)], "t string").select(
+        F.col("t").cast("timestamp_ntz").alias("t"))
+    keys = late.select(F.explode(folds.market_keys(F.col("t"), boundary="once")).alias("k")).collect()
+    assert sorted(str(r.k) for r in keys) == ["2024-01-02 12:00:00", "2024-01-03 09:30:00"]

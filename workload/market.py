@@ -201,23 +201,24 @@ _SCALED = [
     f"g2 AS ({grams_sql(2)})", "c2 AS (SELECT gram, count(*) AS c FROM g2 GROUP BY gram)",
     "cf AS (SELECT words[1] AS word, count(*) AS c FROM words GROUP BY 1)",
     "cl AS (SELECT words[len(words)] AS word, count(*) AS c FROM words GROUP BY 1)",
-    """u AS (SELECT g.id, exp(sum(ln(c1.c / CAST((SELECT count(*) FROM c1) AS DOUBLE)))) AS p
+    """u AS (SELECT g.id, sum(ln(c1.c / CAST((SELECT count(*) FROM c1) AS DOUBLE))) AS lp
         FROM (SELECT id, unnest(words) AS gram FROM words) g JOIN c1 USING (gram) GROUP BY g.id)""",
-    """bi AS (SELECT id, exp(sum(term) + any_value(edge)) AS p FROM (
+    """bi AS (SELECT id, sum(term) + any_value(edge) AS lp FROM (
         SELECT g2.id, ln(c2.c / CAST(c1.c AS DOUBLE)) AS term,
             ln(cf.c / CAST(n.n AS DOUBLE)) + ln(cl.c / CAST(n.n AS DOUBLE)) AS edge
         FROM g2 JOIN words w ON w.id = g2.id JOIN c2 ON c2.gram = g2.gram
         JOIN c1 ON c1.gram = split_part(g2.gram, ' ', 1) JOIN cf ON cf.word = w.words[1]
         JOIN cl ON cl.word = w.words[len(w.words)] CROSS JOIN (SELECT count(*) AS n FROM posts) n)
         GROUP BY id)""",
-    """scored AS (SELECT posts.* EXCLUDE (text), coalesce(u.p, 1.0) AS unigram_probability,
-        coalesce(bi.p, 0.0) AS bigram_probability FROM posts LEFT JOIN u USING (id) LEFT JOIN bi USING (id))""",
+    """scored AS (SELECT posts.* EXCLUDE (text), coalesce(u.lp, 0.0) AS lu, bi.lp AS lb FROM posts LEFT JOIN u USING (id) LEFT JOIN bi USING (id))""",
+    """shifted AS (SELECT *, exp(lu - (SELECT max(lu) FROM scored)) AS unigram_probability,
+            coalesce(exp(lb - (SELECT max(lb) FROM scored)), 0.0) AS bigram_probability FROM scored)""",
     """scaled AS (SELECT s.* REPLACE (
-            unigram_probability / (SELECT sum(unigram_probability) FROM scored) AS unigram_probability,
-            bigram_probability / (SELECT sum(bigram_probability) FROM scored) AS bigram_probability,
+            unigram_probability / (SELECT sum(unigram_probability) FROM shifted) AS unigram_probability,
+            bigram_probability / (SELECT sum(bigram_probability) FROM shifted) AS bigram_probability,
             (favorite_count - lo1) / CAST(hi1 - lo1 AS DOUBLE) AS favorite_count,
             (retweet_count - lo2) / CAST(hi2 - lo2 AS DOUBLE) AS retweet_count)
-        FROM scored s CROSS JOIN (SELECT min(favorite_count) AS lo1, max(favorite_count) AS hi1,
+        FROM shifted s CROSS JOIN (SELECT min(favorite_count) AS lo1, max(favorite_count) AS hi1,
             min(retweet_count) AS lo2, max(retweet_count) AS hi2 FROM scored) l)""",
 ]
 _FEATURES = [f"{p}_{u}" for p in ("unigram", "bigram") for u in USERS] + _COUNTS

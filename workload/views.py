@@ -35,7 +35,7 @@ def with_ctes(select: str, *ctes: str) -> str:
 
 def posts(spark: SparkSession, folder: str) -> DataFrame:
     documents, events = spread(table(spark, folder, "documents")), table(spark, folder, "events")
-    return documents.join(events, events.event_id == documents.doc_id * 5).select(
+    return documents.join(events, events.event_id == documents.doc_id * 5, "left").select(
         F.col("doc_id").alias("id"),
         F.col("ts").alias("created_at"),
         F.col("event_type").alias("user"),
@@ -51,7 +51,7 @@ POSTS = """posts AS (
     SELECT d.doc_id AS id, e.ts AS created_at, e.event_type AS "user", d.lang AS "group",
         CAST(floor(e.value) AS BIGINT) AS favorite_count,
         CAST(regexp_extract(e.props, '"k": *([0-9]+)', 1) AS BIGINT) AS retweet_count, d.source, d.text
-    FROM documents d JOIN events e ON e.event_id = d.doc_id * 5)"""
+    FROM documents d LEFT JOIN events e ON e.event_id = d.doc_id * 5)"""
 
 # The users that become columns.
 USERS = ["click", "error", "purchase", "signup", "view"]
