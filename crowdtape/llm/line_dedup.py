@@ -302,14 +302,16 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     roots = components(near_links(docs, text_col, edits, block), "a", "b")
     rooted = staged(classes.join(roots, F.col("_h") == F.col("node"), "left").select(
         "_h", "_g", "first", "root"), "line-classes")
-    merged = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("class"))
-    named = rooted.join(merged, "root", "left").select(
-        "_h", "_g", F.coalesce("class", "first").alias("class"), (F.col("class") != F.col("first")).alias("moved"))
+    linked = rooted.where("root IS NOT NULL")
+    merged = linked.groupBy("root").agg(F.min("first").alias("class"))
+    named = linked.join(merged, "root").select(
+        "_h", "_g", "class", (F.col("class") != F.col("first")).alias("moved")
+    ).unionByName(rooted.where("root IS NULL").select("_h", "_g", F.col("first").alias("class"), F.lit(False).alias("moved")))
     found = placed.join(named, ["_h", "_g"])
     return found.select(
         F.col("_id").alias(id_col), F.col("_no").alias("line_no"), F.col("_h").alias("line_hash"),
         F.col("class.id").alias("class_id"), F.col("class.no").alias("class_line"),
-        F.coalesce("moved", F.lit(False)).alias("near"),
+        F.col("moved").alias("near"),
         (F.col("_id").eqNullSafe(F.col("class.id")) & (F.col("_no") == F.col("class.no"))).alias("kept"))
 
 
