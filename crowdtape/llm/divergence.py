@@ -86,18 +86,22 @@ def _covered(at: str) -> Column:
         (a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
 
 
-def distance(mine: Column, theirs: Column) -> Column:
-    """Jensen-Shannon distance of two histograms given as arrays of counts; NULL where one is empty."""
-    def total(counts: Column) -> Column:
-        return F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+def total(counts: str) -> Column:
+    return F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
 
+
+def distance(mine: str, theirs: str, n: str, m: str) -> Column:
+    """Jensen-Shannon distance of two histograms, arrays of counts whose sums are ``n`` and ``m``; NULL if one is 0.
+
+    The sums are columns, since what a lambda closes over is computed again for each element.
+    """
     def term(p: Column, q: Column) -> Column:
         return F.when(p > 0, p * F.log(p * 2 / (p + q))).otherwise(F.lit(0.0))
 
-    n, m = total(mine), total(theirs)
-    terms = F.zip_with(mine, theirs, lambda x, y: term(x / n, y / m) + term(y / m, x / n))
+    terms = F.zip_with(mine, theirs, lambda x, y: (
+        term(x / F.col(n), y / F.col(m)) + term(y / F.col(m), x / F.col(n))))
     divergence = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / (2 * F.log(F.lit(2.0)))
-    return F.when((n > 0) & (m > 0), F.sqrt(F.greatest(F.lit(0.0), divergence)))
+    return F.when((F.col(n) > 0) & (F.col(m) > 0), F.sqrt(F.greatest(F.lit(0.0), divergence)))
 
 
 def beyond_chance(distance: Column, bins: Column, n: Column) -> Column:
@@ -128,9 +132,12 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         F.array(*[F.sum(F.get("_classes", F.lit(i))) for i in range(len(CLASSES) + 1)]).alias("_all_classes"),
         F.filter(F.array(*[F.sum(F.get("_common", F.lit(i))) for i in range(longest)]),
                  lambda n: n.isNotNull()).alias("_all_common"))
-    compared = found.join(references, F.col("_lang").eqNullSafe(F.col("_of"))).select(
-        "*", distance(F.col("_classes"), F.col("_all_classes")).alias("_class_distance"),
-        F.when(F.size("_common") > 1, distance(F.col("_common"), F.col("_all_common"))).alias("_word_distance"))
+    references = references.select("*", total("_all_classes").alias("_m_classes"), total("_all_common").alias("_m_common"))
+    joined = found.select("*", total("_classes").alias("_n_classes"), total("_common").alias("_n_common")).join(
+        references, F.col("_lang").eqNullSafe(F.col("_of")))
+    compared = joined.select(
+        "*", distance("_classes", "_all_classes", "_n_classes", "_m_classes").alias("_class_distance"),
+        F.when(F.size("_common") > 1, distance("_common", "_all_common", "_n_common", "_m_common")).alias("_word_distance"))
     chars = F.aggregate("_classes", F.lit(0).cast("long"), lambda a, x: a + x)
     failed = (F.col("_n_words") < 20) | (100 * F.col("_n_repeat_words") > 30 * F.col("_n_words"))
     n = F.col("_n_words")
