@@ -1,5 +1,6 @@
 """Queries on sources, sinks, loading, the star schema, models and streams."""
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crowdtape import schemas
@@ -10,7 +11,7 @@ from crowdtape.sources import posts as post_files, sheets, tables
 from crowdtape.sources.staging import new_path, staged
 from crowdtape.streaming import posts as streams
 from workload.market import HOURLY, MARKET_POSTS, hourly_prices, market_posts, rounded
-from workload.views import POSTS, TAGGED, Query, posts, table, tagged_posts, with_ctes, word_posts
+from workload.views import POSTS, TAGGED, WORDS, Query, posts, table, tagged_posts, with_ctes, word_posts
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
@@ -324,7 +325,30 @@ _FORECAST_SQL = with_ctes("""
 
 def _ols_many(spark: SparkSession, folder: str) -> DataFrame:
     model = forecast.fit_linear(table(spark, folder, "lineitem"), "l_extendedprice", _FEATURES)
-    return forecast.coefficient_table(model, _FEATURES)
+    fitted = forecast.coefficient_table(model, _FEATURES)
+    return rounded(fitted.select("term", "coefficient", "std_error", "t"), "coefficient", "std_error", "t", digits=4)
+
+
+# Three features less their means: the normal equations by Cramer's rule, errors from the inverse's diagonal.
+_OLS_MANY_SQL = """
+    WITH d AS (SELECT CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) AS a,
+        CAST(l_discount AS DOUBLE) AS b, CAST(l_tax AS DOUBLE) AS c FROM lineitem),
+    m AS (SELECT avg(y) AS y, avg(a) AS a, avg(b) AS b, avg(c) AS c, count(*) AS n FROM d),
+    s AS (SELECT sum((d.a - m.a) * (d.a - m.a)) AS aa, sum((d.a - m.a) * (d.b - m.b)) AS ab, sum((d.a - m.a) * (d.c - m.c)) AS ac,
+        sum((d.b - m.b) * (d.b - m.b)) AS bb, sum((d.b - m.b) * (d.c - m.c)) AS bc, sum((d.c - m.c) * (d.c - m.c)) AS cc,
+        sum((d.a - m.a) * (d.y - m.y)) AS ay, sum((d.b - m.b) * (d.y - m.y)) AS by_, sum((d.c - m.c) * (d.y - m.y)) AS cy FROM d CROSS JOIN m),
+    e AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM s),
+    i AS (SELECT (bb * cc - bc * bc) / det AS i11, (ac * bc - ab * cc) / det AS i12, (ab * bc - ac * bb) / det AS i13,
+        (aa * cc - ac * ac) / det AS i22, (ab * ac - aa * bc) / det AS i23, (aa * bb - ab * ab) / det AS i33, ay, by_, cy FROM e),
+    w AS (SELECT i11 * ay + i12 * by_ + i13 * cy AS wa, i12 * ay + i22 * by_ + i23 * cy AS wb,
+        i13 * ay + i23 * by_ + i33 * cy AS wc, i.* FROM i),
+    f AS (SELECT w.*, m.y - wa * m.a - wb * m.b - wc * m.c AS w0, m.a AS ma, m.b AS mb, m.c AS mc, m.n FROM w CROSS JOIN m),
+    r AS (SELECT sum(power(d.y - (w0 + wa * a + wb * b + wc * c), 2)) / (any_value(n) - 4) AS v FROM d CROSS JOIN f),
+    g AS (SELECT unnest(['l_quantity', 'l_discount', 'l_tax', 'intercept']) AS term, unnest([wa, wb, wc, w0]) AS coefficient,
+        unnest([sqrt(v * i11), sqrt(v * i22), sqrt(v * i33), sqrt(v * (1.0 / n + ma * ma * i11 + mb * mb * i22 + mc * mc * i33
+            + 2 * (ma * mb * i12 + ma * mc * i13 + mb * mc * i23)))]) AS std_error FROM f CROSS JOIN r)
+    SELECT term, round(coefficient, 4) AS coefficient, round(std_error, 4) AS std_error,
+        round(coefficient / std_error, 4) AS t FROM g"""
 
 
 def _naive_bayes(spark: SparkSession, folder: str) -> DataFrame:
@@ -379,8 +403,12 @@ _REPORT_SQL = with_ctes("""
 
 
 def _word_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    model = forecast.word_vectors(word_posts(spark, folder), size=8, min_count=5)
-    return model.getVectors().select("word")
+    """Every word has a vector; SQL knows the words and their length."""
+    model = forecast.word_vectors(word_posts(spark, folder), size=8)
+    return model.getVectors().select("word", F.size(vector_to_array("vector")).cast("long").alias("size"))
+
+
+_WORD_VECTORS_SQL = with_ctes("SELECT DISTINCT unnest(words) AS word, 8 AS size FROM words", POSTS, WORDS)
 
 
 def _clusters(spark: SparkSession, folder: str) -> DataFrame:
@@ -466,12 +494,12 @@ QUERIES = {
     "ols_metrics": Query(_ols_metrics, _OLS_METRICS_SQL),
     "best_worst_case": Query(_best_worst, _BEST_WORST_SQL),
     "forecast_day": Query(_forecast, _FORECAST_SQL),
-    "ols_many": Query(_ols_many),
+    "ols_many": Query(_ols_many, _OLS_MANY_SQL),
     "naive_bayes": Query(_naive_bayes),
     "cross_validation": Query(_cross_validation),
     "confusion_report": Query(_confusion, _CONFUSION_SQL),
     "class_report": Query(_class_report, _REPORT_SQL),
-    "word_vectors": Query(_word_vectors),
+    "word_vectors": Query(_word_vectors, _WORD_VECTORS_SQL),
     "embedding_clusters": Query(_clusters),
     "embedding_components": Query(_components),
     "stream_dedupe": Query(_stream_dedupe, "SELECT * FROM events"),
