@@ -69,8 +69,24 @@ def _names(first: int, last: int) -> Column:
     return F.split(F.lit(names), "\n")
 
 
+# Regional indicators, which spell a flag's country, and what only joins or styles other characters.
+_INDICATORS = (0x1F1E6, 0x1F1FF)
+_JOINERS = "[\u200d\ufe0e\ufe0f\u20e3]"
+
+
 def emoji_name(emoji: Column) -> Column:
-    """Name of an emoji by its first code point; flags and keycaps give their first character's name."""
+    """Name of a whole emoji: ``flag`` and its two letters, or the names of its characters, in order.
+
+    So a joined emoji is named by its parts and a skin tone by its modifier; joiners and styles have no name.
+    """
+    parts = F.regexp_extract_all(F.regexp_replace(emoji, _JOINERS, ""), F.lit("(?s)."), F.lit(0))
+    letters = F.transform(parts, lambda part: F.char((F.ascii(part) - _INDICATORS[0] + ord("a")).cast("int")))
+    names = F.array_join(F.array_compact(F.transform(parts, _character_name)), " ")
+    return F.when(F.ascii(emoji).between(*_INDICATORS), F.concat(F.lit("flag "), F.array_join(letters, ""))).otherwise(
+        F.when(F.length(names) > 0, names))
+
+
+def _character_name(emoji: Column) -> Column:
     code = F.ascii(emoji)
     return (
         F.when(code.between(*_LOW), F.get(_names(*_LOW), code - _LOW[0]))

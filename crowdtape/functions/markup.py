@@ -3,8 +3,23 @@
 from pyspark.sql import Column, functions as F
 
 
+# The entities unescaped in visible text and in attributes.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+# What a tag holds before its end: a ">" within quotes does not end it.
+_INSIDE = r"""(?:[^>"']|"[^"]*"|'[^']*')"""
+
+
+def _unescaped(text: Column) -> Column:
+    for entity, character in ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(character))
+    return text
+
+
 def _attributes(html: Column, tag: str, attribute: str) -> Column:
-    return F.regexp_extract_all(html, F.lit(f'(?is)<{tag}\\b[^>]*?\\b{attribute}="([^"]*)"'), F.lit(1))
+    """Values of an attribute, in double quotes, single quotes or none."""
+    value = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    found = F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b{_INSIDE}*?\s{attribute}\s*=\s*{value}"), F.lit(1))
+    return F.transform(found, lambda quoted: _unescaped(F.regexp_replace(quoted, r"""(?s)^(["'])(.*)\1$""", "$2")))
 
 
 def hrefs(html: Column) -> Column:
@@ -22,14 +37,9 @@ def times(html: Column) -> Column:
     return F.transform(_attributes(html, "time", "datetime"), lambda t: F.try_to_timestamp(t))
 
 
-# The entities unescaped in visible text.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
-
-
 def visible_text(html: Column) -> Column:
     """Text between the tags, without scripts, styles and comments, blanks collapsed."""
     hidden = r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->"
-    text = F.regexp_replace(F.regexp_replace(html, hidden, " "), r"<[^>]*>", " ")
-    for entity, character in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(character))
+    text = F.regexp_replace(F.regexp_replace(html, hidden, " "), rf"</?[a-zA-Z]{_INSIDE}*+>", " ")
+    text = _unescaped(F.regexp_replace(text, r"<[^>]*>", " "))
     return F.trim(F.regexp_replace(text, r"\s+", " "))

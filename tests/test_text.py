@@ -112,8 +112,8 @@ def test_emoji(spark):
     assert found == [["😀", "❤️", "👩‍💻", "🇺🇸", "🇫🇷", "3️⃣", "©", "👍🏽"], [], []]
     assert column(posts, remove_emoji(F.col("text"))) == ["ab     ", "plain 3 # text", None]
     assert column(posts, emoji_names(extract_emoji(F.col("text"))))[0] == [
-        "grinning face", "heavy black heart", "woman", "regional indicator symbol letter u",
-        "regional indicator symbol letter f", "keycap 3", "copyright sign", "thumbs up sign",
+        "grinning face", "heavy black heart", "woman personal computer", "flag us",
+        "flag fr", "keycap 3", "copyright sign", "thumbs up sign emoji modifier fitzpatrick type-4",
     ]
 
 
@@ -156,3 +156,19 @@ def test_chunks_cover_the_text(spark):
 
 def test_diacritics(spark):
     assert column(texts(spark, "ÀéîõÜ Ł ø ß Æ"), strip_diacritics(F.col("text"))) == ["AeioU L o ss AE"]
+
+
+def test_whole_emoji_have_names(spark):
+    emoji = ["\U0001F469\u200d\U0001F4BB", "\U0001F1FA\U0001F1F8", "\U0001F44D\U0001F3FD", "\u2764\ufe0f", "\U0001F600"]
+    frame = spark.createDataFrame([(emoji,)], "e array<string>")
+    assert frame.select(emoji_names(F.col("e")).alias("n")).first().n == [
+        "woman personal computer", "flag us", "thumbs up sign emoji modifier fitzpatrick type-4", "heavy black heart",
+        "grinning face"]
+
+
+def test_attributes_in_all_quotes(spark):
+    html = F.lit("""<a class="x" href='/one?a=1&amp;b=2'>A</a><a href=/two>B</a><a title="a > b" href="/three">C</a>
+        <a data-href="/no">D</a><IMG ALT='it is "so"'>""")
+    found = spark.range(1).select(markup.hrefs(html).alias("h"), markup.picture_labels(html).alias("p"),
+                                  markup.visible_text(html).alias("t")).first()
+    assert found.h == ["/one?a=1&b=2", "/two", "/three"] and found.p == ['it is "so"'] and found.t == "AB C D".replace("AB", "A B")
