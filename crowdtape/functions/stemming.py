@@ -129,7 +129,7 @@ def stem(word: str) -> str:
     word = word.removeprefix("'")
     # A y that acts as a consonant is written Y until the end; each one decides the next.
     word = re.sub("^y", "Y", word)
-    word = re.sub("(?<=[aeiouy])y", "Y", word)
+    word = re.sub("([aeiouy])y", r"\1Y", word)
     prefix = _LONG_PREFIX.match(word)
     r1 = prefix.end() if prefix else _region_start(word, 0)
     r2 = _region_start(word, r1)

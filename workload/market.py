@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from crowdtape.functions import times
 from crowdtape.operators import buckets, calendars, folds, ordered, price_joins, quantiles, scaling, summaries
 from crowdtape.plans import text_features
-from workload.views import POSTS, USERS, WORDS, Query, grams_sql, posts, table, with_ctes
+from workload.views import POSTS, USERS, Query, grams_sql, posts, table, with_ctes, words_ctes
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
@@ -178,8 +178,8 @@ def _market_sql(width: str, **options: bool) -> str:
 
 # --- end to end: posts to scored, scaled, pivoted and folded features ---
 
-def _scaled(spark: SparkSession, folder: str) -> DataFrame:
-    scored = text_features.scored_posts(posts(spark, folder), stem=False)
+def _scaled(spark: SparkSession, folder: str, stem: bool = False) -> DataFrame:
+    scored = text_features.scored_posts(posts(spark, folder), stem=stem)
     return text_features.scaled_posts(scored)
 
 
@@ -188,15 +188,14 @@ def _features_day(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(wide, *wide.columns[1:], digits=6)
 
 
-def _features(width: str):
+def _features(width: str, stem: bool = False):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        wide = text_features.intraday_features(_scaled(spark, folder), USERS, width)
+        wide = text_features.intraday_features(_scaled(spark, folder, stem), USERS, width)
         return rounded(wide, *wide.columns[1:], digits=6)
     return run
 
 
-_SCALED = [
-    POSTS, WORDS,
+_SCORED = [
     f"c1 AS (SELECT gram, count(*) AS c FROM ({grams_sql(1)}) GROUP BY gram)",
     f"g2 AS ({grams_sql(2)})", "c2 AS (SELECT gram, count(*) AS c FROM g2 GROUP BY gram)",
     "cf AS (SELECT words[1] AS word, count(*) AS c FROM words GROUP BY 1)",
@@ -221,6 +220,7 @@ _SCALED = [
         FROM shifted s CROSS JOIN (SELECT min(favorite_count) AS lo1, max(favorite_count) AS hi1,
             min(retweet_count) AS lo2, max(retweet_count) AS hi2 FROM scored) l)""",
 ]
+_SCALED = [POSTS, *words_ctes(), *_SCORED]
 _FEATURES = [f"{p}_{u}" for p in ("unigram", "bigram") for u in USERS] + _COUNTS
 _WIDE = ", ".join(
     f"""coalesce(sum({p}_probability) FILTER ("user" = '{u}'), 0.0) AS {p}_{u}"""
@@ -232,7 +232,7 @@ _FEATURES_DAY_SQL = with_ctes(
     f"folded AS (SELECT CAST({_monday('created_at')} AS DATE) AS date, {_WIDE} FROM scaled GROUP BY 1)")
 
 
-def _features_sql(width: str) -> str:
+def _features_sql(width: str, stem: bool = False) -> str:
     step, offset = _BUCKETS[width]
     wide = f"""wide AS (SELECT time_bucket(INTERVAL '{step}', created_at, INTERVAL '{offset or "0 minutes"}')
         AS created_at, {_WIDE} FROM scaled GROUP BY 1)"""
@@ -245,7 +245,7 @@ def _features_sql(width: str) -> str:
     columns = ", ".join(_FEATURES)
     filled = f"filled AS (SELECT created_at, " + ", ".join(
         f"coalesce({c}, 0.0) AS {c}" for c in _FEATURES) + f" FROM wide FULL JOIN ({extra}) USING (created_at))"
-    return with_ctes(f"SELECT timestamp, {_ROUNDED} FROM market", *_SCALED, wide, filled, *market_ctes(
+    return with_ctes(f"SELECT timestamp, {_ROUNDED} FROM market", POSTS, *words_ctes(stem), *_SCORED, wide, filled, *market_ctes(
         keys="", measures=", ".join(f"sum({c}) AS {c}" for c in _FEATURES), source="filled", columns=columns))
 
 
@@ -556,6 +556,7 @@ QUERIES = {
         _market("hour", boundary="once", next_trading_day=True), _market_sql("hour", once=True, trading=True)),
     "features_by_day": Query(_features_day, _FEATURES_DAY_SQL),
     "features_by_hour": Query(_features("byhour"), _features_sql("hour")),
+    "features_by_hour_stemmed": Query(_features("byhour", True), _features_sql("hour", True)),
     "features_by_halfhour": Query(_features("by_halfhour"), _features_sql("30m")),
     "features_by_five_minutes": Query(_features("by_five_minutes"), _features_sql("5m")),
     "features_by_minute": Query(_features("by_minute"), _features_sql("1m")),

@@ -8,7 +8,7 @@ from crowdtape.functions.emoji import EMOJI, emoji_names, extract_emoji
 from crowdtape.operators import ngrams, probability
 from workload.views import (
     FACE_NAMES, POSTS, STOP_LIST, TAGGED, WORDS, Query, grams_sql, posts, staged_words, table, tagged_posts,
-    with_ctes, word_posts, words_sql,
+    with_ctes, word_posts, words_ctes, words_sql,
 )
 
 
@@ -144,18 +144,18 @@ _CHUNKS_SQL = f"""
     FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / {_CHUNK}.0) AS BIGINT))) AS i FROM documents)"""
 
 
-def _frequency(n: int):
+def _frequency(n: int, stem: bool = False):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        frequency = ngrams.gram_frequency(word_posts(spark, folder), [n])
+        frequency = ngrams.gram_frequency(word_posts(spark, folder, stem), [n])
         return frequency.withColumn("rel_freq", F.round("rel_freq", 10))
     return run
 
 
-def _frequency_sql(n: int) -> str:
+def _frequency_sql(n: int, stem: bool = False) -> str:
     return with_ctes(f"""
         SELECT {n} AS n, gram, count(*) AS count,
             round(count(*) / CAST((SELECT count(DISTINCT gram) FROM grams) AS DOUBLE), 10) AS rel_freq
-        FROM grams GROUP BY gram""", POSTS, WORDS, f"grams AS ({grams_sql(n)})")
+        FROM grams GROUP BY gram""", POSTS, *words_ctes(stem), f"grams AS ({grams_sql(n)})")
 
 
 def _all_sizes(spark: SparkSession, folder: str) -> DataFrame:
@@ -198,30 +198,33 @@ _SKIPGRAMS_SQL = with_ctes(
     ) + ") GROUP BY gram", POSTS, WORDS)
 
 
-def _unigram(spark: SparkSession, folder: str) -> DataFrame:
-    scores = probability.score_posts(staged_words(spark, folder), order=1)
-    return scores.select(
-        "id", "words", F.round("unigram_log_prob", 3).alias("unigram_log_prob"),
-        F.round("unigram_probability", 9).alias("unigram_probability"),
-    )
+def _unigram(stem: bool = False):
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        scores = probability.score_posts(staged_words(spark, folder, stem), order=1)
+        return scores.select(
+            "id", "words", F.round("unigram_log_prob", 3).alias("unigram_log_prob"),
+            F.round("unigram_probability", 9).alias("unigram_probability"),
+        )
+    return run
 
 
 _COUNTS1 = f"c1 AS (SELECT gram, count(*) AS c FROM ({grams_sql(1)}) GROUP BY gram)"
 
-_UNIGRAM_SQL = with_ctes("""
+def _unigram_sql(stem: bool = False) -> str:
+    return with_ctes("""
     SELECT w.id, len(w.words) AS words, round(coalesce(s.log_prob, 0.0), 3) AS unigram_log_prob,
         round(exp(coalesce(s.log_prob, 0.0)), 9) AS unigram_probability
     FROM words w LEFT JOIN (
         SELECT g.id, sum(ln(c1.c / CAST((SELECT count(*) FROM c1) AS DOUBLE))) AS log_prob
         FROM (SELECT id, unnest(words) AS gram FROM words) g JOIN c1 USING (gram) GROUP BY g.id
-    ) s USING (id)""", POSTS, WORDS, _COUNTS1)
+    ) s USING (id)""", POSTS, *words_ctes(stem), _COUNTS1)
 
 
-def _order_n(order: int, smoothing: float):
+def _order_n(order: int, smoothing: float, stem: bool = False):
     name = {2: "bigram", 3: "trigram"}[order]
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        scores = probability.score_posts(staged_words(spark, folder), order=order, smoothing=smoothing)
+        scores = probability.score_posts(staged_words(spark, folder, stem), order=order, smoothing=smoothing)
         return scores.select(
             "id", F.round(f"{name}_log_prob", 3).alias(f"{name}_log_prob"),
             F.round(f"{name}_probability", 9).alias(f"{name}_probability"),
@@ -229,7 +232,7 @@ def _order_n(order: int, smoothing: float):
     return run
 
 
-def _order_n_sql(order: int, smoothing: float) -> str:
+def _order_n_sql(order: int, smoothing: float, stem: bool = False) -> str:
     name = {2: "bigram", 3: "trigram"}[order]
     below = f"{smoothing} * (SELECT count(*) FROM c1)"
     return with_ctes(f"""
@@ -246,7 +249,7 @@ def _order_n_sql(order: int, smoothing: float) -> str:
                 JOIN cl ON cl.word = w.words[len(w.words)]
                 CROSS JOIN (SELECT count(*) AS n FROM posts) p)
             GROUP BY id
-        ) s USING (id)""", POSTS, WORDS, _COUNTS1,
+        ) s USING (id)""", POSTS, *words_ctes(stem), _COUNTS1,
         f"gn AS ({grams_sql(order)})", "cn AS (SELECT gram, count(*) AS c FROM gn GROUP BY gram)",
         f"cp AS (SELECT gram, count(*) AS c FROM ({grams_sql(order - 1)}) GROUP BY gram)",
         "cf AS (SELECT words[1] AS word, count(*) AS c FROM words GROUP BY 1)",
@@ -268,6 +271,9 @@ _RELATIVE_SQL = with_ctes("""
           FROM (SELECT id, unnest(words) AS gram FROM words) g JOIN c1 USING (gram) GROUP BY g.id)""")
 
 
+_STEMMED_SQL = with_ctes("""
+    SELECT id, array_to_string(words.words, ' ') AS cleaned_stem_text, array_to_string(plain.words, ' ') AS cleaned_nonstem_text
+    FROM words JOIN plain USING (id)""", POSTS, *words_ctes(stem=True))
 _CLEAN_SQL = with_ctes("SELECT id, array_to_string(words, ' ') AS cleaned_nonstem_text FROM words", POSTS, WORDS)
 _GLUED_SQL = with_ctes(
     "SELECT id, array_to_string(words, ' ') AS cleaned_nonstem_text FROM ("
@@ -282,7 +288,7 @@ QUERIES = {
     "posts_clean": Query(_clean, _CLEAN_SQL),
     "posts_clean_glued": Query(_glued, _GLUED_SQL),
     "posts_stopwords": Query(_stop_words, _STOP_SQL),
-    "posts_stemmed": Query(_stemmed),
+    "posts_stemmed": Query(_stemmed, _STEMMED_SQL),
     "post_entities": Query(_entities, _ENTITIES_SQL),
     "emoji_names": Query(_emoji_names, _EMOJI_SQL),
     "metric_labels": Query(_metric_labels, _METRIC_SQL),
@@ -294,8 +300,11 @@ QUERIES = {
     "ngram_sizes": Query(_all_sizes, _ALL_SIZES_SQL),
     "edge_words": Query(_edge_words, _EDGE_SQL),
     "skipgrams": Query(_skipgrams, _SKIPGRAMS_SQL),
-    "unigram_probability": Query(_unigram, _UNIGRAM_SQL),
+    **{f"ngram_frequency_{n}_stemmed": Query(_frequency(n, True), _frequency_sql(n, True)) for n in (1, 2)},
+    "unigram_probability": Query(_unigram(), _unigram_sql()),
+    "unigram_probability_stemmed": Query(_unigram(True), _unigram_sql(True)),
     "bigram_probability": Query(_order_n(2, 0.0), _order_n_sql(2, 0.0)),
+    "bigram_probability_stemmed": Query(_order_n(2, 0.0, True), _order_n_sql(2, 0.0, True)),
     "trigram_probability": Query(_order_n(3, 0.0), _order_n_sql(3, 0.0)),
     "bigram_smoothed": Query(_order_n(2, 1.0), _order_n_sql(2, 1.0)),
     "relative_probability": Query(_relative, _RELATIVE_SQL),

@@ -13,6 +13,7 @@ from crowdtape.functions.emoji import EMOJI, character_name
 from crowdtape.functions.words import stop_words
 from crowdtape.sources.staging import staged
 from crowdtape.sources.tables import spread
+from workload.stems import STEMS
 
 
 @dataclass(frozen=True)
@@ -87,13 +88,12 @@ FACE_NAMES = "[" + ", ".join(f"'{character_name(ord(face))}'" for face in FACES)
 # --- clean words of the posts ---
 
 
-def word_posts(spark: SparkSession, folder: str) -> DataFrame:
-    """Posts with unstemmed tokens, since SQL cannot stem."""
-    return clean_posts(posts(spark, folder), stem=False).select("id", "tokens")
+def word_posts(spark: SparkSession, folder: str, stem: bool = False) -> DataFrame:
+    return clean_posts(posts(spark, folder), stem=stem).select("id", "tokens")
 
 
-def staged_words(spark: SparkSession, folder: str) -> DataFrame:
-    return staged(word_posts(spark, folder), "words")
+def staged_words(spark: SparkSession, folder: str, stem: bool = False) -> DataFrame:
+    return staged(word_posts(spark, folder, stem), "words")
 
 
 def _quoted(text: str) -> str:
@@ -118,6 +118,12 @@ def words_sql(source: str, stop_list: str = STOP_LIST) -> str:
 WORDS = f"words AS MATERIALIZED (SELECT id, {words_sql('posts')} AS words FROM posts)"
 
 
+def words_ctes(stem: bool = False) -> list[str]:
+    """CTEs that end in ``words``: each post's words, or the stems of them."""
+    return [WORDS.replace("words AS", "plain AS", 1), *STEMS] if stem else [WORDS]
+
+
+
 def grams_sql(n: int, columns: str = "id") -> str:
     return (
         f"SELECT {columns}, unnest(list_transform(range(1, len(words) - {n} + 2), "
