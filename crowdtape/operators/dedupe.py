@@ -4,7 +4,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from crowdtape.operators.lookup import left_lookup
 
 # Fixed value: the start of history when nothing is stored yet.
 FIRST_DATE = "2000-01-01"
@@ -26,9 +25,7 @@ def assemble_posts(posts: DataFrame, key: str = "id", arrival: str = "arrival",
 def newer_rows(landed: DataFrame, history: DataFrame, key: str = "id", owner: str = "user") -> DataFrame:
     """Landed rows whose id exceeds the owner's largest stored id; owners without history keep all."""
     marks = history.groupBy(owner).agg(F.max(key).alias("_mark"))
-    newer = left_lookup(landed, marks, owner).where(
-        F.col("_mark").isNull() | (F.col(key) > F.col("_mark"))
-    )
+    newer = landed.join(marks, owner, "left").where(F.col("_mark").isNull() | (F.col(key) > F.col("_mark")))
     return newer.select(*landed.columns)
 
 

@@ -60,18 +60,30 @@ def _sum_by(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> Data
 
 def _with_empty_weeks(df: DataFrame, index: str, folded: Column, keys: Sequence[str],
                       measures: Sequence[str], label) -> DataFrame:
-    """Add a zero row for every week between the first and the last folded one."""
+    """Add a zero row for every week between a key's first and last folded one."""
     mondays = (
-        df.where(folded)
+        df.where(folded).groupBy(*keys)
         .agg(F.min(t.monday_label(F.col(index))).alias("lo"), F.max(t.monday_label(F.col(index))).alias("hi"))
         .where(F.col("lo").isNotNull())
-        .select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 7 DAY"))).alias("monday"))
-        .select(label(F.col("monday")).cast(df.schema[index].dataType).alias(index))
+        .select(*keys, F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 7 DAY"))).alias("monday"))
+        .select(*keys, label(F.col("monday")).cast(df.schema[index].dataType).alias(index))
     )
-    for key in keys:
-        raise ValueError(f"weeks can only be filled in a table keyed by time alone, not by {key}")
     zeros = [F.lit(0).cast(df.schema[m].dataType).alias(m) for m in measures]
-    return df.unionByName(mondays.select(index, *zeros))
+    return df.unionByName(mondays.select(*keys, index, *zeros))
+
+
+def _with_empty_days(df: DataFrame, keys: Sequence[str], measures: Sequence[str], work_start: str) -> DataFrame:
+    """Add a zero row at every opening between a key's first and last one."""
+    hour, minute = (int(part) for part in work_start.split(":")[:2])
+    day = F.to_date("timestamp")
+    openings = (
+        df.where(F.col("timestamp") == t.at_time(day, hour, minute)).groupBy(*keys)
+        .agg(F.min(day).alias("lo"), F.max(day).alias("hi")).where(F.col("lo").isNotNull())
+        .select(*keys, F.explode(F.sequence("lo", "hi")).alias("day"))
+        .select(*keys, t.at_time(F.col("day"), hour, minute).cast(df.schema["timestamp"].dataType).alias("timestamp"))
+    )
+    return df.unionByName(openings.select(
+        "*", *[F.lit(0).cast(df.schema[m].dataType).alias(m) for m in measures]))
 
 
 def fold_weekend_by_day(df: DataFrame, measures: Sequence[str], index: str = "date",
@@ -98,13 +110,18 @@ def fold_weekend_by_time(df: DataFrame, measures: Sequence[str], index: str = "c
 
 
 def fold_market_hours(df: DataFrame, measures: Sequence[str], index: str = "created_at",
-                      keys: Sequence[str] = (), zone: str = t.MARKET_ZONE, **hours) -> DataFrame:
+                      keys: Sequence[str] = (), zone: str = t.MARKET_ZONE, emit_empty: bool = False,
+                      work_start: str = t.MARKET_OPEN, **hours) -> DataFrame:
     """Rows in UTC summed into market hours; ``timestamp`` is local wall-clock time.
 
-    ``hours`` are the options of ``market_keys``.
+    ``emit_empty`` adds a zero row at the opening of every day between a key's first and last opening that
+    has rows. The other ``hours`` are the options of ``market_keys``.
     """
     local = df.select(*keys, t.to_zone(F.col(index), zone).alias("_local"), *measures)
-    keyed = local.select(*keys, F.explode(market_keys(F.col("_local"), **hours)).alias("timestamp"), *measures)
+    keyed = local.select(
+        *keys, F.explode(market_keys(F.col("_local"), work_start=work_start, **hours)).alias("timestamp"), *measures)
+    if emit_empty:
+        keyed = _with_empty_days(keyed, keys, measures, work_start)
     return _sum_by(keyed, [*keys, "timestamp"], measures)
 
 

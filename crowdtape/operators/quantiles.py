@@ -1,87 +1,85 @@
-"""Exact quantiles of whole columns, without bringing a column into one task."""
+"""Exact quantiles of whole columns, without sorting a column or bringing it into one task."""
 
 from collections.abc import Sequence
-from functools import reduce
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# A sketch places a quantile within 1/_ACCURACY of all rows, so a band of a few times that on both sides
-# of a wanted rank is sure to hold it.
-_ACCURACY = 100_000
-_BAND = 3 / _ACCURACY
+# Each pass narrows the interval that holds a wanted rank to one of so many parts.
+_PARTS = 1 << 12
+_FINITE = 1.7976931348623157e308
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
-    """``column, rows, q0, q1, ...``: linearly interpolated quantiles of each column, NULLs ignored.
+def _part(value: Column, low: float, high: float) -> Column:
+    """Which part of an interval a value lies in; the ends are always in different parts."""
+    # Halves, so that no difference of two finite numbers overflows.
+    width = high / 2 - low / 2
+    if width == 0:
+        return (value >= F.lit(high)).cast("long")
+    inside = F.floor((value / 2 - F.lit(low / 2)) / F.lit(width) * F.lit(float(_PARTS)))
+    return F.when(value < F.lit(low), F.lit(-1)).when(value > F.lit(high), F.lit(_PARTS + 1)).otherwise(inside)
+
+
+def _values_at(values: DataFrame, ranks: dict[str, set[int]],
+               ends: dict[str, tuple[float, float]]) -> dict[tuple[str, int], float]:
+    """The values at the given places, counted from 0, of each column in ascending order.
 
-    A sketch, made when the function is called, gives a narrow band of values around every wanted rank.
-    One pass counts the rows below each band, another counts the equal values inside it, and only those
-    few values are sorted.
+    Values are counted by the part of the interval they lie in, at most ``_PARTS`` + 3 of them whatever the
+    table's size; the part that holds a rank is the next pass's interval, until it holds one value only.
     """
-    values = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-    # One sketch per column gives all its edges; the outermost ones are the smallest and largest value.
-    edges = [min(max(share + side * _BAND, 0.0), 1.0) for share in shares for side in (-1, 1)]
-    sketches = values.agg(*[
-        F.array(*[
-            F.min(f"`{c}`") if e == 0 else F.max(f"`{c}`") if e == 1
-            else F.get(F.percentile_approx(f"`{c}`", edges, _ACCURACY), F.lit(at))
-            for at, e in enumerate(edges)
-        ]) for c in columns
-    ]).first()
-    # (column, which share, the share, lower edge, upper edge); a column without values has no edges.
-    wanted = [
-        (c, i, float(share), sketch[2 * i], sketch[2 * i + 1])
-        for c, sketch in zip(columns, sketches) if sketch[0] is not None
-        for i, share in enumerate(shares)
-    ]
-    if not wanted:
-        empty = "column string, rows bigint" + "".join(f", q{i} double" for i in range(len(shares)))
-        return df.sparkSession.createDataFrame([], empty)
-    # One row per column and share.
-    ranks = values.agg(*[
-        F.struct(
-            F.lit(c).alias("column"), F.lit(i).alias("share"), F.count(f"`{c}`").alias("rows"),
-            F.count_if(F.col(f"`{c}`") < low).alias("below"),
-            F.max(F.when(F.col(f"`{c}`") < low, F.col(f"`{c}`"))).alias("previous"),
-            F.min(F.when(F.col(f"`{c}`") > high, F.col(f"`{c}`"))).alias("next"),
-            (F.lit(share) * (F.count(f"`{c}`") - 1)).alias("position"),
-        ).alias(f"r{k}")
-        for k, (c, i, share, low, high) in enumerate(wanted)
-    ]).select(F.inline(F.array(*[f"r{k}" for k in range(len(wanted))])))
+    found: dict[tuple[str, int], float] = {}
+    # (column, its ends, values below it, wanted ranks); the first interval has the infinities beside it.
+    open_ = [(c, *ends[c], 0, ranks[c]) for c in ranks]
+    whole = True
+    while open_:
+        tagged = []
+        for i, (c, low, high, _, _) in enumerate(open_):
+            value = F.col(f"`{c}`")
+            inside = value.isNotNull() if whole else value.between(low, high)
+            tagged.append(F.when(inside, F.struct(
+                F.lit(i).alias("i"), _part(value, low, high).alias("part"), value.alias("value"))))
+        parts = values.select(F.inline(F.array_compact(F.array(*tagged)))).groupBy("i", "part").agg(
+            F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        smaller = Window.partitionBy("i").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        placed = parts.withColumn("before", F.coalesce(F.sum("n").over(smaller), F.lit(0)))
+        wanted = F.lit(False)
+        for i, (_, _, _, below, places) in enumerate(open_):
+            for place in places:
+                wanted |= (F.col("i") == i) & (F.col("before") <= place - below) & (F.col("before") + F.col("n") > place - below)
+        narrower = []
+        # One row per wanted rank at most.
+        for row in placed.where(wanted).collect():
+            c, _, _, below, places = open_[row["i"]]
+            start = below + row["before"]
+            here = {place for place in places if start <= place < start + row["n"]}
+            if row["low"] == row["high"]:
+                found |= {(c, place): row["low"] for place in here}
+            else:
+                narrower.append((c, row["low"], row["high"], start, here))
+        open_, whole = narrower, False
+    return found
 
-    bands = [(c, i, F.col(f"`{c}`").between(low, high)) for c, i, _, low, high in wanted]
-    tagged = [
-        F.when(inside, F.struct(
-            F.lit(c).alias("column"), F.lit(i).alias("share"), F.col(f"`{c}`").alias("value")
-        ))
-        for c, i, inside in bands
-    ]
-    # Most rows lie in no band and are gone before the bands of the others are listed.
-    counted = (
-        values.where(reduce(lambda a, b: a | b, [inside for _, _, inside in bands]))
-        .select(F.inline(F.array_compact(F.array(*tagged))))
-        .groupBy("column", "share", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    smaller = Window.partitionBy("column", "share").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        counted.withColumn("earlier", F.coalesce(F.sum("n").over(smaller), F.lit(0)))
-        .join(F.broadcast(ranks), ["column", "share"])
-        .withColumn("before", F.col("below") + F.col("earlier"))
-    )
 
-    position, below = F.col("position"), F.first("below")
+def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """``column, rows, q0, q1, ...``: linearly interpolated quantiles of each column, NULL and NaN ignored.
+
+    The quantiles are found when the function is called. A column without values has no row.
+    """
+    values = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
+    finite = {c: F.when(F.abs(F.col(f"`{c}`")) <= _FINITE, F.col(f"`{c}`")) for c in columns}
+    measured = values.agg(*[
+        F.struct(F.count(f"`{c}`"), F.min(v), F.max(v)) for c, v in finite.items()]).first()
+    rows = {c: of[0] for c, of in zip(columns, measured) if of[0]}
+    # A column of infinities alone has no finite ends; any will do.
+    ends = {c: (of[1] or 0.0, of[2] or 0.0) for c, of in zip(columns, measured)}
+    ranks = {c: {place(share * (n - 1)) for share in shares for place in (floor, ceil)} for c, n in rows.items()}
+    found = _values_at(values, ranks, ends) if rows else {}
 
-    def value_at(rank: Column) -> Column:
-        holds = (rank >= F.col("before")) & (rank < F.col("before") + F.col("n"))
-        # Interpolation looks at the two neighbours of a rank; in short columns one may lie just outside.
-        outside = F.when(F.first(rank) < below, F.first("previous")).otherwise(F.first("next"))
-        return F.coalesce(F.max(F.when(holds, F.col("value"))), outside)
+    def quantile(c: str, share: float) -> float:
+        position = share * (rows[c] - 1)
+        low, high = found[c, floor(position)], found[c, ceil(position)]
+        return low if low == high else low + (position - floor(position)) * (high - low)
 
-    quantiles = placed.groupBy("column", "share").agg(
-        F.first("rows").alias("rows"), F.first("position").alias("position"),
-        value_at(F.floor(position)).alias("low"), value_at(F.ceil(position)).alias("high"),
-    ).withColumn("q", F.col("low") + (position - F.floor(position)) * (F.col("high") - F.col("low")))
-    return quantiles.groupBy("column").agg(F.max("rows").alias("rows"), *[
-        F.max(F.when(F.col("share") == i, F.col("q"))).alias(f"q{i}") for i in range(len(shares))
-    ])
+    schema = "column string, rows bigint" + "".join(f", q{i} double" for i in range(len(shares)))
+    return df.sparkSession.createDataFrame(
+        [(c, n, *[quantile(c, share) for share in shares]) for c, n in rows.items()], schema)

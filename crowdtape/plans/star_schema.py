@@ -33,15 +33,22 @@ def user_mentions(posts: DataFrame) -> DataFrame:
     return star_names(posts).select(*columns).fillna("").distinct()
 
 
-def user_dim(posts: DataFrame) -> DataFrame:
+def user_dim(posts: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """One row per user and group with its distinct mentions joined in order, and a key.
 
-    Mentions are made distinct before they are gathered, so what is gathered is the cell itself and not
-    the user's posts.
+    Rows of an ``existing`` dimension stay as they are, so stored facts keep their users; only users it lacks
+    are added, with keys that go on from its largest. Mentions are made distinct before they are gathered, so
+    what is gathered is the cell itself and not the user's posts.
     """
+    on = ["twitter_user", "twitter_group"]
     mentions = F.array_join(F.array_sort(F.collect_list("mentioned_users")), " ")
-    users = user_mentions(posts).groupBy("twitter_user", "twitter_group").agg(mentions.alias("mentioned_users"))
-    return dense_ids(users, ["twitter_user", "twitter_group"])
+    found = user_mentions(posts)
+    if existing is None:
+        return dense_ids(found.groupBy(*on).agg(mentions.alias("mentioned_users")), on)
+    unknown = found.join(existing.select(*on), on, "left_anti")
+    added = dense_ids(unknown.groupBy(*on).agg(mentions.alias("mentioned_users")), on)
+    taken = F.coalesce(existing.agg(F.max("ID")).scalar(), F.lit(0))
+    return existing.select("ID", *on, "mentioned_users").unionByName(added.withColumn("ID", F.col("ID") + taken))
 
 
 def date_dim(posts: DataFrame) -> DataFrame:
@@ -50,11 +57,13 @@ def date_dim(posts: DataFrame) -> DataFrame:
     return dated.select(F.xxhash64("twitter_id").alias("ID"), *dated.columns)
 
 
-def fact_posts(posts: DataFrame, users: DataFrame) -> DataFrame:
-    """Posts with the key of their user; the post key is a hash of its id, which needs no order."""
+def fact_posts(posts: DataFrame, users: DataFrame, many_users: bool = False) -> DataFrame:
+    """Posts with the key of their user; the post key is a hash of its id, which needs no order.
+
+    Spark broadcasts the users if their size allows. ``many_users`` says that it does not: then the posts of
+    frequent users are counted first and kept out of the shuffle, for which the posts are read four times.
+    """
     keys = users.select("twitter_user", "twitter_group", F.col("ID").alias("UserID_FK"))
-    facts = left_lookup(
-        star_names(posts).select("twitter_user", "twitter_group", *FACT_COLUMNS), keys,
-        ["twitter_user", "twitter_group"],
-    )
+    named, on = star_names(posts).select("twitter_user", "twitter_group", *FACT_COLUMNS), ["twitter_user", "twitter_group"]
+    facts = left_lookup(named, keys, on) if many_users else named.join(keys, on, "left")
     return facts.select(F.xxhash64("twitter_id").alias("ID"), "UserID_FK", *FACT_COLUMNS)

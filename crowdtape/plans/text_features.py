@@ -8,6 +8,7 @@ from crowdtape.functions.cleaning import clean_posts
 from crowdtape.operators.buckets import bucket_sums, pivot_users
 from crowdtape.operators.calendars import fill_openings, fill_steps
 from crowdtape.operators.folds import fold_market_hours, fold_weekend_by_day, fold_weekend_by_time
+from crowdtape.operators.ngrams import with_grams
 from crowdtape.operators.probability import score_posts
 from crowdtape.operators.scaling import logs_to_unit_sum, min_max
 from crowdtape.sources.staging import staged
@@ -15,6 +16,8 @@ from crowdtape.sources.staging import staged
 # Each probability's logarithm, which stays finite however long a post is.
 LOGARITHMS = {"unigram_probability": "unigram_log_prob", "bigram_probability": "bigram_log_prob"}
 PROBABILITIES = list(LOGARITHMS)
+# The columns of n-grams and their n.
+GRAMS = {"bigram": 2, "trigram": 3, "quadgram": 4, "pentagram": 5}
 TOTALS = ["favorite_count", "retweet_count"]
 
 # The bucket widths of the feature tables, and the offset of the hourly one.
@@ -38,6 +41,16 @@ def scored_posts(posts: DataFrame, text: str = "text", **cleaning) -> DataFrame:
     return staged(scored, "scored")
 
 
+def cleaned_ngrams(posts: DataFrame, text: str = "text", **cleaning) -> DataFrame:
+    """Posts with date, probabilities and a column of n-grams for each name in ``GRAMS``."""
+    tokens = staged(clean_posts(posts.select("id", text), text, **cleaning).select("id", "tokens"), "tokens")
+    scores = score_posts(tokens).select("id", *PROBABILITIES)
+    return (
+        with_grams(tokens, GRAMS).drop("tokens").join(scores, "id").join(posts.drop(text), "id")
+        .withColumn("date", F.to_date("created_at"))
+    )
+
+
 def scaled_posts(scored: DataFrame) -> DataFrame:
     """Probabilities scaled to sum 1, from their logarithms; counts scaled to the range 0..1."""
     return min_max(logs_to_unit_sum(scored, LOGARITHMS), TOTALS)

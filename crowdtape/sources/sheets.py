@@ -16,9 +16,14 @@ def handles_long(sheet: DataFrame, groups: Sequence[str] | None = None) -> DataF
     return sheet.unpivot([], groups, "group", "user").where(F.coalesce("user", F.lit("")) != "")
 
 
-def ticker_labels(sheet: DataFrame) -> dict[str, str]:
-    """Ticker name -> label. A sheet names columns, so it is as short as a table is wide."""
-    return {row["ticker_name"]: row["ticker_label"] for row in sheet.collect()}
+def ticker_labels(sheet: DataFrame, names: Sequence[str]) -> dict[str, str]:
+    """Ticker name -> label for the given names, such as a table's columns; no more rows than names are fetched.
+
+    Of several labels for one name the first in order counts.
+    """
+    labels = sheet.where(F.col("ticker_name").isin(list(names))).groupBy("ticker_name").agg(
+        F.min("ticker_label").alias("ticker_label")).where(F.col("ticker_label").isNotNull())
+    return {row["ticker_name"]: row["ticker_label"] for row in labels.collect()}
 
 
 def label_columns(prices: DataFrame, labels: dict[str, str], time_names: dict[str, str] | None = None) -> DataFrame:

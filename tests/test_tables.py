@@ -69,15 +69,25 @@ def test_quantiles_of_short_columns(spark):
         assert [row[f"q{i}"] for i in range(len(shares))] == pytest.approx(expected), row["column"]
 
 
-def test_wide_bands_leave_quantiles_exact(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "_ACCURACY", 20)
-    monkeypatch.setattr(quantiles, "_BAND", 3 / 20)
+@pytest.mark.parametrize("parts", [1, 2, 50])
+def test_quantiles_take_as_many_passes_as_they_need(spark, monkeypatch, parts):
+    monkeypatch.setattr(quantiles, "_PARTS", parts)
     values = [random.Random(1).random() for _ in range(3000)]
     df = spark.createDataFrame([(v,) for v in values], "a double").repartition(7)
     row = quantiles.exact_quantiles(df, ["a"], [0.1, 0.5, 0.77]).first()
     assert [row.q0, row.q1, row.q2] == pytest.approx(list(np.quantile(values, [0.1, 0.5, 0.77])))
 
 
+def test_quantiles_of_extreme_values(spark):
+    least, most, endless = 5e-324, 1.7976931348623157e308, float("inf")
+    df = spark.createDataFrame(
+        [(v, w) for v, w in zip([-endless, -most, 0.0, least, most, endless, float("nan"), None],
+                                [None, None, endless, None, None, None, None, None])], "a double, b double")
+    result = {r["column"]: r for r in quantiles.exact_quantiles(df, ["a", "b"], [0.2, 0.4, 0.6, 0.8]).collect()}
+    assert [result["a"][f"q{i}"] for i in range(4)] == [-most, 0.0, least, most]
+    assert (result["a"]["rows"], result["b"]["rows"], result["b"]["q2"]) == (6, 1, endless)
+
+
 def test_scaling(spark):
     df = spark.createDataFrame([(1.0, 5.0, 2), (2.0, 5.0, 0), (5.0, 5.0, 4)], "a double, flat double, n int")
     assert [r.a for r in scaling.min_max(df, ["a"]).orderBy("a").collect()] == [0.0, 0.25, 1.0]
@@ -323,6 +333,18 @@ def test_naive_bayes_separates_two_clouds(spark):
     assert summaries.confusion_metrics(predicted).first().accuracy > 0.95
 
 
+def test_clusters_and_components_against_numpy(spark):
+    chance = np.random.default_rng(5)
+    vectors = np.concatenate([chance.normal(at, 0.1, (40, 3)) for at in ([0, 0, 0], [9, 0, 0], [0, 9, 4])])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id int, embedding array<double>")
+    clusters = np.array([r.cluster for r in forecast.embedding_clusters(df, k=3).orderBy("vec_id").collect()])
+    centres = np.array([vectors[clusters == k].mean(axis=0) for k in range(3)])
+    assert (np.argmin(((vectors[:, None] - centres) ** 2).sum(axis=2), axis=1) == clusters).all()
+    found_ = np.array([r.components.toArray() for r in forecast.embedding_components(df, k=2).orderBy("vec_id").collect()])
+    axes = np.linalg.svd(vectors - vectors.mean(axis=0))[2][:2]
+    assert np.abs(found_) == pytest.approx(np.abs(vectors @ axes.T), abs=1e-6)
+
+
 # --- star schema ---
 
 def test_star_schema(spark):
@@ -333,6 +355,10 @@ def test_star_schema(spark):
     users = star_schema.user_dim(posts)
     assert found(users, "ID", "twitter_user", "twitter_group", "mentioned_users") == [
         (1, "u0", "g1", "@c"), (2, "u1", "g1", "@a @b"), (3, "u1", "g2", "")]
+    again = star_schema.user_dim(posts, existing=users.where("twitter_user = 'u1'"))
+    assert found(again, "ID", "twitter_user", "twitter_group") == [(2, "u1", "g1"), (3, "u1", "g2"), (4, "u0", "g1")]
+    assert star_schema.user_dim(posts, existing=users.where("false")).count() == 3
+    assert found(star_schema.fact_posts(posts, users)) == found(star_schema.fact_posts(posts, users, many_users=True))
     # The same user in two groups has a key for each, and no post is doubled.
     facts = star_schema.fact_posts(posts, users)
     assert found(facts, "twitter_id", "UserID_FK") == [(1, 2), (2, 2), (3, 2), (4, 3), (5, 1)]
@@ -371,7 +397,7 @@ def test_sheets(spark):
         ("international_news", "ftworldnews"), ("international_news", "guardian")]
     tickers = spark.createDataFrame([("AAPL", "APPLE")], "ticker_name string, ticker_label string")
     wide = spark.createDataFrame([("d", 1.0)], "Date string, AAPL double")
-    assert sheets.label_columns(wide, sheets.ticker_labels(tickers)).columns == ["date", "APPLE"]
+    assert sheets.label_columns(wide, sheets.ticker_labels(tickers, wide.columns)).columns == ["date", "APPLE"]
     long = spark.createDataFrame([("AAPL", 1.0), ("X", 2.0)], "ticker_name string, price double")
     assert found(sheets.label_rows(long, tickers).fillna("?"), "ticker_name", "ticker_label") == [("AAPL", "APPLE"), ("X", "?")]
 

@@ -88,6 +88,10 @@ def test_stems():
     assert [(w, stem(w)) for w, _ in pairs] == pairs
 
 
+def test_a_y_after_a_consonant_y_is_a_vowel():
+    assert (stem("sayyid"), stem("days"), stem("yyyying")) == ("sayyid", "day", "yyyi")
+
+
 def test_entities(spark):
     posts = texts(spark, "Hi @Ann_1 and @Zoé: #Größe # gap https://www.site-a.example/x http://a.b www.q.example/z")
     text = F.col("text")

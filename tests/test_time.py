@@ -93,6 +93,26 @@ def test_empty_weeks_on_request(spark):
     assert filled == [(dt.date(2023, 7, 10), 1.0), (dt.date(2023, 7, 17), 0.0), (dt.date(2023, 7, 24), 2.0)]
 
 
+def test_empty_weeks_of_each_key(spark):
+    df = spark.createDataFrame(
+        [("a", dt.date(2023, 7, 8), 1.0), ("a", dt.date(2023, 7, 24), 2.0), ("b", dt.date(2023, 7, 15), 3.0),
+         ("c", dt.date(2023, 7, 12), 4.0)], "user string, date date, value double")
+    filled = found(folds.fold_weekend_by_day(df, ["value"], keys=["user"], emit_empty=True), "user", "date", "value")
+    assert filled == [
+        ("a", dt.date(2023, 7, 10), 1.0), ("a", dt.date(2023, 7, 17), 0.0), ("a", dt.date(2023, 7, 24), 2.0),
+        ("b", dt.date(2023, 7, 17), 3.0), ("c", dt.date(2023, 7, 12), 4.0)]
+
+
+def test_empty_openings_on_request(spark):
+    rows = [("2023-02-27 13:00:00", 1.0), ("2023-03-01 16:30:00", 2.0), ("2023-03-01 22:30:00", 4.0)]
+    assert market(spark, *rows) == [
+        (at("2023-02-27 09:30"), 1.0), (at("2023-03-01 11:30"), 2.0), (at("2023-03-02 09:30"), 4.0)]
+    assert market(spark, *rows, emit_empty=True) == [
+        (at("2023-02-27 09:30"), 1.0), (at("2023-02-28 09:30"), 0.0), (at("2023-03-01 09:30"), 0.0),
+        (at("2023-03-01 11:30"), 2.0), (at("2023-03-02 09:30"), 4.0)]
+    assert market(spark, rows[1], emit_empty=True) == [(at("2023-03-01 11:30"), 2.0)]
+
+
 def test_weekend_by_time_adds_to_mondays_opening(spark):
     df = series(spark, ("2023-07-07 20:00:00", 1.0), ("2023-07-08 01:00:00", 2.0), ("2023-07-09 23:00:00", 4.0),
                 ("2023-07-10 13:30:00", 8.0), ("2023-07-10 14:30:00", 16.0))

@@ -5,13 +5,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crowdtape import schemas
 from crowdtape.functions import entities, patterns
-from crowdtape.operators import dedupe, price_joins, summaries
-from crowdtape.plans import forecast, star_schema
+from crowdtape.operators import dedupe, ordered, price_joins, summaries
+from crowdtape.plans import forecast, price_features, star_schema, text_features
 from crowdtape.sources import posts as post_files, sheets, tables
 from crowdtape.sources.staging import new_path, staged
 from crowdtape.streaming import posts as streams
-from workload.market import HOURLY, MARKET_POSTS, hourly_prices, market_posts, rounded
-from workload.views import POSTS, TAGGED, WORDS, Query, posts, table, tagged_posts, with_ctes, word_posts
+from workload.market import (
+    HOURLY, LONG, MARKET_POSTS, hourly_prices, long_prices, market_ctes, market_posts, rounded, scaled_posts,
+)
+from workload.views import POSTS, TAGGED, USERS, WORDS, Query, posts, table, tagged_posts, with_ctes, word_posts
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
@@ -169,7 +171,7 @@ def _labels(spark: SparkSession, folder: str) -> DataFrame:
     sheet = events.select(F.col("event_type").alias("ticker_name")).distinct().where("ticker_name <> 'error'")
     sheet = sheet.withColumn("ticker_label", F.upper("ticker_name"))
     labelled = sheets.label_rows(events.select("event_id", F.col("event_type").alias("ticker_name")), sheet)
-    renamed = sheets.label_columns(labelled, sheets.ticker_labels(sheet), {"event_id": "timestamp"})
+    renamed = sheets.label_columns(labelled, sheets.ticker_labels(sheet, labelled.columns), {"event_id": "timestamp"})
     return renamed.select("timestamp", "ticker_name", "ticker_label")
 
 
@@ -227,6 +229,21 @@ def _user_mentions(spark: SparkSession, folder: str) -> DataFrame:
     return star_schema.user_mentions(_star_posts(spark, folder))
 
 
+# The languages whose posts are loaded first; the second load brings all.
+_FIRST_LOAD = "\"group\" IN ('de', 'fr')"
+
+
+def _user_dim_twice(spark: SparkSession, folder: str) -> DataFrame:
+    star = _star_posts(spark, folder)
+    first = star_schema.user_dim(star.where(F.col("group").isin("de", "fr")))
+    return star_schema.user_dim(star, existing=staged(first, "first-users")).drop("mentioned_users")
+
+
+_TWICE_SQL = with_ctes(f"""
+    SELECT row_number() OVER (ORDER BY NOT {_FIRST_LOAD}, "user", "group") AS ID, "user" AS twitter_user,
+        "group" AS twitter_group FROM (SELECT DISTINCT "user", "group" FROM posts)""", POSTS)
+
+
 def _date_dim(spark: SparkSession, folder: str) -> DataFrame:
     return star_schema.date_dim(posts(spark, folder)).drop("ID")
 
@@ -352,18 +369,94 @@ _OLS_MANY_SQL = """
 
 
 def _naive_bayes(spark: SparkSession, folder: str) -> DataFrame:
-    events = _events(spark, folder).select(
-        "event_id", F.col("value"), F.get_json_object("props", "$.k").cast("double").alias("k"),
-        (F.col("event_type") == "purchase").cast("int").alias("label"))
-    train, test = forecast.train_test_split(events, "event_id", 0.2)
-    predicted = forecast.predict(forecast.fit_naive_bayes(train, "label", ["value", "k"]), test, ["value", "k"])
-    return summaries.confusion_metrics(predicted)
+    """Whether the price exceeds its window's mean, told from the two."""
+    features = ["price", "window_mean"]
+    labelled = staged(ordered.binary_target(long_prices(spark, folder)), "target").where(F.col("window_mean").isNotNull())
+    keyed = labelled.select(F.concat_ws("@", "ticker", "ts").alias("key"), *features, F.col("y").alias("label"))
+    train, test = forecast.train_test_split(keyed, "key", 0.2)
+    return rounded(summaries.confusion_metrics(
+        forecast.predict(forecast.fit_naive_bayes(train, "label", features), test, features)),
+        "accuracy", "precision", "recall", "f1", digits=9)
+
+
+# A class's score: its share and, for each feature, the normal density by its mean and variance, in logarithms.
+_BAYES = [LONG, """target AS (
+    SELECT *, CASE WHEN price > window_mean THEN 1 ELSE 0 END AS y,
+        CAST('0x' || substr(md5(key || ':0'), 1, 8) AS BIGINT) / 4294967296.0 AS share FROM (
+        SELECT ticker || '@' || ts AS key, price, avg(price) OVER frame AS window_mean, count(*) OVER frame AS n,
+            row_number() OVER (PARTITION BY ticker ORDER BY ts) AS number
+        FROM prices WINDOW frame AS (PARTITION BY ticker ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING))
+    WHERE n = 5 AND number >= 5)""", """j AS (
+    SELECT label AS y, CASE WHEN max(score) FILTER (class = 1) > max(score) FILTER (class = 0) THEN 1 ELSE 0 END AS p FROM (
+        SELECT t.key, t.label, m.y AS class, ln(m.n / CAST(sum(m.n) OVER (PARTITION BY t.key) AS DOUBLE))
+            - (ln(m.va) + power(t.price - m.a, 2) / m.va + ln(m.vb) + power(t.window_mean - m.b, 2) / m.vb) / 2 AS score
+        FROM (SELECT *, y AS label FROM target WHERE share < 0.2) t CROSS JOIN (
+            SELECT y, count(*) AS n, avg(price) AS a, avg(window_mean) AS b,
+                var_pop(price) + any_value(least_variance) AS va, var_pop(window_mean) + any_value(least_variance) AS vb
+            FROM target CROSS JOIN (SELECT 1e-9 * greatest(var_pop(price), var_pop(window_mean)) AS least_variance
+                FROM target WHERE share >= 0.2) WHERE share >= 0.2 GROUP BY y) m)
+    GROUP BY key, label)"""]
 
 
 def _cross_validation(spark: SparkSession, folder: str) -> DataFrame:
     fitted = forecast.cross_validate(table(spark, folder, "lineitem"), "l_extendedprice", _FEATURES,
                                      F.concat_ws(":", "l_orderkey", "l_linenumber"), folds=3)
-    return spark.createDataFrame([(float(fitted.avgMetrics[0]),)], "mean_r2 double")
+    return spark.createDataFrame([(round(float(fitted.avgMetrics[0]), 8),)], "mean_r2 double")
+
+
+# The normal equations of three features less their means, by Cramer's rule, for each ``g`` of the rows in ``d``.
+_NORMAL = [
+    "centre AS (SELECT g, avg(y) AS y, avg(a) AS a, avg(b) AS b, avg(c) AS c FROM d GROUP BY g)",
+    """s AS (SELECT g, sum((d.a - m.a) * (d.a - m.a)) AS aa, sum((d.a - m.a) * (d.b - m.b)) AS ab,
+        sum((d.a - m.a) * (d.c - m.c)) AS ac, sum((d.b - m.b) * (d.b - m.b)) AS bb, sum((d.b - m.b) * (d.c - m.c)) AS bc,
+        sum((d.c - m.c) * (d.c - m.c)) AS cc, sum((d.a - m.a) * (d.y - m.y)) AS ay, sum((d.b - m.b) * (d.y - m.y)) AS by_,
+        sum((d.c - m.c) * (d.y - m.y)) AS cy FROM d JOIN centre m USING (g) GROUP BY g)""",
+    """w AS (SELECT *, y - wa * a - wb * b - wc * c AS w0 FROM centre JOIN (
+        SELECT g, (ay * (bb * cc - bc * bc) + by_ * (ac * bc - ab * cc) + cy * (ab * bc - ac * bb)) / det AS wa,
+            (ay * (ac * bc - ab * cc) + by_ * (aa * cc - ac * ac) + cy * (ab * ac - aa * bc)) / det AS wb,
+            (ay * (ab * bc - ac * bb) + by_ * (ab * ac - aa * bc) + cy * (aa * bb - ab * ab)) / det AS wc
+        FROM (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM s)) USING (g))""",
+]
+_CROSS_SQL = with_ctes("""
+    SELECT round(avg(r2), 8) AS mean_r2 FROM (
+        SELECT fold, 1 - sum(power(r.y - (w0 + wa * r.a + wb * r.b + wc * r.c), 2))
+            / (var_pop(r.y) * count(*)) AS r2 FROM r JOIN w ON g = fold GROUP BY fold)""", """
+    r AS (SELECT CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) AS a, CAST(l_discount AS DOUBLE) AS b,
+        CAST(l_tax AS DOUBLE) AS c, CAST(floor(CAST('0x' || substr(md5(l_orderkey || ':' || l_linenumber || ':42'), 1, 8) AS BIGINT)
+            / 4294967296.0 * 3) AS INTEGER) AS fold FROM lineitem)""",
+    "d AS (SELECT r.*, g FROM r JOIN (SELECT unnest([0, 1, 2]) AS g) ON fold <> g)", *_NORMAL)
+
+
+def _forecast_many(spark: SparkSession, folder: str) -> DataFrame:
+    """The last day's price of one ticker, from another's and the posts' features, one of which is always 0."""
+    wide = text_features.intraday_features(scaled_posts(spark, folder), [*USERS, "nobody"], "byhour")
+    prices = staged(hourly_prices(spark, folder), "hourly-prices")
+    features = ["click", *price_joins.columns_like(wide, "_nobody$|_count$")]
+    merged = staged(price_features.merged_history(prices, wide).select("timestamp", *features), "merged")
+    day = price_joins.on_day(merged, price_joins.last_day(merged))
+    return rounded(forecast.forecast_day(merged, day, prices, "view", features), "prediction", digits=5)
+
+
+_FORECAST_MANY_SQL = with_ctes("""
+    SELECT timestamp, round(w0 + wa * x.a + wb * x.b + wc * x.c, 5) AS prediction
+    FROM x CROSS JOIN w WHERE CAST(timestamp AS DATE) = (SELECT CAST(max(timestamp) AS DATE) FROM x)""",
+    POSTS, HOURLY, """
+    counted AS (SELECT created_at, (favorite_count - lo1) / CAST(hi1 - lo1 AS DOUBLE) AS favorite_count,
+        (retweet_count - lo2) / CAST(hi2 - lo2 AS DOUBLE) AS retweet_count
+        FROM posts CROSS JOIN (SELECT min(favorite_count) AS lo1, max(favorite_count) AS hi1,
+            min(retweet_count) AS lo2, max(retweet_count) AS hi2 FROM posts))""", """
+    b AS (SELECT time_bucket(INTERVAL '1 hour', created_at, INTERVAL '30 minutes') AS created_at,
+        sum(favorite_count) AS favorite_count, sum(retweet_count) AS retweet_count FROM counted GROUP BY 1)""", """
+    filled AS (SELECT created_at, coalesce(favorite_count, 0.0) AS favorite_count, coalesce(retweet_count, 0.0) AS retweet_count
+        FROM b FULL JOIN (SELECT unnest(generate_series(date_trunc('day', lo), date_trunc('day', hi), INTERVAL '1 day'))
+            + INTERVAL '13 hours 30 minutes' AS created_at FROM (SELECT min(created_at) AS lo, max(created_at) AS hi FROM b))
+        USING (created_at))""",
+    *market_ctes(keys="", measures="sum(favorite_count) AS favorite_count, sum(retweet_count) AS retweet_count",
+                 source="filled", columns="favorite_count, retweet_count"),
+    """x AS (SELECT timestamp, view AS y, coalesce(click, 0.0) AS a, favorite_count AS b, retweet_count AS c
+        FROM hourly JOIN market USING (timestamp))""",
+    """d AS (SELECT *, 0 AS g FROM x
+        WHERE y IS NOT NULL AND CAST(timestamp AS DATE) < (SELECT CAST(max(timestamp) AS DATE) FROM x))""", *_NORMAL)
 
 
 def _judged(spark: SparkSession, folder: str) -> DataFrame:
@@ -379,13 +472,13 @@ def _confusion(spark: SparkSession, folder: str) -> DataFrame:
 
 _JUDGED = """j AS (SELECT quality AS y, CASE WHEN n_chars > 500 THEN 1 ELSE 0 END AS p
     FROM labels JOIN documents USING (doc_id))"""
-_CONFUSION_SQL = with_ctes("""
+_CONFUSION = """
     SELECT tn, fp, fn, tp, round((tp + tn) / nullif(CAST(tn + fp + fn + tp AS DOUBLE), 0), 9) AS accuracy,
         round(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 9) AS precision,
         round(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 9) AS recall,
         round(2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 9) AS f1
     FROM (SELECT count(*) FILTER (y = 0 AND p = 0) AS tn, count(*) FILTER (y = 0 AND p = 1) AS fp,
-        count(*) FILTER (y = 1 AND p = 0) AS fn, count(*) FILTER (y = 1 AND p = 1) AS tp FROM j)""", _JUDGED)
+        count(*) FILTER (y = 1 AND p = 0) AS fn, count(*) FILTER (y = 1 AND p = 1) AS tp FROM j)"""
 
 
 def _class_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -483,6 +576,7 @@ QUERIES = {
     "parquet_by_date": Query(_parquet, _PARQUET_SQL),
     "user_dim": Query(_user_dim, with_ctes(
         "SELECT ID, twitter_user, twitter_group, mentioned_users FROM users", POSTS, TAGGED, _STAR, _USERS)),
+    "user_dim_two_loads": Query(_user_dim_twice, _TWICE_SQL),
     "user_mentions": Query(_user_mentions, with_ctes(
         'SELECT DISTINCT "user" AS twitter_user, "group" AS twitter_group, usernames AS mentioned_users FROM star',
         POSTS, TAGGED, _STAR)),
@@ -494,10 +588,11 @@ QUERIES = {
     "ols_metrics": Query(_ols_metrics, _OLS_METRICS_SQL),
     "best_worst_case": Query(_best_worst, _BEST_WORST_SQL),
     "forecast_day": Query(_forecast, _FORECAST_SQL),
+    "forecast_many": Query(_forecast_many, _FORECAST_MANY_SQL),
     "ols_many": Query(_ols_many, _OLS_MANY_SQL),
-    "naive_bayes": Query(_naive_bayes),
-    "cross_validation": Query(_cross_validation),
-    "confusion_report": Query(_confusion, _CONFUSION_SQL),
+    "naive_bayes": Query(_naive_bayes, with_ctes(_CONFUSION, *_BAYES)),
+    "cross_validation": Query(_cross_validation, _CROSS_SQL),
+    "confusion_report": Query(_confusion, with_ctes(_CONFUSION, _JUDGED)),
     "class_report": Query(_class_report, _REPORT_SQL),
     "word_vectors": Query(_word_vectors, _WORD_VECTORS_SQL),
     "embedding_clusters": Query(_clusters),

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from crowdtape.functions import times
 from crowdtape.operators import buckets, calendars, folds, ordered, price_joins, quantiles, scaling, summaries
-from crowdtape.plans import text_features
+from crowdtape.plans import price_features, text_features
 from workload.views import POSTS, USERS, Query, grams_sql, posts, table, with_ctes, words_ctes
 
 
@@ -152,6 +152,13 @@ def _market(width: str, **hours):
     return run
 
 
+def _fold_empty(spark: SparkSession, folder: str) -> DataFrame:
+    """Hours of the larger events, with zero rows at openings that nothing moved to."""
+    rare = _events(spark, folder).where(F.col("value") > 150)
+    sums = buckets.bucket_sums(rare, _MEASURES, *_BUCKETS["hour"])
+    return rounded(folds.fold_market_hours(sums, _MEASURES, keys=["user"], emit_empty=True), "value")
+
+
 def market_ctes(keys: str = '"user", ', measures: str = "sum(value) AS value, CAST(sum(k) AS BIGINT) AS k",
                 source: str = "b", columns: str = "value, k", once: bool = False, trading: bool = False) -> list[str]:
     early, late = ("<", ">") if once else ("<=", ">=")
@@ -176,21 +183,32 @@ def _market_sql(width: str, **options: bool) -> str:
                      EVENTS, bucket_cte(width), *market_ctes(**options))
 
 
+def _fold_empty_sql() -> str:
+    local, moved, _ = market_ctes()
+    return with_ctes("""
+        SELECT "user", timestamp, round(sum(value), 4) AS value, CAST(sum(k) AS BIGINT) AS k FROM (
+            SELECT "user", timestamp, value, k FROM m UNION ALL
+            SELECT "user", unnest(generate_series(min(timestamp), max(timestamp), INTERVAL '1 day')), 0.0, 0
+            FROM m WHERE CAST(timestamp AS TIME) = '09:30:00' GROUP BY 1)
+        GROUP BY ALL""", EVENTS, "large AS (SELECT * FROM ev WHERE value > 150)", bucket_cte("hour", source="large"),
+        local.replace(_open_key("created_at"), "created_at"), moved)
+
+
 # --- end to end: posts to scored, scaled, pivoted and folded features ---
 
-def _scaled(spark: SparkSession, folder: str, stem: bool = False) -> DataFrame:
+def scaled_posts(spark: SparkSession, folder: str, stem: bool = False) -> DataFrame:
     scored = text_features.scored_posts(posts(spark, folder), stem=stem)
     return text_features.scaled_posts(scored)
 
 
 def _features_day(spark: SparkSession, folder: str) -> DataFrame:
-    wide = text_features.daily_features(_scaled(spark, folder), USERS)
+    wide = text_features.daily_features(scaled_posts(spark, folder), USERS)
     return rounded(wide, *wide.columns[1:], digits=6)
 
 
 def _features(width: str, stem: bool = False):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        wide = text_features.intraday_features(_scaled(spark, folder, stem), USERS, width)
+        wide = text_features.intraday_features(scaled_posts(spark, folder, stem), USERS, width)
         return rounded(wide, *wide.columns[1:], digits=6)
     return run
 
@@ -303,7 +321,7 @@ def _daily_prices(spark: SparkSession, folder: str) -> DataFrame:
     return _prices(spark, folder, F.to_date("ts"), "date")
 
 
-def _long_prices(spark: SparkSession, folder: str) -> DataFrame:
+def long_prices(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events")
     key = times.time_bucket(F.col("ts"), "1 hour", "30 minutes")
     # Sums of cents, rounded to cents, so that comparing prices does not depend on the order of summation.
@@ -371,6 +389,22 @@ _JOIN_TODAY_SQL = with_ctes(f"""
     WHERE CAST(timestamp AS DATE) = {_TODAY}""", HOURLY, *MARKET_POSTS)
 
 
+def _join_minute(spark: SparkSession, folder: str) -> DataFrame:
+    """Each minute of the last trading day that has both posts and prices."""
+    features = folds.posts_to_market_time(_events(spark, folder), _MEASURES, "1 minute", keys=())
+    prices = _prices(spark, folder, times.to_zone(times.time_bucket(F.col("ts"), "1 minute")), "timestamp")
+    joined = price_features.merged_today(prices, features, price_joins.last_day(prices))
+    return rounded(joined, "value", *USERS, digits=4)
+
+
+_MINUTELY = f"""hourly AS (SELECT timezone('America/New_York', timezone('UTC', time_bucket(INTERVAL '1 minute', ts)))
+    AS timestamp, {_price_columns()} FROM events GROUP BY 1)"""
+_JOIN_MINUTE_SQL = with_ctes(f"""
+    SELECT timestamp, {", ".join(f"round({u}, 4) AS {u}" for u in USERS)}, value, k FROM hourly JOIN market USING (timestamp)
+    WHERE CAST(timestamp AS DATE) = {_TODAY}""", _MINUTELY, EVENTS, bucket_cte("1m", keys=""),
+    *market_ctes(keys="", measures=_EVENT_SUMS))
+
+
 def _semi(spark: SparkSession, folder: str) -> DataFrame:
     prices = hourly_prices(spark, folder)
     training = price_joins.except_day(market_posts(spark, folder), price_joins.last_day(prices))
@@ -411,7 +445,7 @@ _LATEST_SQL = with_ctes(
 
 def _target(shift: int):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        labelled = ordered.binary_target(_long_prices(spark, folder), shift=shift)
+        labelled = ordered.binary_target(long_prices(spark, folder), shift=shift)
         return rounded(labelled, "window_mean")
     return run
 
@@ -431,7 +465,7 @@ def _latest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _forward_fill(spark: SparkSession, folder: str) -> DataFrame:
-    gappy = _long_prices(spark, folder).withColumn("price", F.when(F.col("price") > 50, F.col("price")))
+    gappy = long_prices(spark, folder).withColumn("price", F.when(F.col("price") > 50, F.col("price")))
     return ordered.forward_fill(gappy, ["price"], ["ticker"], "ts")
 
 
@@ -525,7 +559,7 @@ _MOMENTS_SQL = with_ctes(" UNION ALL ".join(
 # --- ensemble: every event type is a run that values each hour ---
 
 def _runs(spark: SparkSession, folder: str) -> DataFrame:
-    return _long_prices(spark, folder).select(
+    return long_prices(spark, folder).select(
         F.col("ticker").alias("run_id"), F.col("ts").alias("timestamp"), F.col("price").alias("value"))
 
 
@@ -554,6 +588,7 @@ QUERIES = {
     "market_30m_fold": Query(_market("30m"), _market_sql("30m")),
     "market_once_fold": Query(
         _market("hour", boundary="once", next_trading_day=True), _market_sql("hour", once=True, trading=True)),
+    "market_fold_empty_days": Query(_fold_empty, _fold_empty_sql()),
     "features_by_day": Query(_features_day, _FEATURES_DAY_SQL),
     "features_by_hour": Query(_features("byhour"), _features_sql("hour")),
     "features_by_hour_stemmed": Query(_features("byhour", True), _features_sql("hour", True)),
@@ -566,6 +601,7 @@ QUERIES = {
     "price_join_day": Query(_join_day, _JOIN_DAY_SQL),
     "price_join_hour": Query(_join_hour, _JOIN_HOUR_SQL),
     "price_join_today": Query(_join_today, _JOIN_TODAY_SQL),
+    "price_join_minute": Query(_join_minute, _JOIN_MINUTE_SQL),
     "price_semi": Query(_semi, _SEMI_SQL),
     "latest_test_row": Query(_latest_test, _LATEST_SQL),
     "binary_target": Query(_target(-1), _target_sql(3, "1 FOLLOWING", 5)),

@@ -6,6 +6,7 @@ from crowdtape.functions import entities, markup, patterns
 from crowdtape.functions.cleaning import chunk_text, clean_posts, with_clean_text, with_words
 from crowdtape.functions.emoji import EMOJI, emoji_names, extract_emoji
 from crowdtape.operators import ngrams, probability
+from crowdtape.plans import text_features
 from workload.views import (
     FACE_NAMES, POSTS, STOP_LIST, TAGGED, WORDS, Query, grams_sql, posts, staged_words, table, tagged_posts,
     with_ctes, word_posts, words_ctes, words_sql,
@@ -175,6 +176,22 @@ _ALL_SIZES_SQL = with_ctes(
     POSTS, WORDS)
 
 
+def _cleaned_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    """The n-gram columns as text."""
+    table_ = text_features.cleaned_ngrams(posts(spark, folder), stem=False)
+    return table_.select("id", "date", *[F.array_join(name, "|").alias(name) for name in text_features.GRAMS],
+                         F.round("bigram_probability", 9).alias("bigram_probability"))
+
+
+def _cleaned_ngrams_sql() -> str:
+    grams = ", ".join(
+        f"array_to_string(list_transform(range(1, len(w.words) - {n} + 2), lambda i: array_to_string(w.words[i:i + {n} - 1], ' ')), '|') AS {name}"
+        for name, n in text_features.GRAMS.items())
+    return with_ctes(f"""
+        SELECT w.id, CAST(p.created_at AS DATE) AS date, {grams}, s.bigram_probability
+        FROM words w JOIN posts p USING (id) JOIN ({_order_n_sql(2, 0.0)}) s USING (id)""", POSTS, WORDS)
+
+
 def _edge_words(spark: SparkSession, folder: str) -> DataFrame:
     return ngrams.edge_word_counts(word_posts(spark, folder))
 
@@ -298,6 +315,7 @@ QUERIES = {
     "text_chunks": Query(_chunks, _CHUNKS_SQL),
     **{f"ngram_frequency_{n}": Query(_frequency(n), _frequency_sql(n)) for n in range(1, 6)},
     "ngram_sizes": Query(_all_sizes, _ALL_SIZES_SQL),
+    "cleaned_ngrams": Query(_cleaned_ngrams, _cleaned_ngrams_sql()),
     "edge_words": Query(_edge_words, _EDGE_SQL),
     "skipgrams": Query(_skipgrams, _SKIPGRAMS_SQL),
     **{f"ngram_frequency_{n}_stemmed": Query(_frequency(n, True), _frequency_sql(n, True)) for n in (1, 2)},
