@@ -8,7 +8,7 @@ import xxhash
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from crowdtape.llm import embedding_dedup, line_dedup, simhash_dedup
+from crowdtape.llm import embedding_dedup, line_dedup, shingle_dedup, simhash_dedup
 from crowdtape.llm.common import Lookup, components
 
 DOCS = "doc_id long, text string, _id string, _line string, kept string"
@@ -165,6 +165,54 @@ def test_simhash_classes_and_who_stays(spark):
     assert simhash_dedup.keep_one(frame.limit(0)).count() == 0
 
 
+# --- shingles ---
+
+def plain_shingles(text):
+    words = (text or "").lower().split()
+    size = min(5, len(words))
+    return {tuple(words[i:i + size]) for i in range(len(words) - size + 1)} if words else set()
+
+
+def similar(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def replaced(rng, text, times):
+    words = text.split()
+    for _ in range(times):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(9999)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("block, often", [(300, 4), (1 << 19, 4), (1 << 19, 1)])
+def test_shingle_classes_match_brute_force(spark, monkeypatch, block, often):
+    monkeypatch.setattr(shingle_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(shingle_dedup, "OFTEN", often)
+    rng = random.Random(3)
+    quote = " ".join(f"quoted{i}" for i in range(12))
+    base = [" ".join(rng.choices([f"w{i}" for i in range(300)], k=rng.randint(60, 200))) for _ in range(7)]
+    rows = [(i, replaced(rng, rng.choice(base), rng.randint(0, 3)) + (f" {quote}" if i % 3 else "")) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, " \n"), (103, "two words"), (104, "Two  WORDS"), (105, rows[0][1].upper())]
+    sets = {i: plain_shingles(t) for i, t in rows}
+    want = classes(sorted(sets), lambda a, b: similar(sets[a], sets[b]) if sets[a] or sets[b] else True)
+    found = shingle_dedup.near_duplicates(docs(spark, rows), block=block).collect()
+    assert {r.doc_id: r.component_id for r in found} == want and len(set(want.values())) < 40
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found)
+
+
+def test_pipeline_drops_near_copies_that_simhash_tells_apart(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    text = " ".join(rng.choices([f"w{i}" for i in range(500)], k=300))
+    rows = [(1, text), (2, replaced(rng, text, 5)), (3, replaced(rng, text, 60))]
+    one, two, three = (plain_shingles(t) for _, t in rows)
+    assert similar(one, two) and not similar(one, three) and not similar(two, three)
+    assert (simhash_dedup.fingerprint(text) ^ simhash_dedup.fingerprint(rows[1][1])).bit_count() > 3
+    left = corpus_pipeline.near_duplicates(spark, docs(spark, rows + [(None, text)]), "")
+    assert sorted(r.doc_id for r in left.collect()) == [1, 3]
+
+
 # --- vectors ---
 
 @pytest.mark.parametrize("cell", [3, 25, 4096])
