@@ -200,6 +200,17 @@ def test_shingle_classes_match_brute_force(spark, monkeypatch, block, often):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+def test_sketches_leave_out_no_similar_set():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (5, 40, 400, 4000) for _ in range(3)]
+    sets += [np.unique(np.concatenate((x[len(x) // 10:], rng.integers(0, 1 << 63, len(x) // 10).astype(np.uint64)))) for x in sets[::2]]
+    sizes = np.array([len(x) for x in sets])
+    sketches = np.array([np.bincount((x >> np.uint64(32)).astype(np.int64) % 256, minlength=256) for x in sets])
+    near = {i for i, x in enumerate(sets) for j, y in enumerate(sets) if i != j and similar(set(x.tolist()), set(y.tolist()))}
+    found = shingle_dedup.with_partner(sizes, np.minimum(sketches, 255).astype(np.uint8))
+    assert near and near <= set(np.flatnonzero(found).tolist()) and not found.all()
+
+
 def test_pipeline_drops_near_copies_that_simhash_tells_apart(spark):
     import corpus_pipeline
 
