@@ -4,7 +4,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crowdtape.llm import divergence, embedding_dedup, line_crf, line_dedup, mixing, ordinal_toxicity, pieces, ppm, rollups, simhash_dedup
+from crowdtape.llm import (
+    decontaminate, divergence, embedding_dedup, hard_negatives, line_crf, line_dedup, mixing, ordinal_toxicity, pieces, ppm,
+    prefix_trie, rollups, simhash_dedup,
+)
 from crowdtape.llm.common import remainder, table
 from crowdtape.sources.staging import new_path, staged
 
@@ -284,6 +287,106 @@ def op10_ordinal_toxicity(spark: SparkSession, folder: str) -> DataFrame:
                          (F.col("p_toxic") >= TOXIC).alias("toxic"))
 
 
+def op11_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"])
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+PASSAGE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{decontaminate.WORD}') AS words FROM documents),
+i AS (SELECT item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{decontaminate.WORD}') AS words FROM benchmark),
+w AS (SELECT item_id, k, array_to_string(words[i0:i0 + k - 1], ' ') AS string FROM (
+    SELECT item_id, words, least(len(words), {decontaminate.WINDOW}) AS k, unnest(range(1, len(words) - least(len(words), {decontaminate.WINDOW}) + 2)) AS i0
+    FROM i WHERE len(words) > 0)),
+v AS (SELECT n, k, i0, array_to_string(words[i0:i0 + k - 1], ' ') AS string FROM (
+    SELECT n, words, k, unnest(range(1, len(words) - k + 2)) AS i0 FROM d JOIN (SELECT DISTINCT k FROM w) ON len(words) >= k)),
+found AS (SELECT n, i0, k, item_id FROM v JOIN w USING (k, string)),
+hits AS (SELECT n, count(*) AS hit FROM (SELECT DISTINCT n, unnest(range(i0, i0 + k)) FROM found) GROUP BY n),
+named AS (SELECT n, count(*) AS items, string_agg(item, ',' ORDER BY item) AS listed
+    FROM (SELECT DISTINCT n, coalesce(CAST(item_id AS VARCHAR), '') AS item FROM found) GROUP BY n)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(items, 0) AS BIGINT) AS n_items,
+    sha256(coalesce(listed, '')) AS items_sha256, coalesce(hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (n) LEFT JOIN named USING (n)
+"""
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(F.lit(256) * x.cast("double")).cast("long"))
+    usable = rows.where(F.coalesce(finite, F.lit(False))).select("vec_id", label.alias("label"), whole.alias("embedding"))
+    return hard_negatives.hard_negatives(usable, F.col("id") % 50 == 0)
+
+
+NEGATIVE_SQL = f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    CAST(list_dot_product(list_transform(a.e, lambda x: CAST(x AS DOUBLE)), list_transform(b.e, lambda x: CAST(x AS DOUBLE))) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= {hard_negatives.POSITIVES})
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND {hard_negatives.LOW} * positive_score <= 100 * s.score AND 100 * s.score <= {hard_negatives.HIGH} * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id)
+QUALIFY row_number() OVER w <= {hard_negatives.NEGATIVES}
+"""
+
+
+def rebuilt(turns: DataFrame) -> DataFrame:
+    """Conversation c begins with up to h turns of conversation c - c % 5 and goes on with its own after h."""
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).cast("int")
+    base = F.col("conv_id") - F.col("conv_id") % 5
+    begins = turns.where("conv_id % 5 = 0").select(F.col("conv_id").alias("base_id"), F.slice("turns", 1, 8).alias("begin"))
+    joined = turns.withColumns({"base_id": base, "h": h}).join(begins, "base_id", "left")
+    own = F.slice("turns", F.col("h") + 1, F.greatest(F.size("turns") - F.col("h"), F.lit(0)))
+    return joined.select("conv_id", F.concat(F.slice(F.coalesce("begin", F.array().cast("array<string>")), F.lit(1), F.col("h")), own).alias("turns"))
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = staged(prefix_trie.turn_ids(table(spark, folder, "conversations")), "turn-ids")
+    trie = prefix_trie.prefix_trie(rebuilt(turns))
+    listed = F.array_join(F.transform(F.array_sort("ends"), lambda x: x.cast("string")), ",")
+    nodes = trie.nodes.withColumn("own", F.sha2(listed.cast("binary"), 256))
+    spread = nodes.where("own IS NULL").join(prefix_trie.listed_digests(trie.ends), "node", "left").withColumn(
+        "own", F.coalesce("digest", F.sha2(F.lit("").cast("binary"), 256))).drop("digest")
+    return nodes.where("own IS NOT NULL").unionByName(spread).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves",
+        F.col("saved_bytes").alias("saved_tokens"), F.col("own").alias("ends_sha256"))
+
+
+TRIE_SQL = """
+WITH bits AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), b)) AS crc),
+own AS (SELECT conv_id, list(struct_pack(id := md5(strlen(role) || ':' || role || text) || lpad(hex(strlen(text)), 8, '0'), n := strlen(text))
+    ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || text)) AS turns
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+sized AS (SELECT conv_id, turns, CAST(xor(list_reduce(list_transform(range(1, len(c) + 1), lambda i: ord(c[i])),
+        lambda s, x: xor(s >> 8, crc[CAST(xor(s & 255, x) AS BIGINT) + 1]), 4294967295), 4294967295) % 9 AS BIGINT) AS h
+    FROM (SELECT *, CAST(conv_id AS VARCHAR) AS c FROM own) CROSS JOIN bits),
+r AS (SELECT s.conv_id, list_concat(coalesce(b.turns[1:s.h], []), s.turns[s.h + 1:]) AS turns
+    FROM sized s LEFT JOIN own b ON b.conv_id = s.conv_id - s.conv_id % 5),
+p AS (SELECT conv_id, d, len(turns) AS size, array_to_string(list_transform(turns[1:d], lambda x: x.id), '') AS path,
+        CASE WHEN d > 0 THEN turns[d].n ELSE 0 END AS n FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+node AS (SELECT d, path, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n, 
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = d), '') AS ends FROM p GROUP BY d, path),
+kids AS (SELECT d - 1 AS d, substr(path, 1, 40 * (d - 1)) AS path, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1, 2),
+below AS (SELECT e AS d, substr(path, 1, 40 * e) AS path, count(*) FILTER (n_children IS NULL) AS n_leaves, sum((n_convs - 1) * n) AS saved
+    FROM (SELECT node.*, n_children, unnest(range(0, node.d + 1)) AS e FROM node LEFT JOIN kids USING (d, path)) GROUP BY 1, 2)
+SELECT node.conv_id, CAST(node.d AS BIGINT) AS depth, parent.conv_id AS parent_conv_id, node.n_convs,
+    CAST(coalesce(n_children, 0) AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+    CAST(saved AS BIGINT) AS saved_tokens, sha256(node.ends) AS ends_sha256
+FROM node JOIN below USING (d, path) LEFT JOIN kids USING (d, path)
+    LEFT JOIN node parent ON parent.d = node.d - 1 AND parent.path = substr(node.path, 1, 40 * (node.d - 1))
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -295,6 +398,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_rollup": op8_token_rollup,
     "op9_divergence_rules": op9_divergence_rules,
     "op10_ordinal_toxicity": op10_ordinal_toxicity,
+    "op11_decontaminate": op11_decontaminate,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": LINE_SQL,
@@ -303,4 +409,7 @@ ORACLES: dict[str, str] = {
     "SELECT doc_id, domain, lang, source, copies FROM copied WHERE copies > 0",
     "op8_token_rollup": ROLLUP_SQL,
     "op9_divergence_rules": _divergence_sql(),
+    "op11_decontaminate": PASSAGE_SQL,
+    "op12_hard_negatives": NEGATIVE_SQL,
+    "op13_prefix_trie": TRIE_SQL,
 }
