@@ -11,6 +11,7 @@ t from bucket to bucket.
 
 import math
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ LOW, HIGH = 50, 95
 GROUP, MOST_GROUPS, LARGE_GROUP = 4096, 1024, 65_536
 BUCKET = 2048
 FOCUS = 3
+# Where there are many groups, every SAMPLE-th is asked first: its answers bound what the others have to give.
+SAMPLE = 16
 _ANCHORS = 256
 _SLACK = 1e-9
 _LEAST, _MOST = -(1 << 62), 1 << 62
@@ -231,11 +234,19 @@ class _Groups:
     """What is known of each group: its labels' range and its longest vector."""
 
     def __init__(self, grouped: DataFrame) -> None:
+        #: In the order of their numbers.
         stats = grouped.groupBy("group").agg(F.min("label"), F.max("label"), F.max("length")).orderBy("group").collect()
         self.number = np.array([row[0] for row in stats], np.int64)
         self.low, self.high = np.array([row[1] for row in stats], np.int64), np.array([row[2] for row in stats], np.int64)
         self.longest = np.array([row[3] for row in stats], np.float64)
 
+    def some(self) -> "_Groups":
+        """The groups whose number SAMPLE divides."""
+        part = copy(self)
+        chosen = self.number % SAMPLE == 0
+        part.number, part.low, part.high, part.longest = (x[chosen] for x in (self.number, self.low, self.high, self.longest))
+        return part
+
     def deal(self, same: bool):
         """A copy of every anchor for each group that could hold an answer."""
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,11 +282,32 @@ def _ask(grouped: DataFrame, groups: _Groups, anchors: DataFrame, keep: int, sam
                      "anchor_id long, tag long, id long, score long")
 
 
-def _first(found: DataFrame, keep: int, *by: str) -> DataFrame:
-    ranked = Window.partitionBy(*by).orderBy(F.desc("score"), "id")
+def _first(found: DataFrame, keep: int) -> DataFrame:
+    ranked = Window.partitionBy("anchor_id", "tag").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= keep)
 
 
+def _asking(anchors: DataFrame, questions: DataFrame) -> DataFrame:
+    """``anchors`` with their rows of ``questions`` as one list each."""
+    asked = questions.groupBy("anchor_id").agg(F.collect_list(F.struct("tag", "low", "high")).alias("questions"))
+    return anchors.join(asked, anchors["id"] == asked["anchor_id"]).drop("anchor_id")
+
+
+def _best(grouped: DataFrame, groups: _Groups, anchors: DataFrame, questions: DataFrame, keep: int, same: bool) -> DataFrame:
+    """The best answers to each question (``anchor_id, tag, low, high``) over all groups, ranked.
+
+    A question of which a sample of the groups has ``keep`` answers needs none that scores less than the last of
+    them, so the number of answers to merge hardly grows with the number of groups.
+    """
+    if len(groups.number) >= 2 * SAMPLE:
+        sample = grouped.where(F.pmod("group", F.lit(SAMPLE)) == 0)
+        early = _first(_ask(sample, groups.some(), _asking(anchors, questions), keep, same), keep)
+        bound = early.where(F.col("rank") == keep).select("anchor_id", "tag", F.col("score").alias("bound"))
+        questions = staged(questions.join(bound, ["anchor_id", "tag"], "left").select(
+            "anchor_id", "tag", F.greatest("low", "bound").alias("low"), "high"), "bounded-questions")
+    return _first(_ask(grouped, groups, _asking(anchors, questions), keep, same), keep)
+
+
 def hard_negatives(vectors: DataFrame, anchors: Column, id_col: str = "vec_id", label_col: str = "label",
                    vector_col: str = "embedding", positives: int = POSITIVES, negatives: int = NEGATIVES,
                    low: int = LOW, high: int = HIGH) -> DataFrame:
@@ -303,18 +335,16 @@ def hard_negatives(vectors: DataFrame, anchors: Column, id_col: str = "vec_id",
     groups = _Groups(grouped)
     chosen = grouped.where(anchors).select("id", "label", "vector", "length")
 
-    anything = F.array(F.struct(F.lit(0).cast("long").alias("tag"), F.lit(_LEAST).alias("low"), F.lit(_MOST).alias("high")))
-    alike = _first(_ask(grouped, groups, chosen.withColumn("questions", anything), positives, True), positives, "anchor_id")
+    anything = chosen.select(F.col("id").alias("anchor_id"), F.lit(0).cast("long").alias("tag"),
+                             F.lit(_LEAST).alias("low"), F.lit(_MOST).alias("high"))
+    alike = _best(grouped, groups, chosen, anything, positives, True)
     alike = staged(alike.select("anchor_id", F.col("id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
 
     # low p <= 100 s <= high p, in whole numbers: s lies between the ceiling and the floor of these hundredths.
     lows = F.expr(f"(positive_score * {low} + pmod(-positive_score * {low}, 100L)) div 100")
     highs = F.expr(f"(positive_score * {high} - pmod(positive_score * {high}, 100L)) div 100")
-    ranges = alike.withColumns({"low": lows, "high": highs}).where("low <= high")
-    asked = ranges.groupBy("anchor_id").agg(
-        F.collect_list(F.struct(F.col("positive_id").alias("tag"), "low", "high")).alias("questions"))
-    asking = chosen.join(asked, chosen["id"] == asked["anchor_id"]).drop("anchor_id")
-    unlike = _first(_ask(grouped, groups, asking, negatives, False), negatives, "anchor_id", "tag")
+    ranges = alike.select("anchor_id", F.col("positive_id").alias("tag"), lows.alias("low"), highs.alias("high"))
+    unlike = _best(grouped, groups, chosen, ranges.where("low <= high"), negatives, False)
     unlike = unlike.select("anchor_id", F.col("tag").alias("positive_id"), F.col("rank").cast("int").alias("rank"),
                            F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
     return unlike.join(alike, ["anchor_id", "positive_id"]).select(
