@@ -6,9 +6,9 @@ Every stage takes the documents that the one before has left. All but the last r
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crowdtape.llm import line_crf, line_dedup, mixing, pieces, shingle_dedup, simhash_dedup
+from crowdtape.llm import line_crf, line_dedup, mixing, pieces, simhash_dedup
 from crowdtape.llm.common import remainder, table
-from crowdtape.llm.queries import MIX_SEED, MIX_WEIGHTS, QUALITY, domain
+from crowdtape.llm.queries import MIX_SEED, MIX_WEIGHTS, NBEST, QUALITY, domain
 from crowdtape.sources.staging import staged
 
 # The mixture holds so many hundredths of the words that are left, each document once at most.
@@ -28,8 +28,8 @@ def line_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles are alike to 0.8 or more."""
-    return simhash_dedup.keep_one(docs, find=shingle_dedup.near_duplicates)
+    """One document of each group that fingerprints of three-word shingles within 3 bits connect."""
+    return simhash_dedup.keep_one(docs, shingle=3, radius=3)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +40,14 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the score of their segmentation."""
-    found = pieces.with_pieces(docs, pieces.Vocabulary())
-    return found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "score", "ids")
+    """Token ids of every document, the scores of its best segmentations, and whether the ids spell its text."""
+    vocabulary = pieces.Vocabulary()
+    found = pieces.with_pieces(docs.select("doc_id", "lang", "source", "text"), vocabulary, count=NBEST)
+    decoded = pieces.with_text(found, vocabulary)
+    return decoded.select(
+        "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "score", "ids",
+        F.transform("nbest", lambda x: x["score"]).alias("nbest_scores"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
 STAGES = [
