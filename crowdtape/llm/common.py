@@ -28,6 +28,22 @@ def remainder(key: str, parts: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % F.lit(parts)
 
 
+def others(df: DataFrame, *ours: str) -> list[str]:
+    """The columns of a table but those named, in upper or lower case: Spark takes such names for the same."""
+    taken = {name.lower() for name in ours}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def packed(columns: list[str], name: str = "_row") -> Column:
+    """Columns as one struct that passes through a step unread; none at all are a struct of a NULL."""
+    fields = [F.col(f"`{c}`") for c in columns] or [F.lit(None).cast("boolean").alias("_")]
+    return F.struct(*fields).alias(name)
+
+
+def unpacked(columns: list[str], name: str = "_row") -> list[Column]:
+    return [F.col(f"{name}.`{c}`").alias(c) for c in columns]
+
+
 def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
               schema: str | T.StructType) -> DataFrame:
     """mapInArrow whose workers can import this package."""

@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from crowdtape.llm.common import WHITE_SPACE, words
+from crowdtape.llm.common import WHITE_SPACE, others, unpacked, words
 from crowdtape.sources.staging import staged
 
 # Runs of characters that are taken out of the text one class after the other; what stays is the last class.
@@ -39,9 +39,9 @@ WINDOW = 8
 def with_statistics(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                     common: dict[str, list[str]] = COMMON_WORDS) -> DataFrame:
     """``docs`` without its text, with what the rules count in it, all in columns that begin with ``_``."""
-    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("_row")
+    carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("_row")
     text, lang = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), F.col(f"`{lang_col}`").cast("string")
-    out = docs.select(others, lang.alias("_lang"), text.alias("_0"))
+    out = docs.select(carried, lang.alias("_lang"), text.alias("_0"))
     for i, pattern in enumerate(CLASSES.values()):
         out = out.withColumn(f"_{i + 1}", F.regexp_replace(f"_{i}", pattern, ""))
     last = len(CLASSES)
@@ -124,7 +124,8 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """
     ours = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance",
             "word_distance", "kept"]
-    used = [c for c in docs.columns if c not in ours or c in (text_col, lang_col)]
+    free = set(others(docs, *ours))
+    used = [c for c in docs.columns if c in free or c in (text_col, lang_col)]
     found = staged(with_statistics(docs.select(*[F.col(f"`{c}`") for c in used]), text_col, lang_col, common),
                    "text-statistics")
     longest = max(map(len, common.values()), default=0) + 1
@@ -145,7 +146,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     far_words = beyond_chance(F.col("_word_distance"), F.size("_common"), n) > farthest_words
     far = ((chars >= least_chars) & F.coalesce(far_classes, F.lit(False))) | (
         (n >= least_words) & F.coalesce(far_words, F.lit(False)))
-    carried = [F.col(f"_row.`{c}`") for c in used if c != text_col and c not in ours]
+    carried = unpacked([c for c in used if c != text_col and c in free])
     return compared.select(
         *carried, F.col("_n_words").alias("n_words"), F.col("_word_chars").alias("word_chars"),
         F.col("_n_symbols").alias("n_symbols"), F.col("_n_dup_lines").alias("n_dup_lines"),

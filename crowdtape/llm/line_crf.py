@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from crowdtape.llm.common import arrow_map
+from crowdtape.llm.common import arrow_map, others, packed, unpacked
 
 # The model is fitted on at most this many labelled documents, those with the smallest key hashes.
 SAMPLE = 8000
@@ -215,9 +215,9 @@ def with_quality(docs: DataFrame, model: Model | None, text_col: str = "text", s
     NULL and empty texts have the share of good documents in training as score, and without a model every
     text has 0.5. All other columns pass unread, whatever they hold; repeated rows each get their score.
     """
-    others = [c for c in docs.columns if c != score_col]
+    passed = others(docs, score_col)
     if model is None:
-        return docs.select(*[F.col(f"`{c}`") for c in others], F.lit(0.5).alias(score_col))
+        return docs.select(*[F.col(f"`{c}`") for c in passed], F.lit(0.5).alias(score_col))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +226,6 @@ def with_quality(docs: DataFrame, model: Model | None, text_col: str = "text", s
                 scores = shared.value.scores(piece.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([piece.column(1), pa.array(scores)], names=["_row", "_score"])
 
-    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("_text"),
-                       F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"))
+    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("_text"), packed(passed))
     scored = arrow_map(rows, work, T.StructType([rows.schema["_row"], T.StructField("_score", T.DoubleType())]))
-    return scored.select("_row.*", F.col("_score").alias(score_col))
+    return scored.select(*unpacked(passed), F.col("_score").alias(score_col))

@@ -11,7 +11,7 @@ epoch: the longest prefix of whole documents, in that epoch's own seeded order,
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from crowdtape.llm.common import words
+from crowdtape.llm.common import others, packed, unpacked, words
 from crowdtape.sources.staging import staged
 
 # Hex digits of the order key that divide a leaf into slices, so that no leaf is ever sorted in one task.
@@ -110,11 +110,11 @@ def with_copies(docs: DataFrame, levels: dict[str, Column], weights: list[dict[s
         *[F.col(n).alias(f"_of{n}") for n in names], "_epochs",
         F.coalesce("_last", "_slice", F.lit("")).alias("_cut")), "mix-cuts")
 
-    carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "copies"]).alias("_row")
-    placed = docs.select(carried, F.col(f"`{id_col}`").alias("_id"), *named).join(
+    passed = others(docs, "copies")
+    placed = docs.select(packed(passed), F.col(f"`{id_col}`").alias("_id"), *named).join(
         cuts, [F.col(n) == F.col(f"_of{n}") for n in names])
     more = (_order_key(seed, F.col("_epochs"), F.col("_id")) <= F.col("_cut")).cast("long")
-    return placed.select("_row.*", (F.col("_epochs") + more).alias("copies"))
+    return placed.select(*unpacked(passed), (F.col("_epochs") + more).alias("copies"))
 
 
 def mixture(docs: DataFrame, *args, **options) -> DataFrame:

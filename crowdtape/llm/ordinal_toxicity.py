@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from crowdtape.llm.common import arrow_map
+from crowdtape.llm.common import arrow_map, others, packed, unpacked
 from crowdtape.sources.staging import staged
 
 # The model is fitted on at most this many labelled documents, those with the smallest key hashes, and on the
@@ -187,10 +187,9 @@ def with_severity(docs: DataFrame, model: Model | None, text_col: str = "text")
     the thresholds speak; without a model nothing is toxic and all three are 0. Repeated rows each get theirs.
     """
     ours = ["severity", "grade", "p_toxic"]
-    others = [c for c in docs.columns if c not in ours]
-    carried = F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row")
+    passed = others(docs, *ours)
     if model is None:
-        return docs.select(*[F.col(f"`{c}`") for c in others], F.lit(0.0).alias("severity"),
+        return docs.select(*[F.col(f"`{c}`") for c in passed], F.lit(0.0).alias("severity"),
                            F.lit(0).alias("grade"), F.lit(0.0).alias("p_toxic"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -203,6 +202,6 @@ def with_severity(docs: DataFrame, model: Model | None, text_col: str = "text")
                 [batch.column(1), pa.array(beyond.sum(axis=1)), pa.array(grade), pa.array(beyond[:, 0].copy())],
                 names=["_row", *ours])
 
-    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("_text"), carried)
+    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("_text"), packed(passed))
     schema = T.StructType([rows.schema["_row"], *T.StructType.fromDDL("severity double, grade int, p_toxic double")])
-    return arrow_map(rows, work, schema).select("_row.*", *ours)
+    return arrow_map(rows, work, schema).select(*unpacked(passed), *ours)

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from crowdtape.llm.common import Lookup, arrow_map
+from crowdtape.llm.common import Lookup, arrow_map, others, packed, unpacked
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -293,7 +293,7 @@ def with_pieces(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
     of these names are replaced, all others pass unread; repeated rows each get theirs.
     """
     ours = ["ids", "score", "nbest"]
-    others = [c for c in docs.columns if c not in ours]
+    passed = others(docs, *ours)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,15 +314,14 @@ def with_pieces(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
                     for s, changes in x[2]] for x in found], kinds)
                 yield pa.RecordBatch.from_arrays([piece.column(1), ids, scores, nbest], names=["_row", *ours])
 
-    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("_text"),
-                       F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"))
+    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("_text"), packed(passed))
     schema = T.StructType([rows.schema["_row"], *T.StructType.fromDDL(f"ids array<int>, score double, nbest {_CHANGES}")])
-    return arrow_map(rows, work, schema).select("_row.*", *ours)
+    return arrow_map(rows, work, schema).select(*unpacked(passed), *ours)
 
 
 def with_text(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text that its pieces spell; NULL pieces spell NULL, none an empty text."""
-    others = [c for c in encoded.columns if c not in (ids_col, text_col)]
+    passed = others(encoded, ids_col, text_col)
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,9 +335,7 @@ def with_text(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids",
                          for a, b, gone in zip([0, *ends[:-1].tolist()], ends.tolist(), none)]
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.string())], names=["_ids", "_row", "_text"])
 
-    rows = encoded.select(F.col(f"`{ids_col}`").alias("_ids"), F.struct(
-        *[F.col(f"`{c}`") for c in others], F.lit(None).cast("boolean").alias("_")).alias("_row"))
+    rows = encoded.select(F.col(f"`{ids_col}`").alias("_ids"), packed(passed))
     schema = T.StructType([rows.schema["_ids"], rows.schema["_row"], T.StructField("_text", T.StringType())])
     found = arrow_map(rows, work, schema)
-    return found.select(*[F.col(f"_row.`{c}`").alias(c) for c in others], F.col("_ids").alias(ids_col),
-                        F.col("_text").alias(text_col))
+    return found.select(*unpacked(passed), F.col("_ids").alias(ids_col), F.col("_text").alias(text_col))

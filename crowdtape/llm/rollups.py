@@ -6,7 +6,9 @@ count where it was, plus the new one where it goes. Their sums per key are the b
 the sum of all deltas, so a batch costs its own size and a ledger lookup, never a recount.
 
 A batch is written to folders of its own and takes effect with the marker written last. Doing a batch again
-after a failure replaces what it had left; doing it again after its marker changes nothing.
+after a failure replaces what it had left; doing it again after its marker changes nothing. Batches take effect in
+the order of their numbers, so one with a number below the last marker is refused. Compaction folds the ledger and
+the deltas of all batches into one folder each, again with a marker written last.
 """
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -26,27 +28,60 @@ class Rollup:
         self.spark, self.root = spark, root.rstrip("/")
         spark.createDataFrame([], "batch long").write.mode("ignore").parquet(f"{self.root}/commits")
 
+        spark.createDataFrame([], _LEDGER).write.mode("ignore").parquet(f"{self.root}/base-ledger/upto=-1")
+        spark.createDataFrame([], _DELTA).write.mode("ignore").parquet(f"{self.root}/base-deltas/upto=-1")
+        spark.createDataFrame([(-1,)], "upto long").write.mode("ignore").parquet(f"{self.root}/bases")
+
     def _commits(self) -> DataFrame:
         return self.spark.read.schema("batch long").parquet(f"{self.root}/commits").distinct()
 
-    def _committed(self, name: str, schema: str) -> DataFrame | None:
-        """The rows of all committed batches; a folder of its own for each is named, so no stray one is read."""
-        batches = sorted(row[0] for row in self._commits().collect())
-        if not batches:
+    def last(self) -> int | None:
+        """The number of the last batch that has taken effect."""
+        return self._commits().agg(F.max("batch")).first()[0]
+
+    def _base(self) -> int:
+        """The last batch that is folded into the base, -1 for none."""
+        return self.spark.read.schema("upto long").parquet(f"{self.root}/bases").agg(F.max("upto")).first()[0]
+
+    def _since(self, name: str, schema: str, base: int) -> DataFrame | None:
+        """The rows of batches after the base that have a marker; folders that a failure has left have none."""
+        later = self._commits().where(F.col("batch") > base)
+        if not later.take(1):
             return None
-        folders = [f"{self.root}/{name}/batch={b}" for b in batches]
-        return self.spark.read.schema(f"{schema}, batch long").option("basePath", f"{self.root}/{name}").parquet(*folders)
+        rows = self.spark.read.schema(f"{schema}, batch long").parquet(f"{self.root}/{name}").where(F.col("batch") > base)
+        return rows.join(F.broadcast(later), "batch", "left_semi")
 
-    def ledger(self) -> DataFrame:
-        """The last known count of each document and tokenizer version that still has one."""
-        rows = self._committed("ledger", _LEDGER)
-        if rows is None:
-            return self.spark.createDataFrame([], _LEDGER).drop("live")
+    def _known(self, keys: DataFrame | None = None) -> DataFrame:
+        """The last known count, or deletion, of each document and version, or of the given ones only.
+
+        The ledger is cut down to the given documents before anything is grouped.
+        """
+        base = self._base()
+        rows = self.spark.read.schema(_LEDGER).parquet(f"{self.root}/base-ledger/upto={base}").withColumn("batch", F.lit(base).cast("long"))
+        since = self._since("ledger", _LEDGER, base)
+        rows = rows if since is None else rows.unionByName(since)
+        if keys is not None:
+            rows = rows.join(keys, ["doc_id", "tokenizer"], "left_semi")
         last = rows.groupBy("doc_id", "tokenizer").agg(F.max(F.struct("batch", "live", "source", "lang", "tokens")).alias("x"))
         return last.where("x.live").select("doc_id", "tokenizer", "x.source", "x.lang", "x.tokens")
 
+    def ledger(self) -> DataFrame:
+        """The last known count of each document and tokenizer version that still has one."""
+        return self._known()
+
+    def compact(self) -> None:
+        """Fold all batches into the base, from which then only later ones are read on top."""
+        upto, base = self.last(), self._base()
+        if upto is None or upto == base:
+            return
+        self._known().withColumn("live", F.lit(True)).write.mode("overwrite").parquet(f"{self.root}/base-ledger/upto={upto}")
+        self._summed().write.mode("overwrite").parquet(f"{self.root}/base-deltas/upto={upto}")
+        self.spark.range(1).select(F.lit(upto).cast("long").alias("upto")).write.mode("append").parquet(f"{self.root}/bases")
+
     def commit(self, batch: int, changes: DataFrame) -> bool:
-        """Apply a batch (numbered upwards in order of effect); False if it had been applied before.
+        """Apply a batch (numbered upwards from 0 in order of effect); False if it had been applied before.
+
+        A batch that has not been applied and whose number is below the last one's raises an error.
 
         ``changes`` has the columns of ``CHANGE``, others are ignored. ``op`` is ``insert``, ``revise`` or
         ``delete``; the first two both set a document's count and where it belongs, whatever was known. Of
@@ -54,16 +89,19 @@ class Rollup:
         greatest row. Deleting what is not there has no effect. Rows without document, version or a known
         ``op`` have none either; NULL tokens count 0 and NULL sources and languages are keys like others.
         """
+        last = self.last()
         if self._commits().where(F.col("batch") == batch).count():
             return False
+        if batch < 0 or last is not None and batch < last:
+            raise ValueError(f"batch {batch} comes after batch {last}")
         wanted = changes.where("doc_id IS NOT NULL AND tokenizer IS NOT NULL AND op IN ('insert', 'revise', 'delete')")
-        last = wanted.groupBy("doc_id", "tokenizer").agg(F.max(F.struct(
+        newest = wanted.groupBy("doc_id", "tokenizer").agg(F.max(F.struct(
             "change_no", (F.col("op") != "delete").alias("live"), "source", "lang",
             F.coalesce("tokens", F.lit(0)).alias("tokens"))).alias("x"))
-        new = last.select("doc_id", "tokenizer", "x.source", "x.lang", "x.tokens", "x.live")
+        new = newest.select("doc_id", "tokenizer", "x.source", "x.lang", "x.tokens", "x.live")
         new.write.mode("overwrite").parquet(f"{self.root}/ledger/batch={batch}")
         new = self.spark.read.schema(_LEDGER).parquet(f"{self.root}/ledger/batch={batch}")
-        taken = self.ledger().join(new.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi")
+        taken = self._known(new.select("doc_id", "tokenizer"))
         signed = taken.select(*KEYS, F.lit(-1).cast("long").alias("docs"), (-F.col("tokens")).alias("tokens")).unionByName(
             new.where("live").select(*KEYS, F.lit(1).cast("long").alias("docs"), "tokens"))
         delta = signed.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
@@ -73,11 +111,14 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """``source``, ``lang``, ``tokenizer``, ``docs``, ``tokens`` of all keys that have documents."""
-        deltas = self._committed("deltas", _DELTA)
-        if deltas is None:
-            return self.spark.createDataFrame([], _DELTA)
-        summed = deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        return summed.where("docs > 0")
+        return self._summed().where("docs > 0")
+
+    def _summed(self) -> DataFrame:
+        base = self._base()
+        deltas = self.spark.read.schema(_DELTA).parquet(f"{self.root}/base-deltas/upto={base}")
+        since = self._since("deltas", _DELTA, base)
+        deltas = deltas if since is None else deltas.unionByName(since.drop("batch"))
+        return deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
 
 
 # Tokenizer versions that plain expressions count: runs between white space, and words, numbers and signs.

@@ -177,8 +177,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates, **options) -> DataFrame:
-    """The rows of ``docs`` with one document left of each group that ``find`` makes: its smallest id.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` with one document left of each group that ``near_duplicates`` makes: its smallest id.
 
     Rows that share an id and a text are one document, of which one row stays; rows that share an id but
     not the text stand or go together. A row without id counts as having a large one made from its text
@@ -190,7 +190,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
         F.xxhash64(text).alias("_hash"), F.col(f"`{id_col}`").cast("long").alias("_id"))
     unnamed = F.col("_hash").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
     keyed = keyed.select("_row", "_text", "_hash", F.coalesce("_id", unnamed).alias("_key"))
-    found = find(keyed.select("_key", "_text"), "_key", "_text", **options)
+    found = near_duplicates(keyed.select("_key", "_text"), "_key", "_text", **options)
     kept = found.where("kept").select("_key").distinct()
     mine = keyed.select("_row", "_hash", "_key").join(kept, "_key", "left_semi")
     return mine.dropDuplicates(["_key", "_hash"]).select("_row.*")
