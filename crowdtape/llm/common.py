@@ -5,6 +5,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from crowdtape.session import share_package
@@ -51,6 +52,21 @@ def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(work, schema)
 
 
+# Bytes of text that a task works on at a time; a longer text is a piece of its own.
+PIECE_BYTES = 1 << 20
+
+
+def pieces_of(batches: Iterator[pa.RecordBatch], text: int | str = 0, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in slices whose texts, in one column, have about ``most`` bytes."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(batch):
+            upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
 def components(links: DataFrame, left: str, right: str) -> DataFrame:
     """Connected components of links between long keys: ``node`` and ``root``, its smallest reachable key.
 

@@ -13,10 +13,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crowdtape.llm.common import arrow_map
+from crowdtape.llm.common import arrow_map, pieces_of
 from crowdtape.sources.staging import staged
 
 # Words of a window; an item of fewer words is one window.
@@ -168,16 +167,6 @@ class Run:
 _FOUND = "n_words long, spans array<struct<first:int,last:int>>, items array<string>"
 
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    sizes = np.cumsum(pc.binary_length(batch.column("_text").fill_null("")).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(batch):
-        upto = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _PIECE, "right"))
-        upto = max(at + 1, upto)
-        yield batch.slice(at, upto - at)
-        at = upto
-
-
 def _spans(pairs: np.ndarray, owner: np.ndarray, rows: int) -> pa.Array:
     offsets = np.searchsorted(owner, np.arange(rows + 1)).astype(np.int32)
     both = pa.StructArray.from_arrays([pa.array(pairs[:, 0].astype(np.int32)), pa.array(pairs[:, 1].astype(np.int32))],
@@ -189,34 +178,33 @@ def _search(shard, keep_text: bool):
     """Adds a shard's occurrences to what earlier shards have found in the same rows."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = shard.value
-        for batch in batches:
-            for piece in _pieces(batch):
-                run = Run(piece.column("_text").fill_null(""))
-                first, count, number = windows.find(run)
-                before = piece.column("spans").to_pylist()
-                items = [set(x or ()) for x in piece.column("items").to_pylist()]
-                change = np.zeros(len(run.blanks) + 1, np.int64)
-                np.add.at(change, first, 1)
-                np.add.at(change, first + count, -1)
-                for row, spans in enumerate(before):
-                    for span in spans or ():
-                        change[run.marks[row] + 1 + span["first"]] += 1
-                        change[run.marks[row] + 1 + span["last"]] -= 1
-                owner = np.searchsorted(run.marks, first) - 1
-                for row, window in set(zip(owner.tolist(), number.tolist())):
-                    items[row].update(windows.items[window])
-                inside = np.cumsum(change) > 0
-                edges = np.flatnonzero(np.diff(inside, prepend=False)).reshape(-1, 2)
-                owner = np.searchsorted(run.marks, edges[:, 0]) - 1
-                columns = {
-                    "_row": piece.column("_row"), "_text": piece.column("_text"),
-                    "n_words": pa.array(np.diff(run.marks) - 1),
-                    "spans": _spans(edges - run.marks[owner][:, None] - 1, owner, len(piece)),
-                    "items": pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-                }
-                if not keep_text:
-                    del columns["_text"]
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        for piece in pieces_of(batches, "_text", _PIECE):
+            run = Run(piece.column("_text").fill_null(""))
+            first, count, number = windows.find(run)
+            before = piece.column("spans").to_pylist()
+            items = [set(x or ()) for x in piece.column("items").to_pylist()]
+            change = np.zeros(len(run.blanks) + 1, np.int64)
+            np.add.at(change, first, 1)
+            np.add.at(change, first + count, -1)
+            for row, spans in enumerate(before):
+                for span in spans or ():
+                    change[run.marks[row] + 1 + span["first"]] += 1
+                    change[run.marks[row] + 1 + span["last"]] -= 1
+            owner = np.searchsorted(run.marks, first) - 1
+            for row, window in set(zip(owner.tolist(), number.tolist())):
+                items[row].update(windows.items[window])
+            inside = np.cumsum(change) > 0
+            edges = np.flatnonzero(np.diff(inside, prepend=False)).reshape(-1, 2)
+            owner = np.searchsorted(run.marks, edges[:, 0]) - 1
+            columns = {
+                "_row": piece.column("_row"), "_text": piece.column("_text"),
+                "n_words": pa.array(np.diff(run.marks) - 1),
+                "spans": _spans(edges - run.marks[owner][:, None] - 1, owner, len(piece)),
+                "items": pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+            }
+            if not keep_text:
+                del columns["_text"]
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
     return work
 
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from crowdtape.llm.common import arrow_map, others, packed, unpacked
+from crowdtape.llm.common import arrow_map, others, packed, pieces_of, unpacked
 
 # The model is fitted on at most this many labelled documents, those with the smallest key hashes.
 SAMPLE = 8000
@@ -180,7 +180,7 @@ def fit(rows: np.ndarray, lines: np.ndarray, labels: np.ndarray, steps: int = ST
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces_of(batches):
         rows, _, lines = line_features(batch.column(0).to_pylist())
         cells = pa.ListArray.from_arrays(
             pa.array(np.concatenate(([0], np.cumsum(lines) * rows.shape[1])).astype(np.int32)),
@@ -221,10 +221,9 @@ def with_quality(docs: DataFrame, model: Model | None, text_col: str = "text", s
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in (batch.slice(at, 1000) for at in range(0, len(batch), 1000)):
-                scores = shared.value.scores(piece.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([piece.column(1), pa.array(scores)], names=["_row", "_score"])
+        for piece in pieces_of(batches):
+            scores = shared.value.scores(piece.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([piece.column(1), pa.array(scores)], names=["_row", "_score"])
 
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("_text"), packed(passed))
     scored = arrow_map(rows, work, T.StructType([rows.schema["_row"], T.StructField("_score", T.DoubleType())]))

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from crowdtape.llm.common import arrow_map, components
+from crowdtape.llm.common import arrow_map, components, pieces_of
 from crowdtape.sources.staging import staged
 
 EDITS = 2
@@ -114,7 +114,7 @@ def _longs(values: list[int]) -> pa.Array:
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces_of(batches, 1):
         found = list(_lines(batch.column(1)))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).take(pa.array([row for row, _, _ in found], pa.int64())),
@@ -171,7 +171,7 @@ class Signatures:
 def _keys(edits: int, wanted: np.ndarray | None):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signatures = Signatures(edits)
-        for batch in batches:
+        for batch in pieces_of(batches):
             lines = list(dict.fromkeys(line for _, _, line in _lines(batch.column(0)) if len(line) >= LEAST_NEAR_CHARS))
             ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))
             at = 0
@@ -191,7 +191,7 @@ def _keys(edits: int, wanted: np.ndarray | None):
 
 def _texts(wanted: np.ndarray):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches):
             lines = list(dict.fromkeys(line for _, _, line in _lines(batch.column(0)) if len(line) >= LEAST_NEAR_CHARS))
             hashes = np.array([_hash(line) for line in lines], np.uint64).view(np.int64)
             some = np.flatnonzero(wanted[hashes & (len(wanted) - 1)])

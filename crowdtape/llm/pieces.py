@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from crowdtape.llm.common import Lookup, arrow_map, others, packed, unpacked
+from crowdtape.llm.common import Lookup, arrow_map, others, packed, pieces_of, unpacked
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -299,20 +299,19 @@ def with_pieces(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(pa.struct(
             [("at", pa.int32()), ("old", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
-        for batch in batches:
-            for piece in (batch.slice(at, 1000) for at in range(0, len(batch), 1000)):
-                found = shared.value.encode(piece.column(0).to_pylist(), count)
-                none = np.array([x is None for x in found], bool)
-                sizes = np.array([0 if x is None else len(x[0]) for x in found], np.int64)
-                flat = np.concatenate([x[0] for x in found if x is not None] or [np.zeros(0, np.int32)])
-                ids = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat, pa.int32()),
-                    mask=pa.array(none))
-                scores = pa.array([None if x is None else x[1] for x in found], pa.float64())
-                nbest = pa.array([None if x is None else [
-                    {"score": s, "changes": [{"at": a, "old": o, "ids": i} for a, o, i in changes]}
-                    for s, changes in x[2]] for x in found], kinds)
-                yield pa.RecordBatch.from_arrays([piece.column(1), ids, scores, nbest], names=["_row", *ours])
+        for piece in pieces_of(batches):
+            found = shared.value.encode(piece.column(0).to_pylist(), count)
+            none = np.array([x is None for x in found], bool)
+            sizes = np.array([0 if x is None else len(x[0]) for x in found], np.int64)
+            flat = np.concatenate([x[0] for x in found if x is not None] or [np.zeros(0, np.int32)])
+            ids = pa.ListArray.from_arrays(
+                pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat, pa.int32()),
+                mask=pa.array(none))
+            scores = pa.array([None if x is None else x[1] for x in found], pa.float64())
+            nbest = pa.array([None if x is None else [
+                {"score": s, "changes": [{"at": a, "old": o, "ids": i} for a, o, i in changes]}
+                for s, changes in x[2]] for x in found], kinds)
+            yield pa.RecordBatch.from_arrays([piece.column(1), ids, scores, nbest], names=["_row", *ours])
 
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("_text"), packed(passed))
     schema = T.StructType([rows.schema["_row"], *T.StructType.fromDDL(f"ids array<int>, score double, nbest {_CHANGES}")])
