@@ -1,5 +1,7 @@
 """Posts as a star schema: a user dimension, a date dimension and a fact table."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from crowdtape.functions.times import split_timestamp
@@ -57,13 +59,15 @@ def date_dim(posts: DataFrame) -> DataFrame:
     return dated.select(F.xxhash64("twitter_id").alias("ID"), *dated.columns)
 
 
-def fact_posts(posts: DataFrame, users: DataFrame, many_users: bool = False) -> DataFrame:
+def fact_posts(posts: DataFrame, users: DataFrame, many_users: bool = False, extra: Sequence[str] = ()) -> DataFrame:
     """Posts with the key of their user; the post key is a hash of its id, which needs no order.
 
+    ``extra`` columns of the posts, such as a day to store them by, come after the fact's own.
+
     Spark broadcasts the users if their size allows. ``many_users`` says that it does not: then the posts of
     frequent users are counted first and kept out of the shuffle, for which the posts are read four times.
     """
     keys = users.select("twitter_user", "twitter_group", F.col("ID").alias("UserID_FK"))
-    named, on = star_names(posts).select("twitter_user", "twitter_group", *FACT_COLUMNS), ["twitter_user", "twitter_group"]
+    named, on = star_names(posts).select("twitter_user", "twitter_group", *FACT_COLUMNS, *extra), ["twitter_user", "twitter_group"]
     facts = left_lookup(named, keys, on) if many_users else named.join(keys, on, "left")
-    return facts.select(F.xxhash64("twitter_id").alias("ID"), "UserID_FK", *FACT_COLUMNS)
+    return facts.select(F.xxhash64("twitter_id").alias("ID"), "UserID_FK", *FACT_COLUMNS, *extra)

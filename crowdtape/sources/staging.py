@@ -34,7 +34,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Delete every table this application has staged; frames that still read them end with it."""
-    _delete(spark, staging_folder(spark))
+    delete_folder(spark, staging_folder(spark))
 
 
 class Scope:
@@ -57,9 +57,10 @@ class Scope:
         return self._spark.read.schema(df.schema).parquet(path)
 
     def __exit__(self, *_: object) -> None:
-        _delete(self._spark, self._root)
+        delete_folder(self._spark, self._root)
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder and all below it, if it is there, wherever Spark can write."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from crowdtape.operators.dedupe import keep_last
+from crowdtape.sources.history import History
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, ts: str = "created_at",
@@ -62,6 +63,23 @@ def log_arrivals(stream: DataFrame, log: str, checkpoint: str) -> StreamingQuery
     )
 
 
+def keep_history(stream: DataFrame, history: History, checkpoint: str, compact_every: int = 8) -> StreamingQuery:
+    """Store every batch as an arrival, and fold what waits into the stored ranges after so many batches.
+
+    A batch that is run again after a failure replaces its own arrival, or changes nothing where that is folded in.
+    """
+    def store(batch: DataFrame, number: int) -> None:
+        if number > history.pointer()[1]:
+            history.append(batch, number)
+        if (number + 1) % compact_every == 0:
+            history.compact()
+
+    return (
+        stream.writeStream.foreachBatch(store).trigger(availableNow=True)
+        .option("checkpointLocation", checkpoint).start()
+    )
+
+
 def read_history(spark: SparkSession, log: str, key: str = "id", order: Sequence = ()) -> DataFrame:
     """The last arrival of every id; ``order`` decides among rows of one batch."""
     return keep_last(spark.read.parquet(log), key, F.desc("arrival"), *order).drop("arrival")

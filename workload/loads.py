@@ -198,7 +198,7 @@ _PARQUET_SQL = "SELECT *, CAST(ts AS DATE) AS date FROM events WHERE ts >= TIMES
 
 # --- star schema ---
 
-def _star_posts(spark: SparkSession, folder: str) -> DataFrame:
+def star_posts(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("text")
     return tagged_posts(spark, folder).withColumns({
         "usernames": entities.joined(entities.usernames(text)),
@@ -213,7 +213,7 @@ def _found(pattern: str) -> str:
     return f"trim(array_to_string(regexp_extract_all(text, '{pattern}'), ' '))"
 
 
-_STAR = f"""star AS (SELECT *, {_found(patterns.USERNAME)} AS usernames, {_found(patterns.HASHTAG)} AS hashtags,
+STAR = f"""star AS (SELECT *, {_found(patterns.USERNAME)} AS usernames, {_found(patterns.HASHTAG)} AS hashtags,
     {_found(patterns.LOOSE_LINK)} AS links, 'https://x.example/status/' || id AS url FROM tagged)"""
 _USERS = """users AS (SELECT row_number() OVER (ORDER BY "user", "group") AS ID, "user" AS twitter_user,
     "group" AS twitter_group, mentions AS mentioned_users FROM (
@@ -222,11 +222,11 @@ _USERS = """users AS (SELECT row_number() OVER (ORDER BY "user", "group") AS ID,
 
 
 def _user_dim(spark: SparkSession, folder: str) -> DataFrame:
-    return star_schema.user_dim(_star_posts(spark, folder))
+    return star_schema.user_dim(star_posts(spark, folder))
 
 
 def _user_mentions(spark: SparkSession, folder: str) -> DataFrame:
-    return star_schema.user_mentions(_star_posts(spark, folder))
+    return star_schema.user_mentions(star_posts(spark, folder))
 
 
 # The languages whose posts are loaded first; the second load brings all.
@@ -234,7 +234,7 @@ _FIRST_LOAD = "\"group\" IN ('de', 'fr')"
 
 
 def _user_dim_twice(spark: SparkSession, folder: str) -> DataFrame:
-    star = _star_posts(spark, folder)
+    star = star_posts(spark, folder)
     first = star_schema.user_dim(star.where(F.col("group").isin("de", "fr")))
     return star_schema.user_dim(star, existing=staged(first, "first-users")).drop("mentioned_users")
 
@@ -258,7 +258,7 @@ _DATE_DIM_SQL = with_ctes("""
 
 
 def _fact_posts(spark: SparkSession, folder: str) -> DataFrame:
-    star = _star_posts(spark, folder)
+    star = star_posts(spark, folder)
     return star_schema.fact_posts(star, star_schema.user_dim(star)).drop("ID")
 
 
@@ -266,7 +266,7 @@ _FACT_SQL = with_ctes("""
     SELECT u.ID AS UserID_FK, s.id AS twitter_id, s.text AS raw_text, s.url AS tweet_url, s.favorite_count,
         s.retweet_count, s.hashtags, '' AS emojis, '' AS emoji_text, s.links AS all_urls
     FROM star s LEFT JOIN users u ON u.twitter_user = s."user" AND u.twitter_group = s."group"
-    """, POSTS, TAGGED, _STAR, _USERS)
+    """, POSTS, TAGGED, STAR, _USERS)
 
 
 def _first_posts(spark: SparkSession, folder: str) -> DataFrame:
@@ -575,11 +575,11 @@ QUERIES = {
     "csv_round_trip": Query(_csv, "SELECT * FROM orders"),
     "parquet_by_date": Query(_parquet, _PARQUET_SQL),
     "user_dim": Query(_user_dim, with_ctes(
-        "SELECT ID, twitter_user, twitter_group, mentioned_users FROM users", POSTS, TAGGED, _STAR, _USERS)),
+        "SELECT ID, twitter_user, twitter_group, mentioned_users FROM users", POSTS, TAGGED, STAR, _USERS)),
     "user_dim_two_loads": Query(_user_dim_twice, _TWICE_SQL),
     "user_mentions": Query(_user_mentions, with_ctes(
         'SELECT DISTINCT "user" AS twitter_user, "group" AS twitter_group, usernames AS mentioned_users FROM star',
-        POSTS, TAGGED, _STAR)),
+        POSTS, TAGGED, STAR)),
     "date_dim": Query(_date_dim, _DATE_DIM_SQL),
     "fact_posts": Query(_fact_posts, _FACT_SQL),
     "first_posts": Query(_first_posts, with_ctes(
