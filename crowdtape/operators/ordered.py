@@ -1,32 +1,48 @@
 """Operators that depend on row order: numbering, sliding frames, targets, latest row, forward fill.
 
-A series may hold most of the table, so no window spans a whole series. Rows are ordered within time
-slots, and only one figure per slot is carried along the series.
+A series may hold most of the table, so no window spans a whole series. Rows are ordered within slots, and only
+one figure per slot is carried along the series. A slot is an hour; where an hour of one series holds too many
+rows for one task, slots are ranges of rows of about equal size instead.
 """
 
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from crowdtape.functions.times import time_bucket
 from crowdtape.sources.staging import staged
 
 
-def _hour(ts: str) -> Column:
-    """The slot of a timestamp: a series has no more of them than hours, however many rows it has."""
-    return time_bucket(F.col(ts), "1 hour")
+# Rows of one series and hour that one task may sort.
+SLOT_ROWS = 1_000_000
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], slot: Column,
-                name: str = "position") -> DataFrame:
+def in_slots(df: DataFrame, keys: Sequence[str], ts: str, slot_rows: int = SLOT_ROWS) -> DataFrame:
+    """Add ``_slot``, which rises with time within each series and holds no more than about ``slot_rows`` of it.
+
+    Hours serve while they are small enough, which one count decides. Otherwise the rows are dealt into ranges of
+    (keys, time) and written; a range is what Spark makes a shuffle partition, or smaller. Rows of one time that
+    are more than a range holds are told apart by a hash of the row.
+    """
+    hour = time_bucket(F.col(ts), "1 hour")
+    largest = df.groupBy(*keys, hour.alias("_slot")).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n"), F.sum("_n")).first()
+    if (largest[0] or 0) <= slot_rows:
+        return df.withColumn("_slot", hour)
+    hashed = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (MapType, VariantType))]
+    ranged = df.withColumn("_tie", F.xxhash64(*hashed)).repartitionByRange(
+        -(-largest[1] // slot_rows), *[F.col(f"`{k}`") for k in keys], F.col(f"`{ts}`"), F.col("_tie"))
+    return staged(ranged.drop("_tie").withColumn("_slot", F.spark_partition_id()), "slots")
+
+
+def number_rows(slotted: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position") -> DataFrame:
     """Number the rows of each key from 1 in the given order.
 
-    ``slot`` is a coarse, order-preserving value of the order, such as the hour of a timestamp. Rows are
-    numbered within (key, slot); the earlier slots' row counts are added.
+    ``slotted`` has ``_slot``, a coarse, order-preserving value of the order, as ``in_slots`` adds it, and loses it.
+    Rows are numbered within (key, slot); the earlier slots' row counts are added.
     """
     keys = list(keys)
-    slotted = df.withColumn("_slot", slot)
     earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         slotted.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n"))
@@ -57,7 +73,7 @@ def sliding_blocks(numbered: DataFrame, before: int, after: int, size: int = 100
 
 def binary_target(prices: DataFrame, key: str = "ticker", ts: str = "ts", price: str = "price",
                   day: int = 5, shift: int = -1, incomplete: int | None = 0,
-                  block_size: int = 100_000) -> DataFrame:
+                  block_size: int = 100_000, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """Add ``window_mean`` and ``y``: 1 where the price exceeds the mean of a ``day``-row window.
 
     The window ends ``shift`` rows back; the default -1 ends it one row ahead, so the label uses the next
@@ -66,7 +82,7 @@ def binary_target(prices: DataFrame, key: str = "ticker", ts: str = "ts", price:
     """
     back, ahead = shift + day - 1, -shift
     placed = F.col(key).isNotNull() & F.col(ts).isNotNull()
-    numbered = number_rows(prices.where(placed), [key], [ts], _hour(ts))
+    numbered = number_rows(in_slots(prices.where(placed), [key], ts, slot_rows), [key], [ts])
     blocks = sliding_blocks(numbered, max(back, 0), max(ahead, 0), block_size)
     frame = Window.partitionBy(key, "block").orderBy("position").rowsBetween(-back, ahead)
     full = (F.col("position") >= day) & (F.count(price).over(frame) == day)
@@ -85,14 +101,15 @@ def latest_row(df: DataFrame, ts: str, ties: Sequence[str] = ()) -> DataFrame:
     return df.agg(F.max_by(F.struct("*"), order).alias("row")).select("row.*")
 
 
-def forward_fill(df: DataFrame, columns: Sequence[str], keys: Sequence[str], ts: str) -> DataFrame:
+def forward_fill(df: DataFrame, columns: Sequence[str], keys: Sequence[str], ts: str,
+                 slot_rows: int = SLOT_ROWS) -> DataFrame:
     """Replace NULLs by the last value before them in the key's series.
 
     Rows without a key or time are in no series and stay as they are.
     """
     keys = list(keys)
     placed = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, ts]])
-    slotted = df.where(placed).withColumn("_slot", _hour(ts))
+    slotted = in_slots(df.where(placed), keys, ts, slot_rows)
     earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     carried = slotted.groupBy(*keys, "_slot").agg(*[
         F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(ts))).alias(f"_{c}") for c in columns

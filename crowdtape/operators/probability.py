@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from crowdtape.operators.lookup import FREQUENT_LIMIT, lookup
 from crowdtape.operators.ngrams import grams_of
+from crowdtape.sources.staging import staged
 
 # The first and the last word of a post are counted as grams of their own, next to these control
 # characters, so that one count table and one lookup serve every factor of the product.
@@ -58,16 +59,17 @@ def score_posts(posts: DataFrame, key: str = "id", tokens: str = "tokens", order
 
     With ``order=1`` there are the unigram scores only.
 
-    ``posts`` is read three times (counts, frequent grams, other grams), so pass a stored or staged
-    token table rather than a plan that cleans the text. ``smoothing`` adds a constant to every count,
-    and that constant times the vocabulary to every denominator.
+    Every post's terms are unrolled once and counted within the post, so a word that a post repeats is one row from
+    then on; these rows are written, and counting and both lookups read them. ``smoothing`` adds a constant to every
+    count, and that constant times the vocabulary to every denominator.
     """
     name = {2: "bigram", 3: "trigram", 4: "quadgram", 5: "pentagram"}.get(order, f"gram{order}")
     slim = posts.select(F.col(key), F.col(tokens).alias("_tokens"))
     filled = slim.where(F.size("_tokens") > 0)
     listed = filled.select(key, F.inline(_terms(F.col("_tokens"), order)))
-    terms = listed.select(key, "role", F.explode("grams").alias("gram"))
-    counts = terms.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.count(F.lit(1)).alias("count"))
+    terms = listed.select(key, "role", F.explode("grams").alias("gram")).where(F.col("gram").isNotNull())
+    terms = staged(terms.groupBy(key, "role", "gram").agg(F.count(F.lit(1)).alias("times")), "terms")
+    counts = terms.groupBy("gram").agg(F.sum("times").alias("count"))
 
     single = ~F.col("gram").contains(" ")
     vocabulary = counts.agg(F.count_if(single & (F.col("count") > 0))).scalar()
@@ -88,9 +90,9 @@ def score_posts(posts: DataFrame, key: str = "id", tokens: str = "tokens", order
         lookup(terms, counts, "gram", "count", limit)
         .groupBy(key)
         .agg(
-            F.count_if(has(WORD)).alias("words"),
-            F.sum(F.when(has(WORD), F.ln(count)).otherwise(F.lit(0.0))).alias("_unigram"),
-            F.sum(factor).alias("_order"),
+            F.sum(F.when(has(WORD), F.col("times")).otherwise(0)).alias("words"),
+            F.sum(F.when(has(WORD), F.col("times") * F.ln(count)).otherwise(F.lit(0.0))).alias("_unigram"),
+            F.sum(F.col("times") * factor).alias("_order"),
         )
     )
     scores = {"unigram_log_prob": F.col("_unigram") - F.col("words") * F.ln(whole.cast("double"))}
@@ -110,13 +112,14 @@ def relative_probability(posts: DataFrame, key: str = "id", tokens: str = "token
                          denominator: str = "distinct", limit: int = FREQUENT_LIMIT) -> DataFrame:
     """Mean relative frequency of each post's words, scaled so that all posts sum to 1."""
     slim = posts.select(F.col(key), F.col(tokens).alias("_tokens"))
-    words = slim.select(key, F.explode("_tokens").alias("word"))
-    counts = words.where(F.col("word").isNotNull()).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+    words = slim.select(key, F.explode("_tokens").alias("word")).where(F.col("word").isNotNull())
+    words = staged(words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("times")), "post-words")
+    counts = words.groupBy("word").agg(F.sum("times").alias("count"))
     whole = F.count_if(F.col("count") > 0) if denominator == "distinct" else F.sum("count")
     means = (
         lookup(words, counts, "word", "count", limit)
         .groupBy(key)
-        .agg((F.avg("count") / counts.agg(whole).scalar()).alias("mean_rel_freq"))
+        .agg((F.sum(F.col("times") * F.col("count")) / F.sum("times") / counts.agg(whole).scalar()).alias("mean_rel_freq"))
     )
     empty = slim.where(F.size("_tokens") == 0).select(key, F.lit(0.0).alias("mean_rel_freq"))
     # Empty posts add nothing to the sum.

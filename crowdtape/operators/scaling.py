@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from crowdtape.operators.quantiles import exact_quantiles
+from crowdtape.operators.quantiles import approximate_quantiles, exact_quantiles
 
 
 _FIGURES = "_figures"
@@ -70,18 +70,22 @@ def min_max(df: DataFrame, columns: Sequence[str], reference: DataFrame | None =
 
 
 def robust_limits(df: DataFrame, columns: Sequence[str], upper: float = 0.75,
-                  lower: float = 0.25) -> DataFrame:
-    """``column, median, upper_bound, lower_bound`` of the unscaled columns."""
-    return exact_quantiles(df, columns, [0.5, upper, lower]).select(
+                  lower: float = 0.25, exact: bool = True) -> DataFrame:
+    """``column, median, upper_bound, lower_bound`` of the unscaled columns.
+
+    Without ``exact`` they come from one scan and sketches, whose ranks are off by ``quantiles.RANK_ERROR`` at most.
+    """
+    found = exact_quantiles if exact else approximate_quantiles
+    return found(df, columns, [0.5, upper, lower]).select(
         "column", F.col("q0").alias("median"), F.col("q1").alias("upper_bound"),
         F.col("q2").alias("lower_bound"),
     )
 
 
 def robust_scale(df: DataFrame, columns: Sequence[str], limits: DataFrame | None = None,
-                 upper: float = 0.75, lower: float = 0.25) -> DataFrame:
+                 upper: float = 0.75, lower: float = 0.25, exact: bool = True) -> DataFrame:
     """(x - median) / (upper quantile - lower quantile), by the table's own limits or by given ones."""
-    limits = robust_limits(df, columns, upper, lower) if limits is None else limits
+    limits = robust_limits(df, columns, upper, lower, exact) if limits is None else limits
 
     figures = _as_struct(limits, columns, ["median", "upper_bound", "lower_bound"])
     return _replace(
@@ -100,8 +104,12 @@ def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def trim_quantiles(df: DataFrame, columns: Sequence[str], lower: float = 0.05,
-                   upper: float = 0.95) -> DataFrame:
-    """Rows whose columns all lie between their lower and upper quantile, both included."""
-    limits = _as_struct(exact_quantiles(df, columns, [lower, upper]), columns, ["q0", "q1"])
+                   upper: float = 0.95, exact: bool = True) -> DataFrame:
+    """Rows whose columns all lie between their lower and upper quantile, both included.
+
+    Without ``exact`` the quantiles come from sketches, as in ``robust_limits``.
+    """
+    found = exact_quantiles if exact else approximate_quantiles
+    limits = _as_struct(found(df, columns, [lower, upper]), columns, ["q0", "q1"])
     kept = [F.col(f"`{c}`").between(F.col(f"{_FIGURES}.`{c}`.q0"), F.col(f"{_FIGURES}.`{c}`.q1")) for c in columns]
     return df.withColumn(_FIGURES, limits.scalar()).where(reduce(lambda a, b: a & b, kept)).drop(_FIGURES)

@@ -156,6 +156,31 @@ def test_forward_fill_carries_over_slots(spark):
     assert [r.price for r in rows] == [1.0] * 8 + [5.0] * 2 + [None, 2.0]
 
 
+def test_an_hour_of_one_series_is_divided(spark):
+    """All rows within one hour, most of them of one series and some of them at the same time."""
+    chance, first = random.Random(9), dt.datetime(2023, 7, 3, 10)
+    rows = [("T", first + dt.timedelta(seconds=i), chance.choice([None, float(chance.randrange(9))]), i) for i in range(300)]
+    rows += [("U", first + dt.timedelta(seconds=i // 40), float(i), i) for i in range(80)]
+    chance.shuffle(rows)
+    df = spark.createDataFrame(rows, "ticker string, ts timestamp_ntz, price double, n int").repartition(3)
+    slots = ordered.in_slots(df, ["ticker"], "ts", 10)
+    sizes = [r["count"] for r in slots.groupBy("ticker", "_slot").count().collect()]
+    assert sum(sizes) == 380 and len(sizes) > 20 and max(sizes) < 40
+    numbered = ordered.number_rows(slots, ["ticker"], ["ts"]).collect()
+    for ticker in "TU":
+        mine = sorted((r.position, r.ts) for r in numbered if r.ticker == ticker)
+        assert [p for p, _ in mine] == list(range(1, len(mine) + 1)) and [t for _, t in mine] == sorted(t for _, t in mine)
+
+    def in_order(frame):
+        return frame.where("ticker = 'T'").orderBy("n").drop("n").collect()
+
+    filled = ordered.forward_fill(df, ["price"], ["ticker"], "ts", slot_rows=10)
+    assert in_order(filled) == in_order(ordered.forward_fill(df, ["price"], ["ticker"], "ts")) and filled.count() == 380
+    whole = df.where("price IS NOT NULL")
+    few = ordered.binary_target(whole, slot_rows=10, block_size=7)
+    assert in_order(few) == in_order(ordered.binary_target(whole))
+
+
 def test_latest_row(spark):
     assert ordered.latest_row(prices(spark, [3, 1, 2]), "ts").first().price == 2.0
 
