@@ -152,6 +152,20 @@ def test_markup(spark):
     assert column(pages, F.size(markup.times(html))) == [1]
 
 
+def test_character_references(spark):
+    cases = {
+        "it&#8217;s &eacute;t&eacute; &#x1F600;&hellip;": "it\u2019s été 😀…", "&amp;lt; &amp;amp;": "&lt; &amp;", "a &amp b &copy 2024": "a & b © 2024",
+        "&#150;&#x80; &#0;&#xD800; &#99999999999;": "\u2013€ \ufffd\ufffd \ufffd", "&NotAName; &; & &# &#x;": "&NotAName; &; & &# &#x;",
+        "x&nbsp;&nbsp;y": "x y", "&nGt;&CounterClockwiseContourIntegral;": "\u226b\u20d2∳", "no reference": "no reference", "&#0000000038;": "&",
+        "&amplifier &ltx": "&amplifier &ltx",
+    }
+    pages = texts(spark, *cases)
+    assert column(pages, markup.visible_text(F.col("text"))) == list(cases.values())
+    links = texts(spark, '<a href="?a=1&copy=2&amp;b=&eacute;&#233;"><img alt="&quot;&#x2764;&quot;">', None)
+    assert column(links, markup.hrefs(F.col("text"))) == [["?a=1&copy=2&b=éé"], None]
+    assert column(links, markup.picture_labels(F.col("text"))) == [['"❤"'], None]
+
+
 def test_chunks_cover_the_text(spark):
     posts = texts(spark, "abcdefgh", "abcd", "", None)
     assert column(posts, chunk_text(F.col("text"), 4)) == [["abcd", "efgh"], ["abcd"], [], []]

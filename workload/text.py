@@ -122,10 +122,11 @@ def _page_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _PAGE_TEXT_SQL = r"""
-    SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+    SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(
         regexp_replace(regexp_replace(html,
             '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
-        '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'),
+        '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'),
+        '&amp(;|([^A-Za-z0-9;])|$)', '&\2', 'g'),
         '\s+', ' ', 'g')) AS text,
         array_to_string(regexp_extract_all(html, '(?is)<img\b[^>]*?\balt="([^"]*)"', 1), ' ') AS picture_labels,
         CAST(len(regexp_extract_all(html, '(?is)<time\b[^>]*?\bdatetime="([^"]*)"', 1)) AS INTEGER) AS times
