@@ -125,7 +125,26 @@ def test_scores_of_texts(spark, frequent):
                    sum(math.log10((counts[t] + 0.5) / (total + 0.5 * (size + 1))) for t in tokens))
     for r in found:
         assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3]
-        assert r.base_score == pytest.approx(want[r.doc_id][3]) and r.score < 0
+        assert r.base_score == pytest.approx(want[r.doc_id][3])
+
+    # The score of a whole text is the sum over its bytes and its end, each by the definition.
+    def data_of(text):
+        return b"\n" * 3 + b" ".join(ppm.tokens_of(text)) + b"\n"
+
+    grams, known = Counter(), {}
+    for i, text in rows:
+        if not held[i]:
+            data = data_of(text)
+            grams.update(data[at - 3:at + 1] for at in range(3, len(data)))
+
+    def plain(gram):
+        if gram not in known:
+            known[gram] = plain_log_probability(grams, ppm.SHARE, 3, gram[:3], gram[3])
+        return known[gram]
+
+    for r, text in [(r, text) for r in found for i, text in rows if i == r.doc_id and r.doc_id not in (None, 904)]:
+        data = data_of(text)
+        assert r.score == pytest.approx(sum(plain(data[at - 3:at + 1]) for at in range(3, len(data))) / math.log(10), rel=1e-9)
 
 
 def test_nothing_to_learn_from(spark):
@@ -149,6 +168,58 @@ def test_gradients_reach_grades_in_order():
     assert (np.abs(guess - grades) <= 1).mean() > 0.97
 
 
+def plain_likelihood(weights, thresholds, rows, columns, values, grades, ridge):
+    """Mean log likelihood less the penalty, document by document."""
+    total = 0.0
+    for i, grade in enumerate(grades):
+        score = sum(weights[c] * v for r, c, v in zip(rows, columns, values) if r == i)
+        beyond = [1.0, *(1 / (1 + math.exp(t - score)) for t in thresholds), 0.0]
+        total += math.log(beyond[grade] - beyond[grade + 1])
+    return total / len(grades) - ridge / 2 * sum(w * w for w in weights)
+
+
+def test_fit_is_where_the_likelihood_is_greatest():
+    rng = np.random.default_rng(11)
+    grades = rng.integers(0, 3, 90)
+    rows, columns = np.nonzero(rng.random((90, 4)) < 0.4)
+    columns = np.where(rng.random(len(rows)) < 0.3, np.minimum(grades[rows], 3), columns)
+    values = rng.uniform(1, 2, len(rows))
+    weights, thresholds = ordinal_toxicity.fit(rows, columns, values, grades, 4, steps=3000, ridge=0.01)
+    assert (np.diff(thresholds) > 0).all()
+    best = plain_likelihood(weights, thresholds, rows, columns, values, grades, 0.01)
+    for i in range(6):
+        for step in (-0.05, 0.05):
+            moved = np.concatenate((weights, thresholds))
+            moved[i] += step
+            other = plain_likelihood(moved[:4], moved[4:], rows, columns, values, grades, 0.01)
+            assert other < best and best - other < 0.01
+    # A weight may be negative: a feature of grade 0 lowers the score.
+    low = ordinal_toxicity.fit(np.arange(60), np.arange(60) % 2, np.ones(60), np.arange(60) % 2, 2)[0]
+    assert low[0] < 0 < low[1]
+
+
+def test_severity_by_its_definition(spark):
+    """Words, their first four and five letters, counts dampened, and the sum of the chances to reach each grade."""
+    rng = random.Random(8)
+    names = ["wvile", "4vile", "wviley", "5viley", "wugly", "4ugly", "5uglym", "wmean"]
+    model = ordinal_toxicity.Model({n: i for i, n in enumerate(names)}, np.array([rng.uniform(-1, 2) for _ in names]), np.array([0.4, 1.7]))
+    stock = ["vile", "Vile,", "viley!", "vileyest", "uglymost", "ugly", "mean", "meant", "fine", "...", "\u00e9"]
+    rows = [(i, " ".join(rng.choices(stock, k=rng.randint(0, 12)))) for i in range(50)] + SPECIAL
+    for r in ordinal_toxicity.with_severity(frame(spark, rows), model).collect():
+        if r.doc_id in (None, 904):
+            continue
+        counts = Counter()
+        for word in (dict(rows)[r.doc_id] or "").lower().split():
+            word = word.strip(".,;:!?\"'()[]*#%&$|<>-")
+            if word:
+                counts.update(["w" + word, *(f"{n}{word[:n]}" for n in (4, 5) if len(word) > n)])
+        score = sum(model.weights[i] * (1 + math.log(counts[n]) / 4) for n, i in model.index.items() if counts[n])
+        beyond = [1 / (1 + math.exp(t - score)) for t in (0.4, 1.7)]
+        chances = [1 - beyond[0], beyond[0] - beyond[1], beyond[1]]
+        assert r.severity == pytest.approx(sum(beyond)) and r.p_toxic == pytest.approx(beyond[0])
+        assert chances[r.grade] == pytest.approx(max(chances))
+
+
 def test_severity_on_held_out_documents_and_edges(spark):
     rng = random.Random(3)
     mild, harsh = ["meanword", "meanwords"], ["vilestuff", "vilely", "meanword"]
