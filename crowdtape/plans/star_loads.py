@@ -34,11 +34,10 @@ def merge_days(spark: SparkSession, path: str, new: DataFrame, keys: str | Seque
     keys = [keys] if isinstance(keys, str) else list(keys)
     new = staged(new, "merged-rows")
     days = {row[0] for row in new.select(day).distinct().collect()}
-    stored = _table(spark, path)
-    if stored is None:
+    if not _exists(spark, path):
         rows = new
     else:
-        stored = stored.select(*new.columns)
+        stored = spark.read.schema(new.schema).parquet(path).select(*new.columns)
         if not days_fixed:
             moved = stored.select(*keys, day).join(new.select(*keys), keys, "left_semi")
             days |= {row[0] for row in moved.select(day).distinct().collect()}
@@ -58,11 +57,9 @@ def _in_days(day: str, days: set) -> Column:
     return inside | F.col(day).isNull() if None in days else inside
 
 
-def _table(spark: SparkSession, path: str) -> DataFrame | None:
-    """A stored table, or None where nothing has been written yet."""
+def _exists(spark: SparkSession, path: str) -> bool:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    return spark.read.parquet(path) if files.exists(folder) else None
+    return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder)
 
 
 # --- the store ---
