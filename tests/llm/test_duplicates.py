@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from crowdtape.llm import embedding_dedup, line_dedup, simhash_dedup
 from crowdtape.llm.common import Lookup, components

@@ -2,7 +2,6 @@
 
 import hashlib
 import math
-import os
 import random
 import re
 from collections import Counter, defaultdict
