@@ -6,7 +6,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from crowdtape.plans import forecast, wide_regression, word_space
 
