@@ -123,3 +123,23 @@ def test_unigram_only(spark):
     scores = score_posts(posts_of(spark, *GOLDEN, ""), order=1)
     assert scores.columns == ["id", "words", "unigram_log_prob", "unigram_probability"]
     assert by_id(scores, "unigram_probability") == pytest.approx({0: 0.28125, 1: 0.1875, 2: 0.125, 3: 1.0})
+
+
+def test_work_of_a_task_does_not_grow_with_the_posts(spark):
+    posts = posts_of(spark, *["a b c d e f"] * 50, partitions=1)
+    dealt = ngrams.in_tasks(posts, "id", per_task=10)
+    assert dealt.rdd.getNumPartitions() == 30 and dealt.count() == 50
+    sentences = ["a b c a b c d", "a b", "", "d", "b c d e f g", "a b c a b c d"]
+    counted = collections.Counter()
+    for s in sentences:
+        words = s.split()
+        counted.update((n, " ".join(words[i:i + n])) for n in range(1, 6) for i in range(len(words) - n + 1))
+    for sizes in ([1, 2, 3, 4, 5], [3], [2, 4], [1], [2]):
+        found = ngrams.gram_counts(posts_of(spark, *sentences), sizes, per_task=3)
+        assert sorted((r.n, r.gram, r["count"]) for r in found.collect()) == sorted(
+            (n, gram, count) for (n, gram), count in counted.items() if n in sizes)
+
+
+def test_several_sizes_are_sent_as_one(spark):
+    plan = ngrams.gram_counts(posts_of(spark, *GOLDEN), [2, 3, 4, 5])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1

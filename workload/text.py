@@ -148,7 +148,7 @@ _CHUNKS_SQL = f"""
 
 def _frequency(n: int, stem: bool = False):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        frequency = ngrams.gram_frequency(word_posts(spark, folder, stem), [n])
+        frequency = ngrams.gram_frequency(staged_words(spark, folder, stem), [n])
         return frequency.withColumn("rel_freq", F.round("rel_freq", 10))
     return run
 
@@ -162,7 +162,7 @@ def _frequency_sql(n: int, stem: bool = False) -> str:
 
 def _all_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """Every size in one pass, relative to all grams of the size, and what is frequent in each."""
-    frequency = ngrams.gram_frequency(word_posts(spark, folder), [1, 2, 3, 4, 5], denominator="total")
+    frequency = ngrams.gram_frequency(staged_words(spark, folder), [1, 2, 3, 4, 5], denominator="total")
     return frequency.groupBy("n").agg(
         F.count(F.lit(1)).alias("distinct_grams"), F.sum("count").alias("grams"),
         F.max("count").alias("largest"), F.round(F.sum("rel_freq"), 6).alias("whole"),
@@ -205,7 +205,8 @@ _EDGE_SQL = with_ctes("""
 
 
 def _skipgrams(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = word_posts(spark, folder).select(F.explode(ngrams.skipgrams_of(F.col("tokens"), 2)).alias("gram"))
+    words = ngrams.in_tasks(staged_words(spark, folder).select("tokens"))
+    pairs = words.select(F.explode(ngrams.skipgrams_of(F.col("tokens"), 2)).alias("gram"))
     return pairs.groupBy("gram").agg(F.count(F.lit(1)).alias("count"))
 
 
