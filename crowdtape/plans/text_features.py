@@ -45,10 +45,9 @@ def cleaned_ngrams(posts: DataFrame, text: str = "text", **cleaning) -> DataFram
     """Posts with date, probabilities and a column of n-grams for each name in ``GRAMS``."""
     tokens = staged(clean_posts(posts.select("id", text), text, **cleaning).select("id", "tokens"), "tokens")
     scores = score_posts(tokens).select("id", *PROBABILITIES)
-    return (
-        with_grams(tokens, GRAMS).drop("tokens").join(scores, "id").join(posts.drop(text), "id")
-        .withColumn("date", F.to_date("created_at"))
-    )
+    # The n-grams are many times as large as the words they are made of, so they are made behind all joins.
+    joined = tokens.join(scores, "id").join(posts.drop(text), "id").withColumn("date", F.to_date("created_at"))
+    return with_grams(joined, GRAMS).drop("tokens")
 
 
 def scaled_posts(scored: DataFrame) -> DataFrame:

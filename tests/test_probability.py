@@ -143,3 +143,11 @@ def test_work_of_a_task_does_not_grow_with_the_posts(spark):
 def test_several_sizes_are_sent_as_one(spark):
     plan = ngrams.gram_counts(posts_of(spark, *GOLDEN), [2, 3, 4, 5])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_grams_of_posts_pass_no_join(spark):
+    from crowdtape.plans.text_features import cleaned_ngrams
+
+    posts = posts_of(spark, *GOLDEN).select("id", F.array_join("tokens", " ").alias("text"), F.current_timestamp().alias("created_at"))
+    plan = cleaned_ngrams(posts, stem=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("arrays_zip") < plan.index("Join")
