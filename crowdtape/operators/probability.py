@@ -14,7 +14,7 @@ exponentials and reach 0 on long posts. Frequencies relative to the number of di
 from pyspark.sql import Column, DataFrame, functions as F
 
 from crowdtape.operators.lookup import FREQUENT_LIMIT, lookup
-from crowdtape.operators.ngrams import grams_of
+from crowdtape.operators.ngrams import gram_at, in_tasks, positions
 from crowdtape.sources.staging import staged
 
 # The first and the last word of a post are counted as grams of their own, next to these control
@@ -25,30 +25,28 @@ BEGIN, END = "\u0002", "\u0003"
 WORD, NUMERATOR, DENOMINATOR = 1, 2, 4
 
 
-def _terms(tokens: Column, order: int) -> Column:
-    """Array of (role, grams): every factor of the post's products, listed by its role."""
-    size = F.size(tokens)
+def _terms(tokens: str, order: int) -> Column:
+    """Array of (role, gram): the factors of the post's products that begin at the word ``_at``; NULL stands for none."""
+    at, size = F.col("_at"), F.size(tokens)
 
-    def listed(role: Column | int, grams: Column) -> Column:
+    def term(role: Column | int, gram: Column) -> Column:
         role = F.lit(role) if isinstance(role, int) else role
-        return F.struct(role.cast("int").alias("role"), grams.alias("grams"))
+        return F.struct(role.cast("int").alias("role"), gram.alias("gram"))
 
+    word = gram_at(1, tokens)
     if order == 1:
-        return F.array(listed(WORD, tokens))
+        return F.array(term(WORD, word))
     # The last n-1 words are nobody's predecessors: they are counted, but divide nothing.
-    prefixes = grams_of(tokens, order - 1)
-    inner = F.slice(prefixes, 1, F.greatest(F.size(prefixes) - 1, F.lit(0)))
-    last = F.slice(prefixes, F.greatest(F.size(prefixes), F.lit(1)), 1)
+    inner, last = at < size - (order - 1), at == size - (order - 1)
     if order == 2:
-        parts = [listed(WORD | DENOMINATOR, inner), listed(WORD, last)]
+        parts = [term(F.when(inner, WORD | DENOMINATOR).otherwise(WORD), word)]
     else:
-        parts = [listed(WORD, tokens), listed(DENOMINATOR, inner), listed(0, last)]
-    edges = F.array(
-        F.concat_ws(" ", F.lit(BEGIN), F.get(tokens, F.lit(0))),
-        F.concat_ws(" ", F.try_element_at(tokens, F.lit(-1)), F.lit(END)),
-    )
-    parts.append(listed(NUMERATOR, grams_of(tokens, order)))
-    parts.append(listed(F.when(size >= order, NUMERATOR).otherwise(0), edges))
+        parts = [term(WORD, word),
+                 term(F.when(inner, DENOMINATOR).otherwise(0), F.when(inner | last, gram_at(order - 1, tokens)))]
+    edge = F.when(size >= order, NUMERATOR).otherwise(0)
+    parts.append(term(NUMERATOR, F.when(inner, gram_at(order, tokens))))
+    parts.append(term(edge, F.when(at == 0, F.concat_ws(" ", F.lit(BEGIN), word))))
+    parts.append(term(edge, F.when(at == size - 1, F.concat_ws(" ", word, F.lit(END)))))
     return F.array(*parts)
 
 
@@ -59,17 +57,16 @@ def score_posts(posts: DataFrame, key: str = "id", tokens: str = "tokens", order
 
     With ``order=1`` there are the unigram scores only.
 
-    Every post's terms are unrolled once and counted within the post, so a word that a post repeats is one row from
-    then on; these rows are written, and counting and both lookups read them. ``smoothing`` adds a constant to every
-    count, and that constant times the vocabulary to every denominator.
+    Posts are dealt out by their words; counting and both lookups unroll them anew, which costs less than to write and
+    read the far larger terms. The posts should have been written; the counts are. ``smoothing`` adds a constant to every count, and that constant times
+    the vocabulary to every denominator.
     """
     name = {2: "bigram", 3: "trigram", 4: "quadgram", 5: "pentagram"}.get(order, f"gram{order}")
     slim = posts.select(F.col(key), F.col(tokens).alias("_tokens"))
-    filled = slim.where(F.size("_tokens") > 0)
-    listed = filled.select(key, F.inline(_terms(F.col("_tokens"), order)))
-    terms = listed.select(key, "role", F.explode("grams").alias("gram")).where(F.col("gram").isNotNull())
-    terms = staged(terms.groupBy(key, "role", "gram").agg(F.count(F.lit(1)).alias("times")), "terms")
-    counts = terms.groupBy("gram").agg(F.sum("times").alias("count"))
+    dealt = in_tasks(slim, key, tokens="_tokens")
+    terms = positions(dealt, key, tokens="_tokens").select(key, F.inline(_terms("_tokens", order)))
+    terms = terms.where(F.col("gram").isNotNull())
+    counts = staged(terms.groupBy("gram").agg(F.count(F.lit(1)).alias("count")), "counts")
 
     single = ~F.col("gram").contains(" ")
     vocabulary = counts.agg(F.count_if(single & (F.col("count") > 0))).scalar()
@@ -90,9 +87,9 @@ def score_posts(posts: DataFrame, key: str = "id", tokens: str = "tokens", order
         lookup(terms, counts, "gram", "count", limit)
         .groupBy(key)
         .agg(
-            F.sum(F.when(has(WORD), F.col("times")).otherwise(0)).alias("words"),
-            F.sum(F.when(has(WORD), F.col("times") * F.ln(count)).otherwise(F.lit(0.0))).alias("_unigram"),
-            F.sum(F.col("times") * factor).alias("_order"),
+            F.count_if(has(WORD)).alias("words"),
+            F.sum(F.when(has(WORD), F.ln(count)).otherwise(F.lit(0.0))).alias("_unigram"),
+            F.sum(factor).alias("_order"),
         )
     )
     scores = {"unigram_log_prob": F.col("_unigram") - F.col("words") * F.ln(whole.cast("double"))}
