@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from crowdtape.operators.lookup import FREQUENT_LIMIT, lookup
+from crowdtape.operators.ngrams import gram_at, in_tasks
 from crowdtape.session import share_package
 from crowdtape.sources.staging import staged
 
@@ -19,47 +21,82 @@ _SPARE, _ROUNDS = 8, 4
 
 
 def pair_counts(posts: DataFrame, tokens: str = "tokens", window: int = WINDOW) -> DataFrame:
-    """``word, context, n``: how often two words stand at most ``window`` places apart, in either order."""
-    words = F.col(tokens)
+    """``word, context, n``: how often two words stand at most ``window`` places apart, in either order.
 
-    def apart(by: int) -> Column:
-        length = F.size(words) - by
-        pairs = F.arrays_zip(F.slice(words, 1, length).alias("word"), F.slice(words, by + 1, length).alias("context"))
-        return F.when(length > 0, pairs).otherwise(F.expr("CAST(array() AS array<struct<word:string,context:string>>)"))
-
-    one_way = posts.select(F.inline(F.concat(*[apart(by) for by in range(1, window + 1)])))
-    counted = one_way.groupBy("word", "context").agg(F.count(F.lit(1)).alias("n"))
-    both = counted.unionByName(counted.select(F.col("context").alias("word"), F.col("word").alias("context"), "n"))
-    return both.groupBy("word", "context").agg(F.sum("n").alias("n"))
-
-
-def ppmi(counts: DataFrame, smoothing: float = 1.0) -> DataFrame:
+    Each pair is counted and written once; its two orders are made when it is read.
+    """
+    at = F.explode(F.sequence(F.lit(0), F.size(tokens) - 2))
+    placed = in_tasks(posts.select(tokens), tokens=tokens).where(F.size(tokens) > 1).select(tokens, at.alias("_at"))
+    word = gram_at(1, tokens)
+    pairs = placed.select(F.inline(F.array(*[
+        F.struct(F.least(word, near).alias("word"), F.greatest(word, near).alias("context"),
+                 (F.col("_at") + by < F.size(tokens)).alias("_there"))
+        for by, near in ((by, gram_at(1, tokens, ahead=by)) for by in range(1, window + 1))])))
+    counted = staged(pairs.where("_there").groupBy("word", "context").agg(F.count(F.lit(1)).alias("n")), "pair-counts")
+    return _both(counted, F.when(F.col("word") == F.col("context"), 2 * F.col("n")).otherwise(F.col("n")).alias("n"),
+                 F.col("n").alias("n"))
+
+
+def _both(pairs: DataFrame, there: Column, back: Column) -> DataFrame:
+    """A row for each order of each pair, one for a word with itself, with ``there`` and ``back`` for the two orders."""
+    return pairs.select(F.inline(F.array(
+        F.struct("word", "context", there),
+        F.struct(F.col("context").alias("word"), F.when(F.col("word") != F.col("context"), F.col("word")).alias("context"), back),
+    ))).where(F.col("context").isNotNull())
+
+
+def ppmi(counts: DataFrame, smoothing: float = 1.0, limit: int = FREQUENT_LIMIT) -> DataFrame:
     """``word, context, value``: ln of how much oftener two words meet than by chance, where that is positive.
 
-    ``smoothing`` below 1 raises the chance of rare words, which otherwise have the largest values.
+    ``counts`` has both orders of a pair, with the same count. ``smoothing`` below 1 raises the chance of rare words,
+    which otherwise have the largest values. Only one order is looked up, and only rows of rare words are shuffled.
     """
-    of_word = counts.groupBy("word").agg(F.sum("n").cast("double").alias("_n"))
-    weights = of_word.select(F.col("word").alias("context"), F.pow("_n", F.lit(smoothing)).alias("_weight"))
-    total, weight = counts.agg(F.sum("n").cast("double")).scalar(), weights.agg(F.sum("_weight")).scalar()
-    joined = counts.join(of_word, "word").join(weights, "context")
-    value = F.ln(F.col("n") / total) - F.ln(F.col("_n") / total) - F.ln(F.col("_weight") / weight)
-    return joined.select("word", "context", value.alias("value")).where("value > 0")
+    of_word = staged(counts.groupBy("word").agg(F.sum("n").cast("double").alias("_n"), F.count(F.lit(1)).alias("_rows")), "word-counts")
+    power = F.pow("_n", F.lit(smoothing))
+    total, weight = of_word.agg(F.sum("_n")).scalar(), of_word.agg(F.sum(power)).scalar()
+    of_context = of_word.select(F.col("word").alias("context"), F.col("_n").alias("_n2"), F.col("_rows").alias("_rows2"))
+    half = lookup(counts.where("word <= context"), of_word, "word", "_rows", limit)
+    known = lookup(half, of_context, "context", "_rows2", limit).withColumns({"_total": total, "_whole": weight})
+
+    def value(first: str, second: str) -> Column:
+        share = F.pow(second, F.lit(smoothing)) / F.col("_whole")
+        return (F.ln(F.col("n") / F.col("_total")) - F.ln(F.col(first) / F.col("_total")) - F.ln(share)).alias("value")
+
+    return _both(known, value("_n", "_n2"), value("_n2", "_n")).where("value > 0")
 
 
 # --- blocks of vectors: ``word`` and an array of numbers for each ---
 
-def _start(matrix: DataFrame, width: int, seed: int) -> DataFrame:
+def _start(words: DataFrame, width: int, seed: int) -> DataFrame:
     """Random signs that depend on the word, the column and the seed alone."""
     signs = F.transform(F.sequence(F.lit(0), F.lit(width - 1)),
                         lambda c: F.when(F.xxhash64(F.lit(seed), F.col("word"), c) % 2 == 0, 1.0).otherwise(-1.0))
-    return matrix.select("word").distinct().select("word", signs.alias("x"))
+    return words.distinct().select("word", signs.alias("x"))
+
+
+class _Matrix:
+    """A matrix written for many products: rows of frequent contexts by word, the rest as it comes.
+
+    Vectors of frequent contexts, at most ``limit``, are broadcast, and each word's products with them are added up in
+    one task. So a product shuffles only what has a rare context, which meets few words, and sums that no task can end.
+    """
 
+    def __init__(self, matrix: DataFrame, limit: int) -> None:
+        matrix = staged(matrix, "matrix")
+        self.words = matrix.select("word")
+        rows = matrix.groupBy("context").agg(F.count(F.lit(1)).alias("_rows"))
+        frequent = F.col("_rows") * F.lit(limit) >= F.lit(matrix.count())
+        self.frequent = staged(rows.where(frequent).select("context"), "frequent-contexts")
+        self.near = staged(matrix.join(F.broadcast(self.frequent), "context", "left_semi").repartition("word"), "near-matrix")
+        self.far = staged(matrix.join(F.broadcast(self.frequent), "context", "left_anti"), "far-matrix")
 
-def _product(matrix: DataFrame, block: DataFrame, width: int) -> DataFrame:
-    """The matrix times the block."""
-    met = matrix.join(block.select(F.col("word").alias("context"), "x"), "context")
-    sums = met.groupBy("word").agg(*[F.sum(F.col("value") * F.get("x", F.lit(c))).alias(f"x{c}") for c in range(width)])
-    return staged(sums.select("word", F.array(*[f"x{c}" for c in range(width)]).alias("x")), "block")
+    def times(self, block: DataFrame, width: int) -> DataFrame:
+        """The matrix times the block."""
+        vectors = block.select(F.col("word").alias("context"), "x")
+        known = vectors.join(F.broadcast(self.frequent), "context", "left_semi")
+        met = self.near.join(F.broadcast(known), "context").unionByName(self.far.join(vectors, "context"))
+        sums = met.groupBy("word").agg(*[F.sum(F.col("value") * F.get("x", F.lit(c))).alias(f"x{c}") for c in range(width)])
+        return staged(sums.select("word", F.array(*[f"x{c}" for c in range(width)]).alias("x")), "block")
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -108,23 +145,24 @@ def _orthonormal(block: DataFrame) -> DataFrame:
     return block
 
 
-def symmetric_svd(matrix: DataFrame, size: int, seed: int = 0, rounds: int = _ROUNDS) -> tuple[np.ndarray, DataFrame]:
+def symmetric_svd(matrix: DataFrame, size: int, seed: int = 0, rounds: int = _ROUNDS,
+                  limit: int = FREQUENT_LIMIT) -> tuple[np.ndarray, DataFrame]:
     """The ``size`` eigenvalues of largest magnitude of a symmetric ``word, context, value``, and its eigenvectors.
 
     Eigenvectors are ``word`` and ``x``. A random block is multiplied by the matrix ``rounds`` times and made
     orthonormal each time; the matrix seen through it is small and is decomposed on the driver. Fewer values come
     where the matrix has fewer. Signs are such that the sums of cubes of the vectors' entries are not negative.
     """
-    matrix = staged(matrix, "matrix")
+    laid_out = _Matrix(matrix, limit)
     width = size + _SPARE
-    basis = _start(matrix, width, seed)
+    basis = _start(laid_out.words, width, seed)
     for _ in range(rounds):
-        block = _product(matrix, basis, width)
+        block = laid_out.times(basis, width)
         basis = _orthonormal(block)
         width = len(basis.first()["x"]) if basis.take(1) else 0
         if not width:
             return np.zeros(0), basis
-    seen = basis.join(_product(matrix, basis, width).withColumnRenamed("x", "y"), "word")
+    seen = basis.join(laid_out.times(basis, width).withColumnRenamed("x", "y"), "word")
     small = _gram(seen, "x", "y")
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(-np.abs(values), kind="stable")[:size]
@@ -137,7 +175,7 @@ def symmetric_svd(matrix: DataFrame, size: int, seed: int = 0, rounds: int = _RO
 def word_space(posts: DataFrame, size: int = 100, tokens: str = "tokens", window: int = WINDOW, smoothing: float = 0.75,
                seed: int = 0) -> DataFrame:
     """``word, vector``: words that stand in like company have like vectors. Words that meet no other have none."""
-    values, vectors = symmetric_svd(ppmi(staged(pair_counts(posts, tokens, window), "pair-counts"), smoothing), size, seed)
+    values, vectors = symmetric_svd(ppmi(pair_counts(posts, tokens, window), smoothing), size, seed)
     scaled = _times(vectors, np.diag(np.sqrt(np.abs(values)))) if len(values) else vectors
     return scaled.select("word", F.col("x").alias("vector"))
 

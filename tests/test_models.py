@@ -140,3 +140,14 @@ def test_components_are_eigenvectors_of_the_covariance(spark):
     for i in range(2):
         assert found[:, i] == pytest.approx(want[:, i] * np.sign(found[:, i] @ want[:, i]), abs=1e-8)
     assert found.var(axis=0, ddof=1) == pytest.approx(values[::-1][:2])
+
+
+def test_rare_and_frequent_words_have_the_same_values_and_products(spark):
+    rng = np.random.default_rng(5)
+    posts = [([f"w{min(int(i), 40)}" for i in rng.geometric(0.1, 12)],) for _ in range(60)]
+    counts = word_space.pair_counts(spark.createDataFrame(posts, "tokens array<string>"), window=2).persist()
+    values = [{(r.word, r.context): r.value for r in word_space.ppmi(counts, 0.75, limit).collect()} for limit in (1, 20, 1 << 20)]
+    assert len(values[0]) > 100 and values[0].keys() == values[1].keys() == values[2].keys()
+    assert all(values[1][k] == pytest.approx(v) and values[2][k] == pytest.approx(v) for k, v in values[0].items())
+    found = [word_space.symmetric_svd(word_space.ppmi(counts), 3, limit=limit)[0] for limit in (1, 20, 1 << 20)]
+    assert found[1] == pytest.approx(found[0]) and found[2] == pytest.approx(found[0])

@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crowdtape.plans import wide_regression, word_space
-from crowdtape.sources.staging import staged
 from workload.market import rounded
 from workload.views import POSTS, WORDS, Query, staged_words, table, with_ctes
 
@@ -32,7 +31,7 @@ _OLS_SPARSE_SQL = """
 
 
 def _cooccurrence(spark: SparkSession, folder: str) -> DataFrame:
-    counts = staged(word_space.pair_counts(staged_words(spark, folder), window=2), "pair-counts")
+    counts = word_space.pair_counts(staged_words(spark, folder), window=2)
     return rounded(word_space.ppmi(counts), "value", digits=6)
 
 
