@@ -27,23 +27,23 @@ def merge_days(spark: SparkSession, path: str, new: DataFrame, keys: str | Seque
                days_fixed: bool = False) -> list:
     """Merge rows into a table with a folder per day: one row per key, and the new row wins. Returns the days written.
 
-    ``new`` has one row per key. Only the days that new rows fall on are read whole and written, and days that hold
-    an old row of a key which has moved to another day; to find these, the stored keys are read, which
-    ``days_fixed`` saves where a key's day never changes. A merge that broke off is made good by doing it again.
+    ``new`` has one row per key and is read several times, mostly its keys, so it should come from written rows. Only
+    the days that new rows fall on are read whole and written, and days that hold an old row of a key which has moved to
+    another day; to find these, the stored keys are read, which ``days_fixed`` saves where a key's day never changes.
+    Rows pass from the old days to the new ones without being written between: folders are replaced when all are read.
+    A merge that broke off is made good by doing it again.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    new = staged(new, "merged-rows")
     days = {row[0] for row in new.select(day).distinct().collect()}
-    if not _exists(spark, path):
-        rows = new
-    else:
+    filled, rows = set(days), new
+    if _exists(spark, path):
         stored = spark.read.schema(new.schema).parquet(path).select(*new.columns)
         if not days_fixed:
             moved = stored.select(*keys, day).join(new.select(*keys), keys, "left_semi")
             days |= {row[0] for row in moved.select(day).distinct().collect()}
         before = stored.where(_in_days(day, days)).join(new.select(*keys), keys, "left_anti")
-        rows = staged(before.unionByName(new), "merged-days")
-    filled = {row[0] for row in rows.select(day).distinct().collect()}
+        filled |= {row[0] for row in before.select(day).distinct().collect()}
+        rows = before.unionByName(new)
     (rows.hint("rebalance", day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(day).parquet(path))
     # Overwriting by folder leaves alone a day that has lost its last row.

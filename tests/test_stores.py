@@ -310,3 +310,20 @@ def test_sketches_merge_and_keep_to_their_error(spark):
     trimmed = scaling.trim_quantiles(frame, ["v"], exact=False).count()
     assert abs(trimmed - 0.9 * len(values)) <= 4 * quantiles.RANK_ERROR * len(values)
     assert quantiles.approximate_quantiles(frame.limit(0), ["v"], shares).count() == 0
+
+
+def test_a_merge_writes_its_rows_once(spark):
+    from crowdtape.plans.star_loads import merge_days
+    from crowdtape.sources.staging import new_path, staging_folder
+
+    def stored():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(staging_folder(spark))
+        found = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        return {f.getPath().getName() for f in found.listStatus(folder)} if found.exists(folder) else set()
+
+    path, before = new_path(spark, "days"), stored()
+    for rows in ([(1, "x", "d1"), (2, "y", "d1"), (3, "z", "d2")], [(3, "new", "d1"), (4, "w", "d3")]):
+        merge_days(spark, path, spark.createDataFrame(rows, "id long, text string, date string"), "id")
+    found = {(r.id, r.text, r.date) for r in spark.read.parquet(path).collect()}
+    assert found == {(1, "x", "d1"), (2, "y", "d1"), (3, "new", "d1"), (4, "w", "d3")}
+    assert stored() - before == {path.rsplit("/", 1)[1]}
