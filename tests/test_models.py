@@ -151,3 +151,14 @@ def test_rare_and_frequent_words_have_the_same_values_and_products(spark):
     assert all(values[1][k] == pytest.approx(v) and values[2][k] == pytest.approx(v) for k, v in values[0].items())
     found = [word_space.symmetric_svd(word_space.ppmi(counts), 3, limit=limit)[0] for limit in (1, 20, 1 << 20)]
     assert found[1] == pytest.approx(found[0]) and found[2] == pytest.approx(found[0])
+
+
+def test_words_that_the_driver_does_not_train_get_the_mean_around_them(spark):
+    posts = spark.createDataFrame([(["a", "b", "rare", "a"],), (["b", "a", "odd"],), (["alone"],), ([],)], "tokens array<string>")
+    found = {r.word: r.vector for r in forecast.word_vectors(posts, size=3, most=2, window=1).collect()}
+    assert set(found) == {"a", "b", "rare", "odd", "alone"} and all(len(v) == 3 for v in found.values())
+    assert found["rare"] == pytest.approx([(x + y) / 2 for x, y in zip(found["a"], found["b"])])
+    assert found["odd"] == pytest.approx(found["a"]) and found["alone"] == [0.0, 0.0, 0.0]
+    # More words than that share the largest count: all are there, none is trained.
+    tied = spark.createDataFrame([(["x", "y"],)], "tokens array<string>")
+    assert sorted(map(tuple, forecast.word_vectors(tied, size=2, most=1).collect())) == [("x", [0.0, 0.0]), ("y", [0.0, 0.0])]
