@@ -33,8 +33,9 @@ ORDER = 5
 SHARE = 1 << 20
 FREQUENT_WORDS = 1 << 22
 END = b"\n"
-_WINDOW = 1 << 20
-_HELD = 1 << 21
+_WINDOW = 1 << 18
+# Grams that a learning task holds, and words, each of which weighs some ten times as much.
+_HELD, _HELD_WORDS = 1 << 20, 1 << 17
 _GRAM, _WORD = 0, 1
 
 
@@ -93,7 +94,7 @@ def _count(order: int):
                 grams = [merged(grams)]
                 if len(grams[0][0]) > _HELD // 2:
                     yield out(_GRAM, *grams.pop())
-            if len(words) > _HELD // 2:
+            if len(words) > _HELD_WORDS:
                 yield counted(words)
                 words = Counter()
         if grams:
@@ -103,7 +104,7 @@ def _count(order: int):
     return work
 
 
-def _flat_texts(batches: Iterator[pa.RecordBatch], order: int, most: int = 1 << 23):
+def _flat_texts(batches: Iterator[pa.RecordBatch], order: int, most: int = 1 << 20):
     """Texts joined to one array, each behind ``order`` end bytes: it, their starts, ends and tokens."""
     for batch in batches:
         column = batch.column(0)

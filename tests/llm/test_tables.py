@@ -8,13 +8,14 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
 from crowdtape.llm import (
-    divergence, line_crf, line_dedup, mixing, ordinal_toxicity, pieces, ppm, queries, rollups, simhash_dedup,
+    common,    divergence, line_crf, line_dedup, mixing, ordinal_toxicity, pieces, ppm, queries, rollups, simhash_dedup,
 )
 from crowdtape.llm.common import remainder
 from crowdtape.sources.staging import new_path
@@ -342,3 +343,14 @@ def test_every_operator_is_registered():
     names = set(contract.queries())
     assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
     assert set(queries.QUERIES) <= names and set(queries.ORACLES) <= set(contract.oracle_sql())
+
+
+def test_batches_between_spark_and_workers_are_bounded(spark):
+    """Rows of 64 kB came in batches of 20 MB, on both sides of every task at once."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    rows = spark.range(0, 320, 1, 1).select(F.repeat(F.lit("x"), 1 << 16).alias("text"))
+    found = [r.n for r in common.arrow_map(rows, sizes, "n long").collect()]
+    assert sum(found) >= 320 << 16 and max(found) <= 2 * common.BATCH_BYTES
