@@ -162,3 +162,21 @@ def test_words_that_the_driver_does_not_train_get_the_mean_around_them(spark):
     # More words than that share the largest count: all are there, none is trained.
     tied = spark.createDataFrame([(["x", "y"],)], "tokens array<string>")
     assert sorted(map(tuple, forecast.word_vectors(tied, size=2, most=1).collect())) == [("x", [0.0, 0.0]), ("y", [0.0, 0.0])]
+
+
+def test_few_sparse_features_take_one_pass_and_no_python(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for t in range(40):
+        x = {f: rng.uniform(-2, 2) for f in ("a", "b", "c") if rng.random() < 0.7}
+        rows += [(t, f, v) for f, v in x.items()]
+        labels.append((t, 3.0 + 2 * x.get("a", 0.0) - x.get("b", 0.0) + 0.5 * x.get("c", 0.0)))
+    long = spark.createDataFrame(rows, "timestamp long, feature string, value double")
+    numbers = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "feature string, number long")
+    vectors = wide_regression.sparse_vectors(long, numbers, 3)
+    assert "Python" not in vectors._jdf.queryExecution().toString()
+    assert {r.timestamp: dict(zip(r.features.indices.tolist(), r.features.values)) for r in vectors.collect()} == {
+        t: {"abc".index(f): v for u, f, v in rows if u == t} for t in {r[0] for r in rows}}
+    # The solver's passes are bounded to one, which the equations of few features need not more than.
+    found = wide_regression.fit_sparse(long, spark.createDataFrame(labels, "timestamp long, y double"), "y", most_passes=1)
+    assert {r.feature: r.coefficient for r in found.collect()} == pytest.approx({"a": 2.0, "b": -1.0, "c": 0.5, "intercept": 3.0})
