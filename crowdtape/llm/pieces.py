@@ -26,8 +26,9 @@ from crowdtape.llm.common import Lookup, arrow_map, others, packed, pieces_of, u
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 UNKNOWN_LOSS = 10.0
-# Units a worker remembers, and characters of new ones that it works on at a time.
-_REMEMBERED, _AT_ONCE = 400_000, 1 << 20
+# Units a worker remembers, and characters of new ones that it works on at a time. A character has several edges, each
+# some hundred bytes while the lattice is searched.
+_REMEMBERED, _AT_ONCE = 100_000, 1 << 16
 _CHANGES = "array<struct<score:double,changes:array<struct<at:int,old:int,ids:array<int>>>>>"
 
 
@@ -279,9 +280,12 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that pieces spell; bytes that are not UTF-8 become U+FFFD, ids out of range nothing."""
-        text = self.text
-        ids = np.where((ids >= 0) & (ids < len(text)), ids, len(text) - 1)
-        return b"".join([text[i] for i in ids.tolist()]).decode("utf-8", "replace").removeprefix(" ")
+        return _spelled(self.text, ids)
+
+
+def _spelled(text: list[bytes], ids: np.ndarray) -> str:
+    ids = np.where((ids >= 0) & (ids < len(text)), ids, len(text) - 1)
+    return b"".join([text[i] for i in ids.tolist()]).decode("utf-8", "replace").removeprefix(" ")
 
 
 def with_pieces(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", count: int = 1) -> DataFrame:
@@ -293,7 +297,9 @@ def with_pieces(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
     of these names are replaced, all others pass unread; repeated rows each get theirs.
     """
     ours = ["ids", "score", "nbest"]
-    passed = others(docs, *ours)
+    # A text that is a string already goes through once, for the pieces and as a column.
+    returned = [text_col] if text_col in others(docs, *ours) and docs.schema[text_col].dataType == T.StringType() else []
+    passed = others(docs, *ours, *returned)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,17 +317,20 @@ def with_pieces(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
             nbest = pa.array([None if x is None else [
                 {"score": s, "changes": [{"at": a, "old": o, "ids": i} for a, o, i in changes]}
                 for s, changes in x[2]] for x in found], kinds)
-            yield pa.RecordBatch.from_arrays([piece.column(1), ids, scores, nbest], names=["_row", *ours])
+            yield pa.RecordBatch.from_arrays(
+                [*piece.columns[:len(returned)], piece.column(1), ids, scores, nbest], names=["_text"][:len(returned)] + ["_row", *ours])
 
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("_text"), packed(passed))
-    schema = T.StructType([rows.schema["_row"], *T.StructType.fromDDL(f"ids array<int>, score double, nbest {_CHANGES}")])
-    return arrow_map(rows, work, schema).select(*unpacked(passed), *ours)
+    schema = T.StructType([*rows.schema.fields[:len(returned)], rows.schema["_row"],
+                           *T.StructType.fromDDL(f"ids array<int>, score double, nbest {_CHANGES}")])
+    kept = dict(zip(passed, unpacked(passed))) | {c: F.col("_text").alias(c) for c in returned}
+    return arrow_map(rows, work, schema).select(*[kept[c] for c in others(docs, *ours)], *ours)
 
 
 def with_text(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text that its pieces spell; NULL pieces spell NULL, none an empty text."""
     passed = others(encoded, ids_col, text_col)
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary.text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,7 +339,7 @@ def with_text(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids",
                 flat = column.flatten().fill_null(-1).to_numpy()
                 ends = np.cumsum(np.nan_to_num(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64))
                 none = column.is_null().to_pylist()
-                texts = [None if gone else shared.value.decode(flat[a:b])
+                texts = [None if gone else _spelled(shared.value, flat[a:b])
                          for a, b, gone in zip([0, *ends[:-1].tolist()], ends.tolist(), none)]
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.string())], names=["_ids", "_row", "_text"])
 

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 import corpus_pipeline
 from crowdtape.llm import (
-    common,    divergence, line_crf, line_dedup, mixing, ordinal_toxicity, pieces, ppm, queries, rollups, simhash_dedup,
+    common, divergence, line_crf, line_dedup, mixing, ordinal_toxicity, pieces, ppm, queries, rollups,
+    simhash_dedup,
 )
 from crowdtape.llm.common import remainder
 from crowdtape.sources.staging import new_path
