@@ -11,43 +11,88 @@ exponentials and reach 0 on long posts. Frequencies relative to the number of di
 1, so that unigram value can also reach infinity; relative to all words it cannot.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from crowdtape.operators.lookup import FREQUENT_LIMIT, lookup
-from crowdtape.operators.ngrams import gram_at, in_tasks, positions
+from crowdtape.operators.ngrams import WORDS_PER_TASK, gram_at, positions
 from crowdtape.sources.staging import staged
 
-# The first and the last word of a post are counted as grams of their own, next to these control
-# characters, so that one count table and one lookup serve every factor of the product.
-BEGIN, END = "\u0002", "\u0003"
+# Longer grams are frequent from this share on: a task counts those that are not, so they need not be as rare as words.
+GRAM_LIMIT = 2_000
+# What the row of a word says of it: first or last in its post, in a post of ``order`` words or more; whether its own count,
+# and that of the n-1 words from it on, have yet to be found.
+FIRST, LAST, LONG, NO_WORD, NO_START = 1, 2, 4, 8, 16
+
 
-# Roles of a gram within a post, added up in one small number.
-WORD, NUMERATOR, DENOMINATOR = 1, 2, 4
+def _reaching(n: int, ahead: int = 0) -> Column:
+    """The n words from ``_at`` on, or but the first of them; NULL where the post ends before."""
+    return F.when(F.size("_tokens") - F.col("_at") >= n, gram_at(n - ahead, "_tokens", ahead))
 
 
-def _terms(tokens: str, order: int) -> Column:
-    """Array of (role, gram): the factors of the post's products that begin at the word ``_at``; NULL stands for none."""
-    at, size = F.col("_at"), F.size(tokens)
+def _frequent_grams(posts: DataFrame, words: DataFrame, sizes: list[int], least: float) -> DataFrame:
+    """``gram, count`` of the grams of some sizes that occur ``least`` times or more.
 
-    def term(role: Column | int, gram: Column) -> Column:
-        role = F.lit(role) if isinstance(role, int) else role
-        return F.struct(role.cast("int").alias("role"), gram.alias("gram"))
+    Such a gram begins and ends with words that do, so only these are counted.
+    """
+    frequent = words.where(F.col("_of_word") >= least)
+    first, last = (F.broadcast(frequent.select(F.col("_word").alias(name))) for name in ("_first", "_last"))
+    ends = F.array(*[F.struct(F.lit(n).alias("n"), gram_at(1, "_tokens", n - 1).alias("_last")) for n in sizes])
+    found = positions(posts, tokens="_tokens").withColumn("_first", gram_at(1, "_tokens")).join(first, "_first", "left_semi")
+    found = found.select("_tokens", "_at", F.inline(ends)).join(last, "_last", "left_semi")
+    gram = F.coalesce(*[F.when(F.col("n") == n, gram_at(n, "_tokens")) for n in sizes])
+    return found.groupBy(gram.alias("gram")).agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= least)
 
-    word = gram_at(1, tokens)
-    if order == 1:
-        return F.array(term(WORD, word))
-    # The last n-1 words are nobody's predecessors: they are counted, but divide nothing.
-    inner, last = at < size - (order - 1), at == size - (order - 1)
-    if order == 2:
-        parts = [term(F.when(inner, WORD | DENOMINATOR).otherwise(WORD), word)]
-    else:
-        parts = [term(WORD, word),
-                 term(F.when(inner, DENOMINATOR).otherwise(0), F.when(inner | last, gram_at(order - 1, tokens)))]
-    edge = F.when(size >= order, NUMERATOR).otherwise(0)
-    parts.append(term(NUMERATOR, F.when(inner, gram_at(order, tokens))))
-    parts.append(term(edge, F.when(at == 0, F.concat_ws(" ", F.lit(BEGIN), word))))
-    parts.append(term(edge, F.when(at == size - 1, F.concat_ws(" ", word, F.lit(END)))))
-    return F.array(*parts)
+
+def _sums_of_counts(smoothing: float, vocabulary: int):
+    """What the counts found in a task add to the sums of each post.
+
+    All rows of a ``_by`` are in one task: a word, or a gram that begins with frequent words. ``_middle`` and ``_tail`` are
+    the words that follow, of n-1 and of n words.
+    """
+    def counted(codes: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """How often each row's code occurs among the rows that are there."""
+        _, at = np.unique(codes, return_inverse=True)
+        return np.bincount(at, there)[at]
+
+    def coded(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each value, and where there is one."""
+        found = column.combine_chunks().dictionary_encode()
+        return found.indices.fill_null(0).to_numpy().astype(np.int64), found.is_valid().to_numpy(zero_copy_only=False)
+
+    def log(n: np.ndarray, use: np.ndarray, added: float = smoothing) -> np.ndarray:
+        return np.log(np.where(use, n + added, 1.0))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        if not sum(len(b) for b in batches):
+            return
+        rows = pa.Table.from_batches(batches)
+        flags = rows.column("_flags").to_numpy()
+        by, _ = coded(rows.column("_by"))
+        word = np.bincount(by)[by]
+        has = {bit: flags & bit != 0 for bit in (FIRST, LAST, LONG, NO_WORD, NO_START)}
+        unigram, order = log(word, has[NO_WORD], 0.0), np.zeros(len(by))
+        for bit in (FIRST, LAST):
+            times = np.bincount(by, has[bit])[by]
+            order += log(times, has[bit] & has[LONG] & has[NO_WORD])
+        if "_tail" in rows.column_names:
+            tail, reaching = coded(rows.column("_tail"))
+            order += log(counted(by * (tail.max() + 1) + tail, reaching), reaching)
+            start = word
+            if "_middle" in rows.column_names:
+                middle, whole = coded(rows.column("_middle"))
+                start = counted(by * (middle.max() + 1) + middle, whole)
+            order -= log(start, reaching & has[NO_START], smoothing * vocabulary)
+        key = rows.column(0).combine_chunks().dictionary_encode(null_encoding="encode")
+        at = key.indices.to_numpy()
+        yield pa.RecordBatch.from_arrays(
+            [key.dictionary, pa.array(np.bincount(at, has[NO_WORD]).astype(np.int64)), pa.array(np.bincount(at, unigram)), pa.array(np.bincount(at, order))],
+            names=[rows.column_names[0], "words", "_unigram", "_order"])
+    return work
 
 
 def score_posts(posts: DataFrame, key: str = "id", tokens: str = "tokens", order: int = 2,
@@ -57,52 +102,77 @@ def score_posts(posts: DataFrame, key: str = "id", tokens: str = "tokens", order
 
     With ``order=1`` there are the unigram scores only.
 
-    Posts are dealt out by their words; counting and both lookups unroll them anew, which costs less than to write and
-    read the far larger terms. The posts should have been written; the counts are. ``smoothing`` adds a constant to every count, and that constant times
+    A row for each word, with the words behind it, goes once to the task where its word is counted; from there posts get
+    sums of logarithms. Counts of frequent words and grams are broadcast: a row goes by the shortest beginning of its gram
+    that is not frequent, or nowhere, so no task is dominated by one key. The posts should
+    have been written; they are read several times. ``smoothing`` adds a constant to every count, and that constant times
     the vocabulary to every denominator.
     """
     name = {2: "bigram", 3: "trigram", 4: "quadgram", 5: "pentagram"}.get(order, f"gram{order}")
     slim = posts.select(F.col(key), F.col(tokens).alias("_tokens"))
-    dealt = in_tasks(slim, key, tokens="_tokens")
-    terms = positions(dealt, key, tokens="_tokens").select(key, F.inline(_terms("_tokens", order)))
-    terms = terms.where(F.col("gram").isNotNull())
-    counts = staged(terms.groupBy("gram").agg(F.count(F.lit(1)).alias("count")), "counts")
-
-    single = ~F.col("gram").contains(" ")
-    vocabulary = counts.agg(F.count_if(single & (F.col("count") > 0))).scalar()
-    if denominator == "distinct":
-        whole = vocabulary
-    else:
-        whole = counts.agg(F.sum(F.when(single, F.col("count")))).scalar()
+    word = gram_at(1, "_tokens").alias("_word")
+    first, last = F.col("_at") == 0, F.col("_at") == F.size("_tokens") - 1
+    counts = positions(slim, tokens="_tokens").groupBy(word).agg(
+        F.count(F.lit(1)).alias("_of_word"), F.count_if(first).alias("_firsts"), F.count_if(last).alias("_lasts"))
+    words = staged(counts.where(F.col("_word").isNotNull()), "word-counts")
+    number, vocabulary = words.agg(F.coalesce(F.sum("_of_word"), F.lit(0)), F.count(F.lit(1))).first()
+    whole = vocabulary if denominator == "distinct" else number
     post_count = slim.agg(F.count(F.lit(1))).scalar()
 
-    def has(role: int) -> Column:
-        return F.col("role").bitwiseAND(F.lit(role)) != 0
-
-    count = F.col("count").cast("double")
-    above = F.ln(count + smoothing) if smoothing else F.ln(count)
-    below = F.ln(count + F.lit(smoothing) * vocabulary) if smoothing else F.ln(count)
-    factor = F.when(has(NUMERATOR), above).when(has(DENOMINATOR), -below).otherwise(F.lit(0.0))
-    sums = (
-        lookup(terms, counts, "gram", "count", limit)
-        .groupBy(key)
-        .agg(
-            F.count_if(has(WORD)).alias("words"),
-            F.sum(F.when(has(WORD), F.ln(count)).otherwise(F.lit(0.0))).alias("_unigram"),
-            F.sum(factor).alias("_order"),
-        )
-    )
-    scores = {"unigram_log_prob": F.col("_unigram") - F.col("words") * F.ln(whole.cast("double"))}
-    of_empty = {"words": F.lit(0).cast("bigint"), "unigram_log_prob": F.lit(0.0)}
+    # A row per word: the counts that are known here, and what it waits by for the others.
+    def bit(condition: Column, flag: int) -> Column:
+        return F.when(condition, F.lit(flag)).otherwise(F.lit(0))
+
+    # Grams are made for frequent words only, and behind the join that finds them.
+    hot = words.where(F.col("_of_word") * F.lit(limit) >= F.lit(number))
+    place = bit(first, FIRST) + bit(last, LAST) + bit(F.size("_tokens") >= order, LONG)
+    sizes = [n for n in (order - 1, order) if n > 1]
+    rows = positions(slim, key, tokens="_tokens").withColumn("_word", word).where(F.col("_word").isNotNull())
+    rows = rows.join(F.broadcast(hot), "_word", "left").withColumn("_of1", F.col("_of_word"))
+    waits = F.when(F.col("_of1").isNull(), F.col("_word"))
+    if sizes:
+        grams = staged(_frequent_grams(slim, words, sizes, number / min(limit, GRAM_LIMIT)), "frequent-grams")
+    for n in sizes:
+        gram = F.when(F.col("_of_word").isNotNull(), _reaching(n))
+        found = F.broadcast(grams.withColumnsRenamed({"gram": f"_gram{n}", "count": f"_of{n}"}))
+        rows = rows.withColumn(f"_gram{n}", gram).join(found, f"_gram{n}", "left")
+        waits = F.coalesce(waits, F.when(F.col(f"_of{n}").isNull(), F.col(f"_gram{n}")))
+    tails = {tail: _reaching(n, 1) for n, tail in zip(sizes[::-1], ("_tail", "_middle"))}
+
+    def above(count: str, condition: Column) -> Column:
+        return F.when(condition & F.col(count).isNotNull(), F.ln(F.col(count) + F.lit(smoothing))).otherwise(F.lit(0.0))
+
+    def placed(flag: int) -> Column:
+        return place.bitwiseAND(F.lit(flag | LONG)) == flag | LONG
+
+    order_n = above("_firsts", placed(FIRST)) + above("_lasts", placed(LAST))
+    if sizes:
+        reaching = F.size("_tokens") - F.col("_at") >= order
+        below = F.when(reaching, F.ln(F.col(f"_of{order - 1}") + F.lit(float(smoothing * vocabulary))))
+        order_n = order_n + above(f"_of{order}", reaching) - F.coalesce(below, F.lit(0.0))
+    here = rows.where(F.col("_of_word").isNotNull()).select(
+        key, F.lit(1).cast("long").alias("words"), F.ln("_of_word").alias("_unigram"), order_n.alias("_order"))
+
+    flags = place + bit(F.col("_of_word").isNull(), NO_WORD) + bit(F.col(f"_of{max(1, order - 1)}").isNull(), NO_START)
+    tasks = max(posts.sparkSession.sparkContext.defaultParallelism, -(-number // WORDS_PER_TASK))
+    away = rows.where(waits.isNotNull()).select(
+        key, waits.alias("_by"), flags.cast("byte").alias("_flags"), *[t.alias(c) for c, t in tails.items()]).repartition(tasks, "_by")
+    schema = T.StructType([away.schema[key], *T.StructType.fromDDL("words long, _unigram double, _order double")])
+    there = away.mapInArrow(_sums_of_counts(float(smoothing), vocabulary), schema)
+
+    # Every post, also one without words.
+    every = slim.where(F.size("_tokens") >= 0).select(
+        key, F.lit(0).cast("long").alias("words"), F.lit(0.0).alias("_unigram"), F.lit(0.0).alias("_order"))
+    sums = here.unionByName(there).unionByName(every).groupBy(key).agg(
+        *[F.sum(c).alias(c) for c in ("words", "_unigram", "_order")])
+    of_words = F.col("_unigram") - F.col("words") * F.lit(float(np.log(max(whole, 1))))
+    scores = {"unigram_log_prob": F.when(F.col("words") > 0, of_words).otherwise(F.lit(0.0))}
     plain = {"unigram_probability": F.exp("unigram_log_prob")}
     if order > 1:
         edges = 2 * F.ln(post_count.cast("double"))
         scores[f"{name}_log_prob"] = F.when(F.col("words") >= order, F.col("_order") - edges)
-        of_empty[f"{name}_log_prob"] = F.lit(None).cast("double")
         plain[f"{name}_probability"] = F.coalesce(F.exp(f"{name}_log_prob"), F.lit(0.0))
-    scored = sums.select(key, "words", *[score.alias(c) for c, score in scores.items()])
-    empty = slim.where(F.size("_tokens") == 0).select(key, *[v.alias(c) for c, v in of_empty.items()])
-    return scored.unionByName(empty).withColumns(plain)
+    return sums.select(key, "words", *[score.alias(c) for c, score in scores.items()]).withColumns(plain)
 
 
 def relative_probability(posts: DataFrame, key: str = "id", tokens: str = "tokens",

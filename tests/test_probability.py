@@ -151,3 +151,28 @@ def test_grams_of_posts_pass_no_join(spark):
     posts = posts_of(spark, *GOLDEN).select("id", F.array_join("tokens", " ").alias("text"), F.current_timestamp().alias("created_at"))
     plan = cleaned_ngrams(posts, stem=False)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("arrays_zip") < plan.index("Join")
+
+
+def test_words_travel_once_to_be_counted(spark):
+    """One exchange by words, one back to the posts: no gram is sent, written and sent again to be looked up."""
+    posts = posts_of(spark, *["a b c d e f"] * 20, *[f"w{i} x{i} y" for i in range(50)])
+    for order in (2, 3):
+        plan = score_posts(posts, order=order, limit=1)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("REPARTITION_BY_NUM") == 1 and "SortMergeJoin" not in plan
+        sent = next(line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line)
+        assert "_by" in sent
+    scores = {r.id: r for r in score_posts(posts, order=2, limit=4).collect()}
+    assert len(scores) == 70 and {scores[i].words for i in range(20)} == {6}
+    assert scores[20].bigram_probability == pytest.approx(1 / 70 * 50 / 70)
+
+
+def test_rows_go_by_the_shortest_beginning_that_is_not_frequent(spark):
+    sentences = ["a a a a b"] * 6 + ["c a b", "a c", "c", "", "d a a b a c a d"]
+    for order, limit in ((2, 2), (2, 3), (3, 2), (3, 4)):
+        expected = brute_force(sentences, order, 0.5, "distinct")
+        rows = score_posts(posts_of(spark, *sentences), order=order, smoothing=0.5, limit=limit).collect()
+        name = {2: "bigram", 3: "trigram"}[order]
+        assert len(rows) == len(sentences)
+        for row in rows:
+            assert row.words == len(sentences[row.id].split())
+            assert (row.unigram_probability, row[f"{name}_probability"]) == pytest.approx(expected[row.id])
