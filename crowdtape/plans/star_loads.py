@@ -19,6 +19,8 @@ _USER = ["twitter_user", "twitter_group"]
 _VERSIONS = ("ID long, twitter_user string, twitter_group string, version long, n_mentions long, "
              "valid_from timestamp, load long")
 _MENTIONS = "twitter_user string, twitter_group string, mentioned_users string, seen timestamp, load long"
+# Rows of a day that one task writes.
+ROWS_PER_SLOT = 1 << 16
 
 
 # --- merging into days ---
@@ -31,27 +33,44 @@ def merge_days(spark: SparkSession, path: str, new: DataFrame, keys: str | Seque
     the days that new rows fall on are read whole and written, and days that hold an old row of a key which has moved to
     another day; to find these, the stored keys are read, which ``days_fixed`` saves where a key's day never changes.
     Rows pass from the old days to the new ones without being written between: folders are replaced when all are read.
+    Old rows move once, by day and slot; the keys that replace some come to them, in no more than the rows of a slot.
     A merge that broke off is made good by doing it again.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    days = {row[0] for row in new.select(day).distinct().collect()}
-    filled, rows = set(days), new
+    days = _by_day(new, day)
+    filled, rows = set(days), new.hint("rebalance", day)
+    days = set(days)
     if _exists(spark, path):
         stored = spark.read.schema(new.schema).parquet(path).select(*new.columns)
+        replaced, lost = new.select(*keys, day), {}
         if not days_fixed:
-            moved = stored.select(*keys, day).join(new.select(*keys), keys, "left_semi")
-            days |= {row[0] for row in moved.select(day).distinct().collect()}
-        before = stored.where(_in_days(day, days)).join(new.select(*keys), keys, "left_anti")
-        filled |= {row[0] for row in before.select(day).distinct().collect()}
-        rows = before.unionByName(new)
-    (rows.hint("rebalance", day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(day).parquet(path))
+            replaced = stored.select(*keys, day).join(new.select(*keys), keys, "left_semi")
+            lost = _by_day(replaced, day)
+            days |= set(lost)
+        touched = stored.where(_in_days(day, days))
+        held = _by_day(touched, day)
+        filled |= {d for d, n in held.items() if n > lost.get(d, 0)}
+        slots = max(1, -(-max(held.values(), default=0) // ROWS_PER_SLOT))
+
+        def dealt(df: DataFrame) -> DataFrame:
+            named = df.withColumns({"_day": F.coalesce(F.col(day).cast("string"), F.lit("")),
+                                    "_slot": F.pmod(F.xxhash64(*keys), F.lit(slots))})
+            return named.repartition(max(1, len(held) * slots), "_day", "_slot")
+
+        gone = dealt(replaced).select("_day", "_slot", *keys).hint("shuffle_hash")
+        kept = dealt(touched).join(gone, ["_day", "_slot", *keys], "left_anti").select(*new.columns)
+        rows = kept.unionByName(rows)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
     # Overwriting by folder leaves alone a day that has lost its last row.
     for gone in days - filled:
         delete_folder(spark, f"{path}/{day}={'__HIVE_DEFAULT_PARTITION__' if gone is None else gone}")
     return sorted(days, key=str)
 
 
+def _by_day(rows: DataFrame, day: str) -> dict:
+    return dict(tuple(row) for row in rows.groupBy(day).agg(F.count(F.lit(1))).collect())
+
+
 def _in_days(day: str, days: set) -> Column:
     inside = F.col(day).isin([d for d in days if d is not None])
     return inside | F.col(day).isNull() if None in days else inside
@@ -62,6 +81,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder)
 
 
+def _single(posts: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """One row per id, written. Where no id comes twice, which its ids alone tell, whole posts are not sorted for it."""
+    posts = staged(posts, "loaded-posts")
+    twice = staged(posts.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "repeated-ids")
+    if twice.isEmpty():
+        return posts
+    again = keep_last(posts.join(twice, "id", "left_semi").select(*posts.columns), "id", *order)
+    return staged(posts.join(twice, "id", "left_anti").select(*posts.columns).unionByName(again), "single-posts")
+
+
 # --- the store ---
 
 class StarStore:
@@ -126,7 +155,7 @@ class StarStore:
             return False
         if number < last:
             raise ValueError(f"load {number} comes after load {last}")
-        posts = staged(keep_last(posts.where("id IS NOT NULL"), "id", *order), "loaded-posts")
+        posts = _single(posts.where("id IS NOT NULL"), order)
         self._load_users(posts, number, last, at)
         users = self._rows("users", _VERSIONS, number).where("version = 1").select("ID", *_USER)
         facts = fact_posts(posts.withColumn("date", F.to_date("created_at")), users, many_users, extra=["date"])

@@ -327,3 +327,33 @@ def test_a_merge_writes_its_rows_once(spark):
     found = {(r.id, r.text, r.date) for r in spark.read.parquet(path).collect()}
     assert found == {(1, "x", "d1"), (2, "y", "d1"), (3, "new", "d1"), (4, "w", "d3")}
     assert stored() - before == {path.rsplit("/", 1)[1]}
+
+
+def test_whole_rows_move_once_in_a_merge(spark, tmp_path, monkeypatch):
+    """Old rows of a day of many slots meet the keys that replace them, whatever their sizes; nothing wide is sorted to join."""
+    from crowdtape.plans import star_loads
+
+    monkeypatch.setattr(star_loads, "ROWS_PER_SLOT", 7)
+    path, schema = str(tmp_path / "days"), "id long, text string, date string"
+    old = {i: (i, f"old {i}", None if i % 5 == 0 else f"2024-01-0{i % 3 + 1}") for i in range(100)}
+    star_loads.merge_days(spark, path, spark.createDataFrame(list(old.values()), schema), "id")
+    new = {i: (i, f"new {i}", "2024-01-05" if i % 2 else "2024-01-02") for i in range(40, 140)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert star_loads.merge_days(spark, path, spark.createDataFrame(list(new.values()), schema), "id") == [
+            "2024-01-01", "2024-01-02", "2024-01-03", "2024-01-05", None]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    found = sorted(tuple(r) for r in spark.read.schema(schema).parquet(path).select("id", "text", "date").collect())
+    assert found == sorted((old | new).values())
+
+
+def test_posts_without_repeats_are_not_ranked(spark):
+    from crowdtape.plans.star_loads import _single
+
+    order = [F.desc("favorite_count")]
+    single = spark.createDataFrame([post(1, 1, "ann", "@x"), post(2, 1, "bob", "@y")], POST)
+    plan = _single(single, order)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+    double = single.unionByName(spark.createDataFrame([post(2, 2, "cat", "@z", 5)], POST))
+    assert sorted((r.id, r.user) for r in _single(double, order).collect()) == [(1, "ann"), (2, "cat")]
