@@ -24,6 +24,8 @@ CELL = 4096
 MOST_PIVOTS = 4096
 _SLACK = 1e-9
 _BLOCK = 1024
+# Rows compared at a time; a pair looked up by itself costs as much as so many in a product of matrices.
+_ROWS, _PAIR_COST = 256, 32
 
 
 def _usable(vector: str):
@@ -99,45 +101,53 @@ class _Cell:
         self.keys = None
         self.links: list[np.ndarray] = []
 
-    def near(self, rows: np.ndarray) -> np.ndarray:
-        cosine = rows @ self.rows.T
+    def near(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of a given row and an own one that are near. All are compared in single precision, which is
+        off by less than the slack, and what may be near in double precision."""
+        i, j = np.divmod(np.flatnonzero(rows.astype(np.float32) @ self.single >= self.least), len(self.rows))
+        if len(i) * _PAIR_COST > len(rows) * len(self.rows):
+            cosine = (rows @ self.rows.T)[i, j]
+        else:
+            cosine = np.einsum("ij,ij->i", rows[i], self.rows[j])
         found = cosine >= self.threshold
-        for i, j in zip(*np.nonzero(np.abs(cosine - self.threshold) < 1e-12)):
-            found[i, j] = math.fsum(rows[i] * self.rows[j]) >= self.threshold
-        return found
+        for at in np.flatnonzero(np.abs(cosine - self.threshold) < 1e-12):
+            found[at] = math.fsum(rows[i[at]] * self.rows[j[at]]) >= self.threshold
+        return i[found], j[found]
 
     def close(self) -> None:
         """All own vectors are here: compare them with each other."""
         keys, copies, rows = (np.concatenate(x) for x in zip(*self.held))
         self.keys, self.copies, self.rows, self.held = keys, copies, rows, []
+        self.single = np.ascontiguousarray(rows.astype(np.float32).T)
+        # A product of n terms of unit vectors, each rounded once more, is off by (n + 2) * 2**-24 at most.
+        self.least = np.float32(self.threshold - (rows.shape[1] + 4) * 2.0 ** -23)
         self.counts = np.zeros(len(keys), np.int64)
         self.label = np.arange(len(keys))
-        for at in range(0, len(keys), _BLOCK):
-            block = np.arange(at, min(at + _BLOCK, len(keys)))
-            found = self.near(rows[block])
-            found[block - at, block] = False
-            self.counts[block] = found @ copies
-            self._join(found, block)
+        for at in range(0, len(keys), _ROWS):
+            i, j = self.near(rows[at:at + _ROWS])
+            other = i + at != j
+            i, j = i[other], j[other]
+            np.add.at(self.counts, i + at, copies[j])
+            self._join(i, j, keys[at:at + _ROWS], at)
 
     def pass_by(self, keys: np.ndarray, copies: np.ndarray, rows: np.ndarray) -> None:
-        for at in range(0, len(keys), _BLOCK):
-            found = self.near(rows[at:at + _BLOCK])
-            if found.any():
-                self.counts += copies[at:at + _BLOCK] @ found
-                self._join(found, None, keys[at:at + _BLOCK])
+        for at in range(0, len(keys), _ROWS):
+            i, j = self.near(rows[at:at + _ROWS])
+            np.add.at(self.counts, j, copies[at:at + _ROWS][i])
+            self._join(i, j, keys[at:at + _ROWS])
 
-    def _join(self, found: np.ndarray, block: np.ndarray | None, keys: np.ndarray | None = None) -> None:
+    def _join(self, i: np.ndarray, j: np.ndarray, keys: np.ndarray, own: int | None = None) -> None:
         """One link for each class of own vectors that a row is near to, and these classes become one."""
-        for i in np.nonzero(found.any(axis=1))[0]:
-            classes = np.unique(self.label[found[i]])
-            if block is not None:
-                classes = classes[classes != self.label[block[i]]]
+        row, cuts = np.unique(i, return_index=True)
+        for x, near in zip(row, np.split(j, cuts[1:])):
+            classes = np.unique(self.label[near])
+            if own is not None:
+                classes = classes[classes != self.label[own + x]]
                 if not len(classes):
                     continue
-            key = keys[i] if block is None else self.keys[block[i]]
-            self.links.append(np.column_stack((np.full(len(classes), key), self.keys[classes])))
-            into = classes[0] if block is None else self.label[block[i]]
-            if len(classes) > 1 or block is not None:
+            self.links.append(np.column_stack((np.full(len(classes), keys[x]), self.keys[classes])))
+            into = classes[0] if own is None else self.label[own + x]
+            if len(classes) > 1 or own is not None:
                 self.label[np.isin(self.label, classes)] = into
 
     def result(self) -> pa.RecordBatch:

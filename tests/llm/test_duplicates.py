@@ -197,3 +197,27 @@ def test_no_vectors_and_repeated_ones(spark):
     found = embedding_dedup.near_duplicates(spark.createDataFrame(rows, kind)).collect()
     assert sorted(map(tuple, found), key=str) == sorted(
         [(5, 3, 5, True)] * 3 + [(None, 3, 5, False), (None, 0, None, True), (6, 0, 6, True)], key=str)
+
+
+def test_pairs_are_decided_in_double_precision_but_compared_in_single():
+    rng = np.random.default_rng(3)
+    own = rng.normal(size=(300, 48))
+    own /= np.linalg.norm(own, axis=1)[:, None]
+    across = rng.normal(size=own.shape)
+    across -= (across * own).sum(axis=1)[:, None] * own
+    across /= np.linalg.norm(across, axis=1)[:, None]
+    cosine = 0.95 + np.resize([1e-9, -1e-9, 1e-7, -1e-7, 0.04, -0.04], len(own))
+    rows = cosine[:, None] * own + np.sqrt(1 - cosine ** 2)[:, None] * across
+    cell = embedding_dedup._Cell(0.95)
+    cell.held = [(np.arange(300), np.ones(300, np.int64), own)]
+    cell.close()
+    i, j = cell.near(rows)
+    assert cell.single.dtype == np.float32
+    assert sorted(zip(i, j)) == sorted(zip(*np.nonzero(rows @ own.T >= 0.95))) and set(i) == set(np.flatnonzero(cosine > 0.95))
+    # A group whose members are all near each other is one product of matrices.
+    group = own[:1] + 1e-3 * rng.normal(size=(200, 48))
+    group /= np.linalg.norm(group, axis=1)[:, None]
+    cell = embedding_dedup._Cell(0.95)
+    cell.held = [(np.arange(200), np.full(200, 2), group)]
+    cell.close()
+    assert (cell.counts == 398).all() and sum(map(len, cell.links)) == 199
