@@ -11,10 +11,10 @@ count to the escape. After an escape from the longer context e, n and D of c are
 e. Below the empty context all bytes not yet excluded are equally likely. So the probabilities of the 256
 bytes sum to 1 after any context.
 
-A node is in the trie if it holds at least 1/``share`` of all bytes learned from. So an order has at most
-``share`` nodes however large the corpus, by the same rule at every size, and the trie is closed under prefix
-and suffix since shorter strings are never rarer. What falls below counts in u(c) and is predicted by shorter
-contexts. Counts themselves cover all bytes of all training texts, and grow with them.
+``score_texts`` has every string of the training texts in the trie, so u(c) is 0, and no task holds all of it. A byte's
+probability depends on the order+1 bytes that end at it. Those that hold 1/``share`` of all bytes or more, ``share`` at
+most, have theirs in memory of each task; texts are joined with the others. Strings that training texts lack are
+looked up where all contexts with the same last bytes are.
 """
 
 from collections import Counter
@@ -23,15 +23,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from crowdtape.llm.common import Lookup, arrow_map, others, packed, unpacked
 from crowdtape.sources.staging import staged
 
 ORDER = 5
-# Nodes of an order in memory of each task: at most this many. Frequent words likewise.
-SHARE = 1 << 20
+# Strings whose probabilities are in memory of each task: at most this many. Frequent words likewise.
+SHARE = 1 << 23
 FREQUENT_WORDS = 1 << 22
+# Contexts of fewer bytes are known to every task (2^24 strings at most); longer ones go by that many of their last bytes.
+_NEAR = 3
+# Strings of a task that looks up what training texts lack.
+_STRINGS = 1 << 18
 END = b"\n"
 _WINDOW = 1 << 18
 # Grams that a learning task holds, and words, each of which weighs some ten times as much.
@@ -220,6 +224,10 @@ class Trie:
         return result
 
 
+def _unsigned(codes: np.ndarray) -> np.ndarray:
+    return codes.view(np.uint64) if len(codes) else np.zeros(0, np.uint64)
+
+
 def _collected(df: DataFrame, *columns: str) -> list[np.ndarray]:
     """Columns of a table whose rows the caller has bounded."""
     found = df.select(*columns).toArrow()
@@ -227,7 +235,7 @@ def _collected(df: DataFrame, *columns: str) -> list[np.ndarray]:
 
 
 def build_trie(counts: DataFrame, order: int = ORDER, share: int = SHARE) -> Trie:
-    """The nodes with at least 1/``share`` of all counted bytes, at most ``share`` for each order."""
+    """The nodes with at least 1/``share`` of all counted bytes, at most ``share`` for each order: a model in one memory."""
     grams = counts.where(F.col("kind") == _GRAM)
     total = grams.agg(F.sum("n")).first()[0] or 0
     code = F.col("code")
@@ -246,20 +254,74 @@ def build_trie(counts: DataFrame, order: int = ORDER, share: int = SHARE) -> Tri
     return Trie(nodes, totals)
 
 
+def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(codes, return_inverse=True)
+    return found, np.bincount(at, counts, len(found)).astype(np.int64)
+
+
+def _near_nodes(grams: DataFrame, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """All nodes behind contexts of less than ``_NEAR`` bytes, by order."""
+    longest = min(order + 1, _NEAR)
+    code, n = _collected(grams.groupBy(_low_bytes(F.col("code"), longest).alias("code")).agg(F.sum("n").alias("n")), "code", "n")
+    code = code.astype(np.uint64)
+    return [_summed(code & np.uint64(_mask(d + 1)), n) for d in range(longest)]
+
+
+def _known_logs(grams: DataFrame) -> DataFrame:
+    """``code, n, log`` of each string of the training texts: the log probability of its last byte after the others."""
+    context = Window.partitionBy(F.shiftrightunsigned("code", 8))
+    return grams.select("code", "n", (F.ln(2 * F.col("n") - 1) - F.ln(2 * F.sum("n").over(context))).alias("log"))
+
+
+def _look_up(shared, order: int):
+    """Log probabilities of the strings without count, from a task's strings that share the last bytes of their context."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        if not sum(len(b) for b in batches):
+            return
+        rows = pa.Table.from_batches(batches)
+        code = rows.column("code").to_numpy().astype(np.uint64)
+        n = rows.column("n").to_numpy()
+        wanted = code[n == 0]
+        if not len(wanted):
+            return
+        code, n = code[n > 0], n[n > 0]
+        nodes = shared.value + [_summed(code & np.uint64(_mask(d + 1)), n) for d in range(len(shared.value), order + 1)]
+        trie = Trie(nodes, [_summed(codes >> np.uint64(8), counts) for codes, counts in nodes])
+        for at in range(0, len(wanted), _WINDOW):
+            some = wanted[at:at + _WINDOW]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(trie.log_probabilities(some))], names=["code", "log"])
+    return work
+
+
+def _lacking_logs(grams: DataFrame, lacking: DataFrame, order: int) -> DataFrame:
+    """``code, log`` of strings that the training texts lack."""
+    spark = grams.sparkSession
+    shared = spark.sparkContext.broadcast(_near_nodes(grams, order))
+    both = grams.select("code", "n").unionByName(lacking.select("code", F.lit(0).cast("long").alias("n")))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-grams.count() // _STRINGS))
+    near = _low_bytes(F.shiftrightunsigned("code", 8), _NEAR)
+    return arrow_map(both.repartition(tasks, near), _look_up(shared, order), "code long, log double")
+
+
 # --- scoring ---
 
 def _score(shared, order: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, words, log_counts = shared.value
+        strings, string_logs, words, log_counts = shared.value
         for batch in batches:
             done = 0
             for flat, starts, ends, tokens in _flat_texts(iter([batch]), order):
-                logs = np.zeros(len(starts))
+                logs, lacking, lacking_sizes = np.zeros(len(starts)), [], np.zeros(len(starts), np.int64)
                 for a, b, codes in _windows(flat, order):
-                    found = trie.log_probabilities(codes)
-                    found[~_inside(starts, ends, a, b)] = 0
+                    at, inside = strings.find(codes), _inside(starts, ends, a, b)
+                    here = inside & (at >= 0)
+                    found = np.where(here, string_logs[at] if len(string_logs) else 0.0, 0.0)
                     sums = np.concatenate(([0.0], np.cumsum(found)))
                     logs += sums[np.clip(ends, a, b) - a] - sums[np.clip(starts, a, b) - a]
+                    away = np.flatnonzero(inside & ~here)
+                    lacking.append(codes[away].astype(np.int64))
+                    lacking_sizes += np.bincount(np.searchsorted(starts, away + a, "right") - 1, minlength=len(starts))
                 hashes = _hashes(tokens)
                 at = words.find(hashes.view(np.uint64))
                 # Texts of n words have n - 1 blanks, so words are counted at blanks and ends.
@@ -271,18 +333,20 @@ def _score(shared, order: int):
                 frequent = np.bincount(owner, known, len(starts)).astype(np.int64) + int(end >= 0)
                 base = np.bincount(owner, value, len(starts)) + (log_counts[end] if end >= 0 else 0.0)
                 rare_sizes = np.bincount(owner, ~known, len(starts)).astype(np.int64)
-                rare = hashes[~known]
-                offsets = np.concatenate(([0], np.cumsum(rare_sizes))).astype(np.int32)
                 mine = batch.slice(done, len(starts))
                 done += len(starts)
                 yield pa.RecordBatch.from_arrays(
-                    [*mine.columns[1:], pa.array(sizes + 1), pa.array(frequent), pa.array(base),
-                     pa.array(logs / np.log(10)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare)),
+                    [*mine.columns[1:], pa.array(sizes + 1), pa.array(frequent), pa.array(base), pa.array(logs),
+                     _lists(rare_sizes, hashes[~known]), _lists(lacking_sizes, np.concatenate(lacking)),
                      pa.array(np.full(len(starts), end >= 0))],
-                    names=[*mine.schema.names[1:], "n_tokens", "frequent", "base", "score", "rare", "end_known"])
+                    names=[*mine.schema.names[1:], "n_tokens", "frequent", "base", "log", "rare", "strings", "end_known"])
     return work
 
 
+def _lists(sizes: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values))
+
+
 def _word_counts(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     blanks = np.concatenate(([0], np.cumsum(flat == 32)))
     return blanks[ends] - blanks[starts] + (ends - starts > 1)
@@ -306,24 +370,35 @@ def score_texts(docs: DataFrame, train: Column, text_col: str = "text", order: i
     words = counts.where(F.col("kind") == _WORD)
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     codes, n = _collected(words.where(F.col("n") * frequent >= total), "code", "n")
-    model = (build_trie(counts, order, share), Lookup(codes.view(np.uint64) if len(codes) else np.zeros(0, np.uint64)),
-             np.log10(n + 0.5) if len(n) else np.zeros(0))
+    grams = counts.where(F.col("kind") == _GRAM)
+    logs = staged(_known_logs(grams), "ppm-logs")
+    strings, string_logs = _collected(logs.where(F.col("n") * share >= grams.agg(F.sum("n")).scalar()), "code", "log")
+    model = (Lookup(_unsigned(strings)), string_logs, Lookup(_unsigned(codes)), np.log10(n + 0.5) if len(n) else np.zeros(0))
     shared = spark.sparkContext.broadcast(model)
 
-    rows = docs.select(text, packed(passed), F.monotonically_increasing_id().alias("_id"))
+    learned = F.coalesce(train, F.lit(False)).alias("_learned")
+    rows = docs.select(text, packed(passed), learned, F.monotonically_increasing_id().alias("_id"))
     schema = T.StructType([rows.schema["_row"], *T.StructType.fromDDL(
-        "_id long, n_tokens long, frequent long, base double, score double, rare array<long>, end_known boolean")])
+        "_learned boolean, _id long, n_tokens long, frequent long, base double, log double, "
+        "rare array<long>, strings array<long>, end_known boolean")])
     scored = staged(arrow_map(rows, _score(shared, order), schema), "ppm-scores")
 
-    # Words that are not frequent: the share of each in all rows is bounded, so none is a hot key here.
-    rare = scored.select("_id", F.explode("rare").alias("code")).unionByName(
-        scored.where("NOT end_known").select("_id", F.lit(int(_hashes([END])[0])).alias("code")))
-    counted = rare.join(words.select("code", "n").hint("merge"), "code", "left")
-    added = counted.groupBy("_id").agg(
-        F.count("n").alias("known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("more"))
-    lines = scored.drop("rare").join(added, "_id", "left")
+    # Strings and words that are not frequent: the share of each in the rows learned from is bounded.
+    lacking = scored.where("NOT _learned").select(F.explode("strings").alias("code")).distinct().join(
+        logs.select("code"), "code", "left_anti")
+    of_strings = logs.select("code", "log").unionByName(_lacking_logs(grams, staged(lacking, "ppm-lacking"), order))
+    values = words.select("kind", "code", "n", F.lit(None).cast("double").alias("log")).unionByName(
+        of_strings.select(F.lit(_GRAM).alias("kind"), "code", F.lit(None).cast("long").alias("n"), "log"))
+    rare = scored.select("_id", F.lit(_WORD).alias("kind"), F.explode("rare").alias("code")).unionByName(
+        scored.where("NOT end_known").select("_id", F.lit(_WORD).alias("kind"), F.lit(int(_hashes([END])[0])).alias("code")))
+    rare = rare.unionByName(scored.select("_id", F.lit(_GRAM).alias("kind"), F.explode("strings").alias("code")))
+    of_word = F.when(F.col("kind") == _WORD, F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5)))
+    added = rare.join(values.hint("merge"), ["kind", "code"], "left").groupBy("_id").agg(
+        F.count("n").alias("known"), F.sum(of_word).alias("more"), F.sum("log").alias("rest"))
+    lines = scored.drop("rare", "strings").join(added, "_id", "left")
     size = F.log10(F.lit(float(total)) + F.lit(0.5) * (F.lit(float(distinct)) + 1))
     return lines.select(
         *unpacked(passed), "n_tokens", (F.col("frequent") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * size).alias("base_score"), "score")
+        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * size).alias("base_score"),
+        ((F.col("log") + F.coalesce("rest", F.lit(0.0))) / F.lit(float(np.log(10)))).alias("score"))

@@ -147,6 +147,27 @@ def test_scores_of_texts(spark, frequent):
         assert r.score == pytest.approx(sum(plain(data[at - 3:at + 1]) for at in range(3, len(data))) / math.log(10), rel=1e-9)
 
 
+@pytest.mark.parametrize("order, share", [(3, 40), (5, 1), (2, 40)])
+def test_strings_that_are_not_frequent_are_scored_like_all_others(spark, order, share):
+    rng = random.Random(order)
+    rows = [(i, " ".join(rng.choices("red green blue r\u00e9d reed bleu".split(), k=rng.randint(0, 6)))) for i in range(30)]
+    rows += [(30, "grebe breed\u4e2d reddest"), (31, "zzz zzz")]
+    docs = frame(spark, rows)
+    found = ppm.score_texts(docs, F.col("doc_id") < 25, order=order, share=share, frequent=3).collect()
+
+    def grams_of(text):
+        data = b"\n" * order + b" ".join(ppm.tokens_of(text)) + b"\n"
+        return [data[at - order:at + 1] for at in range(order, len(data))]
+
+    grams, known = Counter(g for i, text in rows if i < 25 for g in grams_of(text)), {}
+    everything = sum(grams.values())
+    for r in found:
+        for g in grams_of(rows[r.doc_id][1]):
+            known.setdefault(g, plain_log_probability(grams, everything, order, g[:-1], g[-1]))
+        assert r.score == pytest.approx(sum(known[g] for g in grams_of(rows[r.doc_id][1])) / math.log(10), rel=1e-9)
+    assert len(found) == len(rows)
+
+
 def test_nothing_to_learn_from(spark):
     found = ppm.score_texts(frame(spark, [(1, "ab c"), (2, None)]), F.lit(False)).orderBy("doc_id").collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in found] == [(3, 0, 0, 0.0), (1, 0, 0, 0.0)]
