@@ -11,14 +11,18 @@ exponentials and reach 0 on long posts. Frequencies relative to the number of di
 1, so that unigram value can also reach infinity; relative to all words it cannot.
 """
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from crowdtape.operators.lookup import FREQUENT_LIMIT, lookup
 from crowdtape.operators.ngrams import WORDS_PER_TASK, gram_at, positions
+from crowdtape.session import share_package
 from crowdtape.sources.staging import staged
 
 # Longer grams are frequent from this share on: a task counts those that are not, so they need not be as rare as words.
@@ -26,32 +30,151 @@ GRAM_LIMIT = 2_000
 # What the row of a word says of it: first or last in its post, in a post of ``order`` words or more; whether its own count,
 # and that of the n-1 words from it on, have yet to be found.
 FIRST, LAST, LONG, NO_WORD, NO_START = 1, 2, 4, 8, 16
+# What is summed up for each post.
+SUMS = {"words": "long", "_unigram": "double", "_order": "double"}
 
 
-def _reaching(n: int, ahead: int = 0) -> Column:
-    """The n words from ``_at`` on, or but the first of them; NULL where the post ends before."""
-    return F.when(F.size("_tokens") - F.col("_at") >= n, gram_at(n - ahead, "_tokens", ahead))
+class _Slice:
+    """Posts of about ``WORDS_PER_TASK`` words in all: their keys, all words one after the other, and where each stands."""
+
+    def __init__(self, keys: pa.Array, words: pa.Array, sizes: np.ndarray) -> None:
+        self.keys, self.words, self.sizes = keys, words, sizes
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+        self.at = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.left = np.repeat(sizes, sizes) - self.at
+        codes = words.dictionary_encode()
+        self.distinct, self.there = codes.dictionary, codes.is_valid().to_numpy(zero_copy_only=False)
+        self.code = codes.indices.fill_null(0).to_numpy().astype(np.int64)
+
+    def among(self, some: pa.Array) -> np.ndarray:
+        """The number of each word in a list of words, -1 where it is not there."""
+        found = pc.index_in(self.distinct, value_set=some).fill_null(-1).to_numpy()
+        return np.where(self.there, found[self.code], -1) if len(found) else np.full(len(self.code), -1)
+
+    def hashes(self, places: np.ndarray, n: int) -> np.ndarray:
+        """A number for the n words from each place on, the same wherever they stand."""
+        of_word = np.array([zlib.crc32(word.encode()) for word in self.distinct.to_pylist()], np.uint64)
+        found = np.zeros(len(places), np.uint64)
+        for i in range(n):
+            found = found * np.uint64(0x9E3779B97F4A7C15) + of_word[self.code[np.minimum(places + i, len(self.code) - 1)]]
+        return found ^ (found >> np.uint64(29))
+
+    def joined(self, places: np.ndarray, start: int, stop: int) -> pa.Array:
+        """The words from ``start`` to ``stop`` behind each place, joined by a blank."""
+        if start >= stop:
+            return pa.repeat(pa.scalar("", pa.string()), len(places))
+        parts = [self.words.take(pa.array(np.minimum(places + i, len(self.words) - 1))) for i in range(start, stop)]
+        return parts[0] if stop == start + 1 else pc.binary_join_element_wise(*parts, " ", null_handling="skip")
+
+
+def _slices(batches: Iterator[pa.RecordBatch], most: int = WORDS_PER_TASK) -> Iterator[_Slice]:
+    for batch in batches:
+        lists = batch.column(1)
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        at = 0
+        while at < len(batch):
+            upto = min(len(batch), max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1))
+            yield _Slice(batch.column(0).slice(at, upto - at), lists.values.slice(ends[at], ends[upto] - ends[at]),
+                         np.diff(ends[at:upto + 1]))
+            at = upto
 
 
 def _frequent_grams(posts: DataFrame, words: DataFrame, sizes: list[int], least: float) -> DataFrame:
     """``gram, count`` of the grams of some sizes that occur ``least`` times or more.
 
-    Such a gram begins and ends with words that do, so only these are counted.
+    All words of such a gram do, so only grams of these are counted.
+    """
+    frequent = words.where(F.col("_of_word") >= least).select("_word").toArrow().column(0).combine_chunks()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in _slices(batches):
+            known = s.among(frequent) >= 0
+            for n in sizes:
+                whole = known & (s.left >= n)
+                for i in range(1, n):
+                    whole[:-i] &= known[i:]
+                found = s.joined(np.flatnonzero(whole), 0, n).value_counts()
+                yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], names=["gram", "count"])
+
+    counted = posts.mapInArrow(work, "gram string, count long")
+    return counted.groupBy("gram").agg(F.sum("count").alias("count")).where(F.col("count") >= least)
+
+
+def _waiting(shared, order: int, smoothing: float, vocabulary: int, tasks: int, schema: T.StructType):
+    """Lists of the words whose counts are not all broadcast, by task, and for each post what the broadcast ones add.
+
+    A word goes by the shortest beginning of its gram that is not frequent, with the words that follow it: of n-1 words
+    in all (``_middle``) and of n (``_tail``). A post also gets what its words would add if all of it occurred once; so
+    nothing comes back for what does.
     """
-    frequent = words.where(F.col("_of_word") >= least)
-    first, last = (F.broadcast(frequent.select(F.col("_word").alias(name))) for name in ("_first", "_last"))
-    ends = F.array(*[F.struct(F.lit(n).alias("n"), gram_at(1, "_tokens", n - 1).alias("_last")) for n in sizes])
-    found = positions(posts, tokens="_tokens").withColumn("_first", gram_at(1, "_tokens")).join(first, "_first", "left_semi")
-    found = found.select("_tokens", "_at", F.inline(ends)).join(last, "_last", "left_semi")
-    gram = F.coalesce(*[F.when(F.col("n") == n, gram_at(n, "_tokens")) for n in sizes])
-    return found.groupBy(gram.alias("gram")).agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= least)
+    once, once_below = np.log(1.0 + smoothing), np.log(1.0 + smoothing * vocabulary)
+    sizes = [n for n in (order - 1, order) if n > 1]
+    ends = dict(zip(sizes[::-1], ("_tail", "_middle")))
+    fields = {field.name: field.dataType for field in schema.fields[1:]}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, counts, firsts, lasts, grams, gram_counts = shared.value
+        for s in _slices(batches):
+            word = s.among(hot)
+            known, reaching, long = word >= 0, s.left >= order, (s.at + s.left) >= order
+
+            def of(table: np.ndarray, number: np.ndarray, added: float) -> np.ndarray:
+                """Logarithm of the count of each number that is there, else 0."""
+                with np.errstate(divide="ignore"):
+                    return np.append(np.log(table + added), 0.0)[number]
+
+            unigram, total = of(counts, word, 0.0), np.zeros(len(word))
+            for edge, table in ((s.at == 0, firsts), (s.left == 1, lasts)):
+                edge = np.flatnonzero(edge & long & s.there)
+                total[edge] += np.where(known[edge], of(table, word[edge], smoothing), once)
+            # The number of the gram of each size, as far as its first word is frequent.
+            waits = np.where(s.there & ~known, 1, 0)
+            number = {1: word}
+            for n in sizes:
+                number[n] = np.full(len(word), -1)
+                places = np.flatnonzero(known & (s.left >= n))
+                number[n][places] = pc.index_in(s.joined(places, 0, n), value_set=grams).fill_null(-1).to_numpy()
+                waits[places] = np.where((waits[places] == 0) & (number[n][places] < 0), n, waits[places])
+            if order > 1:
+                below = number[order - 1]
+                added = np.where(number[order] >= 0, of(gram_counts, number[order], smoothing), once)
+                start = of(counts if order == 2 else gram_counts, below, smoothing * vocabulary)
+                total += np.where(reaching & s.there, added - np.where(below >= 0, start, once_below), 0.0)
+            else:
+                below = word
+            flags = ((s.at == 0) * FIRST + (s.left == 1) * LAST + long * LONG + ~known * NO_WORD + (below < 0) * NO_START).astype(np.int8)
+
+            for n in (1, *sizes):
+                places = np.flatnonzero(waits == n)
+                if not len(places):
+                    continue
+                task = (s.hashes(places, n) % np.uint64(tasks)).astype(np.int32)
+                # What is alike lies together, so it takes less room on its way.
+                last = np.minimum(places + n - 1, len(word) - 1)
+                by = np.lexsort((s.code[last], s.code[places], task))
+                places, task = places[by], task[by]
+                sent, starts = np.unique(task, return_index=True)
+                rest = {name: pc.if_else(pa.array(s.left[places] >= size), s.joined(places, n, size), None)
+                        for size, name in ends.items()}
+                yield block(sent, np.append(starts, len(places)), {
+                    "key": s.keys.take(pa.array(s.owner[places])), "_by": s.joined(places, 0, n), "_flags": pa.array(flags[places]), **rest})
+            sums = [np.bincount(s.owner, x, len(s.sizes)) for x in (s.there, unigram, total)]
+            yield block(np.array([len(s.words) % tasks], np.int32), np.array([0, len(s.sizes)]), {
+                "_post": s.keys, **{c: pa.array(x.astype(np.int64 if kind == "long" else np.float64)) for (c, kind), x in zip(SUMS.items(), sums)}})
+
+    def block(sent: np.ndarray, starts: np.ndarray, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        """A row for each task, with lists; what is not given is NULL."""
+        lists = {c: pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), x) for c, x in columns.items()}
+        return pa.RecordBatch.from_arrays(
+            [pa.array(sent), *[lists[c] if c in lists else pa.nulls(len(sent), to_arrow_type(kind)) for c, kind in fields.items()]],
+            names=["_by_task", *fields])
+    return work
 
 
 def _sums_of_counts(smoothing: float, vocabulary: int):
     """What the counts found in a task add to the sums of each post.
 
-    All rows of a ``_by`` are in one task: a word, or a gram that begins with frequent words. ``_middle`` and ``_tail`` are
-    the words that follow, of n-1 and of n words.
+    All rows of a ``_by`` are in one task: a word, or a gram that begins with frequent words.
     """
     def counted(codes: np.ndarray, there: np.ndarray) -> np.ndarray:
         """How often each row's code occurs among the rows that are there."""
@@ -64,13 +187,22 @@ def _sums_of_counts(smoothing: float, vocabulary: int):
         return found.indices.fill_null(0).to_numpy().astype(np.int64), found.is_valid().to_numpy(zero_copy_only=False)
 
     def log(n: np.ndarray, use: np.ndarray, added: float = smoothing) -> np.ndarray:
-        return np.log(np.where(use, n + added, 1.0))
+        """What a count adds beyond a count of one."""
+        return np.log(np.where(use, (n + added) / (1.0 + added), 1.0))
+
+    def flat(batch: pa.RecordBatch, columns: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(c).flatten() for c in columns], names=columns)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = list(batches)
-        if not sum(len(b) for b in batches):
+        waiting = []
+        for batch in batches:
+            whole = flat(batch, ["_post", *SUMS])
+            if len(whole):
+                yield whole.rename_columns(["key", *SUMS])
+            waiting.append(flat(batch, [c for c in batch.schema.names if c not in ("_by_task", "_post", *SUMS)]))
+        if not sum(len(b) for b in waiting):
             return
-        rows = pa.Table.from_batches(batches)
+        rows = pa.Table.from_batches(waiting)
         flags = rows.column("_flags").to_numpy()
         by, _ = coded(rows.column("_by"))
         word = np.bincount(by)[by]
@@ -87,11 +219,12 @@ def _sums_of_counts(smoothing: float, vocabulary: int):
                 middle, whole = coded(rows.column("_middle"))
                 start = counted(by * (middle.max() + 1) + middle, whole)
             order -= log(start, reaching & has[NO_START], smoothing * vocabulary)
-        key = rows.column(0).combine_chunks().dictionary_encode(null_encoding="encode")
-        at = key.indices.to_numpy()
+        more = (unigram != 0) | (order != 0)
+        key = rows.column(0).combine_chunks().filter(pa.array(more)).dictionary_encode(null_encoding="encode")
+        at, n = key.indices.to_numpy(), len(key.dictionary)
         yield pa.RecordBatch.from_arrays(
-            [key.dictionary, pa.array(np.bincount(at, has[NO_WORD]).astype(np.int64)), pa.array(np.bincount(at, unigram)), pa.array(np.bincount(at, order))],
-            names=[rows.column_names[0], "words", "_unigram", "_order"])
+            [key.dictionary, pa.array(np.zeros(n, np.int64)), *[pa.array(np.bincount(at, x[more], n).astype(np.float64)) for x in (unigram, order)]],
+            names=["key", *SUMS])
     return work
 
 
@@ -109,7 +242,12 @@ def score_posts(posts: DataFrame, key: str = "id", tokens: str = "tokens", order
     the vocabulary to every denominator.
     """
     name = {2: "bigram", 3: "trigram", 4: "quadgram", 5: "pentagram"}.get(order, f"gram{order}")
-    slim = posts.select(F.col(key), F.col(tokens).alias("_tokens"))
+    spark = posts.sparkSession
+    share_package(spark)
+    slim = posts.select(F.col(key).alias("key"), F.col(tokens).alias("_tokens"))
+    post_count = slim.agg(F.count(F.lit(1))).scalar()
+    # Every post with an array, also one without words.
+    slim = slim.where(F.size("_tokens") >= 0)
     word = gram_at(1, "_tokens").alias("_word")
     first, last = F.col("_at") == 0, F.col("_at") == F.size("_tokens") - 1
     counts = positions(slim, tokens="_tokens").groupBy(word).agg(
@@ -117,54 +255,31 @@ def score_posts(posts: DataFrame, key: str = "id", tokens: str = "tokens", order
     words = staged(counts.where(F.col("_word").isNotNull()), "word-counts")
     number, vocabulary = words.agg(F.coalesce(F.sum("_of_word"), F.lit(0)), F.count(F.lit(1))).first()
     whole = vocabulary if denominator == "distinct" else number
-    post_count = slim.agg(F.count(F.lit(1))).scalar()
 
-    # A row per word: the counts that are known here, and what it waits by for the others.
-    def bit(condition: Column, flag: int) -> Column:
-        return F.when(condition, F.lit(flag)).otherwise(F.lit(0))
-
-    # Grams are made for frequent words only, and behind the join that finds them.
-    hot = words.where(F.col("_of_word") * F.lit(limit) >= F.lit(number))
-    place = bit(first, FIRST) + bit(last, LAST) + bit(F.size("_tokens") >= order, LONG)
+    hot = words.where(F.col("_of_word") * F.lit(limit) >= F.lit(number)).toArrow().combine_chunks()
+    grams = spark.createDataFrame([], "gram string, count long")
     sizes = [n for n in (order - 1, order) if n > 1]
-    rows = positions(slim, key, tokens="_tokens").withColumn("_word", word).where(F.col("_word").isNotNull())
-    rows = rows.join(F.broadcast(hot), "_word", "left").withColumn("_of1", F.col("_of_word"))
-    waits = F.when(F.col("_of1").isNull(), F.col("_word"))
     if sizes:
-        grams = staged(_frequent_grams(slim, words, sizes, number / min(limit, GRAM_LIMIT)), "frequent-grams")
-    for n in sizes:
-        gram = F.when(F.col("_of_word").isNotNull(), _reaching(n))
-        found = F.broadcast(grams.withColumnsRenamed({"gram": f"_gram{n}", "count": f"_of{n}"}))
-        rows = rows.withColumn(f"_gram{n}", gram).join(found, f"_gram{n}", "left")
-        waits = F.coalesce(waits, F.when(F.col(f"_of{n}").isNull(), F.col(f"_gram{n}")))
-    tails = {tail: _reaching(n, 1) for n, tail in zip(sizes[::-1], ("_tail", "_middle"))}
-
-    def above(count: str, condition: Column) -> Column:
-        return F.when(condition & F.col(count).isNotNull(), F.ln(F.col(count) + F.lit(smoothing))).otherwise(F.lit(0.0))
+        grams = _frequent_grams(slim, words, sizes, number / min(limit, GRAM_LIMIT))
+    grams = grams.toArrow()
 
-    def placed(flag: int) -> Column:
-        return place.bitwiseAND(F.lit(flag | LONG)) == flag | LONG
+    def numbers(table: pa.Table, column: str) -> np.ndarray:
+        return table.column(column).to_numpy().astype(np.float64)
 
-    order_n = above("_firsts", placed(FIRST)) + above("_lasts", placed(LAST))
-    if sizes:
-        reaching = F.size("_tokens") - F.col("_at") >= order
-        below = F.when(reaching, F.ln(F.col(f"_of{order - 1}") + F.lit(float(smoothing * vocabulary))))
-        order_n = order_n + above(f"_of{order}", reaching) - F.coalesce(below, F.lit(0.0))
-    here = rows.where(F.col("_of_word").isNotNull()).select(
-        key, F.lit(1).cast("long").alias("words"), F.ln("_of_word").alias("_unigram"), order_n.alias("_order"))
-
-    flags = place + bit(F.col("_of_word").isNull(), NO_WORD) + bit(F.col(f"_of{max(1, order - 1)}").isNull(), NO_START)
-    tasks = max(posts.sparkSession.sparkContext.defaultParallelism, -(-number // WORDS_PER_TASK))
-    away = rows.where(waits.isNotNull()).select(
-        key, waits.alias("_by"), flags.cast("byte").alias("_flags"), *[t.alias(c) for c, t in tails.items()]).repartition(tasks, "_by")
-    schema = T.StructType([away.schema[key], *T.StructType.fromDDL("words long, _unigram double, _order double")])
-    there = away.mapInArrow(_sums_of_counts(float(smoothing), vocabulary), schema)
-
-    # Every post, also one without words.
-    every = slim.where(F.size("_tokens") >= 0).select(
-        key, F.lit(0).cast("long").alias("words"), F.lit(0.0).alias("_unigram"), F.lit(0.0).alias("_order"))
-    sums = here.unionByName(there).unionByName(every).groupBy(key).agg(
-        *[F.sum(c).alias(c) for c in ("words", "_unigram", "_order")])
+    shared = spark.sparkContext.broadcast((
+        hot.column("_word").combine_chunks(), *[numbers(hot, c) for c in ("_of_word", "_firsts", "_lasts")],
+        grams.column("gram").combine_chunks(), numbers(grams, "count")))
+    tails = ("_tail", "_middle")[:len(sizes)]
+    of_key = slim.schema["key"].dataType.simpleString()
+    kinds = {"key": of_key, "_by": "string", "_flags": "byte", **dict.fromkeys(tails, "string"), "_post": of_key, **SUMS}
+    lists = T.StructType.fromDDL(", ".join(["_by_task int", *[f"{c} array<{kind}>" for c, kind in kinds.items()]]))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-number // WORDS_PER_TASK))
+    away = slim.mapInArrow(_waiting(shared, order, float(smoothing), vocabulary, tasks, lists), lists)
+    schema = T.StructType([slim.schema["key"], *T.StructType.fromDDL(", ".join(f"{c} {kind}" for c, kind in SUMS.items()))])
+    there = away.repartitionById(tasks, F.col("_by_task")).mapInArrow(_sums_of_counts(float(smoothing), vocabulary), schema)
+    # A task has summed up what it has of a post, so rows are sent as they are.
+    sums = there.withColumnRenamed("key", key).repartition(F.col(f"`{key}`")).groupBy(key).agg(
+        *[F.sum(c).alias(c) for c in SUMS])
     of_words = F.col("_unigram") - F.col("words") * F.lit(float(np.log(max(whole, 1))))
     scores = {"unigram_log_prob": F.when(F.col("words") > 0, of_words).otherwise(F.lit(0.0))}
     plain = {"unigram_probability": F.exp("unigram_log_prob")}

@@ -176,3 +176,30 @@ def test_rows_go_by_the_shortest_beginning_that_is_not_frequent(spark):
         for row in rows:
             assert row.words == len(sentences[row.id].split())
             assert (row.unigram_probability, row[f"{name}_probability"]) == pytest.approx(expected[row.id])
+
+
+def test_words_are_sent_in_lists(spark):
+    """No row for each word, neither on its way nor back, and nothing is summed before it is sent back."""
+    for order in (1, 2, 3):
+        plan = score_posts(posts_of(spark, *GOLDEN), order=order)._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "Join" not in plan
+        assert plan.index("partial_sum") < plan.index("REPARTITION_BY_COL") < plan.index("REPARTITION_BY_NUM")
+
+
+def test_slices_of_posts():
+    import pyarrow as pa
+    from crowdtape.operators.probability import _slices
+
+    posts = [["a", "b"], [], ["c"] * 7, ["a"], [], ["b", None, "a"]]
+    batch = pa.record_batch({"key": pa.array(range(6)), "_tokens": pa.array(posts)}).slice(1)
+    for most in (1, 3, 100):
+        found = list(_slices(iter([batch]), most))
+        assert [k for s in found for k in s.keys.to_pylist()] == [1, 2, 3, 4, 5]
+        assert [w for s in found for w in s.words.to_pylist()] == sum(posts[1:], [])
+        assert [x for s in found for x in (s.at + s.left)] == [7] * 7 + [1] + [3] * 3
+        assert all(len(s.words) <= most or len(s.keys) == 1 for s in found)
+    alone, among = (next(_slices(iter([pa.record_batch({"key": pa.array([1]), "_tokens": pa.array([words])})])))
+                    for words in (["b", "c"], ["x", "b", "c", "y"]))
+    import numpy as np
+    assert alone.hashes(np.array([0]), 2) == among.hashes(np.array([1]), 2)
+    assert among.joined(np.array([1]), 0, 2).to_pylist() == ["b c"]
