@@ -11,12 +11,13 @@ exponentials and reach 0 on long posts. Frequencies relative to the number of di
 1, so that unigram value can also reach infinity; relative to all words it cannot.
 """
 
-import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -51,12 +52,15 @@ class _Slice:
         found = pc.index_in(self.distinct, value_set=some).fill_null(-1).to_numpy()
         return np.where(self.there, found[self.code], -1) if len(found) else np.full(len(self.code), -1)
 
+    @cached_property
+    def _of_word(self) -> np.ndarray:
+        return hash_array(self.distinct.to_numpy(zero_copy_only=False), categorize=False)
+
     def hashes(self, places: np.ndarray, n: int) -> np.ndarray:
         """A number for the n words from each place on, the same wherever they stand."""
-        of_word = np.array([zlib.crc32(word.encode()) for word in self.distinct.to_pylist()], np.uint64)
         found = np.zeros(len(places), np.uint64)
         for i in range(n):
-            found = found * np.uint64(0x9E3779B97F4A7C15) + of_word[self.code[np.minimum(places + i, len(self.code) - 1)]]
+            found = found * np.uint64(0x9E3779B97F4A7C15) + self._of_word[self.code[np.minimum(places + i, len(self.code) - 1)]]
         return found ^ (found >> np.uint64(29))
 
     def joined(self, places: np.ndarray, start: int, stop: int) -> pa.Array:
@@ -151,7 +155,7 @@ def _waiting(shared, order: int, smoothing: float, vocabulary: int, tasks: int,
                 task = (s.hashes(places, n) % np.uint64(tasks)).astype(np.int32)
                 # What is alike lies together, so it takes less room on its way.
                 last = np.minimum(places + n - 1, len(word) - 1)
-                by = np.lexsort((s.code[last], s.code[places], task))
+                by = np.argsort((task * np.int64(len(s.distinct)) + s.code[places]) * len(s.distinct) + s.code[last])
                 places, task = places[by], task[by]
                 sent, starts = np.unique(task, return_index=True)
                 rest = {name: pc.if_else(pa.array(s.left[places] >= size), s.joined(places, n, size), None)
