@@ -44,10 +44,14 @@ def scored_posts(posts: DataFrame, text: str = "text", **cleaning) -> DataFrame:
 def cleaned_ngrams(posts: DataFrame, text: str = "text", **cleaning) -> DataFrame:
     """Posts with date, probabilities and a column of n-grams for each name in ``GRAMS``."""
     tokens = staged(clean_posts(posts.select("id", text), text, **cleaning).select("id", "tokens"), "tokens")
-    scores = score_posts(tokens).select("id", *PROBABILITIES)
-    # The n-grams are many times as large as the words they are made of, so they are made behind all joins.
-    joined = tokens.join(scores, "id").join(posts.drop(text), "id").withColumn("date", F.to_date("created_at"))
-    return with_grams(joined, GRAMS).drop("tokens")
+    # What was shuffled for the scores is gone before the words are shuffled.
+    scores = staged(score_posts(tokens).select("id", *PROBABILITIES), "scores")
+    # The n-grams are many times as large as the words they are made of, so they are made behind all joins. Words travel as
+    # one text, which takes half the room of an array; only posts without words have the empty one.
+    text_of = tokens.select("id", F.array_join("tokens", " ").alias("tokens"))
+    joined = text_of.join(scores, "id").join(posts.drop(text), "id").withColumn("date", F.to_date("created_at"))
+    words = F.when(F.col("tokens") != "", F.split("tokens", " ")).otherwise(F.array().cast("array<string>"))
+    return with_grams(joined.withColumn("tokens", words), GRAMS).drop("tokens")
 
 
 def scaled_posts(scored: DataFrame) -> DataFrame:

@@ -203,3 +203,17 @@ def test_slices_of_posts():
     import numpy as np
     assert alone.hashes(np.array([0]), 2) == among.hashes(np.array([1]), 2)
     assert among.joined(np.array([1]), 0, 2).to_pylist() == ["b c"]
+
+
+def test_grams_of_posts_need_one_shuffle_of_the_words_as_text(spark):
+    from crowdtape.plans.text_features import cleaned_ngrams
+
+    posts = posts_of(spark, "ant bee cow dog elk fox", "", "ant").select(
+        "id", F.array_join("tokens", " ").alias("text"), F.lit("2024-01-02 03:04:05").cast("timestamp").alias("created_at"))
+    found = cleaned_ngrams(posts, stem=False)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "array_join" in plan[plan.index("Join"):]
+    rows = {r.id: r for r in found.collect()}
+    assert rows[0].bigram == ["ant bee", "bee cow", "cow dog", "dog elk", "elk fox"] and len(rows[0].pentagram) == 2
+    assert all(rows[i][name] == [] for i in (1, 2) for name in ("bigram", "trigram", "quadgram", "pentagram"))
+    assert rows[1].bigram_probability == 0.0 and rows[2].unigram_probability == pytest.approx(2 / 6)

@@ -357,3 +357,25 @@ def test_posts_without_repeats_are_not_ranked(spark):
     assert "Window" not in plan and "Exchange" not in plan
     double = single.unionByName(spark.createDataFrame([post(2, 2, "cat", "@z", 5)], POST))
     assert sorted((r.id, r.user) for r in _single(double, order).collect()) == [(1, "ann"), (2, "cat")]
+
+
+def test_what_was_shuffled_for_a_staged_table_goes_once_it_is_written(spark):
+    import time
+
+    from crowdtape.sources.staging import Scope, staged
+
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    set_before, before = spark.conf.get(setting, None), shuffled()
+    with Scope(spark) as scope:
+        for write in (staged, scope.staged):
+            kept = write(spark.range(1000).repartition(7, "id"), "numbers")
+            for _ in range(50):
+                if shuffled() <= before:
+                    break
+                time.sleep(0.1)
+            assert shuffled() <= before and len(kept.collect()) == 1000
+    assert spark.conf.get(setting, None) == set_before
