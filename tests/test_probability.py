@@ -217,3 +217,42 @@ def test_grams_of_posts_need_one_shuffle_of_the_words_as_text(spark):
     assert rows[0].bigram == ["ant bee", "bee cow", "cow dog", "dog elk", "elk fox"] and len(rows[0].pentagram) == 2
     assert all(rows[i][name] == [] for i in (1, 2) for name in ("bigram", "trigram", "quadgram", "pentagram"))
     assert rows[1].bigram_probability == 0.0 and rows[2].unigram_probability == pytest.approx(2 / 6)
+
+
+def test_pairs_are_counted_by_numbers_sent_in_lists(spark):
+    from crowdtape.operators import coded
+
+    chance = random.Random(8)
+    sentences = [" ".join(chance.choice("hot hot hot b c d e f é x".split()) for _ in range(chance.randrange(9))) for _ in range(60)]
+    sentences += [f"hot w{i} x{i % 7} w{i + 1}" for i in range(40)]
+    want = collections.Counter()
+    for s in sentences:
+        w = s.split()
+        want.update(f"{w[i]} {w[i + by]}" for by in (1, 2, 3) for i in range(len(w) - by))
+    posts = posts_of(spark, *sentences, partitions=5)
+    for most in (1, 4, 1000):
+        rows = coded.skipgram_counts(posts, 2, most=most, per_task=50).collect()
+        assert len(rows) == len(want) and {r.gram: r["count"] for r in rows} == want
+    plan = coded.skipgram_counts(posts, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan and plan.count("REPARTITION_BY_NUM") == 1
+    assert coded.skipgram_counts(posts_of(spark, "", "a"), 2).count() == 0
+
+
+def test_numbers_of_words_in_lists():
+    import numpy as np
+    import pyarrow as pa
+    from crowdtape.operators.coded import _Receiver, _Sender, _halves, _whole
+
+    assert _whole(*_halves(np.array([0, 1, 65_535, 65_536, 200_000, 1 << 31]))).tolist() == [0, 1, 65_535, 65_536, 200_000, 1 << 31]
+    frequent, receiver = pa.array(["the", "of"]), _Receiver(pa.array(["the", "of"]))
+    numbers = []
+    for words in (["of", "odd", "the", "rare"], ["rare", "new", "of"]):
+        sender = _Sender(pa.array(words), frequent)
+        task, code = np.array([0] * len(words) + [3]), np.append(np.arange(len(words)), 0)
+        found, lists = sender.numbers(task, code, np.array([0, 3]))
+        assert lists.to_pylist()[0] == [w for w in words if w not in ("the", "of")]
+        mine = task == 0
+        numbers.append(receiver.numbers(found[mine], np.zeros(mine.sum(), np.int64), lists.slice(0, 1)))
+    words, (first, second) = receiver.distinct(numbers)
+    assert words.take(pa.array(first)).to_pylist() == ["of", "odd", "the", "rare"]
+    assert words.take(pa.array(second)).to_pylist() == ["rare", "new", "of"] and len(words) == 5

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from crowdtape.functions import entities, markup, patterns
 from crowdtape.functions.cleaning import chunk_text, clean_posts, with_clean_text, with_words
 from crowdtape.functions.emoji import EMOJI, emoji_names, extract_emoji
-from crowdtape.operators import ngrams, probability
+from crowdtape.operators import coded, ngrams, probability
 from crowdtape.plans import text_features
 from workload.views import (
     FACE_NAMES, POSTS, STOP_LIST, TAGGED, WORDS, Query, grams_sql, posts, staged_words, table, tagged_posts,
@@ -205,9 +205,7 @@ _EDGE_SQL = with_ctes("""
 
 
 def _skipgrams(spark: SparkSession, folder: str) -> DataFrame:
-    words = ngrams.in_tasks(staged_words(spark, folder).select("tokens"))
-    pairs = words.select(F.explode(ngrams.skipgrams_of(F.col("tokens"), 2)).alias("gram"))
-    return pairs.groupBy("gram").agg(F.count(F.lit(1)).alias("count"))
+    return coded.skipgram_counts(staged_words(spark, folder), 2)
 
 
 _SKIPGRAMS_SQL = with_ctes(
