@@ -1,4 +1,4 @@
-"""Counts of word pairs, whose words go as numbers between tasks.
+"""Counts of word pairs, whose words go as numbers between tasks, and numbers that stand for words throughout a job.
 
 There are more pairs than words, and most of them are new however many posts were read, so rows of two words outgrow the
 posts many times. A frequent word goes by its rank, which all tasks know; any other is sent once with each list that has it.
@@ -175,3 +175,68 @@ def skipgram_counts(posts: DataFrame, skip: int, tokens: str = "tokens", most: i
 
     frequent, number = frequent_words(posts, tokens, most)
     return _pairs(posts, tokens, range(1, skip + 2), True, frequent, number, rows, "gram string, count long", per_task)
+
+
+# --- numbers that stand for words throughout a job ---
+
+def _marks(words: pa.Array, frequent: pa.Array, salt: int) -> np.ndarray:
+    """The rank of a frequent word, a hash of any other."""
+    rank = pc.index_in(words, value_set=frequent).fill_null(-1).to_numpy().astype(np.int64)
+    rare = np.flatnonzero(rank < 0)
+    hashed = hash_array(words.take(pa.array(rare)).to_numpy(zero_copy_only=False), hash_key=f"{salt:016d}", categorize=False)
+    rank[rare] = len(frequent) + (hashed >> np.uint64(2)).astype(np.int64)
+    return rank
+
+
+def numbered_pair_counts(posts: DataFrame, window: int, scope: Scope, tokens: str = "tokens", most: int = FREQUENT_LIMIT,
+                         per_task: int = PAIRS_PER_TASK) -> tuple[DataFrame, DataFrame]:
+    """``word, context, n`` once for each pair of words at most ``window`` places apart, and ``number, word`` of all words.
+
+    Words are numbers in the first table, ``word`` the lower one; a word is with itself as often as it meets itself.
+    A rare word's number is a hash, with another salt where two words of these posts share one. The posts should have been written.
+    """
+    spark = posts.sparkSession
+    frequent, number = frequent_words(posts, tokens, most)
+    shared = spark.sparkContext.broadcast(frequent)
+    words = posts.select(F.explode(tokens).alias("word")).where(F.col("word").isNotNull()).distinct()
+
+    def numbers(salt: int):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                marks = pa.array(_marks(batch.column(0), shared.value, salt))
+                yield pa.RecordBatch.from_arrays([marks, batch.column(0)], names=["number", "word"])
+        return work
+
+    share_package(spark)
+    salt, words = 0, scope.staged(words, "words")
+    while True:
+        numbered = scope.staged(words.mapInArrow(numbers(salt), "number long, word string"), "numbers")
+        if not numbered.groupBy("number").agg(F.count(F.lit(1)).alias("words")).where("words > 1").take(1):
+            break
+        salt += 1
+
+    def rows(words: pa.Array, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        marks = np.arange(len(words))
+        marks[len(frequent):] = _marks(words.slice(len(frequent)), frequent, salt)
+        low, high = np.minimum(marks[a], marks[b]), np.maximum(marks[a], marks[b])
+        # Sorted, a column of lower numbers takes next to no room where it is written.
+        by = np.lexsort((high, low))
+        for at in range(0, len(by), _BATCH):
+            part = by[at:at + _BATCH]
+            yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (low, high, n)], names=["word", "context", "n"])
+
+    counted = _pairs(posts, tokens, range(1, window + 1), False, frequent, number, rows, "word long, context long, n long", per_task)
+    return scope.staged(counted, "pair-counts"), numbered
+
+
+def pair_counts(posts: DataFrame, window: int, tokens: str = "tokens", most: int = FREQUENT_LIMIT,
+                per_task: int = PAIRS_PER_TASK) -> DataFrame:
+    """``word, context, n`` once for each pair of words at most ``window`` places apart."""
+    def rows(words: pa.Array, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(a), _BATCH):
+            part = slice(at, at + _BATCH)
+            yield pa.RecordBatch.from_arrays(
+                [words.take(pa.array(a[part])), words.take(pa.array(b[part])), pa.array(n[part])], names=["word", "context", "n"])
+
+    frequent, number = frequent_words(posts, tokens, most)
+    return _pairs(posts, tokens, range(1, window + 1), False, frequent, number, rows, "word string, context string, n long", per_task)

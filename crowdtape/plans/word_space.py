@@ -5,15 +5,16 @@ block of vectors is a join and a sum; only matrices as small as the block is wid
 """
 
 from collections.abc import Iterator, Sequence
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from crowdtape.operators import coded
 from crowdtape.operators.lookup import FREQUENT_LIMIT, lookup
-from crowdtape.operators.ngrams import gram_at, in_tasks
 from crowdtape.session import share_package
-from crowdtape.sources.staging import staged
+from crowdtape.sources.staging import Scope, staged
 
 WINDOW = 5
 # Columns beyond the wanted ones, and products with the matrix that sharpen them.
@@ -23,18 +24,16 @@ _SPARE, _ROUNDS = 8, 4
 def pair_counts(posts: DataFrame, tokens: str = "tokens", window: int = WINDOW) -> DataFrame:
     """``word, context, n``: how often two words stand at most ``window`` places apart, in either order.
 
-    Each pair is counted and written once; its two orders are made when it is read.
+    Each pair is counted and written once; its two orders are made when it is read. The posts should have been written.
     """
-    at = F.explode(F.sequence(F.lit(0), F.size(tokens) - 2))
-    placed = in_tasks(posts.select(tokens), tokens=tokens).where(F.size(tokens) > 1).select(tokens, at.alias("_at"))
-    word = gram_at(1, tokens)
-    pairs = placed.select(F.inline(F.array(*[
-        F.struct(F.least(word, near).alias("word"), F.greatest(word, near).alias("context"),
-                 (F.col("_at") + by < F.size(tokens)).alias("_there"))
-        for by, near in ((by, gram_at(1, tokens, ahead=by)) for by in range(1, window + 1))])))
-    counted = staged(pairs.where("_there").groupBy("word", "context").agg(F.count(F.lit(1)).alias("n")), "pair-counts")
-    return _both(counted, F.when(F.col("word") == F.col("context"), 2 * F.col("n")).otherwise(F.col("n")).alias("n"),
-                 F.col("n").alias("n"))
+    counted = staged(coded.pair_counts(posts, window, tokens), "pair-counts")
+    n = _met("n").alias("n")
+    return _both(counted, n, n)
+
+
+def _met(n: str) -> Column:
+    """How often two words meet, in either order: a word that follows itself is met from both sides."""
+    return F.when(F.col("word") == F.col("context"), 2 * F.col(n)).otherwise(F.col(n))
 
 
 def _both(pairs: DataFrame, there: Column, back: Column) -> DataFrame:
@@ -51,12 +50,24 @@ def ppmi(counts: DataFrame, smoothing: float = 1.0, limit: int = FREQUENT_LIMIT)
     ``counts`` has both orders of a pair, with the same count. ``smoothing`` below 1 raises the chance of rare words,
     which otherwise have the largest values. Only one order is looked up, and only rows of rare words are shuffled.
     """
-    of_word = staged(counts.groupBy("word").agg(F.sum("n").cast("double").alias("_n"), F.count(F.lit(1)).alias("_rows")), "word-counts")
+    of_word = staged(_word_counts(counts), "word-counts")
+    return _information(_known(counts.where("word <= context"), of_word, limit), of_word, smoothing)
+
+
+def _word_counts(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("word").agg(F.sum("n").cast("double").alias("_n"), F.count(F.lit(1)).alias("_rows"))
+
+
+def _known(half: DataFrame, of_word: DataFrame, limit: int) -> DataFrame:
+    """One order of each pair with the counts of both words, ``_n`` and ``_n2``."""
+    of_context = of_word.select(F.col("word").alias("context"), F.col("_n").alias("_n2"), F.col("_rows").alias("_rows2"))
+    return lookup(lookup(half, of_word, "word", "_rows", limit), of_context, "context", "_rows2", limit)
+
+
+def _information(known: DataFrame, of_word: DataFrame, smoothing: float) -> DataFrame:
     power = F.pow("_n", F.lit(smoothing))
     total, weight = of_word.agg(F.sum("_n")).scalar(), of_word.agg(F.sum(power)).scalar()
-    of_context = of_word.select(F.col("word").alias("context"), F.col("_n").alias("_n2"), F.col("_rows").alias("_rows2"))
-    half = lookup(counts.where("word <= context"), of_word, "word", "_rows", limit)
-    known = lookup(half, of_context, "context", "_rows2", limit).withColumns({"_total": total, "_whole": weight})
+    known = known.withColumns({"_total": total, "_whole": weight})
 
     def value(first: str, second: str) -> Column:
         share = F.pow(second, F.lit(smoothing)) / F.col("_whole")
@@ -67,36 +78,38 @@ def ppmi(counts: DataFrame, smoothing: float = 1.0, limit: int = FREQUENT_LIMIT)
 
 # --- blocks of vectors: ``word`` and an array of numbers for each ---
 
-def _start(words: DataFrame, width: int, seed: int) -> DataFrame:
-    """Random signs that depend on the word, the column and the seed alone."""
+def _start(words: DataFrame, width: int, seed: int, names: DataFrame | None = None) -> DataFrame:
+    """Random signs that depend on the word, the column and the seed alone; on the name of the word where there are names."""
+    named = words.distinct().withColumn("_name", F.col("word"))
+    if names is not None:
+        named = words.distinct().join(names.select(F.col("number").alias("word"), F.col("word").alias("_name")), "word")
     signs = F.transform(F.sequence(F.lit(0), F.lit(width - 1)),
-                        lambda c: F.when(F.xxhash64(F.lit(seed), F.col("word"), c) % 2 == 0, 1.0).otherwise(-1.0))
-    return words.distinct().select("word", signs.alias("x"))
+                        lambda c: F.when(F.xxhash64(F.lit(seed), F.col("_name"), c) % 2 == 0, 1.0).otherwise(-1.0))
+    return named.select("word", signs.alias("x"))
 
 
 class _Matrix:
-    """A matrix written for many products: rows of frequent contexts by word, the rest as it comes.
+    """A matrix for many products.
 
-    Vectors of frequent contexts, at most ``limit``, are broadcast, and each word's products with them are added up in
-    one task. So a product shuffles only what has a rare context, which meets few words, and sums that no task can end.
+    Vectors of frequent contexts, at most ``limit``, are broadcast, so a product shuffles only what has a rare context,
+    which meets few words and is written once more, and sums that a task cannot end.
     """
 
-    def __init__(self, matrix: DataFrame, limit: int) -> None:
-        matrix = staged(matrix, "matrix")
+    def __init__(self, matrix: DataFrame, limit: int, scope: Scope) -> None:
+        self.matrix = matrix
         self.words = matrix.select("word")
-        rows = matrix.groupBy("context").agg(F.count(F.lit(1)).alias("_rows"))
-        frequent = F.col("_rows") * F.lit(limit) >= F.lit(matrix.count())
-        self.frequent = staged(rows.where(frequent).select("context"), "frequent-contexts")
-        self.near = staged(matrix.join(F.broadcast(self.frequent), "context", "left_semi").repartition("word"), "near-matrix")
-        self.far = staged(matrix.join(F.broadcast(self.frequent), "context", "left_anti"), "far-matrix")
+        rows = scope.staged(matrix.groupBy("context").agg(F.count(F.lit(1)).alias("_rows")), "context-rows")
+        frequent = F.col("_rows") * F.lit(limit) >= F.lit(rows.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0])
+        self.frequent = rows.where(frequent).select("context")
+        self.far = scope.staged(matrix.join(F.broadcast(self.frequent), "context", "left_anti"), "far-matrix")
 
-    def times(self, block: DataFrame, width: int) -> DataFrame:
+    def times(self, block: DataFrame, width: int, scope: Scope) -> DataFrame:
         """The matrix times the block."""
         vectors = block.select(F.col("word").alias("context"), "x")
         known = vectors.join(F.broadcast(self.frequent), "context", "left_semi")
-        met = self.near.join(F.broadcast(known), "context").unionByName(self.far.join(vectors, "context"))
+        met = self.matrix.join(F.broadcast(known), "context").unionByName(self.far.join(vectors, "context"))
         sums = met.groupBy("word").agg(*[F.sum(F.col("value") * F.get("x", F.lit(c))).alias(f"x{c}") for c in range(width)])
-        return staged(sums.select("word", F.array(*[f"x{c}" for c in range(width)]).alias("x")), "block")
+        return scope.staged(sums.select("word", F.array(*[f"x{c}" for c in range(width)]).alias("x")), "block")
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -130,10 +143,10 @@ def _times(block: DataFrame, small: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], names=["word", "x"])
 
     share_package(block.sparkSession)
-    return block.select("word", "x").mapInArrow(work, "word string, x array<double>")
+    return block.select("word", "x").mapInArrow(work, f"word {block.schema['word'].dataType.simpleString()}, x array<double>")
 
 
-def _orthonormal(block: DataFrame) -> DataFrame:
+def _orthonormal(block: DataFrame, scope: Scope) -> DataFrame:
     """A block with the same span whose columns are orthonormal; directions that hold next to nothing go.
 
     Done twice, since one pass through the products of columns leaves rounding errors.
@@ -141,43 +154,66 @@ def _orthonormal(block: DataFrame) -> DataFrame:
     for _ in range(2):
         values, vectors = np.linalg.eigh(_gram(block, "x", "x"))
         keep = values > values.max(initial=0.0) * 1e-12
-        block = staged(_times(block, vectors[:, keep] / np.sqrt(values[keep])), "basis")
-    return block
+        block = _times(block, vectors[:, keep] / np.sqrt(values[keep]))
+    return scope.staged(block, "basis")
 
 
-def symmetric_svd(matrix: DataFrame, size: int, seed: int = 0, rounds: int = _ROUNDS,
-                  limit: int = FREQUENT_LIMIT) -> tuple[np.ndarray, DataFrame]:
+def symmetric_svd(matrix: DataFrame, size: int, seed: int = 0, rounds: int = _ROUNDS, limit: int = FREQUENT_LIMIT,
+                  names: DataFrame | None = None) -> tuple[np.ndarray, DataFrame]:
     """The ``size`` eigenvalues of largest magnitude of a symmetric ``word, context, value``, and its eigenvectors.
 
     Eigenvectors are ``word`` and ``x``. A random block is multiplied by the matrix ``rounds`` times and made
     orthonormal each time; the matrix seen through it is small and is decomposed on the driver. Fewer values come
     where the matrix has fewer. Signs are such that the sums of cubes of the vectors' entries are not negative.
+    The matrix should come of what has been written; it is read many times. ``names`` has the ``number, word`` of words
+    that are numbers. Of what is written here only the eigenvectors stay.
     """
-    laid_out = _Matrix(matrix, limit)
-    width = size + _SPARE
-    basis = _start(laid_out.words, width, seed)
-    for _ in range(rounds):
-        block = laid_out.times(basis, width)
-        basis = _orthonormal(block)
-        width = len(basis.first()["x"]) if basis.take(1) else 0
-        if not width:
-            return np.zeros(0), basis
-    seen = basis.join(laid_out.times(basis, width).withColumnRenamed("x", "y"), "word")
-    small = _gram(seen, "x", "y")
-    values, vectors = np.linalg.eigh((small + small.T) / 2)
-    order = np.argsort(-np.abs(values), kind="stable")[:size]
-    found = staged(_times(basis, vectors[:, order]), "eigenvectors")
+    spark = matrix.sparkSession
+    with ExitStack() as kept:
+        laid_out = _Matrix(matrix, limit, kept.enter_context(Scope(spark)))
+        width = size + _SPARE
+        last = kept.enter_context(ExitStack())
+        basis = last.enter_context(Scope(spark)).staged(_start(laid_out.words, width, seed, names), "start")
+        for _ in range(rounds):
+            # A block goes when its basis is there, and that when it has been multiplied.
+            of_basis = ExitStack()
+            with Scope(spark) as of_block:
+                block = laid_out.times(basis, width, of_block)
+                last.close()
+                last = kept.enter_context(of_basis)
+                basis = _orthonormal(block, of_basis.enter_context(Scope(spark)))
+            width = len(basis.first()["x"]) if basis.take(1) else 0
+            if not width:
+                return np.zeros(0), spark.createDataFrame([], basis.schema)
+        products = laid_out.times(basis, width, last.enter_context(Scope(spark)))
+        seen = basis.join(products.withColumnRenamed("x", "y"), "word")
+        small = _gram(seen, "x", "y")
+        values, vectors = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(-np.abs(values), kind="stable")[:size]
+        found = staged(_times(basis, vectors[:, order]), "eigenvectors")
     cubes = found.agg(*[F.sum(F.pow(F.get("x", F.lit(c)), F.lit(3))) for c in range(len(order))]).first()
     signs = np.array([-1.0 if (c or 0.0) < 0 else 1.0 for c in cubes])
     return values[order], _times(found, np.diag(signs))
 
 
 def word_space(posts: DataFrame, size: int = 100, tokens: str = "tokens", window: int = WINDOW, smoothing: float = 0.75,
-               seed: int = 0) -> DataFrame:
-    """``word, vector``: words that stand in like company have like vectors. Words that meet no other have none."""
-    values, vectors = symmetric_svd(ppmi(pair_counts(posts, tokens, window), smoothing), size, seed)
-    scaled = _times(vectors, np.diag(np.sqrt(np.abs(values)))) if len(values) else vectors
-    return scaled.select("word", F.col("x").alias("vector"))
+               seed: int = 0, limit: int = FREQUENT_LIMIT) -> DataFrame:
+    """``word, vector``: words that stand in like company have like vectors. Words that meet no other have none.
+
+    Words are numbers until the end, and a pair is kept once with the counts of both words. What is written on the way
+    goes as soon as it has been read last.
+    """
+    spark = posts.sparkSession
+    with Scope(spark) as kept:
+        with Scope(spark) as counted:
+            pairs, names = coded.numbered_pair_counts(posts, window, counted, tokens, most=limit)
+            names = kept.staged(names, "names")
+            n = _met("n").alias("n")
+            of_word = kept.staged(_word_counts(_both(pairs, n, n)), "word-counts")
+            known = kept.staged(_known(pairs.withColumn("n", n), of_word, limit), "known-pairs")
+        values, vectors = symmetric_svd(_information(known, of_word, smoothing), size, seed, limit=limit, names=names)
+        scaled = _times(vectors, np.diag(np.sqrt(np.abs(values)))) if len(values) else vectors
+        return staged(scaled.withColumnRenamed("word", "number").join(names, "number").select("word", F.col("x").alias("vector")), "vectors")
 
 
 def nearest_words(vectors: DataFrame, words: Sequence[str], count: int = 10) -> DataFrame:

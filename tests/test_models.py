@@ -180,3 +180,32 @@ def test_few_sparse_features_take_one_pass_and_no_python(spark):
     # The solver's passes are bounded to one, which the equations of few features need not more than.
     found = wide_regression.fit_sparse(long, spark.createDataFrame(labels, "timestamp long, y double"), "y", most_passes=1)
     assert {r.feature: r.coefficient for r in found.collect()} == pytest.approx({"a": 2.0, "b": -1.0, "c": 0.5, "intercept": 3.0})
+
+
+def test_words_as_numbers_have_the_same_vectors_and_leave_little(spark):
+    import os
+
+    from crowdtape.operators import coded
+    from crowdtape.sources.staging import Scope, staging_folder
+
+    def kept():
+        return {name for name in os.listdir(staging_folder(spark).removeprefix("file://")) if os.listdir(f"{staging_folder(spark).removeprefix('file://')}/{name}")}
+
+    rng = np.random.default_rng(8)
+    posts = spark.createDataFrame([([f"w{min(int(i), 50)}" for i in rng.geometric(0.1, n % 15)],) for n in range(90)] + [(["q", "q"],)], "tokens array<string>")
+    values, vectors = word_space.symmetric_svd(word_space.ppmi(word_space.pair_counts(posts, window=2), 0.75), 3, seed=4)
+    want = {r.word: np.array(r.x) * np.sqrt(np.abs(values)) for r in vectors.collect()}
+    assert len(want) > 20 and "q" in want
+    for limit in (1, 5, 200_000):
+        before = kept()
+        found = word_space.word_space(posts, size=3, window=2, seed=4, limit=limit)
+        assert {name.rsplit("-", 1)[0] for name in kept() - before} == {"eigenvectors", "vectors"}
+        assert {r.word: r.vector for r in found.collect()} == {w: pytest.approx(x, abs=1e-8) for w, x in want.items()}
+    counted = {(r.word, r.context): r.n for r in word_space.pair_counts(posts, window=2).collect()}
+    with Scope(spark) as scope:
+        pairs, names = coded.numbered_pair_counts(posts, 2, scope, most=5, per_task=100)
+        names = {r.number: r.word for r in names.collect()}
+        assert len(set(names.values())) == len(names) and sorted(names)[:5] == [0, 1, 2, 3, 4]
+        rows = pairs.collect()
+        assert all(r.word <= r.context for r in rows) and 2 * len(rows) - sum(r.word == r.context for r in rows) == len(counted)
+        assert all(counted[names[r.word], names[r.context]] == r.n * (2 if r.word == r.context else 1) for r in rows)

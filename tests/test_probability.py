@@ -233,7 +233,7 @@ def test_pairs_are_counted_by_numbers_sent_in_lists(spark):
     for most in (1, 4, 1000):
         rows = coded.skipgram_counts(posts, 2, most=most, per_task=50).collect()
         assert len(rows) == len(want) and {r.gram: r["count"] for r in rows} == want
-    plan = coded.skipgram_counts(posts, 2)._jdf.queryExecution().executedPlan().toString()
+    plan = coded.skipgram_counts(posts_of(spark, *sentences), 2)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Aggregate" not in plan and plan.count("REPARTITION_BY_NUM") == 1
     assert coded.skipgram_counts(posts_of(spark, "", "a"), 2).count() == 0
 
