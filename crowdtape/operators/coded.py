@@ -1,6 +1,6 @@
-"""Counts of word pairs, whose words go as numbers between tasks, and numbers that stand for words throughout a job.
+"""Counts of word pairs and long grams, whose words go as numbers between tasks, and numbers that stand for words throughout a job.
 
-There are more pairs than words, and most of them are new however many posts were read, so rows of two words outgrow the
+There are more pairs than words, and most of them are new however many posts were read, so rows of several words outgrow the
 posts many times. A frequent word goes by its rank, which all tasks know; any other is sent once with each list that has it.
 Nothing depends on which words are frequent but the room that lists take.
 """
@@ -14,7 +14,7 @@ from pandas.util import hash_array
 from pyspark.sql import DataFrame, functions as F
 
 from crowdtape.operators.lookup import FREQUENT_LIMIT
-from crowdtape.operators.probability import _slices
+from crowdtape.operators.slices import WORDS_PER_TASK, Slice, slices
 from crowdtape.session import share_package
 from crowdtape.sources.staging import Scope
 
@@ -54,12 +54,12 @@ class _Sender:
 
     def __init__(self, distinct: pa.Array, frequent: pa.Array) -> None:
         self._distinct, self._frequent = distinct, len(frequent)
-        self._rank = pc.index_in(distinct, value_set=frequent).fill_null(-1).to_numpy().astype(np.int64)
-        self.rare = self._rank < 0
+        self.rank = pc.index_in(distinct, value_set=frequent).fill_null(-1).to_numpy().astype(np.int64)
+        self.rare = self.rank < 0
 
     def numbers(self, task: np.ndarray, code: np.ndarray, sent: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
         """A number for each word by its code, and the list of other words for each of the tasks in ``sent``."""
-        found = self._rank[code]
+        found = self.rank[code]
         rare = np.flatnonzero(self.rare[code])
         of_task, at = np.unique(task[rare].astype(np.int64) * len(self._distinct) + code[rare], return_inverse=True)
         tasks = of_task // max(len(self._distinct), 1)
@@ -94,7 +94,7 @@ class _Receiver:
 
 def _send_pairs(shared, tasks: int, apart: Sequence[int], ordered: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in _slices(batches):
+        for s in slices(batches):
             if not len(s.distinct):
                 continue
             sender, many = _Sender(s.distinct, shared.value), len(s.distinct)
@@ -177,6 +177,131 @@ def skipgram_counts(posts: DataFrame, skip: int, tokens: str = "tokens", most: i
     return _pairs(posts, tokens, range(1, skip + 2), True, frequent, number, rows, "gram string, count long", per_task)
 
 
+# --- grams of three words and more: stretches of posts whose grams have the same rarest word go to one task ---
+
+def _stretches(s: Slice, rank: np.ndarray, mark: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where stretches begin, how many words each has, and the mark of the rarest word of all its grams.
+
+    Each gram of n words is in one stretch. What is rarest depends on the words alone, so a gram has the same wherever it stands.
+    """
+    begins = np.flatnonzero(s.left >= n)
+    for i in range(n):
+        begins = begins[s.there[begins + i]]
+    if not len(begins):
+        return begins, begins, np.zeros(0, np.uint64)
+    # Words in one order for all tasks: frequent ones by rank, others behind them by mark; what ties here goes to one task.
+    order = np.where(rank < 0, np.uint64(1 << 62) + (mark >> np.uint64(2)), np.maximum(rank, 0).astype(np.uint64))[s.code]
+    best, at = order[begins], begins.copy()
+    for i in range(1, n):
+        later = order[begins + i] >= best
+        best, at = np.where(later, order[begins + i], best), np.where(later, begins + i, at)
+    new = np.append(True, (at[1:] != at[:-1]) | (begins[1:] != begins[:-1] + 1))
+    first = np.flatnonzero(new)
+    return begins[first], np.diff(np.append(first, len(begins))) + n - 1, mark[s.code[at[first]]]
+
+
+def _alike(code: np.ndarray, mark: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of each kind of stretch, and how many there are of it."""
+    owner, within = _spread(sizes)
+    place = begins[owner] + within
+    mixed = (mark[code[place]] + within.astype(np.uint64)) * (2 * within.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    hashed = np.add.reduceat(mixed ^ (mixed >> np.uint64(31)), np.cumsum(sizes) - sizes) if len(sizes) else mixed
+    _, first, kind = np.unique(hashed, return_index=True, return_inverse=True)
+    like = first[kind]
+    # A stretch that only shares the hash of another stays as it is.
+    same = sizes == sizes[like]
+    compared = same[owner]
+    differs = np.zeros(len(begins), bool)
+    differs[owner[compared][code[place[compared]] != code[(begins[like[owner]] + within)[compared]]]] = True
+    like = np.where(same & ~differs, like, np.arange(len(begins)))
+    return np.unique(like, return_counts=True)
+
+
+def _spread(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of stretches one after the other: its stretch and its place there."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _send_stretches(shared, tasks: int, n: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in slices(batches):
+            if not len(s.distinct):
+                continue
+            sender = _Sender(s.distinct, shared.value)
+            mark = hash_array(s.distinct.to_numpy(zero_copy_only=False), categorize=False)
+            begins, sizes, rarest = _stretches(s, sender.rank, mark, n)
+            some, times = _alike(s.code, mark, begins, sizes)
+            begins, sizes, rarest = begins[some], sizes[some], rarest[some]
+            task = ((rarest >> np.uint64(20)) % np.uint64(tasks)).astype(np.int32)
+            by = np.argsort(task, kind="stable")
+            begins, sizes, times, task = begins[by], sizes[by], times[by], task[by]
+            sent, starts = np.unique(task, return_index=True)
+            owner, within = _spread(sizes)
+            numbers, words = sender.numbers(task[owner], s.code[begins[owner] + within], sent)
+            ends = np.append(starts, len(task)).astype(np.int32)
+            of_words = pa.array(np.append(0, np.cumsum(sizes))[ends].astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(sent), *[pa.ListArray.from_arrays(of_words, x) for x in _halves(numbers)],
+                 *[pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (sizes, times)], words],
+                names=["_by_task", "a", "a_high", "size", "n", "words"])
+    return work
+
+
+def _count_stretches(shared, n: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        receiver, codes, sizes, times = _Receiver(shared.value), [], [], []
+        for batch in batches:
+            lists = dict(zip(batch.schema.names, batch.columns))
+            row = np.repeat(np.arange(len(batch)), np.diff(lists["a"].offsets.to_numpy()))
+            codes.append(receiver.numbers(_whole(lists["a"].flatten(), lists["a_high"].flatten()), row, lists["words"]))
+            sizes.append(lists["size"].flatten().to_numpy())
+            times.append(lists["n"].flatten().to_numpy())
+        if not sum(len(x) for x in sizes):
+            return
+        words, (code,) = receiver.distinct([np.concatenate(codes)])
+        sizes, times = np.concatenate(sizes).astype(np.int64), np.concatenate(times).astype(np.int64)
+        owner, within = _spread(sizes)
+        begins = np.flatnonzero(sizes[owner] - within >= n)
+        mixed = np.zeros(len(begins), np.uint64)
+        for i in range(n):
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + code[begins + i].astype(np.uint64)
+        _, first, gram = np.unique(mixed, return_index=True, return_inverse=True)
+        if any((code[begins + i] != code[begins[first[gram]] + i]).any() for i in range(n)):
+            # Two grams share a hash: they get dense numbers by one more word at a time instead.
+            gram = code[begins]
+            for i in range(1, n):
+                _, first, gram = np.unique(gram * len(words) + code[begins + i], return_index=True, return_inverse=True)
+        count = np.bincount(gram, times[owner[begins]]).astype(np.int64)
+        # In the order of the posts neighbours share their words, so they take less room where they are written.
+        by = np.argsort(first)
+        first, count = first[by], count[by]
+        for at in range(0, len(first), _BATCH):
+            there = begins[first[at:at + _BATCH]]
+            parts = [words.take(pa.array(code[there + i])) for i in range(n)]
+            yield pa.RecordBatch.from_arrays(
+                [pc.binary_join_element_wise(*parts, " "), pa.array(count[at:at + _BATCH])], names=["gram", "count"])
+    return work
+
+
+def long_gram_counts(posts: DataFrame, n: int, tokens: str = "tokens", most: int = FREQUENT_LIMIT,
+                     per_task: int = WORDS_PER_TASK) -> DataFrame:
+    """``gram, count`` of the grams of n words, joined by a blank.
+
+    A gram goes to the task of its rarest word. Neighbours mostly share it, so they go as one stretch of words, some two words
+    a gram in place of n; stretches that come again in a slice go once. The posts should have been written; they are read
+    twice. Words are not NULL.
+    """
+    spark = posts.sparkSession
+    share_package(spark)
+    frequent, number = frequent_words(posts, tokens, most)
+    shared = spark.sparkContext.broadcast(frequent)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-number // per_task))
+    slim = posts.where(F.size(tokens) >= n).select(F.lit(0).alias("key"), F.col(tokens).alias("_tokens"))
+    sent = slim.mapInArrow(_send_stretches(shared, tasks, n), f"_by_task int, a {_HALVES}, a_high {_HALVES}, size array<int>, n array<int>, words array<string>")
+    return sent.repartitionById(tasks, F.col("_by_task")).mapInArrow(_count_stretches(shared, n), "gram string, count long")
+
+
 # --- numbers that stand for words throughout a job ---
 
 def _marks(words: pa.Array, frequent: pa.Array, salt: int) -> np.ndarray:

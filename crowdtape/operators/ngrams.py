@@ -4,10 +4,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Words that one task unrolls: few enough that the distinct grams it has gathered fit in its memory. More of them
-# would be sorted on disk, which costs many times as much as counting them.
-WORDS_PER_TASK = 1 << 20
-# From so many words on, grams hardly repeat within a task, so they are dealt out uncounted.
+from crowdtape.operators.coded import long_gram_counts
+from crowdtape.operators.slices import WORDS_PER_TASK
+
+# From so many words on, grams hardly repeat within a task, so stretches of posts are dealt out instead.
 _RARELY_REPEATED = 3
 
 
@@ -84,8 +84,8 @@ def gram_counts(posts: DataFrame, sizes: Sequence[int] = (1,), tokens: str = "to
                 per_task: int = WORDS_PER_TASK) -> DataFrame:
     """``n, gram, count`` over all posts, which are read more than once; words hold no blanks.
 
-    Single words and pairs are counted within tasks first. Longer grams hardly repeat there: they are dealt out
-    uncounted in as many parts as the words need. Several sizes are sent as one: every word with those that follow it,
+    Single words and pairs are counted within tasks first. Longer grams hardly repeat there: they go in stretches of posts
+    to the tasks that count them. Several sizes are sent as one: every word with those that follow it,
     dealt out by its first two words, so that grams of all sizes from 2 on are counted where they are.
     """
     sizes = sorted(set(sizes))
@@ -100,10 +100,9 @@ def gram_counts(posts: DataFrame, sizes: Sequence[int] = (1,), tokens: str = "to
         n, sizes = sizes[0], sizes[1:]
         if n < _RARELY_REPEATED:
             dealt = in_tasks(posts.select(tokens), tokens=tokens, words=words, per_task=per_task) if n > 1 else posts
-            first = grams(n, dealt)
+            first = grams(n, dealt).groupBy("n", "gram").agg(F.count(F.lit(1)).alias("count"))
         else:
-            first = grams(n, posts).repartition(parts, "gram")
-        first = first.groupBy("n", "gram").agg(F.count(F.lit(1)).alias("count"))
+            first = long_gram_counts(posts, n, tokens, per_task=per_task).select(F.lit(n).alias("n"), "gram", "count")
         return first.unionByName(gram_counts(posts, sizes, tokens, per_task)) if sizes else first
 
     left = F.size(tokens) - F.col("_at")

@@ -256,3 +256,40 @@ def test_numbers_of_words_in_lists():
     words, (first, second) = receiver.distinct(numbers)
     assert words.take(pa.array(first)).to_pylist() == ["of", "odd", "the", "rare"]
     assert words.take(pa.array(second)).to_pylist() == ["rare", "new", "of"] and len(words) == 5
+
+
+def test_long_grams_go_in_stretches(spark):
+    from crowdtape.operators import coded
+
+    chance = random.Random(9)
+    sentences = [" ".join(chance.choice("hot hot hot b c d e f é x".split()) for _ in range(chance.randrange(12))) for _ in range(60)]
+    sentences += ["the same words stand here again and again and again"] * 7 + [f"hot w{i} x{i % 7} w{i + 1} hot c" for i in range(40)]
+    for n in (3, 5):
+        want = collections.Counter(" ".join(s.split()[i:i + n]) for s in sentences for i in range(len(s.split()) - n + 1))
+        for most, partitions in ((1, 3), (4, 1), (1000, 5)):
+            rows = coded.long_gram_counts(posts_of(spark, *sentences, partitions=partitions), n, most=most, per_task=40).collect()
+            assert len(rows) == len(want) and {r.gram: r["count"] for r in rows} == want
+    assert ngrams.gram_counts(posts_of(spark, "", "a b c d"), [5]).count() == 0
+    plan = ngrams.gram_counts(posts_of(spark, *sentences), [5])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "Aggregate" not in plan and "Generate" not in plan
+
+
+def test_a_stretch_has_each_gram_once_and_goes_by_its_rarest_word():
+    import numpy as np
+    import pyarrow as pa
+    from crowdtape.operators.coded import _alike, _Sender, _stretches
+    from crowdtape.operators.slices import slices
+
+    posts = [["the", "of", "odd", "the", "of", "and"], ["the", "of"], [], ["of", None, "the", "the", "the"], ["the", "of", "odd", "the", "of", "and"]]
+    s = next(slices(iter([pa.record_batch({"key": pa.array(range(5)), "_tokens": pa.array(posts, pa.list_(pa.string()))})])))
+    rank = _Sender(s.distinct, pa.array(["the", "of", "and"])).rank
+    mark = np.arange(1, len(s.distinct) + 1).astype(np.uint64) << np.uint64(40)
+    begins, sizes, rarest = _stretches(s, rank, mark, 3)
+    words = [s.words.slice(b, k).to_pylist() for b, k in zip(begins, sizes)]
+    assert words == [["the", "of", "odd", "the", "of"], ["the", "of", "and"], ["the", "the", "the"], ["the", "of", "odd", "the", "of"], ["the", "of", "and"]]
+    assert [s.distinct[int(m >> np.uint64(40)) - 1].as_py() for m in rarest] == ["odd", "and", "the", "odd", "and"]
+    some, times = _alike(s.code, mark, begins, sizes)
+    assert some.tolist() == [0, 1, 2] and times.tolist() == [2, 2, 1]
+    # Stretches that only share a hash are told apart.
+    some, times = _alike(s.code, np.zeros(len(mark), np.uint64), begins, sizes)
+    assert times.sum() == 5 and all(words[a] != words[b] for a in some for b in some if a < b)
