@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pandas.util import hash_array
 from pyspark.sql import DataFrame, functions as F
 
-from crowdtape.operators.lookup import FREQUENT_LIMIT
+from crowdtape.operators.lookup import FREQUENT_LIMIT, most_frequent
 from crowdtape.operators.slices import WORDS_PER_TASK, Slice, slices
 from crowdtape.session import share_package
 from crowdtape.sources.staging import Scope
@@ -28,9 +28,7 @@ def frequent_words(posts: DataFrame, tokens: str = "tokens", most: int = FREQUEN
     with Scope(posts.sparkSession) as scope:
         counts = scope.staged(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
         number = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        # Words far rarer than any of them need not be sorted.
-        few = counts.where(F.col("n") * F.lit(16 * most) >= F.lit(number))
-        return few.orderBy(F.desc("n"), "word").limit(most).select("word").toArrow().column(0).combine_chunks(), number
+        return most_frequent(counts, "word", "n", most).toArrow().column(0).combine_chunks(), number
 
 
 # --- lists of numbers: the lower and the upper half of each, since the upper ones are nearly all alike ---

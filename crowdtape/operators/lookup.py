@@ -13,21 +13,30 @@ def _on(keys: str | list[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
+def most_frequent(table: DataFrame, key: str, weight: str, most: int = FREQUENT_LIMIT) -> DataFrame:
+    """The ``most`` keys of largest weight, the largest first, of a ``table`` that has been written."""
+    whole = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    # Keys far rarer than any of them need not be sorted.
+    few = table.where(F.col(weight) * F.lit(16 * most) >= F.lit(whole))
+    return few.orderBy(F.desc(weight), key).limit(most).select(key)
+
+
 def lookup(rows: DataFrame, table: DataFrame, keys: str | list[str], weight: str,
-           limit: int = FREQUENT_LIMIT) -> DataFrame:
+           limit: int = FREQUENT_LIMIT, hot: Column | None = None) -> DataFrame:
     """Inner join of ``rows`` with a ``table`` that has one row per key and its row count in ``weight``.
 
     The entries of frequent keys, at most ``limit`` of them, are broadcast, so rows of frequent keys are
     never shuffled and no partition of the remaining join can be dominated by one key. That join is
-    asked to merge, since a table made by unrolling arrays can be far larger than Spark's estimate of it.
+    asked to merge, since a table made by unrolling arrays can be far larger than Spark's estimate of it. ``hot`` says
+    which keys are frequent where that is known otherwise.
     """
     on = _on(keys)
     # A join drops NULL keys; doing it up front keeps the table's plan the same in all three uses.
     table = table.where(_all_known(on))
-    frequent = F.col(weight) * F.lit(limit) >= table.agg(F.sum(weight)).scalar()
-    hot = table.where(frequent)
-    rare_rows = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
-    return rows.join(F.broadcast(hot), on).unionByName(
+    frequent = F.col(weight) * F.lit(limit) >= table.agg(F.sum(weight)).scalar() if hot is None else hot
+    known = table.where(frequent)
+    rare_rows = rows.join(F.broadcast(known.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(known), on).unionByName(
         rare_rows.join(table.where(~frequent).hint("merge"), on)
     )
 

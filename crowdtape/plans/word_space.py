@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crowdtape.operators import coded
-from crowdtape.operators.lookup import FREQUENT_LIMIT, lookup
+from crowdtape.operators.lookup import FREQUENT_LIMIT, lookup, most_frequent
 from crowdtape.session import share_package
 from crowdtape.sources.staging import Scope, staged
 
@@ -58,10 +58,11 @@ def _word_counts(counts: DataFrame) -> DataFrame:
     return counts.groupBy("word").agg(F.sum("n").cast("double").alias("_n"), F.count(F.lit(1)).alias("_rows"))
 
 
-def _known(half: DataFrame, of_word: DataFrame, limit: int) -> DataFrame:
-    """One order of each pair with the counts of both words, ``_n`` and ``_n2``."""
+def _known(half: DataFrame, of_word: DataFrame, limit: int, numbered: bool = False) -> DataFrame:
+    """One order of each pair with the counts of both words, ``_n`` and ``_n2``. Numbers below ``limit`` are frequent words."""
     of_context = of_word.select(F.col("word").alias("context"), F.col("_n").alias("_n2"), F.col("_rows").alias("_rows2"))
-    return lookup(lookup(half, of_word, "word", "_rows", limit), of_context, "context", "_rows2", limit)
+    hot = [F.col(c) < limit if numbered else None for c in ("word", "context")]
+    return lookup(lookup(half, of_word, "word", "_rows", limit, hot[0]), of_context, "context", "_rows2", limit, hot[1])
 
 
 def _information(known: DataFrame, of_word: DataFrame, smoothing: float) -> DataFrame:
@@ -91,7 +92,7 @@ def _start(words: DataFrame, width: int, seed: int, names: DataFrame | None = No
 class _Matrix:
     """A matrix for many products.
 
-    Vectors of frequent contexts, at most ``limit``, are broadcast, so a product shuffles only what has a rare context,
+    Vectors of the ``limit`` most frequent contexts are broadcast, so a product shuffles only what has a rare context,
     which meets few words and is written once more, and sums that a task cannot end.
     """
 
@@ -99,8 +100,7 @@ class _Matrix:
         self.matrix = matrix
         self.words = matrix.select("word")
         rows = scope.staged(matrix.groupBy("context").agg(F.count(F.lit(1)).alias("_rows")), "context-rows")
-        frequent = F.col("_rows") * F.lit(limit) >= F.lit(rows.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0])
-        self.frequent = rows.where(frequent).select("context")
+        self.frequent = scope.staged(most_frequent(rows, "context", "_rows", limit), "frequent-contexts")
         self.far = scope.staged(matrix.join(F.broadcast(self.frequent), "context", "left_anti"), "far-matrix")
 
     def times(self, block: DataFrame, width: int, scope: Scope) -> DataFrame:
@@ -210,7 +210,7 @@ def word_space(posts: DataFrame, size: int = 100, tokens: str = "tokens", window
             names = kept.staged(names, "names")
             n = _met("n").alias("n")
             of_word = kept.staged(_word_counts(_both(pairs, n, n)), "word-counts")
-            known = kept.staged(_known(pairs.withColumn("n", n), of_word, limit), "known-pairs")
+            known = kept.staged(_known(pairs.withColumn("n", n), of_word, limit, numbered=True), "known-pairs")
         values, vectors = symmetric_svd(_information(known, of_word, smoothing), size, seed, limit=limit, names=names)
         scaled = _times(vectors, np.diag(np.sqrt(np.abs(values)))) if len(values) else vectors
         return staged(scaled.withColumnRenamed("word", "number").join(names, "number").select("word", F.col("x").alias("vector")), "vectors")
