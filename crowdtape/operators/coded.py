@@ -19,7 +19,7 @@ from crowdtape.session import share_package
 from crowdtape.sources.staging import Scope
 
 # Pairs that one task counts, and rows of a batch of what it returns.
-PAIRS_PER_TASK, _BATCH = 1 << 21, 1 << 16
+PAIRS_PER_TASK, _BATCH = 3 << 19, 1 << 16
 
 
 def frequent_words(posts: DataFrame, tokens: str = "tokens", most: int = FREQUENT_LIMIT) -> tuple[pa.Array, int]:
@@ -92,7 +92,8 @@ class _Receiver:
 
 def _send_pairs(shared, tasks: int, apart: Sequence[int], ordered: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in slices(batches):
+        for s in slices(batches, WORDS_PER_TASK // 2):
+            pa.default_memory_pool().release_unused()
             if not len(s.distinct):
                 continue
             sender, many = _Sender(s.distinct, shared.value), len(s.distinct)
@@ -103,8 +104,10 @@ def _send_pairs(shared, tasks: int, apart: Sequence[int], ordered: bool):
                 at = at[s.there[at] & s.there[at + by]]
                 a, b = s.code[at], s.code[at + by]
                 keys.append(a * many + b if ordered else np.minimum(a, b) * many + np.maximum(a, b))
-            key, n = np.unique(np.concatenate(keys), return_counts=True)
-            a, b = key // many, key % many
+            keys = np.concatenate(keys)
+            keys, n = np.unique(keys, return_counts=True)
+            a, b, n = (keys // many).astype(np.int32), (keys % many).astype(np.int32), n.astype(np.int32)
+            del keys, at
             # Pairs of a word that is not frequent go by it, so a list has it but once. The sum, and the larger of two, are
             # the same in both orders, so both reach one task.
             rare_a, rare_b = sender.rare[a], sender.rare[b]
@@ -112,8 +115,10 @@ def _send_pairs(shared, tasks: int, apart: Sequence[int], ordered: bool):
             mixed = np.where(rare_a | rare_b, mixed, (mark[a] * np.uint64(3) if ordered else mark[a]) + mark[b])
             mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
             task = ((mixed >> np.uint64(20)) % np.uint64(tasks)).astype(np.int32)
+            del mixed, rare_a, rare_b
             by = np.argsort(task, kind="stable")
             a, b, n, task = a[by], b[by], n[by], task[by]
+            del by
             sent, starts = np.unique(task, return_index=True)
             numbers, words = sender.numbers(np.concatenate([task, task]), np.concatenate([a, b]), sent)
             ends = pa.array(np.append(starts, len(task)).astype(np.int32))
@@ -136,13 +141,21 @@ def _count_pairs(shared, ordered: bool, rows):
             first.append(both[:len(row)])
             second.append(both[len(row):])
             times.append(flat["n"].to_numpy())
-        if not first:
+        if not sum(len(x) for x in first):
             return
-        words, (a, b) = receiver.distinct([np.concatenate(first), np.concatenate(second)])
-        key = a * len(words) + b if ordered else np.minimum(a, b) * len(words) + np.maximum(a, b)
-        key, at = np.unique(key, return_inverse=True)
-        n = np.bincount(at, np.concatenate(times)).astype(np.int64)
+        first, second, times = np.concatenate(first), np.concatenate(second), np.concatenate(times)
+        words, (first, second) = receiver.distinct([first, second])
+        key = first * len(words) + second if ordered else np.minimum(first, second) * len(words) + np.maximum(first, second)
+        del batch, lists, row, flat, both, first, second, receiver
+        by = np.argsort(key)
+        key, times = key[by], times[by]
+        del by
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        key, n = key[starts], np.add.reduceat(times, starts, dtype=np.int64)
+        del times, starts
         yield from rows(words, key // len(words), key % len(words), n)
+        del words, key, n
+        pa.default_memory_pool().release_unused()
     return work
 
 
@@ -224,6 +237,7 @@ def _spread(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _send_stretches(shared, tasks: int, n: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches):
+            pa.default_memory_pool().release_unused()
             if not len(s.distinct):
                 continue
             sender = _Sender(s.distinct, shared.value)
